@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, sharding
+from tessera.llm import mixing, sharding, spm
 
 _WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
 
@@ -46,6 +46,7 @@ FROM r
 """
 
 QUERIES = {
+    "op4_piece_codec": spm.op4_piece_codec,
     "op2_feistel_shards": sharding.op2_feistel_shards,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
