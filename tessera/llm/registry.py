@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, sharding, spm
+from tessera.llm import html_text, mixing, pii, quality, sharding, simhash, spm
 
 _WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
 
@@ -46,8 +46,12 @@ FROM r
 """
 
 QUERIES = {
-    "op4_piece_codec": spm.op4_piece_codec,
+    "op1_weak_supervision": pii.op1_weak_supervision,
     "op2_feistel_shards": sharding.op2_feistel_shards,
+    "op4_piece_codec": spm.op4_piece_codec,
+    "op5_tag_path_ratios": html_text.op5_tag_path_ratios,
+    "op6_tokeniser_fertility": quality.op6_tokeniser_fertility,
+    "op7_simhash_components": simhash.op7_simhash_components,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 
