@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import html_text, mixing, pii, quality, sharding, simhash, spm
+from tessera.llm import html_text, mixing, pii, quality, sharding, simhash, spm, topk, toxicity
 
 _WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
 
@@ -48,11 +48,13 @@ FROM r
 QUERIES = {
     "op1_weak_supervision": pii.op1_weak_supervision,
     "op2_feistel_shards": sharding.op2_feistel_shards,
+    "op3_ball_tree_topk": topk.op3_ball_tree_topk,
     "op4_piece_codec": spm.op4_piece_codec,
     "op5_tag_path_ratios": html_text.op5_tag_path_ratios,
     "op6_tokeniser_fertility": quality.op6_tokeniser_fertility,
     "op7_simhash_components": simhash.op7_simhash_components,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_ordinal_severity": toxicity.op9_ordinal_severity,
 }
 
 ORACLES = {"op8_mix_sources": OP8_SQL}
