@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only where the session names no shared folder, as in tests.
 _FALLBACK: list[str] = []
 _STAGED: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def session(cores: int | str = "*", **conf: str) -> SparkSession:
@@ -69,7 +70,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if before is not None:
+        spark.conf.set(_CLEANUP, "true")  # nothing reads this write's shuffles again: they go when it ends
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
     _STAGED.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
