@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import html_text, mixing, pii, quality, sharding, simhash, spm, topk, toxicity
+from tessera.llm import html_text, mixing, pii, quality, sharding, simhash, spm, suffix_dedup, topk, toxicity
 
 _WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
 
@@ -55,6 +55,7 @@ QUERIES = {
     "op7_simhash_components": simhash.op7_simhash_components,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_ordinal_severity": toxicity.op9_ordinal_severity,
+    "op10_prefix_doubling": suffix_dedup.op10_prefix_doubling,
 }
 
 ORACLES = {"op8_mix_sources": OP8_SQL}
