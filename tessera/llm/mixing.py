@@ -68,5 +68,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *(keep or {}))
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """The mix itself: the rows of docs, once for every whole epoch, and the first words of those that the cut parts.
+
+    Documents without words have nothing to be taken and are not in the mix.
+    """
+    rows = stage(docs.withColumn("_uid", F.monotonically_increasing_id()), "mix-documents")
+    taken = stage(mix(rows, weights, most, seed, keep={"_uid": rows["_uid"]}).filter("taken > 0").select(F.col("_uid").alias("_taken_uid"), "size", "taken"), "mix-taken")
+    met = rows.join(taken, F.col("_uid") == F.col("_taken_uid"))
+    met = met.withColumn("_whole", F.expr("taken div size")).withColumn("_part", F.expr("taken % size").cast("int"))
+    each = met.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_whole") + F.when(F.col("_part") > 0, 1).otherwise(0)).cast("int"))))
+    pieces = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    cut = F.when(F.col("_copy") <= F.col("_whole"), F.col("text")).otherwise(F.array_join(F.slice(pieces, 1, F.greatest(F.col("_part"), F.lit(1))), ""))
+    out = each.withColumn("text", cut)
+    out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return out.select(*docs.columns)
+
+
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")

@@ -322,6 +322,22 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs with every found span of their texts replaced; n_chars, if there, follows the new text."""
+    kept = {f"_keep_{c}": docs[c] for c in docs.columns}
+    names = list(kept)
+    found = find_personal_data(docs, keep=kept).select("spans", *names)
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [None if t is None else redact(t, [(x["start"], x["end"], x["kind"]) for x in spans]) if spans else t for t, spans in zip(part.column("_keep_text").to_pylist(), part.column("spans").to_pylist())]
+        columns = [pa.array(texts, pa.string()) if c == "_keep_text" else part.column(c) for c in names]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name in names)
+    out = map_slices(found, "_keep_text", run, fields).select(*[F.col(k).alias(c) for k, c in zip(kept, docs.columns)])
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def op1_weak_supervision(spark, sf_dir: str) -> DataFrame:
     return digest(find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 

@@ -221,19 +221,36 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, tile: int = TILE, keep: dict | None = None, **columns) -> DataFrame:
-    """doc_id, fp and component_id (the least doc_id that links reach) of every row; `keep` adds columns of docs."""
-    rows = stage(fingerprints(docs, size, keep=keep, **columns), "fingerprints")
+def groups_of(rows: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """fp, group (a fingerprint that names the component) and component_id (its least doc_id), for staged rows of (doc_id, fp)."""
     distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints-distinct")
     tiles = stage(_tiles(distinct.select("fp"), tile), "tiles")
     roots = stage(components(stage(_links(tiles, radius), "tile-links")), "roots")
     unstage(tiles)
     linked = stage(distinct.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least"), "linked")
     named = linked.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("name"))
-    of_linked = stage(linked.join(stage(named, "names"), F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "name"), "linked-names")
-    everywhere = distinct.join(of_linked, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("name", "least").alias("component_id"))
-    named_all = stage(everywhere, "components")
-    return rows.join(named_all, F.col("fp") == F.col("_fp")).drop("_fp")
+    of_linked = stage(linked.join(stage(named, "names"), F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "root", "name"), "linked-names")
+    everywhere = distinct.join(of_linked, F.col("fp") == F.col("_fp"), "left")
+    group = F.coalesce("root", "fp")
+    return stage(everywhere.select("fp", group.alias("group"), F.when(F.col("root").isNotNull(), F.col("name")).otherwise(F.col("least")).alias("component_id")), "components")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, tile: int = TILE, keep: dict | None = None, **columns) -> DataFrame:
+    """doc_id, fp, group and component_id (the least doc_id that links reach) of every row; `keep` adds columns of docs."""
+    rows = stage(fingerprints(docs, size, keep=keep, **columns), "fingerprints")
+    named = groups_of(rows.select("doc_id", "fp"), radius, tile).withColumnRenamed("fp", "_fp")
+    return rows.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """The rows of docs, one for each component: that with the least doc_id (a null one only where there is no other)."""
+    kept = {f"_keep_{c}": docs[c] for c in docs.columns}
+    rows = stage(fingerprints(docs, size, keep=kept | {"_uid": F.monotonically_increasing_id()}), "fingerprints")
+    slim = rows.select("doc_id", "fp", "_uid")
+    named = groups_of(slim, radius, tile).withColumnRenamed("fp", "_fp")
+    best = slim.join(named, F.col("fp") == F.col("_fp")).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_uid")).alias("best"))
+    chosen = stage(best.select(F.col("best._uid").alias("_chosen")), "chosen")
+    return rows.join(chosen, F.col("_uid") == F.col("_chosen"), "left_semi").select(*[F.col(k).alias(c) for k, c in zip(kept, docs.columns)])
 
 
 def hex_of(fp: Column) -> Column:

@@ -245,8 +245,8 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; with_ids adds ids array<int> and decoded string."""
+def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; with_ids adds ids array<int>, with_text decoded string."""
     path = path or public_path()
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -260,19 +260,21 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
             counts.append(len(found))
             hashes.append(hashlib.sha256(raw).hexdigest())
             decoded.append(hashlib.sha256(back.encode()).hexdigest())
-            if with_ids:
-                ids.append(found)
-                texts.append(back)
+            ids.append(found if with_ids else None)
+            texts.append(back if with_text else None)
         columns = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes), pa.array(decoded)]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
-            columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-            names += ["ids", "decoded"]
+            columns.append(pa.array(ids, pa.list_(pa.int32())))
+            names.append("ids")
+        if with_text:
+            columns.append(pa.array(texts, pa.string()))
+            names.append("decoded")
         return pa.RecordBatch.from_arrays(columns, names)
 
     slim = pick(docs, doc_id=id_col, text=F.col(text_col).cast("string"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
     return map_slices(slim, "text", run, schema)
 
 
