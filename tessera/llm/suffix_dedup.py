@@ -13,9 +13,11 @@ threshold; and it needs them only for suffixes that are still tied, so ties are
     repeated at once; partial minima make large groups small before they move.
 3.  Anchors that stay tied with differing texts around them are re-ranked at twice the length: their windows get the
     pair (rank h at the start, rank h at the offset h), and a window whose pair has a smaller document is repeated.
+    Equal windows have equal anchors, so this is done anchor by anchor, sorted by Spark; the windows of anchors with
+    very many texts are ranked by a shuffle of their own.
 
 Every step is exact but for collisions of 64-bit (1, only extra work), 128-bit (2, anchor and unit) and 128-bit (3)
-names. Texts move once for step 2 and once for the result.
+names. Texts move once each for steps 2 and 3 and once for the result.
 
 Defined results: a null text is empty; a null doc_id counts as greater than any other and is never a smaller one;
 rows with equal ids do not repeat each other; texts of fewer than `span` bytes keep all; matches never cross documents;
@@ -39,6 +41,8 @@ from tessera.runtime import stage, unstage
 SPAN = 50
 PIECE = 1 << 20
 NOBODY = 2**63 - 1
+#: Most texts around one anchor that are ranked inside a task; anchors with more go through a shuffle.
+MOST_TEXTS = 4096
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
 
 
@@ -222,83 +226,148 @@ def tied_anchors(slim: DataFrame, span: int) -> DataFrame:
 
     rows = map_slices(slim, "text", emit, "k long, a long, doc long")
     n = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranked = rows.repartition(n, "k").sortWithinPartitions("k", "doc").mapInArrow(rerank, "doc long, anchor long")
-    return ranked.groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
+    ranked = rows.repartition(n, "k").sortWithinPartitions("k").mapInArrow(rerank, "doc long, anchor long")
+    return ranked.groupBy("doc").agg(F.collect_list("anchor").alias("anchors"))
+
+
+def _chosen(part: pa.RecordBatch, wanted: list[np.ndarray], by: str, span: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """text, begin, windows, anchor and name of the units whose anchor (or name) is wanted of their text, and the bytes that begin counts in."""
+    ranks = ranks_for(span)
+    for who, _, parts in _joined(_bytes_of(part), span):
+        owner, begin, windows, anchor, name, data, _ = units_of(parts, ranks, span)
+        anchor, name = np.maximum(anchor, np.uint64(2)).view(np.int64), name.view(np.int64)
+        key = anchor if by == "anchor" else name
+        of = np.array(who)[owner]
+        keep = np.zeros(len(of), bool)
+        cuts = np.nonzero(np.diff(of))[0] + 1
+        for rows in np.split(np.arange(len(of)), cuts) if len(of) else []:
+            w = wanted[of[rows[0]]]
+            found = np.minimum(np.searchsorted(w, key[rows]), len(w) - 1)
+            keep[rows] = w[found] == key[rows]
+        at = np.nonzero(keep)[0]
+        at = at[_distinct(of[at], anchor[at], name[at])]
+        yield of[at], begin[at], windows[at], anchor[at], name[at], data
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    return [np.sort(np.asarray(column[i].values.to_numpy(zero_copy_only=False))) for i in range(len(column))]
 
 
 def tied_units(slim: DataFrame, tied: DataFrame, span: int) -> DataFrame:
-    """doc, anchor, name and bytes of every distinct unit whose anchor is tied."""
+    """doc, anchor and name of every distinct unit whose anchor is tied."""
 
-    def emit(part: pa.RecordBatch) -> pa.RecordBatch | None:
+    def emit(part: pa.RecordBatch) -> pa.RecordBatch:
         ids = part.column("doc").to_numpy()
-        ranks = ranks_for(span)
-        anchors = part.column("anchors")
-        wanted = [np.sort(np.asarray(anchors[i].values.to_numpy(zero_copy_only=False))) for i in range(len(anchors))]
-        out: list[list] = [[], [], [], []]
-        for who, _, parts in _joined(_bytes_of(part), span):
-            owner, begin, windows, anchor, name, data, _ = units_of(parts, ranks, span)
-            anchor = np.maximum(anchor, np.uint64(2)).view(np.int64)
-            of = np.array(who)[owner]
-            keep = np.zeros(len(of), bool)
-            cuts = np.nonzero(np.diff(of))[0] + 1
-            for rows in np.split(np.arange(len(of)), cuts) if len(of) else []:
-                w = wanted[of[rows[0]]]
-                found = np.minimum(np.searchsorted(w, anchor[rows]), len(w) - 1)
-                keep[rows] = w[found] == anchor[rows]
-            at = np.nonzero(keep)[0]
-            at = at[_distinct(of[at], anchor[at], name[at])]
-            raw = data.tobytes()
-            out[0].append(ids[of[at]])
-            out[1].append(anchor[at])
-            out[2].append(name[at].view(np.int64))
-            out[3] += [raw[s : s + w + span - 1] for s, w in zip(begin[at].tolist(), windows[at].tolist())]
-        if not out[3]:
-            return None
-        return pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in out[:3]], pa.array(out[3], pa.binary())], ["doc", "anchor", "name", "bytes"])
+        out: list[list[np.ndarray]] = [[], [], []]
+        for of, _, _, anchor, name, _ in _chosen(part, _lists(part.column("anchors")), "anchor", span):
+            for column, values in zip(out, (ids[of], anchor, name)):
+                column.append(values)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in out], ["doc", "anchor", "name"])
 
     met = slim.join(tied.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc")).select("doc", "text", "anchors")
-    return map_slices(met, "text", emit, "doc long, anchor long, name long, bytes binary")
+    return map_slices(met, "text", emit, "doc long, anchor long, name long")
 
 
-def _windows(units: DataFrame, span: int) -> DataFrame:
-    """x and y (the rank pair at offset h), least, anchor, name and at: every window of the units."""
+def unit_bytes(slim: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
+    """least, anchor, name and bytes of the wanted units (least, names), read from the texts of their least documents."""
 
-    def emit(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        ranks = ranks_for(span)
-        h = ranks.h
-        texts = part.column("bytes").to_pylist()
-        counts = np.array([len(t) - span + 1 for t in texts], np.int64)
-        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[:-1]
-        step = PIECE // (4 * span)
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for at in range(0, len(texts), step):
-            data = np.frombuffer(b"".join(texts[at : at + step]), np.uint8)
-            names = ranks.names(ranks.sums(data))
-            n = counts[at : at + step]
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            place = np.repeat(starts[at : at + step] - starts[at], n) + inner
-            out[0].append(names[place].view(np.int64))
-            out[1].append(names[place + span - h].view(np.int64))
-            out[2].append(np.repeat(np.arange(at, at + len(n)), n))
-            out[3].append(inner)
-        x, y, row, inner = (np.concatenate(o) for o in out)
-        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), *[pa.array(part.column(c).to_numpy()[row]) for c in ("least", "anchor", "name")], pa.array(inner.astype(np.int32))], ["x", "y", "least", "anchor", "name", "at"])
-
-    return map_slices(units, "bytes", emit, "x long, y long, least long, anchor long, name long, at int")
-
-
-def repeated_windows(units: DataFrame, span: int) -> DataFrame:
-    """doc, marks: packed (name, mask) pairs of each document's units; a bit for each window that is repeated, -1 for all."""
-    first = stage(units.groupBy("anchor", "name").agg(F.min("doc").alias("least"), F.first("bytes").alias("bytes")), "dedup-first")
-    sides = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("a"), F.max("least").alias("z")).filter("n > 1 and a < z").select(F.col("anchor").alias("_anchor"))
-    open_ = first.join(stage(sides, "dedup-open"), F.col("anchor") == F.col("_anchor")).drop("_anchor")
-    windows = stage(_windows(open_, span), "dedup-windows")
+    def emit(part: pa.RecordBatch) -> pa.RecordBatch:
+        ids = part.column("doc").to_numpy()
+        out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []]
+        for of, begin, windows, anchor, name, data in _chosen(part, _lists(part.column("names")), "name", span):
+            raw = data.tobytes()
+            for column, values in zip(out, (ids[of], anchor, name)):
+                column.append(values)
+            out[3] += [raw[s : s + w + span - 1] for s, w in zip(begin.tolist(), windows.tolist())]
+        return pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in out[:3]], pa.array(out[3], pa.binary())], ["least", "anchor", "name", "bytes"])
+
+    met = slim.join(wanted, F.col("doc") == F.col("least")).select("doc", "text", "names")
+    return map_slices(met, "text", emit, "least long, anchor long, name long, bytes binary")
+
+
+def _window_ranks(texts: list[bytes], span: int) -> tuple[np.ndarray, ...]:
+    """x, y (the rank pair at offset h), the row and the place in it of every window of some units' bytes."""
+    ranks = ranks_for(span)
+    h = ranks.h
+    counts = np.array([len(t) - span + 1 for t in texts], np.int64)
+    starts = np.cumsum([0, *[len(t) for t in texts]])[:-1]
+    step = PIECE // (4 * span)
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    for at in range(0, len(texts), step):
+        names = ranks.names(ranks.sums(np.frombuffer(b"".join(texts[at : at + step]), np.uint8)))
+        n = counts[at : at + step]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        place = np.repeat(starts[at : at + step] - starts[at], n) + inner
+        for column, values in zip(out, (names[place], names[place + span - h], np.repeat(np.arange(at, at + len(n)), n), inner)):
+            column.append(values)
+    x, y, row, inner = (np.concatenate(o) for o in out)
+    return x, y, row, inner
+
+
+def _rerank_groups(units: DataFrame, span: int) -> DataFrame:
+    """doc, name and mask from the units of anchors with a bounded number of texts: sorted by anchor, ranked in the task that has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def ranked(rows: pa.Table) -> pa.RecordBatch:
+            anchor, name, least = (rows.column(c).to_numpy() for c in ("anchor", "name", "least"))
+            x, y, row, inner = _window_ranks(rows.column("bytes").to_pylist(), span)
+            order = np.lexsort((least[row], y, x, anchor[row]))
+            x, y, row, inner = x[order], y[order], row[order], inner[order]
+            new = np.ones(len(x), bool)
+            new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (anchor[row[1:]] != anchor[row[:-1]])
+            first = least[row[new]][np.cumsum(new) - 1]
+            hit = first < least[row]
+            masks = np.zeros(rows.num_rows, np.int64)
+            np.bitwise_or.at(masks, row[hit], np.int64(1) << inner[hit])
+            good = masks != 0
+            return pa.RecordBatch.from_arrays([pa.array(least[good]), pa.array(name[good]), pa.array(masks[good])], ["doc", "name", "mask"])
+
+        for batch in batches:
+            anchor = batch.column("anchor").to_numpy()
+            if not len(anchor):
+                continue
+            cut = int(np.nonzero(anchor == anchor[-1])[0][0])
+            # rows are sorted: all before the last anchor's are whole, unless the batch has that anchor alone
+            if cut or (held and held[-1].column("anchor")[0].as_py() != anchor[0]):
+                done = pa.Table.from_batches([*held, batch.slice(0, cut)])
+                if done.num_rows:
+                    yield ranked(done)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield ranked(pa.Table.from_batches(held))
+
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return units.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc long, name long, mask long")
+
+
+def _rerank_wide(units: DataFrame, span: int) -> DataFrame:
+    """The same for anchors with more texts than a task should hold: their windows are ranked by a shuffle."""
+
+    def emit(part: pa.RecordBatch) -> pa.RecordBatch:
+        x, y, row, inner = _window_ranks(part.column("bytes").to_pylist(), span)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), *[pa.array(part.column(c).to_numpy()[row]) for c in ("least", "name")], pa.array(inner.astype(np.int32))], ["x", "y", "least", "name", "at"])
+
+    windows = stage(map_slices(units, "bytes", emit, "x long, y long, least long, name long, at int"), "dedup-windows")
     ranks = windows.groupBy("x", "y").agg(F.min("least").alias("a"), F.max("least").alias("z")).filter("a < z").select(F.col("x").alias("_x"), F.col("y").alias("_y"), "a")
     hits = windows.join(stage(ranks, "dedup-ranks"), (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")) & (F.col("a") < F.col("least")))
-    partly = hits.groupBy("least", "anchor", "name").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask")).select(F.col("least").alias("doc"), "name", "mask")
-    wholly = units.select("doc", "anchor", "name").join(first.select(F.col("anchor").alias("_anchor"), F.col("name").alias("_name"), "least"), (F.col("anchor") == F.col("_anchor")) & (F.col("name") == F.col("_name")) & (F.col("least") < F.col("doc")))
-    both = stage(wholly.select("doc", "name", F.lit(-1).cast("long").alias("mask")).unionByName(partly), "dedup-marks")
-    unstage(windows)
+    return hits.groupBy("least", "name").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask")).select(F.col("least").alias("doc"), "name", "mask")
+
+
+def repeated_windows(slim: DataFrame, units: DataFrame, span: int, most: int = MOST_TEXTS) -> DataFrame:
+    """doc, marks: (name, mask) pairs of each document's units; a bit for each window that is repeated, -1 for all."""
+    first = stage(units.groupBy("anchor", "name").agg(F.min("doc").alias("least")), "dedup-first")
+    sides = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("a"), F.max("least").alias("z")).filter("n > 1 and a < z").select(F.col("anchor").alias("_anchor"), "n")
+    sides = stage(sides, "dedup-open")
+    open_ = first.join(sides, F.col("anchor") == F.col("_anchor")).groupBy("least").agg(F.collect_list("name").alias("names"))
+    texts = stage(unit_bytes(slim, stage(open_, "dedup-wanted"), span), "dedup-bytes")
+    # a unit that shares its name, but not its anchor, with a wanted one comes along and goes here
+    texts = texts.join(sides, F.col("anchor") == F.col("_anchor")).drop("_anchor")
+    partly = _rerank_groups(texts.filter(F.col("n") <= most).drop("n"), span).unionByName(_rerank_wide(texts.filter(F.col("n") > most).drop("n"), span))
+    wholly = units.join(first.select(F.col("anchor").alias("_anchor"), F.col("name").alias("_name"), "least"), (F.col("anchor") == F.col("_anchor")) & (F.col("name") == F.col("_name")) & (F.col("least") < F.col("doc")))
+    both = wholly.select("doc", "name", F.lit(-1).cast("long").alias("mask")).unionByName(partly)
     return both.groupBy("doc").agg(F.collect_list(F.struct("name", "mask")).alias("marks"))
 
 
@@ -311,7 +380,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
     long = slim.filter(F.length("text") >= span).select("doc", "text")
     tied = stage(tied_anchors(long, span), "dedup-tied")
     units = stage(tied_units(long, tied, span), "dedup-units")
-    marks = stage(repeated_windows(units, span), "dedup-documents")
+    marks = stage(repeated_windows(long, units, span), "dedup-documents")
     unstage(units)
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
