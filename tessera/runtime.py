@@ -90,3 +90,19 @@ def unstage(df: DataFrame) -> None:
     if path in _STAGED:
         _STAGED.remove(path)
         _drop(df.sparkSession, path)
+
+
+def staged_paths() -> list[str]:
+    """The folders of staged tables that still stand."""
+    return list(_STAGED)
+
+
+def release(spark: SparkSession, paths: list[str], still_read_by: DataFrame) -> list[str]:
+    """Deletes those of the staged folders that a frame does not read from; returns the others."""
+    files = still_read_by.inputFiles() if paths else []
+    kept = [p for p in paths if any(p.split("/tessera-")[-1] in f for f in files)]
+    for path in set(paths) - set(kept):
+        if path in _STAGED:
+            _STAGED.remove(path)
+            _drop(spark, path)
+    return kept
