@@ -7,38 +7,43 @@ budgets (the one at a cut is shortened), and the last stage turns the texts into
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import mixing, pii, quality, simhash, spm
-from tessera.runtime import stage
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_sound(docs)
+from tessera.runtime import release, stage, staged_paths
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
 
+#: Staged tables behind the result of the last stage that ran.
+_BEHIND: list[str] = []
 
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact_documents(docs)
 
+def _alone(function: Callable[[DataFrame], DataFrame]) -> Stage:
+    """A stage that first deletes what stood behind its predecessor's result, which is written when this one starts.
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs)
+    Should docs still be read from such a table (an unwritten result was passed on), the table stays.
+    """
 
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        kept = release(spark, _BEHIND, docs)
+        before = set(staged_paths())
+        out = function(docs)
+        _BEHIND[:] = kept + [p for p in staged_paths() if p not in before]
+        return out
 
-def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return spm.encode_documents(docs, with_ids=True)
+    return run_stage
 
 
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicates),
-    ("personal_data", personal_data),
-    ("mix_sources", mix_sources),
-    ("token_ids", token_ids),
+    ("quality_rules", _alone(quality.keep_sound)),
+    ("near_duplicates", _alone(simhash.one_of_each)),
+    ("personal_data", _alone(pii.redact_documents)),
+    ("mix_sources", _alone(mixing.mixed_documents)),
+    ("token_ids", _alone(partial(spm.encode_documents, with_ids=True))),
 ]
 
 #: SQL can't express the stages: tests hold the rows against a plain version.
