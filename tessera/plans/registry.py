@@ -24,3 +24,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return put
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from tessera.plans import interval_queries, sequence_queries, statistic_queries, stream_queries, tree_queries  # noqa: F401
