@@ -358,15 +358,18 @@ def _rerank_wide(units: DataFrame, span: int) -> DataFrame:
 
 def repeated_windows(slim: DataFrame, units: DataFrame, span: int, most: int = MOST_TEXTS) -> DataFrame:
     """doc, marks: (name, mask) pairs of each document's units; a bit for each window that is repeated, -1 for all."""
-    first = stage(units.groupBy("anchor", "name").agg(F.min("doc").alias("least")), "dedup-first")
+    first = stage(units.groupBy("anchor", "name").agg(F.min("doc").alias("least"), F.max("doc").alias("greatest")), "dedup-first")
     sides = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("a"), F.max("least").alias("z")).filter("n > 1 and a < z").select(F.col("anchor").alias("_anchor"), "n")
     sides = stage(sides, "dedup-open")
     open_ = first.join(sides, F.col("anchor") == F.col("_anchor")).groupBy("least").agg(F.collect_list("name").alias("names"))
-    texts = stage(unit_bytes(slim, stage(open_, "dedup-wanted"), span), "dedup-bytes")
+    wanted = stage(open_, "dedup-wanted")
+    bytes_ = stage(unit_bytes(slim, wanted, span), "dedup-bytes")
     # a unit that shares its name, but not its anchor, with a wanted one comes along and goes here
-    texts = texts.join(sides, F.col("anchor") == F.col("_anchor")).drop("_anchor")
-    partly = _rerank_groups(texts.filter(F.col("n") <= most).drop("n"), span).unionByName(_rerank_wide(texts.filter(F.col("n") > most).drop("n"), span))
-    wholly = units.join(first.select(F.col("anchor").alias("_anchor"), F.col("name").alias("_name"), "least"), (F.col("anchor") == F.col("_anchor")) & (F.col("name") == F.col("_name")) & (F.col("least") < F.col("doc")))
+    texts = bytes_.join(sides, F.col("anchor") == F.col("_anchor")).drop("_anchor")
+    partly = stage(_rerank_groups(texts.filter(F.col("n") <= most).drop("n"), span).unionByName(_rerank_wide(texts.filter(F.col("n") > most).drop("n"), span)), "dedup-partly")
+    for done in (wanted, bytes_, sides):
+        unstage(done)
+    wholly = units.join(first.filter("least < greatest").select(F.col("anchor").alias("_anchor"), F.col("name").alias("_name"), "least"), (F.col("anchor") == F.col("_anchor")) & (F.col("name") == F.col("_name")) & (F.col("least") < F.col("doc")))
     both = wholly.select("doc", "name", F.lit(-1).cast("long").alias("mask")).unionByName(partly)
     return both.groupBy("doc").agg(F.collect_list(F.struct("name", "mask")).alias("marks"))
 
@@ -380,6 +383,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
     long = slim.filter(F.length("text") >= span).select("doc", "text")
     tied = stage(tied_anchors(long, span), "dedup-tied")
     units = stage(tied_units(long, tied, span), "dedup-units")
+    unstage(tied)
     marks = stage(repeated_windows(long, units, span), "dedup-documents")
     unstage(units)
 
