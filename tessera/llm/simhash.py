@@ -250,7 +250,8 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, tile
     named = groups_of(slim, radius, tile).withColumnRenamed("fp", "_fp")
     best = slim.join(named, F.col("fp") == F.col("_fp")).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_uid")).alias("best"))
     chosen = stage(best.select(F.col("best._uid").alias("_chosen")), "chosen")
-    return rows.join(chosen, F.col("_uid") == F.col("_chosen"), "left_semi").select(*[F.col(k).alias(c) for k, c in zip(kept, docs.columns)])
+    # texts move by one shuffle at any size, not by a broadcast while the chosen rows are few
+    return rows.join(chosen.hint("merge"), F.col("_uid") == F.col("_chosen"), "left_semi").select(*[F.col(k).alias(c) for k, c in zip(kept, docs.columns)])
 
 
 def hex_of(fp: Column) -> Column:
