@@ -207,38 +207,51 @@ def _products(model: Hmm, size: int, best: bool, batches: Iterator[pd.DataFrame]
 
 
 def _borders(model: Hmm, products: DataFrame, by: Sequence[str], best: bool) -> DataFrame:
-    """by, chunk, enter (scores of the state before), leave (scores from the last row on, or the best path's last state) and total."""
+    """by, chunk, enter (scores of the state before), leave (scores from the last row on, or the best path's last state) and total.
+
+    A sequence's matrices are one for each chunk of thousands of rows, so a row holds them all.
+    """
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in products.schema if f.name in by)
     n = model.n
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t, _, end = model.logs()
-        ms = np.stack(pdf["matrix"].to_numpy()).reshape(-1, n, n)
-        enters, v = [], np.full(n, -np.inf)
-        v[0] = 0.0
-        for m in ms:
-            enters.append(v)
-            x = v[:, None] + m
-            v = x.max(0) if best else logsum(x, 0)
-        leaves = []
-        if best:
-            state = int((v + end).argmax())
-            total = float((v + end)[state])
-            for m, enter in zip(ms[::-1], enters[::-1]):
-                leaves.append([float(state)])
-                state = int((enter + m[:, state]).argmax())
-        else:
-            total = float(logsum(v + end, 0))
-            w = end
-            for m in ms[::-1]:
-                leaves.append(w)
-                w = logsum(m + w[None, :], 1)
-        out = pdf[[*by, "chunk"]].copy()
-        out["enter"], out["leave"], out["total"] = [np.asarray(x, float) for x in enters], [np.asarray(x, float) for x in leaves[::-1]], total
-        return out
-
-    return products.groupBy(*by).applyInPandas(run, f"{keys}, chunk long, enter array<double>, leave array<double>, total double")
+        for pdf in batches:
+            enters, leaves, totals = [], [], []
+            for chain in pdf["matrices"]:
+                ms = np.asarray(list(chain), float).reshape(-1, n, n)
+                v = np.full(n, -np.inf)
+                v[0] = 0.0
+                enter = []
+                for m in ms:
+                    enter.append(v)
+                    x = v[:, None] + m
+                    v = x.max(0) if best else logsum(x, 0)
+                leave = []
+                if best:
+                    state = int((v + end).argmax())
+                    total = float((v + end)[state])
+                    for m, before in zip(ms[::-1], enter[::-1]):
+                        leave.append([float(state)])
+                        state = int((before + m[:, state]).argmax())
+                else:
+                    total = float(logsum(v + end, 0))
+                    w = end
+                    for m in ms[::-1]:
+                        leave.append(w)
+                        w = logsum(m + w[None, :], 1)
+                enters.append(np.concatenate(enter))
+                leaves.append(np.concatenate(leave[::-1]))
+                totals.append(total)
+            out = pdf[list(by)].copy()
+            out["enters"], out["leaves"], out["total"] = enters, leaves, totals
+            yield out
+
+    chains = products.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("chunk", "matrix"))).alias("_x")).select(*by, F.flatten(F.col("_x.matrix")).alias("matrices"))
+    found = chains.mapInPandas(run, f"{keys}, enters array<double>, leaves array<double>, total double")
+    wide = 1 if best else n
+    each = found.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"size(enters) div {n} - 1").cast("long"))))
+    return each.select(*by, "chunk", F.slice("enters", (F.col("chunk") * n + 1).cast("int"), n).alias("enter"), F.slice("leaves", (F.col("chunk") * wide + 1).cast("int"), wide).alias("leave"), "total")
 
 
 def _pass(rows: DataFrame, model: Hmm, by: Sequence[str], size: int, best: bool) -> tuple[DataFrame, DataFrame]:

@@ -35,23 +35,30 @@ def path_loglik(rows: DataFrame, matrix: DataFrame, by: Sequence[str] = ("seq",)
     return met.groupBy(*by).agg(F.sum(step).alias("loglik"))
 
 
+def _grams(texts: DataFrame, k: int, text: str, alphabet: str) -> DataFrame:
+    """gram and cnt of all windows of k letters.
+
+    A text is split into its characters once and zipped with itself at each shift, which is linear in its length;
+    substrings by position would not be, as characters differ in bytes.
+    """
+    chars = F.split(F.lower(F.col(text)), "")
+    shifted = F.arrays_zip(*[F.slice(chars, i + 1, 2**31 - 2 - i).alias(f"c{i}") for i in range(k)])
+    windows = texts.select(F.inline(shifted)).toDF(*[f"c{i}" for i in range(k)]).select(F.concat(*[F.col(f"c{i}") for i in range(k)]).alias("gram"))
+    return windows.filter(F.col("gram").isNotNull()).groupBy("gram").agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("gram").rlike(f"^{alphabet}{{{k}}}$"))
+
+
 def kgram_model(texts: DataFrame, k: int, text: str = "text", alphabet: str = "[a-z]") -> DataFrame:
-    """order, context, sym, cnt and p for all orders 0..k of the letters of texts; a gram with other signs is left out."""
+    """ord, context, sym, cnt and p for all orders 0..k of the letters of texts; a gram with other signs is left out."""
     grams = None
-    lowered = texts.select(F.lower(F.col(text)).alias("_t")).filter(F.length("_t") > 0)
     for order in range(k + 1):
-        at = F.explode(F.sequence(F.lit(1), F.greatest(F.length("_t") - order, F.lit(1))))
-        one = lowered.select("_t", at.alias("_i")).select(F.substr("_t", F.col("_i"), F.lit(order + 1)).alias("g")).filter(F.col("g").rlike(f"^{alphabet}{{{order + 1}}}$")).groupBy("g").agg(F.count(F.lit(1)).alias("cnt"))
-        one = one.select(F.lit(order).alias("ord"), F.substring("g", 1, order).alias("context"), F.substring("g", order + 1, 1).alias("sym"), "cnt")
+        one = _grams(texts, order + 1, text, alphabet).select(F.lit(order).alias("ord"), F.substring("gram", 1, order).alias("context"), F.substring("gram", order + 1, 1).alias("sym"), "cnt")
         grams = one if grams is None else grams.unionByName(one)
     return grams.withColumn("p", F.col("cnt") / F.sum("cnt").over(Window.partitionBy("ord", "context")))
 
 
 def gram_counts(texts: DataFrame, k: int, text: str = "text", alphabet: str = "[a-z]") -> DataFrame:
     """gram and cnt of all windows of k letters."""
-    t = texts.select(F.lower(F.col(text)).alias("_t")).filter(F.length("_t") >= k)
-    grams = t.select("_t", F.explode(F.sequence(F.lit(1), F.length("_t") - (k - 1))).alias("_i")).select(F.substr("_t", F.col("_i"), F.lit(k)).alias("gram"))
-    return grams.filter(F.col("gram").rlike(f"^{alphabet}{{{k}}}$")).groupBy("gram").agg(F.count(F.lit(1)).alias("cnt"))
+    return _grams(texts, k, text, alphabet)
 
 
 def pwm_scan(rows: DataFrame, pwm: DataFrame, width: int, background: DataFrame | None = None, by: Sequence[str] = ("seq",), threshold: float | None = None) -> DataFrame:

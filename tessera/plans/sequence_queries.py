@@ -1 +1,268 @@
-"""Queries."""
+"""Queries on columns, windows and symbol sequences."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tessera.functions import sequences as sq
+from tessera.operators import hmm, markov, tuples, windows
+from tessera.plans import views
+from tessera.plans.registry import query
+from tessera.plans.views import FEATS, SYMBOLS, TUPLES
+from tessera.runtime import table
+
+# -- distinct columns --------------------------------------------------------------------------------------------------
+
+
+@query("tuple_counts", f"WITH {TUPLES} SELECT col AS tuple, count(*) AS cnt FROM cols GROUP BY col")
+def tuple_counts(spark, d):
+    return tuples.tuple_counts(tuples.contexts(views.columns(spark, d), 1))
+
+
+PAIRS = f"""{TUPLES}, k AS (SELECT coalesce(lag(col) OVER (PARTITION BY aln ORDER BY pos), '***') || col AS tuple, cat FROM cols)"""
+
+
+@query("tuple_counts_context", f"WITH {PAIRS} SELECT tuple, count(*) AS cnt FROM k GROUP BY tuple")
+def tuple_counts_context(spark, d):
+    return tuples.tuple_counts(tuples.contexts(views.columns(spark, d), 2))
+
+
+@query("tuple_counts_by_cat", f"WITH {TUPLES} SELECT col AS tuple, cat, count(*) AS cnt FROM cols GROUP BY GROUPING SETS ((col, cat), (col))")
+def tuple_counts_by_cat(spark, d):
+    return tuples.tuple_counts_by_category(tuples.contexts(views.columns(spark, d), 1))
+
+
+@query("tuple_collapse", f"WITH {TUPLES} SELECT translate(col, 'N-', '**') AS tuple, count(*) AS cnt FROM cols GROUP BY 1")
+def tuple_collapse(spark, d):
+    return tuples.collapse_missing(tuples.tuple_counts(tuples.contexts(views.columns(spark, d), 1)), gaps_too=True)
+
+
+@query("tuple_index", f"WITH {TUPLES}, c AS (SELECT col AS tuple, count(*) AS cnt FROM cols GROUP BY col) SELECT tuple, cnt, row_number() OVER (ORDER BY cnt DESC, tuple) - 1 AS tuple_id FROM c")
+def tuple_index(spark, d):
+    return tuples.index_tuples(tuples.tuple_counts(tuples.contexts(views.columns(spark, d), 1)))
+
+
+@query("tuple_revcomp", f"WITH {PAIRS} SELECT translate(substr(tuple, 4, 3) || substr(tuple, 1, 3), 'ACGTacgt', 'TGCAtgca') AS tuple, count(*) AS cnt FROM k GROUP BY 1")
+def tuple_revcomp(spark, d):
+    return tuples.reverse_complement_tuples(tuples.tuple_counts(tuples.contexts(views.columns(spark, d), 2)), 3, 2)
+
+
+@query("informative_sites", f"WITH {TUPLES} SELECT aln, count(*) FILTER (WHERE length(translate(col, '-*N', '')) >= 2) AS n FROM cols GROUP BY aln")
+def informative_sites(spark, d):
+    return views.columns(spark, d).groupBy("aln").agg(F.sum(tuples.is_informative(F.col("col")).cast("long")).alias("n"))
+
+
+@query("strip_gaps", f"WITH {TUPLES} SELECT aln, pos, col FROM cols WHERE col NOT LIKE '%-%'")
+def strip_gaps(spark, d):
+    return tuples.strip_gaps(views.columns(spark, d)).select("aln", "pos", "col")
+
+
+@query("sub_alignment", f"WITH {TUPLES} SELECT aln, pos, substr(col, 3, 1) || substr(col, 1, 1) AS col FROM cols WHERE pos > 1 AND pos <= 4")
+def sub_alignment(spark, d):
+    return tuples.sub_alignment(views.columns(spark, d), [2, 0], 1, 4).select("aln", "pos", "col")
+
+
+@query("project_row", f"WITH {TUPLES} SELECT aln, row_number() OVER (PARTITION BY aln ORDER BY pos) AS pos, col FROM cols WHERE substr(col, 3, 1) <> '-'")
+def project_row(spark, d):
+    return tuples.project(views.columns(spark, d), 2).select("aln", "pos", "col")
+
+
+@query("coordinate_map", f"WITH {TUPLES} SELECT aln, pos, CASE WHEN substr(col, 3, 1) <> '-' THEN CAST(sum(CASE WHEN substr(col, 3, 1) <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY aln ORDER BY pos) AS BIGINT) END AS seq_pos FROM cols")
+def coordinate_map(spark, d):
+    return tuples.coordinate_map(views.columns(spark, d), 2)
+
+
+@query("base_freqs", f"WITH {TUPLES}, b AS (SELECT unnest(string_split(col, '')) AS base FROM cols), c AS (SELECT base, count(*) AS cnt FROM b WHERE base IN ('A', 'N', 'R', 'F', 'O', 'H', 'L') GROUP BY base) SELECT base, cnt, round(cnt / sum(cnt) OVER (), 9) AS freq FROM c")
+def base_freqs(spark, d):
+    return tuples.normalised(tuples.base_counts(views.columns(spark, d), "ANRFOHL")).withColumn("freq", F.round("freq", 9))
+
+
+@query("alignment_stats", f"WITH {TUPLES} SELECT count(*) AS length, count(*) FILTER (WHERE col = '---') AS all_gaps, count(*) FILTER (WHERE col LIKE '%-%') AS some_gaps FROM cols")
+def alignment_stats(spark, d):
+    return tuples.alignment_stats(views.columns(spark, d), "ANRFOHL").select("length", "all_gaps", "some_gaps")
+
+
+@query("pairwise_diff", f"""WITH {TUPLES}, p AS (SELECT a, b, substr(col, a + 1, 1) AS x, substr(col, b + 1, 1) AS y FROM cols, (VALUES (0, 1), (0, 2), (1, 2)) v(a, b))
+SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, count(*) FILTER (WHERE x NOT IN ('-', '*', 'N') AND y NOT IN ('-', '*', 'N')) AS compared,
+count(*) FILTER (WHERE x NOT IN ('-', '*', 'N') AND y NOT IN ('-', '*', 'N') AND x <> y) AS differing FROM p GROUP BY a, b""")
+def pairwise_diff(spark, d):
+    return tuples.pairwise_difference(tuples.tuple_counts(tuples.contexts(views.columns(spark, d), 1)), 3).select("a", "b", "compared", "differing")
+
+
+@query("missing_blocks", f"""WITH {TUPLES}, m AS (SELECT aln, pos, substr(col, 3, 1) = '-' AND substr(col, 2, 1) = 'O' AS miss, max(pos) OVER (PARTITION BY aln) AS last FROM cols),
+r AS (SELECT *, pos - row_number() OVER (PARTITION BY aln, miss ORDER BY pos) AS run FROM m)
+SELECT aln, min(pos) AS start, max(pos) AS "end" FROM r WHERE miss GROUP BY aln, run HAVING count(*) >= 2 OR max(pos) = max(last)""")
+def missing_blocks(spark, d):
+    c = views.columns(spark, d).withColumn("col", F.concat(F.substring("col", 1, 1), F.translate(F.substring("col", 2, 2), "O-", "**")))
+    return tuples.missing_blocks(c, 0, 2).select("aln", "start", "end")
+
+
+@query("informative_runs", f"""WITH {TUPLES}, r AS (SELECT aln, pos, pos - row_number() OVER (PARTITION BY aln ORDER BY pos) AS run FROM cols WHERE length(translate(col, '-*N', '')) >= 3)
+SELECT aln, min(pos) AS start, max(pos) AS "end" FROM r GROUP BY aln, run""")
+def informative_runs(spark, d):
+    return tuples.informative_runs(views.columns(spark, d), least_symbols=3)
+
+
+@query("dedupe_apply", f"WITH {TUPLES} SELECT aln, pos, length(translate(col, '-', '')) AS bases, md5(col) AS name FROM cols")
+def dedupe_apply(spark, d):
+    compute = lambda distinct: distinct.select("col", F.length(F.translate("col", "-", "")).cast("long").alias("bases"), F.md5(F.col("col").cast("binary")).alias("name"))
+    return tuples.apply_once(views.columns(spark, d).select("aln", "pos", "col"), "col", compute).select("aln", "pos", "bases", "name")
+
+
+@query("alignment_diff", f"""WITH {TUPLES}, a AS (SELECT aln, pos, col FROM cols WHERE pos <= 3), b AS (SELECT aln, pos, translate(col, 'L', 'H') AS col FROM cols WHERE pos >= 2 AND pos <= 4)
+SELECT aln, pos, a.col AS first, b.col AS second FROM a FULL JOIN b USING (aln, pos) WHERE a.col IS DISTINCT FROM b.col""")
+def alignment_diff(spark, d):
+    c = views.columns(spark, d).select("aln", "pos", "col")
+    return tuples.difference(c.filter("pos <= 3"), c.filter("pos >= 2 and pos <= 4").withColumn("col", F.translate("col", "L", "H")))
+
+
+@query("concat_alignments", f"WITH {TUPLES}, e AS (SELECT aln, max(pos) AS m FROM cols GROUP BY aln) SELECT aln, pos, col FROM cols UNION ALL SELECT aln, pos + m, col FROM cols JOIN e USING (aln)")
+def concat_alignments(spark, d):
+    c = views.columns(spark, d).select("aln", "pos", "col")
+    return tuples.concatenate(c, c)
+
+
+@query("permute_columns")
+def permute_columns(spark, d):
+    return tuples.permute_columns(views.columns(spark, d), 7)
+
+
+# -- text --------------------------------------------------------------------------------------------------------------
+
+LETTERS = "WITH t AS (SELECT upper(text) AS t, doc_id FROM documents)"
+
+
+@query("gc_content", f"{LETTERS} SELECT doc_id, CASE WHEN length(translate(t, 'ACGT', '')) < length(t) THEN round((length(t) - length(translate(t, 'GC', ''))) / (length(t) - length(translate(t, 'ACGT', ''))), 9) END AS gc FROM t")
+def gc_content(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(sq.gc_content(F.upper("text")), 9).alias("gc"))
+
+
+@query("revcomp", "SELECT doc_id, md5(reverse(translate(text, 'ACGTacgt', 'TGCAtgca'))) AS h FROM documents")
+def revcomp(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(sq.reverse_complement(F.col("text")).cast("binary")).alias("h"))
+
+
+@query("kgram_freqs", "WITH g AS (SELECT substr(lower(text), CAST(i AS BIGINT), 3) AS gram FROM (SELECT text, unnest(generate_series(1, length(text) - 2)) AS i FROM documents)) SELECT gram, count(*) AS cnt FROM g WHERE regexp_full_match(gram, '[a-z]{3}') GROUP BY gram")
+def kgram_freqs(spark, d):
+    return markov.gram_counts(table(spark, d, "documents"), 3)
+
+
+@query("markov_kgram_model", """WITH g AS (SELECT 0 AS ord, substr(lower(text), CAST(i AS BIGINT), 1) AS gram FROM (SELECT text, unnest(generate_series(1, length(text))) AS i FROM documents)
+UNION ALL SELECT 1, substr(lower(text), CAST(i AS BIGINT), 2) FROM (SELECT text, unnest(generate_series(1, length(text) - 1)) AS i FROM documents)),
+c AS (SELECT ord, substr(gram, 1, ord) AS context, substr(gram, ord + 1, 1) AS sym, count(*) AS cnt FROM g WHERE regexp_full_match(gram, '[a-z]+') AND length(gram) = ord + 1 GROUP BY ALL)
+SELECT CAST(ord AS INTEGER) AS ord, context, sym, cnt, round(cnt / sum(cnt) OVER (PARTITION BY ord, context), 9) AS p FROM c""")
+def markov_kgram_model(spark, d):
+    return markov.kgram_model(table(spark, d, "documents"), 1).withColumn("p", F.round("p", 9))
+
+
+# -- windows -----------------------------------------------------------------------------------------------------------
+
+
+@query("window_tumbling", f"""WITH {SYMBOLS} SELECT seq, (pos - 1) // 10 * 10 + 1 AS start, (pos - 1) // 10 * 10 + 10 AS "end", count(*) AS n, count(DISTINCT sym) AS kinds FROM symbols GROUP BY ALL""")
+def window_tumbling(spark, d):
+    return windows.tumbling(views.symbols(spark, d), "pos", 10, ["seq"], [F.count(F.lit(1)).alias("n"), F.countDistinct("sym").alias("kinds")])
+
+
+@query("window_hopping", f"""WITH {SYMBOLS}, w AS (SELECT seq, sym, unnest(generate_series(greatest(0, CAST(ceil((pos - 20) / 5.0) AS BIGINT)), (pos - 1) // 5)) AS w FROM symbols)
+SELECT seq, w * 5 + 1 AS start, w * 5 + 20 AS "end", count(*) AS n FROM w GROUP BY ALL""")
+def window_hopping(spark, d):
+    return windows.hopping(views.symbols(spark, d), "pos", 20, 5, ["seq"], [F.count(F.lit(1)).alias("n")])
+
+
+@query("window_sliding", """WITH r AS (SELECT event_id, CASE WHEN count(*) OVER w = 5 THEN round(sum(value) OVER w, 4) END AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT * FROM r""")
+def window_sliding(spark, d):
+    e = table(spark, d, "events").withColumn("at", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return windows.sliding(e, "at", 5, ["user_id"], "value", name="total").select("event_id", F.round("total", 4).alias("total"))
+
+
+@query("window_session", f"""WITH {FEATS}, n AS (SELECT *, CASE WHEN start - lag(start) OVER w <= 7200 THEN 0 ELSE 1 END AS new FROM feats WINDOW w AS (PARTITION BY seqname ORDER BY start, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY seqname ORDER BY start, event_id ROWS UNBOUNDED PRECEDING) AS s FROM n)
+SELECT seqname, min(start) AS start, max(start) AS "end", count(*) AS n FROM s GROUP BY seqname, s""")
+def window_session(spark, d):
+    return windows.sessions(views.feats(spark, d).select("seqname", F.col("start").alias("at")), "at", 7200, ["seqname"], [F.count(F.lit(1)).alias("n")])
+
+
+@query("split_windows", f"""WITH {SYMBOLS}, l AS (SELECT seq, max(pos) AS length FROM symbols GROUP BY seq), s AS (SELECT seq, length, unnest(generate_series(1, length, 15)) AS start FROM l)
+SELECT seq, start, least(start + 19, length) AS "end" FROM s""")
+def split_windows(spark, d):
+    lengths = views.symbols(spark, d).groupBy("seq").agg(F.max("pos").cast("long").alias("length"))
+    return windows.split_windows(lengths, 20, 5).select("seq", "start", "end")
+
+
+# -- chains ------------------------------------------------------------------------------------------------------------
+
+MATRIX = f"""{SYMBOLS}, s AS (SELECT lag(sym) OVER (PARTITION BY seq ORDER BY pos) AS "from", sym AS "to" FROM symbols),
+c AS (SELECT "from", "to", count(*) AS cnt FROM s WHERE "from" IS NOT NULL GROUP BY ALL), m AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY "from") AS p FROM c)"""
+
+
+@query("transition_matrix", f"""WITH {MATRIX} SELECT "from", "to", cnt, round(p, 9) AS p FROM m""")
+def transition_matrix(spark, d):
+    return markov.transition_matrix(markov.transitions(views.symbols(spark, d))).withColumn("p", F.round("p", 9))
+
+
+@query("path_loglik", f"""WITH {MATRIX}, x AS (SELECT seq, lag(sym) OVER (PARTITION BY seq ORDER BY pos) AS "from", sym AS "to" FROM symbols)
+SELECT seq, round(sum(coalesce(log2(p), 0)), 6) AS loglik FROM x LEFT JOIN m USING ("from", "to") GROUP BY seq""")
+def path_loglik(spark, d):
+    s = views.symbols(spark, d)
+    return markov.path_loglik(s, markov.transition_matrix(markov.transitions(s))).withColumn("loglik", F.round("loglik", 6))
+
+
+PWM = [(0, "signup", 0.5), (0, "click", 0.5), (1, "click", 0.7), (1, "purchase", 0.3), (2, "purchase", 0.6), (2, "error", 0.4)]
+PWM_SQL = ", ".join(f"({a}, '{s}', {p})" for a, s, p in PWM)
+
+
+@query("pwm_scan", f"""WITH {SYMBOLS}, w(k, sym, p) AS (VALUES {PWM_SQL}),
+x AS (SELECT seq, pos - k AS pos, log2(p) AS l FROM symbols JOIN w USING (sym) WHERE pos - k >= 1)
+SELECT seq, pos, round(sum(l), 6) AS score FROM x GROUP BY seq, pos HAVING count(*) = 3 AND sum(l) > -4""")
+def pwm_scan(spark, d):
+    pwm = spark.createDataFrame(PWM, "at int, sym string, p double")
+    return markov.pwm_scan(views.symbols(spark, d), pwm, 3, threshold=-4.0).select("seq", F.col("pos").cast("long").alias("pos"), F.round("score", 6).alias("score"))
+
+
+EMISSION = {"purchase": (0.5, 0.1), "click": (0.3, 0.4), "signup": (0.1, 0.3), "error": (0.05, 0.1), "view": (0.05, 0.1)}
+CHAIN = hmm.Hmm(np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([0.6, 0.4]))
+EMISSION_SQL = "CASE sym " + " ".join(f"WHEN '{k}' THEN [log2({a}), log2({b})]" for k, (a, b) in EMISSION.items()) + " ELSE [log2(0.05), log2(0.1)] END"
+
+
+def emissions(spark, d):
+    table_ = F.create_map(*[x for k, v in EMISSION.items() for x in (F.lit(k), F.array(*[F.lit(float(np.log2(p))) for p in v]))])
+    other = F.array(*[F.lit(float(np.log2(p))) for p in (0.05, 0.1)])
+    return views.symbols(spark, d).select("seq", F.col("pos").cast("long").alias("pos"), F.coalesce(F.element_at(table_, F.col("sym")), other).alias("emission"))
+
+
+@query("hmm_loglik", f"""WITH RECURSIVE {SYMBOLS}, e AS (SELECT seq, pos, {EMISSION_SQL} AS e FROM symbols),
+f AS (SELECT seq, pos, log2(0.6) + e[1] AS a, log2(0.4) + e[2] AS b FROM e WHERE pos = 1
+UNION ALL SELECT e.seq, e.pos,
+greatest(f.a + log2(0.9), f.b + log2(0.2)) + log2(1 + pow(2, -abs(f.a + log2(0.9) - f.b - log2(0.2)))) + e.e[1],
+greatest(f.a + log2(0.1), f.b + log2(0.8)) + log2(1 + pow(2, -abs(f.a + log2(0.1) - f.b - log2(0.8)))) + e.e[2]
+FROM f JOIN e ON e.seq = f.seq AND e.pos = f.pos + 1)
+SELECT seq, round(greatest(a, b) + log2(1 + pow(2, -abs(a - b))), 5) AS loglik FROM f JOIN (SELECT seq, max(pos) AS pos FROM symbols GROUP BY seq) USING (seq, pos)""")
+def hmm_loglik(spark, d):
+    return hmm.log_likelihood(emissions(spark, d), CHAIN, size=64).withColumn("loglik", F.round("loglik", 5))
+
+
+@query("hmm_viterbi_score", f"""WITH RECURSIVE {SYMBOLS}, e AS (SELECT seq, pos, {EMISSION_SQL} AS e FROM symbols),
+f AS (SELECT seq, pos, log2(0.6) + e[1] AS a, log2(0.4) + e[2] AS b FROM e WHERE pos = 1
+UNION ALL SELECT e.seq, e.pos, greatest(f.a + log2(0.9), f.b + log2(0.2)) + e.e[1], greatest(f.a + log2(0.1), f.b + log2(0.8)) + e.e[2]
+FROM f JOIN e ON e.seq = f.seq AND e.pos = f.pos + 1)
+SELECT seq, round(greatest(a, b), 5) AS score FROM f JOIN (SELECT seq, max(pos) AS pos FROM symbols GROUP BY seq) USING (seq, pos)""")
+def hmm_viterbi_score(spark, d):
+    return hmm.best_path(emissions(spark, d), CHAIN, size=64).groupBy("seq").agg(F.round(F.max("score"), 5).alias("score"))
+
+
+@query("hmm_viterbi")
+def hmm_viterbi(spark, d):
+    return hmm.best_path(emissions(spark, d), CHAIN, size=64)
+
+
+@query("hmm_posterior")
+def hmm_posterior(spark, d):
+    return hmm.posterior(emissions(spark, d), CHAIN, size=64).select("seq", "pos", F.round(F.col("posterior")[0], 6).alias("p0"))
+
+
+@query("baum_welch")
+def baum_welch(spark, d):
+    model, history = hmm.train(emissions(spark, d), CHAIN, rounds=3, size=256)
+    return spark.createDataFrame([(i, j, round(float(model.transition[i, j]), 6), round(history[-1], 3)) for i in range(2) for j in range(2)], "`from` int, `to` int, p double, loglik double")

@@ -1 +1,105 @@
-"""Queries."""
+"""Queries on trees and tree likelihoods."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tessera.functions import models as md
+from tessera.operators import likelihood as lk
+from tessera.operators import trees, tuples
+from tessera.plans import views
+from tessera.plans.registry import query
+from tessera.plans.views import EDGES
+from tessera.runtime import table
+
+CLOSURE = f"""RECURSIVE {EDGES}, up AS (SELECT node, parent AS ancestor, 1 AS dist, len AS length FROM edges
+UNION ALL SELECT up.node, e.parent, up.dist + 1, up.length + e.len FROM up JOIN edges e ON e.node = up.ancestor),
+closure AS (SELECT * FROM up UNION ALL SELECT node, node, 0, 0.0 FROM edges UNION ALL SELECT 'root', 'root', 0, 0.0)"""
+
+
+@query("tree_closure", f"WITH {CLOSURE} SELECT node, ancestor, CAST(dist AS INTEGER) AS dist, length FROM closure")
+def tree_closure(spark, d):
+    return trees.closure(views.edges(spark, d))
+
+
+@query("subtree_agg", f"""WITH {CLOSURE} SELECT ancestor, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM closure JOIN supplier ON node = 's' || s_suppkey GROUP BY ancestor""")
+def subtree_agg(spark, d):
+    values = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), "s_acctbal")
+    return trees.subtree_aggregate(trees.closure(views.edges(spark, d)), values, [F.count(F.lit(1)).alias("n"), F.round(F.sum("s_acctbal"), 2).alias("total")])
+
+
+@query("tree_lca", f"""WITH {CLOSURE}, p AS (SELECT 's' || a.s_suppkey AS a, 's' || b.s_suppkey AS b FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1),
+m AS (SELECT p.a, p.b, x.ancestor AS lca, x.dist AS dist, x.length + y.length AS path FROM p JOIN closure x ON x.node = p.a JOIN closure y ON y.node = p.b AND y.ancestor = x.ancestor)
+SELECT a, b, arg_min(lca, dist) AS lca, arg_min(path, dist) AS path FROM m GROUP BY a, b""")
+def tree_lca(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey")
+    pairs = s.join(s.select((F.col("s_suppkey") - 1).alias("s_suppkey"), F.col("s_suppkey").alias("k2")), "s_suppkey").select(F.concat(F.lit("s"), "s_suppkey").alias("a"), F.concat(F.lit("s"), "k2").alias("b"))
+    return trees.lca_pairs(trees.closure(views.edges(spark, d)), pairs)
+
+
+@query("leaf_distance", f"""WITH {CLOSURE} SELECT node, length AS depth FROM closure WHERE ancestor = 'root' AND node LIKE 's%'""")
+def leaf_distance(spark, d):
+    return trees.closure(views.edges(spark, d)).filter("ancestor = 'root' and node like 's%'").select("node", F.col("length").alias("depth"))
+
+
+NAMES = ("a", "b", "c", "d")
+TREE = "((a:0.1,b:0.2):0.05,(c:0.3,d:0.1):0.15);"
+
+
+def alignment(spark, d):
+    """Four rows of bases: each order line's number, flags and dates spell a column."""
+    li = table(spark, d, "lineitem")
+    base = lambda x: F.substring(F.lit("ACGT"), x.cast("int") + 1, 1)
+    m = F.month("l_shipdate") % 4
+    col = F.concat(base(m), base(F.when(F.col("l_linenumber") % 3 == 0, (m + 1) % 4).otherwise(m)), base(F.when(F.col("l_quantity") > 35, (m + 2) % 4).otherwise(m)), F.when(F.col("l_quantity") < 3, "-").otherwise(base(F.when(F.col("l_discount") > 0.07, (m + 1) % 4).otherwise(m))))
+    return li.select(F.col("l_orderkey").alias("aln"), col.alias("col"))
+
+
+def counts(spark, d):
+    return tuples.tuple_counts(alignment(spark, d).withColumn("tuple", F.col("col")))
+
+
+def model():
+    pi = np.array([0.3, 0.2, 0.2, 0.3])
+    return md.TreeModel.gamma(trees.parse(TREE), md.hky85(pi, 3.0), pi, 0.8, 4)
+
+
+@query("tree_loglik")
+def tree_loglik(spark, d):
+    return lk.score_tuples(counts(spark, d), NAMES, model()).withColumn("loglik", F.round("loglik", 8))
+
+
+@query("ancestral_posteriors")
+def ancestral_posteriors(spark, d):
+    return lk.ancestors(counts(spark, d), NAMES, model()).withColumn("p", F.round("p", 8))
+
+
+@query("site_tests_lrt")
+def site_tests_lrt(spark, d):
+    out = lk.test_tuples(counts(spark, d), NAMES, model(), "LRT")
+    return out.select("tuple", *[F.round(c, 5).alias(c) for c in out.columns[1:]])
+
+
+@query("site_tests_score")
+def site_tests_score(spark, d):
+    return lk.test_tuples(counts(spark, d), NAMES, model(), "SCORE")
+
+
+@query("site_tests_gerp")
+def site_tests_gerp(spark, d):
+    return lk.test_tuples(counts(spark, d), NAMES, model(), "GERP")
+
+
+@query("fit_tree_model")
+def fit_tree_model(spark, d):
+    fitted, value = lk.fit(counts(spark, d), NAMES, trees.parse(TREE), "HKY85")
+    return spark.createDataFrame([(trees.newick(fitted.tree, 4), round(value, 3))], "tree string, loglik double")
+
+
+@query("conserved_elements")
+def conserved_elements(spark, d):
+    from pyspark.sql import Window
+
+    rows = alignment(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("aln").orderBy("col")).cast("long"))
+    return lk.conserved_posteriors(rows, NAMES, model(), length=3.0)[1]
