@@ -74,10 +74,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     Documents without words have nothing to be taken and are not in the mix.
     """
     rows = stage(docs.withColumn("_uid", F.monotonically_increasing_id()), "mix-documents")
-    taken = stage(mix(rows, weights, most, seed, keep={"_uid": rows["_uid"]}).filter("taken > 0").select(F.col("_uid").alias("_taken_uid"), "size", "taken"), "mix-taken")
+    taken = stage(mix(rows, weights, most, seed, keep={"_uid": rows["_uid"]}).filter("taken > 0").select(F.col("_uid").alias("_taken_uid"), F.col("size").alias("_size"), F.col("taken").alias("_taken")), "mix-taken")
     # texts move by one shuffle at any size, not by a broadcast while the taken rows are few
     met = rows.join(taken.hint("merge"), F.col("_uid") == F.col("_taken_uid"))
-    met = met.withColumn("_whole", F.expr("taken div size")).withColumn("_part", F.expr("taken % size").cast("int"))
+    met = met.withColumn("_whole", F.expr("_taken div _size")).withColumn("_part", F.expr("_taken % _size").cast("int"))
     each = met.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_whole") + F.when(F.col("_part") > 0, 1).otherwise(0)).cast("int"))))
     pieces = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     cut = F.when(F.col("_copy") <= F.col("_whole"), F.col("text")).otherwise(F.array_join(F.slice(pieces, 1, F.greatest(F.col("_part"), F.lit(1))), ""))
