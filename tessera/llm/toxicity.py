@@ -9,7 +9,8 @@ accelerated proximal gradient steps under an L1 penalty, so that few buckets kee
 scored whole: the expected severity is the sum over j of P(grade > j), and it is toxic if P(grade > 0) reaches a cut
 chosen on held-out rows of the sample.
 
-Defined results: a null or empty text has no features and gets the base severity; labels of null are ignored and a
+Defined results: a null or empty text has no features, so it gets the base severity and grade 0, as
+every text without a feature that speaks for toxicity; labels of null are ignored and a
 repeated id keeps its greatest label; with no toxic or no clean labelled row nothing can be learned and all get grade 0 and
 severity 0; repeated rows are scored alike; an empty table gives an empty result; other columns are not read.
 """
@@ -201,13 +202,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         memo = Memo(lambda w: tuple(b for b in features_of(w) if b in weights))
-        sums = []
+        sums, evidence = [], []
         for text in texts_of(part, "text"):
             seen = {b for w in set(words_of(text)) for b in memo[w]}
             sums.append(sum(weights[b] for b in sorted(seen)))
-        above = model.chances(np.array(sums))
+            evidence.append(any(weights[b] > 0 for b in seen))
+        above, evidence = model.chances(np.array(sums)), np.array(evidence, bool)
+        toxic = (above[:, 0] >= model.cut) & evidence
         return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(np.maximum((above >= 0.5).sum(axis=1), above[:, 0] >= model.cut), pa.int32()), pa.array(np.round(above.sum(axis=1), 6)), pa.array(above[:, 0] >= model.cut)],
+            [part.column("doc_id"), pa.array(np.where(toxic, np.maximum((above >= 0.5).sum(axis=1), 1), 0), pa.int32()), pa.array(np.round(above.sum(axis=1), 6)), pa.array(toxic)],
             ["doc_id", "grade", "expected_severity", "toxic"],
         )
 
