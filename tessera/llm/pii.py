@@ -267,8 +267,8 @@ def fit_classifier(counts: dict[tuple[str, str], int], decay: float = 1.0, steps
     return dict(zip(keys, p.tolist()))
 
 
-def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: dict | None = None) -> DataFrame:
-    """base (array of start, end, kind) and more (array of kind, start, end, votes) of every row."""
+def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: dict | None = None, text_as: str | None = None) -> DataFrame:
+    """base (array of start, end, kind) and more (array of kind, start, end, votes) of every row; `keep` adds columns of docs, text_as the text."""
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
     wide = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("votes", pa.string())])
 
@@ -279,17 +279,19 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             base.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
             more.append([{"start": s, "end": e, "kind": k, "votes": v} for k, s, e, v in candidate_spans(text, spans)])
         names = [x for x in part.schema.names if x != "text"]
-        return pa.RecordBatch.from_arrays([*[part.column(x) for x in names], pa.array(base, pa.list_(span)), pa.array(more, pa.list_(wide))], [*names, "base", "more"])
+        whole = [part.column("text")] if text_as else []
+        return pa.RecordBatch.from_arrays([*[part.column(x) for x in names], *whole, pa.array(base, pa.list_(span)), pa.array(more, pa.list_(wide))], [*names, *[text_as] * len(whole), "base", "more"])
 
     slim = pick(docs, doc_id=id_col, text=F.col(text_col).cast("string"), **(keep or {}))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "text")
+    fields += f", `{text_as}` string" if text_as else ""
     return map_slices(slim, "text", run, f"{fields}, base array<struct<start:long,end:long,kind:string>>, more array<struct<start:long,end:long,kind:string,votes:string>>")
 
 
-def find_personal_data(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", keep: dict | None = None) -> DataFrame:
+def find_personal_data(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", keep: dict | None = None, text_as: str | None = None) -> DataFrame:
     """Every row's base spans and spans (base and added, by start), as arrays of (start, end, kind)."""
-    kept = dict(keep or {})
-    found = stage(find_candidates(docs, id_col, text_col, kept), "pii-candidates")
+    kept = [*(keep or {}), *([text_as] if text_as else [])]
+    found = stage(find_candidates(docs, id_col, text_col, keep, text_as), "pii-candidates")
     patterns = found.select(F.explode("more").alias("c")).groupBy(F.col("c.kind").alias("kind"), F.col("c.votes").alias("votes")).agg(F.count(F.lit(1)).alias("n"))
     counts = {(r["kind"], r["votes"]): r["n"] for r in patterns.collect()}  # at most kinds x 3 ** labelers rows
     good = [f"{kind}{vote}" for (kind, vote), p in fit_classifier(counts).items() if p >= threshold]
@@ -324,17 +326,17 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs with every found span of their texts replaced; n_chars, if there, follows the new text."""
-    kept = {f"_keep_{c}": docs[c] for c in docs.columns}
-    names = list(kept)
-    found = find_personal_data(docs, keep=kept).select("spans", *names)
+    kept = {f"_keep_{c}": docs[c] for c in docs.columns if c != "text"}
+    names = [*kept, "_keep_text"]
+    found = find_personal_data(docs, keep=kept, text_as="_keep_text").select("spans", *names)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [None if t is None else redact(t, [(x["start"], x["end"], x["kind"]) for x in spans]) if spans else t for t, spans in zip(part.column("_keep_text").to_pylist(), part.column("spans").to_pylist())]
+        texts = [redact(t, [(x["start"], x["end"], x["kind"]) for x in spans]) if spans else t for t, spans in zip(part.column("_keep_text").to_pylist(), part.column("spans").to_pylist())]
         columns = [pa.array(texts, pa.string()) if c == "_keep_text" else part.column(c) for c in names]
         return pa.RecordBatch.from_arrays(columns, names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name in names)
-    out = map_slices(found, "_keep_text", run, fields).select(*[F.col(k).alias(c) for k, c in zip(kept, docs.columns)])
+    out = map_slices(found, "_keep_text", run, fields).select(*[F.col(f"_keep_{c}").alias(c) for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

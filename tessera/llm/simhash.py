@@ -59,16 +59,18 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int((np.uint64(1) << BITS)[2 * votes > n].sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", keep: dict | None = None) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long) of every row; `keep` adds columns of docs."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", keep: dict | None = None, text_as: str | None = None) -> DataFrame:
+    """doc_id and fp (the fingerprint's 64 bits as a signed long) of every row; `keep` adds columns of docs, text_as the text."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(x or b"", size) for x in part.column("text").to_pylist()], np.uint64)
+        fps = np.array([fingerprint(x or b"", size) for x in part.column("text").cast(pa.binary()).to_pylist()], np.uint64)
         names = [x for x in part.schema.names if x != "text"]
-        return pa.RecordBatch.from_arrays([*[part.column(x) for x in names], pa.array(fps.view(np.int64))], [*names, "fp"])
+        whole = [part.column("text")] if text_as else []
+        return pa.RecordBatch.from_arrays([*[part.column(x) for x in names], *whole, pa.array(fps.view(np.int64))], [*names, *[text_as] * len(whole), "fp"])
 
-    slim = pick(docs, doc_id=id_col, text=F.col(text_col).cast("string").cast("binary"), **(keep or {}))
+    slim = pick(docs, doc_id=id_col, text=F.col(text_col).cast("string"), **(keep or {}))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "text")
+    fields += f", `{text_as}` string" if text_as else ""
     return map_slices(slim, "text", run, f"{fields}, fp long")
 
 
@@ -244,14 +246,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """The rows of docs, one for each component: that with the least doc_id (a null one only where there is no other)."""
-    kept = {f"_keep_{c}": docs[c] for c in docs.columns}
-    rows = stage(fingerprints(docs, size, keep=kept | {"_uid": F.monotonically_increasing_id()}), "fingerprints")
+    kept = {f"_keep_{c}": docs[c] for c in docs.columns if c != "text"}
+    rows = stage(fingerprints(docs, size, keep=kept | {"_uid": F.monotonically_increasing_id()}, text_as="_keep_text"), "fingerprints")
     slim = rows.select("doc_id", "fp", "_uid")
     named = groups_of(slim, radius, tile).withColumnRenamed("fp", "_fp")
     best = slim.join(named, F.col("fp") == F.col("_fp")).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_uid")).alias("best"))
     chosen = stage(best.select(F.col("best._uid").alias("_chosen")), "chosen")
     # texts move by one shuffle at any size, not by a broadcast while the chosen rows are few
-    return rows.join(chosen.hint("merge"), F.col("_uid") == F.col("_chosen"), "left_semi").select(*[F.col(k).alias(c) for k, c in zip(kept, docs.columns)])
+    return rows.join(chosen.hint("merge"), F.col("_uid") == F.col("_chosen"), "left_semi").select(*[F.col(f"_keep_{c}").alias(c) for c in docs.columns])
 
 
 def hex_of(fp: Column) -> Column:

@@ -29,8 +29,8 @@ from tessera.llm.common import map_slices, pick, texts_of
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Most chunks and pairs that a worker remembers; beyond it, it forgets all and goes on.
-REMEMBERED = 400_000
+#: Most new (and most older) chunks that a worker remembers.
+REMEMBERED = 100_000
 #: For character classes: Latin letters, and ASCII signs, digits and controls; many vocabularies hold no piece in which
 #: one of the second follows one of the first.
 LETTERS = r"A-Za-zÀ-ÖØ-öø-ɏ"
@@ -44,16 +44,21 @@ def public_path(name: str = MODEL) -> str:
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and forgets all when it has grown to its bound."""
+    """A dict that computes what it lacks. It holds at most `most` new entries and as many older ones; when the new are
+    full they become the older, so what is used often stays and memory stays bounded."""
 
-    def __init__(self, function, most: int = REMEMBERED):
+    def __init__(self, function, most: int):
         super().__init__()
-        self.function, self.most = function, most
+        self.function, self.most, self.older = function, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        out = self[key] = self.function(key)
+        out = self.older.get(key)
+        if out is None:
+            out = self.function(key)
+        self[key] = out
         return out
 
 
@@ -95,8 +100,8 @@ class Codec:
         self.automaton.make_automaton()
         self.many, self.lengths = len(self.pieces), [len(p) for p in self.pieces]
         self.fits = Memo(lambda pair: self._fit(*divmod(pair, self.many)), 2 * REMEMBERED)
-        self.halves = Memo(self._halves)
-        self.chunk_ids = Memo(lambda chunk: np.array(self.encode_chunk(chunk.replace(" ", SPACE)), "<u4").tobytes())
+        self.halves = Memo(self._halves, REMEMBERED)
+        self.chunk_ids = Memo(lambda chunk: np.array(self.encode_chunk(chunk.replace(" ", SPACE)), "<u4").tobytes(), REMEMBERED)
         self.piece_bytes = [b""] * len(self.pieces)
         for i, p in enumerate(self.pieces):
             if self.kinds[i] == kinds.BYTE:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_slices, pick, texts_of
-from tessera.llm.spm import Memo
+from tessera.llm.spm import REMEMBERED, Memo
 
 WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 20
@@ -201,7 +201,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     weights = model.weights
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        memo = Memo(lambda w: tuple(b for b in features_of(w) if b in weights))
+        memo = Memo(lambda w: tuple(b for b in features_of(w) if b in weights), REMEMBERED)
         sums, evidence = [], []
         for text in texts_of(part, "text"):
             seen = {b for w in set(words_of(text)) for b in memo[w]}
