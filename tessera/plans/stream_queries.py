@@ -1 +1,47 @@
-"""Queries."""
+"""Streaming queries, run over the events that are there."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tessera.plans.registry import query
+from tessera.runtime import shared_dir, table
+from tessera.streaming import streams
+
+
+def _events(spark, d):
+    """The table read as a stream of files."""
+    schema = table(spark, d, "events").schema
+    one = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d) if not d.startswith("viewfs") else spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    return one.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _run(spark, stream, mode):
+    name = f"s_{uuid.uuid4().hex}"
+    return streams.run_once(stream, name, mode, f"{shared_dir(spark)}/stream-{name}")
+
+
+@query("stream_window_counts", """SELECT CAST(epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000000 AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL""")
+def stream_window_counts(spark, d):
+    s = streams.windowed_counts(_events(spark, d), "ts", "1 hour", late="365 days", by=["event_type"], aggs=[F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")])
+    return _run(spark, s, "complete").select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 3).alias("total"))
+
+
+@query("stream_tuple_counts", "SELECT event_type AS tuple, count(*) AS cnt FROM events GROUP BY event_type")
+def stream_tuple_counts(spark, d):
+    return _run(spark, streams.tuple_counts(_events(spark, d), "event_type"), "complete")
+
+
+@query("stream_forward_filter")
+def stream_forward_filter(spark, d):
+    import numpy as np
+
+    from tessera.plans.sequence_queries import CHAIN, EMISSION
+
+    other = F.array(*[F.lit(float(np.log2(p))) for p in (0.05, 0.1)])
+    table_ = F.create_map(*[x for k, v in EMISSION.items() for x in (F.lit(k), F.array(*[F.lit(float(np.log2(p))) for p in v]))])
+    rows = _events(spark, d).select("user_id", "event_id", F.coalesce(F.element_at(table_, F.col("event_type")), other).alias("emission"))
+    out = _run(spark, streams.forward_filter(rows, CHAIN, "user_id", "event_id", "emission"), "append")
+    return out.select("user_id", "event_id", F.round(F.col("filtered")[0], 6).alias("p0"))

@@ -29,7 +29,7 @@ EDGES = """edges AS (
 def feats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature rows of users' events: from the event's second on for as many hours as its value."""
     e = table(spark, sf_dir, "events")
-    start = F.unix_seconds(F.col("ts").cast("timestamp"))
+    start = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")  # whatever the session's time zone
     rows = e.select("event_id", F.col("user_id").alias("seqname"), F.col("event_type").alias("feature"), start.alias("start"), (start + F.floor(F.col("value") * 3600 + 0.5)).alias("end"), F.col("value").alias("score"), F.when(F.col("event_id") % 2 == 0, "+").otherwise("-").alias("strand"), (F.col("event_id") % 3).cast("int").alias("frame"), F.col("props").alias("attribute"))
     return rows
 
