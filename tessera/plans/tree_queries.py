@@ -101,5 +101,6 @@ def fit_tree_model(spark, d):
 def conserved_elements(spark, d):
     from pyspark.sql import Window
 
-    rows = alignment(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("aln").orderBy("col")).cast("long"))
-    return lk.conserved_posteriors(rows, NAMES, model(), length=3.0)[1]
+    rows = alignment(spark, d).withColumn("aln", F.col("aln") % 16)
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("aln").orderBy("col")).cast("long"))
+    return lk.conserved_posteriors(rows, NAMES, model(), length=20.0)[1]
