@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -30,7 +32,7 @@ from tessera.llm.common import map_slices, pick, texts_of
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Most new (and most older) chunks that a worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 #: For character classes: Latin letters, and ASCII signs, digits and controls; many vocabularies hold no piece in which
 #: one of the second follows one of the first.
 LETTERS = r"A-Za-zÀ-ÖØ-öø-ɏ"
@@ -99,9 +101,9 @@ class Codec:
                 self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         self.many, self.lengths = len(self.pieces), [len(p) for p in self.pieces]
-        self.fits = Memo(lambda pair: self._fit(*divmod(pair, self.many)), 2 * REMEMBERED)
+        self.fits = Memo(lambda pair: self._fit(*divmod(pair, self.many)), REMEMBERED)
         self.halves = Memo(self._halves, REMEMBERED)
-        self.chunk_ids = Memo(lambda chunk: np.array(self.encode_chunk(chunk.replace(" ", SPACE)), "<u4").tobytes(), REMEMBERED)
+        self.chunk_ids = Memo(self._chunk_bytes, REMEMBERED)
         self.piece_bytes = [b""] * len(self.pieces)
         for i, p in enumerate(self.pieces):
             if self.kinds[i] == kinds.BYTE:
@@ -181,6 +183,12 @@ class Codec:
                 out += [self.byte_ids[b] for b in reversed(text[i].encode())]
         return out[::-1]
 
+    def _chunk_bytes(self, chunk: str) -> bytes:
+        ids = array("I", self.encode_chunk(chunk.replace(" ", SPACE)))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a whole text, without begin and end, as little-endian unsigned 32-bit integers."""
         if not text:
