@@ -45,6 +45,20 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 QUERIES = {
     "op1_weak_supervision": pii.op1_weak_supervision,
     "op2_feistel_shards": sharding.op2_feistel_shards,
@@ -58,4 +72,4 @@ QUERIES = {
     "op10_prefix_doubling": suffix_dedup.op10_prefix_doubling,
 }
 
-ORACLES = {"op8_mix_sources": OP8_SQL}
+ORACLES = {"op3_ball_tree_topk": OP3_SQL, "op8_mix_sources": OP8_SQL}
