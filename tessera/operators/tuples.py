@@ -215,3 +215,82 @@ def difference(first: DataFrame, second: DataFrame, by: Sequence[str] = ("aln",
     """Positions where two alignments differ or where only one has a column."""
     a, b = first.select(*by, F.col("col").alias("first")), second.select(*by, F.col("col").alias("second"))
     return a.join(b, list(by), "full").filter(~F.col("first").eqNullSafe(F.col("second")))
+
+
+def strip_missing(columns: DataFrame, reference: int) -> DataFrame:
+    """Without columns where every row but the reference is missing."""
+    others = F.concat(F.substring(F.col("col"), 1, reference), F.expr(f"substring(col, {reference + 2})"))
+    return columns.filter(F.length(F.translate(others, MISSING, "")) > 0)
+
+
+def remove_zero_counts(counts: DataFrame) -> DataFrame:
+    return counts.filter(F.col("cnt") > 0)
+
+
+def shorten_context(counts: DataFrame, rows: int, k: int) -> DataFrame:
+    """Tuples cut to their last k columns and counted again."""
+    return recount(counts, F.expr(f"right(tuple, {rows * k})"))
+
+
+def mask_long_gaps(columns: DataFrame, rows: int, most: int, reference: int | None = None, by: Sequence[str] = ("aln",)) -> DataFrame:
+    """In each row (but the reference), runs of more than `most` gaps become missing."""
+    long = columns.select(*by, "pos", F.posexplode(F.split("col", "")).alias("row", "ch")).filter(F.col("row") < rows)
+    gap = F.col("ch") == GAP
+    island = F.col("pos") - F.row_number().over(Window.partitionBy(*by, "row", gap).orderBy("pos"))
+    runs = long.withColumn("_gap", gap).withColumn("_run", island)
+    size = F.count(F.lit(1)).over(Window.partitionBy(*by, "row", "_gap", "_run"))
+    masked = runs.withColumn("ch", F.when(F.col("_gap") & (size > most) & (F.col("row") != F.lit(-1 if reference is None else reference)), "*").otherwise(F.col("ch")))
+    back = masked.groupBy(*by, "pos").agg(F.sort_array(F.collect_list(F.struct("row", "ch"))).alias("_x"))
+    return back.select(*by, "pos", F.array_join(F.transform("_x", lambda x: x["ch"]), "").alias("col"))
+
+
+def missing_to_gaps(columns: DataFrame) -> DataFrame:
+    return columns.withColumn("col", F.translate("col", MISSING, GAP * len(MISSING)))
+
+
+def uppercase(columns: DataFrame) -> DataFrame:
+    return columns.withColumn("col", F.upper("col"))
+
+
+def split_by_category(columns: DataFrame, labels: DataFrame, by: Sequence[str] = ("aln",)) -> DataFrame:
+    """Columns with the category of their position (0 where there is none), numbered anew inside each."""
+    met = columns.join(labels.select(*by, "pos", "cat"), [*by, "pos"], "left").withColumn("cat", F.coalesce("cat", F.lit(0)))
+    return met.withColumn("pos", F.row_number().over(Window.partitionBy(*by, "cat").orderBy("pos")))
+
+
+def extract_features(columns: DataFrame, feats: DataFrame, by: Sequence[str] = ("aln",)) -> DataFrame:
+    """The columns inside features, each with the feature's number and its place in it."""
+    from tessera.operators.intervals import overlap_pairs
+
+    points = columns.withColumn("start", F.col("pos")).withColumn("end", F.col("pos"))
+    met = overlap_pairs(points, feats.select(*by, "start", "end", "id"), by)
+    return met.select(*by, F.col("r_id").alias("id"), (F.col("pos") - F.col("r_start") + 1).alias("pos"), "col")
+
+
+def map_features(feats: DataFrame, mapping: DataFrame, by: Sequence[str] = ("aln",)) -> DataFrame:
+    """Features from a row's frame to the alignment's, with a table of (by, pos, seq_pos); ends outside the row are cut, wholly unmapped ones go."""
+    known = mapping.filter(F.col("seq_pos").isNotNull())
+    ends = known.groupBy(*by).agg(F.min("seq_pos").alias("_lo"), F.max("seq_pos").alias("_hi"))
+    cut = feats.join(ends, list(by)).filter((F.col("end") >= F.col("_lo")) & (F.col("start") <= F.col("_hi")))
+    cut = cut.withColumn("start", F.greatest("start", "_lo")).withColumn("end", F.least("end", "_hi")).drop("_lo", "_hi")
+    a = known.select(*by, F.col("seq_pos").alias("start"), F.col("pos").alias("_a"))
+    b = known.select(*by, F.col("seq_pos").alias("end"), F.col("pos").alias("_b"))
+    return cut.join(a, [*by, "start"]).join(b, [*by, "end"]).withColumn("start", F.col("_a")).withColumn("end", F.col("_b")).select(*feats.columns)
+
+
+def sequence_lengths(columns: DataFrame, rows: int, by: Sequence[str] = ("aln",)) -> DataFrame:
+    """Length of each row without gaps."""
+    return columns.groupBy(*by).agg(*[F.sum((F.substring("col", i + 1, 1) != GAP).cast("long")).alias(f"row{i}") for i in range(rows)])
+
+
+def codon_frequencies(counts: DataFrame, alphabet: str = "ACGT") -> DataFrame:
+    """codon and freq: products of the base frequencies at the three codon positions, from counts (at, base, cnt), stops left out and scaled to 1."""
+    from tessera.functions.sequences import CODONS
+
+    freq = normalised(counts.filter(F.col("base").isin(list(alphabet))), ["at"]).select("at", "base", "freq")
+    out = None
+    for i in range(3):
+        one = freq.filter(F.col("at") == i).select(F.lit(1).alias("_k"), F.col("base").alias(f"b{i}"), F.col("freq").alias(f"f{i}"))
+        out = one if out is None else out.join(one, "_k")
+    codons = out.select(F.concat("b0", "b1", "b2").alias("codon"), (F.col("f0") * F.col("f1") * F.col("f2")).alias("cnt"))
+    return normalised(codons.filter(~F.col("codon").isin([c for c, a in CODONS.items() if a == "*"]))).select("codon", "freq")

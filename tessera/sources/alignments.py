@@ -190,3 +190,37 @@ def read_lav(spark: SparkSession, path: str) -> DataFrame:
 
 def reverse_complement_rows(records: DataFrame) -> DataFrame:
     return records.withColumn("text", F.reverse(complement(F.col("text"))))
+
+
+def sub_species(maf: DataFrame, names: Sequence[str], exclude: bool = False) -> DataFrame:
+    hit = F.col("seq").isin(list(names))
+    return maf.filter(~hit if exclude else hit)
+
+
+def reorder_species(maf: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows of each block in the order of names; others go."""
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("seq"))
+    return maf.filter(place > 0).withColumn("k", place.cast("int"))
+
+
+def remove_gap_columns(maf: DataFrame) -> DataFrame:
+    """Blocks without the columns that are gaps in all rows that are left."""
+    chars = maf.select("block", "k", F.posexplode(F.split("text", "")).alias("at", "ch")).filter("ch <> ''")
+    kept = chars.groupBy("block", "at").agg(F.max((F.col("ch") != "-").cast("int")).alias("_b")).filter("_b = 1").drop("_b")
+    back = chars.join(kept, ["block", "at"]).groupBy("block", "k").agg(F.sort_array(F.collect_list(F.struct("at", "ch"))).alias("_x"))
+    texts = back.select("block", "k", F.array_join(F.transform("_x", lambda x: x["ch"]), "").alias("_t"))
+    return maf.join(texts, ["block", "k"]).withColumn("text", F.col("_t")).select(*maf.columns)
+
+
+def mask_regions(maf: DataFrame, feats: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Bases of the named species inside features (seqname: the row's src, 1-based) become N."""
+    from tessera.operators.intervals import overlap_pairs
+
+    chars = maf.filter(F.col("seq").isin(list(names))).select("block", "k", "src", "start", F.posexplode(F.split("text", "")).alias("at", "ch")).filter("ch <> ''")
+    w = Window.partitionBy("block", "k").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = chars.withColumn("_p", F.col("start") + F.sum((F.col("ch") != "-").cast("long")).over(w)).filter("ch <> '-'")
+    points = placed.select("block", "k", "at", F.col("src").alias("seqname"), F.col("_p").alias("start"), F.col("_p").alias("end"))
+    hit = overlap_pairs(points, feats.select("seqname", "start", "end")).select("block", "k", "at").distinct().withColumn("_hit", F.lit(True))
+    back = chars.join(hit, ["block", "k", "at"], "left").withColumn("ch", F.when(F.col("_hit"), "N").otherwise(F.col("ch")))
+    texts = back.groupBy("block", "k").agg(F.sort_array(F.collect_list(F.struct("at", "ch"))).alias("_x")).select("block", "k", F.array_join(F.transform("_x", lambda x: x["ch"]), "").alias("_t"))
+    return maf.join(texts, ["block", "k"], "left").withColumn("text", F.coalesce("_t", "text")).select(*maf.columns)

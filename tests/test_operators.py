@@ -343,3 +343,27 @@ def test_conserved_elements(spark):
     assert p[320:400].mean() > 0.9 and p[:280].mean() < 0.2
     found = elements.collect()
     assert len(found) == 1 and abs(found[0]["start"] - 301) < 15 and abs(found[0]["end"] - 420) < 15 and found[0]["score"] > 0
+
+
+# -- further column operators ------------------------------------------------------------------------------------------
+
+
+def test_more_column_operators(spark):
+    d = columns(spark, ["A--", "A--", "A-C", "ANN", "A*N", "ACC"])
+    assert [r["pos"] for r in tuples.strip_missing(d, 0).orderBy("pos").collect()] == [1, 2, 3, 6]
+    masked = [r["col"] for r in tuples.mask_long_gaps(d, 3, 2, reference=0).orderBy("pos").collect()]
+    assert masked == ["A*-", "A*-", "A*C", "ANN", "A*N", "ACC"]
+    assert [r["col"] for r in tuples.missing_to_gaps(d).orderBy("pos").collect()][3:5] == ["A--", "A--"]
+    counts = tuples.tuple_counts(tuples.contexts(d, 2))
+    assert sum(r["cnt"] for r in tuples.shorten_context(counts, 3, 1).collect()) == 6
+    feats = spark.createDataFrame([("a", 2, 3, 7), ("a", 6, 9, 8)], "aln string, start long, end long, id int")
+    assert sorted((r["id"], r["pos"], r["col"]) for r in tuples.extract_features(d, feats).collect()) == [(7, 1, "A--"), (7, 2, "A-C"), (8, 1, "ACC")]
+    assert tuple(tuples.sequence_lengths(d, 3).first())[1:] == (6, 3, 4)
+    mapping = tuples.coordinate_map(d, 2)
+    moved = tuples.map_features(spark.createDataFrame([("a", 1, 2, 1), ("a", 4, 9, 2), ("a", 8, 9, 3)], feats.schema), mapping)
+    assert sorted(map(tuple, moved.select("id", "start", "end").collect())) == [(1, 3, 4), (2, 6, 6)]
+    labels = spark.createDataFrame([("a", 2, 1), ("a", 5, 1)], "aln string, pos long, cat int")
+    assert sorted((r["cat"], r["pos"]) for r in tuples.split_by_category(d, labels).collect()) == [(0, 1), (0, 2), (0, 3), (0, 4), (1, 1), (1, 2)]
+    at = spark.createDataFrame([(i, b, 1) for i in range(3) for b in "ACGT"], "at int, base string, cnt long")
+    freqs = tuples.codon_frequencies(at).collect()
+    assert len(freqs) == 61 and sum(r["freq"] for r in freqs) == pytest.approx(1)

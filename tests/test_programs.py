@@ -206,3 +206,13 @@ def test_model_files():
     assert cm.spool(cm.unspool(path)) == path
     assert files.parse_pwm("0.7 0.1 0.1 0.1\n0.25 0.25 0.25 0.25\n")[0] == (0, "A", 0.7)
     assert files.parse_substitution_scores("  A C\nA 1 -2\nC -2 1\n")[("A", "C")] == -2.0
+
+
+def test_block_operators(spark):
+    rows = [(1, 1, "h.c1", "h", 10, 3, "+", 100, "A-CG"), (1, 2, "m.c2", "m", 5, 3, "+", 90, "A-CT"), (1, 3, "r.c3", "r", 0, 4, "+", 50, "ATCG")]
+    maf = spark.createDataFrame(rows, "block long, k int, src string, seq string, start long, size long, strand string, src_size long, text string")
+    two = alignments.sub_species(maf, ["r"], exclude=True)
+    assert {r["seq"]: r["text"] for r in alignments.remove_gap_columns(two).collect()} == {"h": "ACG", "m": "ACT"}
+    assert [r["seq"] for r in alignments.reorder_species(maf, ["m", "h"]).orderBy("k").collect()] == ["m", "h"]
+    feats = spark.createDataFrame([("h.c1", 12, 20)], "seqname string, start long, end long")
+    assert {r["seq"]: r["text"] for r in alignments.mask_regions(maf, feats, ["h"]).collect()} == {"h": "A-NN", "m": "A-CT", "r": "ATCG"}
