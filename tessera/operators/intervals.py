@@ -11,7 +11,7 @@ rows is thus spread over its bins before its islands meet.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -157,17 +157,25 @@ def uncovered_regions(regions: DataFrame, covered: DataFrame, by: Keys) -> DataF
     return regions.select(*by, "start", "end").join(met, [*by, "start", "end"], "left_anti")
 
 
-def asof_position(rows: DataFrame, marks: DataFrame, by: Keys, at: str, mark_at: str, values: Sequence[str], strict: bool = False) -> DataFrame:
-    """Each row with the values of the last mark at or before it (null if none), by one sort of the union."""
-    tag = [F.lit(None).cast(marks.schema[v].dataType).alias(v) for v in values]
-    left = rows.select("*", F.col(at).alias("_at"), F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast("boolean").alias("_mark"), *[t.alias(f"_v_{v}") for t, v in zip(tag, values)])
+def asof_position(rows: DataFrame, marks: DataFrame, by: Keys, at: str, mark_at: str, values: Sequence[str], strict: bool = False, bins: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Each row with the values of the last mark at or before it (null if none), by a sort of the union.
+
+    bins: a function that maps positions to bins in their order (a day of a time, say). A key's rows are then sorted
+    bin by bin, and each bin gets the last mark of the bins before it, so a key with very many rows is no task's alone.
+    """
+    left = rows.select("*", F.col(at).alias("_at"), F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast("boolean").alias("_mark"), *[F.lit(None).cast(marks.schema[v].dataType).alias(f"_v_{v}") for v in values])
     filler = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in by]
     right = marks.select(*by, *filler, F.col(mark_at).alias("_at"), F.lit(1 if strict else 0).alias("_side"), F.lit(True).alias("_mark"), *[F.col(v).alias(f"_v_{v}") for v in values])
-    w = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right.select(*left.columns))
-    found = F.last(F.when(F.col("_mark"), F.struct(*[f"_v_{v}" for v in values])), ignorenulls=True).over(w)
-    out = both.withColumn("_found", found).filter(F.col("_mark").isNull())
-    return out.select(*rows.columns, *[F.col("_found")[f"_v_{v}"].alias(v) for v in values])
+    both = left.unionByName(right.select(*left.columns)).withColumn("_bin", F.lit(0) if bins is None else bins(F.col("_at")))
+    mark = F.when(F.col("_mark"), F.struct(*[f"_v_{v}" for v in values]))
+    w = Window.partitionBy(*by, "_bin").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_found", F.last(mark, ignorenulls=True).over(w)).filter(F.col("_mark").isNull())
+    if bins is not None:
+        last = both.groupBy(*by, "_bin").agg(F.max_by(mark, F.when(F.col("_mark"), F.col("_at"))).alias("_last"))
+        earlier = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        carried = last.select(*by, "_bin", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+        found = found.join(carried, [*by, "_bin"], "left").withColumn("_found", F.coalesce("_found", "_carried"))
+    return found.select(*rows.columns, *[F.col("_found")[f"_v_{v}"].alias(v) for v in values])
 
 
 # -- merging and grouping ----------------------------------------------------------------------------------------------
@@ -307,19 +315,26 @@ def signals(cds: DataFrame, by: Keys) -> DataFrame:
     )
 
 
-def threshold_runs(rows: DataFrame, by: Keys, at: str, value: str, limit: float, step: int | None = 1) -> DataFrame:
+def threshold_runs(rows: DataFrame, by: Keys, at: str, value: str, limit: float, step: int | None = 1, width: int = BIN) -> DataFrame:
     """Runs of consecutive rows with value > limit: start, end, n and the SUM of values as the score.
 
-    step: positions count as consecutive if they differ by it; None: any next row of the key does.
+    step: positions count as consecutive if they differ by it; None: any next row of the key does. Runs are found inside
+    (key, bin) first and then joined over the bins' borders, where there are few.
     """
-    w = Window.partitionBy(*by).orderBy(at)
-    above = F.col(value) > limit
-    apart = F.lag(at).over(w).isNull() | ~F.coalesce(F.lag(above).over(w), F.lit(False))
+    above = F.coalesce(F.col(value) > limit, F.lit(False))
+    tagged = rows.select(*by, F.col(at).alias("start"), F.col(at).alias("end"), F.lit(1).cast("long").alias("n"), F.col(value).alias("score"), above.alias("_above"), F.expr(f"floor({at} / {width})").alias("_bin"))
+    local = _join_runs(tagged, [*by, "_bin"], step)
+    return _join_runs(local.drop("_bin"), by, step).filter("_above").drop("_above")
+
+
+def _join_runs(runs: DataFrame, by: Keys, step: int | None) -> DataFrame:
+    """Neighbouring runs of the same side of the limit made one, where their positions are consecutive."""
+    w = Window.partitionBy(*by).orderBy("start")
+    apart = F.lag("_above").over(w).isNull() | (F.lag("_above").over(w) != F.col("_above"))
     if step is not None:
-        apart = apart | (F.col(at) - F.lag(at).over(w) > step)
-    runs = rows.withColumn("_above", F.coalesce(above, F.lit(False))).withColumn("_new", (F.col("_above") & apart).cast("int"))
-    runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_above")
-    return runs.groupBy(*by, "_run").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count(F.lit(1)).alias("n"), F.sum(value).alias("score")).drop("_run")
+        apart = apart | (F.col("start") - F.lag("end").over(w) > step)
+    numbered = runs.withColumn("_new", apart.cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*by, "_above", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.sum("score").alias("score")).drop("_run")
 
 
 def label_positions(positions: DataFrame, feats: DataFrame, categories: DataFrame, by: Keys, at: str, width: int = BIN) -> DataFrame:
@@ -335,12 +350,18 @@ def label_positions(positions: DataFrame, feats: DataFrame, categories: DataFram
     return positions.join(labelled, [*by, at], "left").withColumn("cat", F.coalesce("cat", F.lit(0)))
 
 
-def run_lengths(rows: DataFrame, by: Keys, at: str, label: str) -> DataFrame:
-    """Run-length encoding of labels along a key: label, start, end, n."""
-    w = Window.partitionBy(*by).orderBy(at)
-    new = F.lag(label).over(w).isNull() | (F.lag(label).over(w) != F.col(label))
-    numbered = rows.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*by, label, "_run").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count(F.lit(1)).alias("n")).drop("_run")
+def run_lengths(rows: DataFrame, by: Keys, at: str, label: str, width: int = BIN) -> DataFrame:
+    """Run-length encoding of labels along a key: label, start, end, n; inside (key, bin) first, then over the bins' borders."""
+
+    def joined(runs: DataFrame, keys: Keys) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("start")
+        new = F.row_number().over(w) == 1
+        new = new | ~F.lag(label).over(w).eqNullSafe(F.col(label))
+        numbered = runs.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return numbered.groupBy(*keys, label, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_run")
+
+    tagged = rows.select(*by, label, F.col(at).alias("start"), F.col(at).alias("end"), F.lit(1).cast("long").alias("n"), F.expr(f"floor({at} / {width})").alias("_bin"))
+    return joined(joined(tagged, [*by, "_bin"]).drop("_bin"), by)
 
 
 def fix_start_stop(feats: DataFrame, by: Keys) -> DataFrame:

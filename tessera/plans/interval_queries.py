@@ -274,4 +274,4 @@ def coord_map_asof(spark, d):
     e = table(spark, d, "events")
     marks = e.filter("event_type = 'signup'").select("user_id", F.col("ts").alias("at"), F.col("value").alias("signup_value"))
     rows = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    return iv.asof_position(rows, marks, ("user_id",), "ts", "at", ("signup_value",)).select("event_id", "user_id", "signup_value")
+    return iv.asof_position(rows, marks, ("user_id",), "ts", "at", ("signup_value",), bins=F.to_date).select("event_id", "user_id", "signup_value")

@@ -367,3 +367,28 @@ def test_more_column_operators(spark):
     at = spark.createDataFrame([(i, b, 1) for i in range(3) for b in "ACGT"], "at int, base string, cnt long")
     freqs = tuples.codon_frequencies(at).collect()
     assert len(freqs) == 61 and sum(r["freq"] for r in freqs) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("width", [4, 1 << 17])
+def test_runs_over_bins(spark, width):
+    rng = random.Random(5)
+    rows = [("k", p, rng.choice([1.0, 2.0, 3.0]), rng.choice("ab")) for p in sorted(rng.sample(range(1, 90), 60))]
+    d = spark.createDataFrame(rows, "k string, p long, v double, s string")
+    for step in (1, None):
+        want, last = [], None
+        for i, (_, p, v, _) in enumerate(rows):
+            if v <= 1:
+                last = None
+                continue
+            if last is None or (step is not None and p - rows[i - 1][1] > step):
+                last = [p, p, 0, 0.0]
+                want.append(last)
+            last[1:] = [p, last[2] + 1, last[3] + v]
+        got = intervals.threshold_runs(d, ("k",), "p", "v", 1.0, step, width).select("start", "end", "n", "score").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    want = [(k, g[0][1], g[-1][1], len(g)) for k, g in ((k, list(g)) for k, g in itertools.groupby(rows, key=lambda r: r[3]))]
+    got = intervals.run_lengths(d, ("k",), "p", "s", width).select("s", "start", "end", "n").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    marks = spark.createDataFrame([("k", p, float(p)) for p in (5, 6, 40, 77)], "k string, m long, w double")
+    got = intervals.asof_position(d, marks, ("k",), "p", "m", ("w",), bins=lambda c: F.floor(c / width)).collect()
+    assert {r["p"]: r["w"] for r in got} == {p: max((float(m) for m in (5, 6, 40, 77) if m <= p), default=None) for _, p, _, _ in rows}
