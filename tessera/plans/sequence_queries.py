@@ -266,3 +266,60 @@ def hmm_posterior(spark, d):
 def baum_welch(spark, d):
     model, history = hmm.train(emissions(spark, d), CHAIN, rounds=3, size=256)
     return spark.createDataFrame([(i, j, round(float(model.transition[i, j]), 6), round(history[-1], 3)) for i in range(2) for j in range(2)], "`from` int, `to` int, p double, loglik double")
+
+
+# -- further forms of columns ------------------------------------------------------------------------------------------
+
+
+@query("sequence_lengths", f"WITH {TUPLES} SELECT aln, count(*) FILTER (WHERE substr(col, 1, 1) <> '-') AS row0, count(*) FILTER (WHERE substr(col, 2, 1) <> '-') AS row1, count(*) FILTER (WHERE substr(col, 3, 1) <> '-') AS row2 FROM cols GROUP BY aln")
+def sequence_lengths(spark, d):
+    return tuples.sequence_lengths(views.columns(spark, d), 3)
+
+
+@query("strip_missing", f"WITH {TUPLES} SELECT aln, pos, col FROM cols WHERE length(translate(substr(col, 2, 2), 'N*', '')) > 0 AND aln % 7 = 1")
+def strip_missing(spark, d):
+    return tuples.strip_missing(views.columns(spark, d), 0).filter("aln % 7 = 1").select("aln", "pos", "col")
+
+
+@query("shorten_context", f"WITH {PAIRS} SELECT right(tuple, 3) AS tuple, count(*) AS cnt FROM k GROUP BY 1")
+def shorten_context(spark, d):
+    return tuples.shorten_context(tuples.tuple_counts(tuples.contexts(views.columns(spark, d), 2)), 3, 1).withColumn("cnt", F.col("cnt").cast("long"))
+
+
+@query("split_by_category", f"WITH {TUPLES} SELECT aln, cat, row_number() OVER (PARTITION BY aln, cat ORDER BY pos) AS pos, col FROM cols")
+def split_by_category(spark, d):
+    c = views.columns(spark, d)
+    return tuples.split_by_category(c.select("aln", "pos", "col"), c.select("aln", "pos", "cat")).select("aln", "cat", "pos", "col")
+
+
+@query("mask_long_gaps", f"""WITH {TUPLES}, g AS (SELECT *, pos - row_number() OVER (PARTITION BY aln, substr(col, 3, 1) = '-' ORDER BY pos) AS run FROM cols),
+n AS (SELECT *, count(*) OVER (PARTITION BY aln, substr(col, 3, 1) = '-', run) AS n FROM g)
+SELECT aln, pos, substr(col, 1, 2) || CASE WHEN substr(col, 3, 1) = '-' AND n > 1 THEN '*' ELSE substr(col, 3, 1) END AS col FROM n""")
+def mask_long_gaps(spark, d):
+    return tuples.mask_long_gaps(views.columns(spark, d), 3, 1, reference=0)
+
+
+@query("map_features", f"""WITH {TUPLES}, m AS (SELECT aln, pos, CASE WHEN substr(col, 3, 1) <> '-' THEN sum(CASE WHEN substr(col, 3, 1) <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY aln ORDER BY pos) END AS s FROM cols),
+e AS (SELECT aln, min(s) AS lo, max(s) AS hi FROM m WHERE s IS NOT NULL GROUP BY aln), c AS (SELECT aln, greatest(2, lo) AS a, least(5, hi) AS b FROM e WHERE 5 >= lo AND 2 <= hi)
+SELECT c.aln, x.pos AS start, y.pos AS "end" FROM c JOIN m x ON x.aln = c.aln AND x.s = c.a JOIN m y ON y.aln = c.aln AND y.s = c.b""")
+def map_features(spark, d):
+    c = views.columns(spark, d)
+    feats = c.select("aln").distinct().select("aln", F.lit(2).cast("long").alias("start"), F.lit(5).cast("long").alias("end"))
+    return tuples.map_features(feats, tuples.coordinate_map(c, 2))
+
+
+@query("subst_count_tests")
+def subst_count_tests(spark, d):
+    from tessera.operators import substitutions
+    from tessera.plans import tree_queries
+
+    out = substitutions.test_sites(tree_queries.counts(spark, d), tree_queries.NAMES, tree_queries.model())
+    return out.select("tuple", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+@query("gap_patterns")
+def gap_patterns(spark, d):
+    from tessera.operators import indels, trees
+    from tessera.plans import tree_queries
+
+    return indels.gap_patterns(tree_queries.counts(spark, d), tree_queries.NAMES, trees.parse(tree_queries.TREE))
