@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,10 +35,22 @@ def offsets_of(array: pa.Array) -> np.ndarray:
     return np.frombuffer(array.buffers()[1], dtype=kind)[array.offset : array.offset + len(array) + 1].astype(np.int64) if len(array) else np.zeros(1, np.int64)
 
 
-def map_slices(df: DataFrame, column: str, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow over slices of bounded bytes; `function` gives None for nothing."""
+#: What operators keep in a Python worker between tasks, by name, as functions that drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def drop_kept(uses: str | None) -> None:
+    """Workers outlive an operator: one that turns to another drops what the last one remembered."""
+    dropped = [drop() for name, drop in KEPT.items() if name != uses]
+    if dropped:
+        gc.collect()
+
+
+def map_slices(df: DataFrame, column: str, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, uses: str | None = None) -> DataFrame:
+    """mapInArrow over slices of bounded bytes; `function` gives None for nothing. uses: what it keeps in the worker (see KEPT)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept(uses)
         for batch in batches:
             for part in slices(batch, column):
                 if part.num_rows and (out := function(part)) is not None and out.num_rows:

@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_slices, pick, texts_of
+from tessera.llm.common import KEPT, map_slices, pick, texts_of
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Most new (and most older) chunks that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: For character classes: Latin letters, and ASCII signs, digits and controls; many vocabularies hold no piece in which
 #: one of the second follows one of the first.
 LETTERS = r"A-Za-zÀ-ÖØ-öø-ɏ"
@@ -258,6 +258,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+KEPT["codec"] = codec.cache_clear
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; with_ids adds ids array<int>, with_text decoded string."""
     path = path or public_path()
@@ -288,7 +291,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
     slim = pick(docs, doc_id=id_col, text=F.col(text_col).cast("string"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
-    return map_slices(slim, "text", run, schema)
+    return map_slices(slim, "text", run, schema, uses="codec")
 
 
 def op4_piece_codec(spark, sf_dir: str) -> DataFrame:
