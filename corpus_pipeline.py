@@ -12,7 +12,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, pii, quality, simhash, spm
+from tessera.llm import mixing, pii, quality, shingles, spm
 from tessera.runtime import release, stage, staged_paths
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -40,7 +40,7 @@ def _alone(function: Callable[[DataFrame], DataFrame]) -> Stage:
 
 STAGES = [
     ("quality_rules", _alone(quality.keep_sound)),
-    ("near_duplicates", _alone(simhash.one_of_each)),
+    ("near_duplicates", _alone(shingles.one_of_each)),
     ("personal_data", _alone(pii.redact_documents)),
     ("mix_sources", _alone(mixing.mixed_documents)),
     ("token_ids", _alone(partial(spm.encode_documents, with_ids=True))),

@@ -1,10 +1,13 @@
 """The pipeline's stages against plain versions of them."""
 
+import random
+import re
+
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import pii, spm
+from tessera.llm import pii, shingles, spm
 from tessera.runtime import stage
 from tests.llm.test_operators import corpus, frame, plain_components
 
@@ -35,6 +38,40 @@ def test_one_document_of_each_group_stays(stages):
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in stages[2].collect()) == sorted({c for _, _, c in plain_components(rows)})
 
 
+def grams(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("n", [60, 300])
+def test_near_copies_go_at_the_stage_law(spark, n):
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(n)]
+        texts.append(base)
+        for changes in (1, 2, 3, n // 40, n // 30, n // 12):
+            copy = list(base)
+            for at in rng.sample(range(n), changes):
+                copy[at] = word()
+            texts.append(copy)
+    texts += [["licence"] * 3 + ["of", "all", "the", "many"] * 2 + [word() for _ in range(n)] for _ in range(20)]
+    rows = [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)] + [(5000 + i, t, "en", "a") for i, t in enumerate([None, "", " \n", "one two", "ONE two"])]
+    sets = [grams(t or "") for _, t, _, _ in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    want = sorted({g: i for (i, *_), g in reversed(list(zip(rows, group)))}.values())
+    docs = frame(spark, rows, more=False).repartition(5)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.STAGES[1][1](spark, docs, "").collect()) == want
+    assert len(want) < len(rows) - 40
+    assert shingles.alike(np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)) and not shingles.alike(np.arange(8, dtype=np.uint64), np.arange(1, 9, dtype=np.uint64))
+
+
 def test_personal_data_is_gone(spark):
     docs = frame(spark, [(1, "write to a@b.de now", "en", "a"), (2, None, "en", "a"), (3, "", "en", "a")], more=False)
     out = {r["doc_id"]: r for r in corpus_pipeline.STAGES[2][1](spark, docs, "").collect()}
