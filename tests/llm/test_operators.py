@@ -279,6 +279,16 @@ def test_quality_bands(spark):
     assert not any(out[i]["kept"] for i, *_ in junk + codes)
 
 
+def test_entropy_is_judged_among_texts_of_like_length(spark):
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(4, 8))) for _ in range(400)]
+    good = [(i, " ".join(rng.choice(words) for _ in range((60, 200, 900, 6000)[i % 4])), "en", "a") for i in range(200)]
+    dull = [(1000 + i, " ".join(rng.choice(words[8 * i : 8 * i + 12]) for _ in range(200)), "en", "a") for i in range(6)]
+    out = {r["doc_id"]: r for r in collected(quality.quality(frame(spark, good + dull)))}
+    assert all(out[i]["kept"] for i, *_ in good)
+    assert [out[i]["reason"] for i, *_ in dull] == ["low_entropy"] * 6
+
+
 def test_quality_of_nothing(empty):
     assert quality.quality(empty).collect() == []
     assert quality.keep_sound(empty).columns == empty.columns
