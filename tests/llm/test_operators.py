@@ -289,6 +289,17 @@ def test_entropy_is_judged_among_texts_of_like_length(spark):
     assert [out[i]["reason"] for i, *_ in dull] == ["low_entropy"] * 6
 
 
+def test_a_small_group_is_judged_by_its_own_kind(spark):
+    rng = random.Random(11)
+    latin = ["the", "water", "house", "other", "people", "between", "under", "never", "small", "work", "light", "number", "always", "every", "right"]
+    greek = ["νερό", "σπίτι", "άλλο", "άνθρωποι", "ανάμεσα", "κάτω", "ποτέ", "μικρό", "δουλειά", "φως", "αριθμός", "πάντα", "κάθε", "σωστό", "ημέρα"]
+    text = lambda words: " ".join(rng.choice(words) for _ in range(200))
+    rows = [(i, text(latin), "en", "a") for i in range(80)] + [(1000 + i, text(greek), ("el", None)[i % 2], "a") for i in range(6)]
+    few = [(2000 + i, text(latin), "de", "a") for i in range(20)] + [(3000, " ".join(rng.choice(latin) + rng.choice(["***", "&&&", "%%%"]) for _ in range(200)), "de", "a")]
+    out = {r["doc_id"]: r for r in collected(quality.quality(frame(spark, rows + few)))}
+    assert [i for i, r in out.items() if not r["kept"]] == [3000]
+
+
 def test_quality_of_nothing(empty):
     assert quality.quality(empty).collect() == []
     assert quality.keep_sound(empty).columns == empty.columns
