@@ -332,22 +332,25 @@ def topologies(names: list[str]) -> Iterator[Node]:
 # -- large trees as edge tables ----------------------------------------------------------------------------------------
 
 
-def closure(edge_rows: DataFrame, most_depth: int = 64) -> DataFrame:
+def closure(edge_rows: DataFrame) -> DataFrame:
     """node, ancestor, dist (edges) and length of every pair on a path to the root, the node itself included.
 
     Paths double in length each round, so a tree of depth d takes about log2(d) joins; each round is staged.
+    Edges with a cycle are refused.
     """
     step = edge_rows.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("dist"), F.col("len").cast("double").alias("length")).filter(F.col("ancestor").isNotNull())
     self_ = edge_rows.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("dist"), F.lit(0.0).alias("length"))
     root = edge_rows.select(F.col("parent").alias("node")).filter(F.col("node").isNotNull()).distinct().join(edge_rows.select("node"), "node", "left_anti")
     self_ = self_.unionByName(root.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("dist"), F.lit(0.0).alias("length")))
     paths, reach = stage(step, "paths"), 1
-    while reach < most_depth:
+    while True:
         further = paths.filter(F.col("dist") == reach).alias("a").join(paths.alias("b"), F.col("a.ancestor") == F.col("b.node"))
         more = further.select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"), (F.col("a.dist") + F.col("b.dist")).alias("dist"), (F.col("a.length") + F.col("b.length")).alias("length"))
         more = stage(more, "paths")
         if not more.limit(1).count():
             break
+        if more.filter("node = ancestor").limit(1).count():
+            raise ValueError("the edges have a cycle")
         paths, reach = paths.unionByName(more), 2 * reach
     return self_.unionByName(paths)
 

@@ -392,3 +392,17 @@ def test_runs_over_bins(spark, width):
     marks = spark.createDataFrame([("k", p, float(p)) for p in (5, 6, 40, 77)], "k string, m long, w double")
     got = intervals.asof_position(d, marks, ("k",), "p", "m", ("w",), bins=lambda c: F.floor(c / width)).collect()
     assert {r["p"]: r["w"] for r in got} == {p: max((float(m) for m in (5, 6, 40, 77) if m <= p), default=None) for _, p, _, _ in rows}
+
+
+@pytest.mark.parametrize("depth", [64, 65, 150])
+def test_closure_of_deep_trees(spark, depth):
+    edges = spark.createDataFrame([(str(i), str(i - 1), 1.0) for i in range(1, depth + 1)], "node string, parent string, len double")
+    out = {(int(r["node"]), int(r["ancestor"])): (r["dist"], r["length"]) for r in trees.closure(edges).collect()}
+    assert out == {(i, j): (i - j, float(i - j)) for i in range(depth + 1) for j in range(i + 1)}
+
+
+@pytest.mark.parametrize("cycle", [1, 3])
+def test_closure_refuses_cycles(spark, cycle):
+    edges = spark.createDataFrame([(str(i), str((i + 1) % cycle), 1.0) for i in range(cycle)], "node string, parent string, len double")
+    with pytest.raises(ValueError, match="cycle"):
+        trees.closure(edges)
