@@ -16,6 +16,7 @@ from tessera.operators import hmm, indels, substitutions, trees, tuples, windows
 from tessera.operators import likelihood as lk
 from tessera.operators.hmm import Hmm
 from tessera.operators.trees import Node
+from tessera.runtime import stage, unstage
 
 
 def fit_models(columns: DataFrame, names: Sequence[str], tree: Node, kind: str = "REV", classes: int = 1, by: str | None = None) -> dict[object, tuple[TreeModel, float]]:
@@ -23,7 +24,7 @@ def fit_models(columns: DataFrame, names: Sequence[str], tree: Node, kind: str =
     counted = tuples.tuple_counts(columns.withColumn("tuple", F.col("col")), [] if by is None else [by])
     if by is None:
         return {None: lk.fit(counted, names, tree, kind, classes)}
-    values = [r[by] for r in counted.select(by).distinct().limit(1000).collect()]
+    values = [r[by] for r in counted.select(by).distinct().collect()]
     return {v: lk.fit(counted.filter(F.col(by) == v), names, tree, kind, classes) for v in values}
 
 
@@ -141,16 +142,36 @@ def simulate(spark: SparkSession, model: TreeModel, length: int, seed: int, chai
 
 
 def bootstrap(columns: DataFrame, names: Sequence[str], tree: Node, kind: str = "HKY85", rounds: int = 20, seed: int = 1) -> dict[str, dict[str, float]]:
-    """Summary of each branch length over resampled tuple counts."""
-    rows = tuples.tuple_counts(columns.withColumn("tuple", F.col("col"))).limit(lk.MOST_TUPLES).collect()
+    """Summary of each branch length over resampled tuple counts.
+
+    Up to MOST_TUPLES distinct tuples are drawn on the driver by a multinomial; beyond that each tuple's count is drawn in
+    the cluster by a Poisson law of its own, which takes all tuples.
+    """
+    counted = stage(tuples.tuple_counts(columns.withColumn("tuple", F.col("col"))).select("tuple", "cnt"), "bootstrap")
+    rows = sorted(counted.limit(lk.MOST_TUPLES + 1).collect())
+    local = len(rows) <= lk.MOST_TUPLES
     rng = np.random.default_rng(seed)
     n = np.array([r["cnt"] for r in rows], float)
     spark = columns.sparkSession
+
+    def drawn_in_cluster(k: int) -> DataFrame:
+        def draw(batches):
+            for pdf in batches:
+                c = [np.random.default_rng([seed, k, *t.encode()]).poisson(x) for t, x in zip(pdf["tuple"], pdf["cnt"])]
+                yield pdf.assign(cnt=np.array(c, np.int64)).query("cnt > 0")
+
+        return stage(counted.mapInPandas(draw, "tuple string, cnt long"), "bootstrap")
+
     seen: dict[str, list[float]] = {}
-    for _ in range(rounds):
-        drawn = rng.multinomial(int(n.sum()), n / n.sum())
-        table = spark.createDataFrame([(r["tuple"], int(c)) for r, c in zip(rows, drawn) if c], "tuple string, cnt long")
+    for k in range(rounds):
+        if local:
+            drawn = rng.multinomial(int(n.sum()), n / n.sum())
+            table = spark.createDataFrame([(r["tuple"], int(c)) for r, c in zip(rows, drawn) if c], "tuple string, cnt long")
+        else:
+            table = drawn_in_cluster(k)
         fitted, _ = lk.fit(table, names, tree, kind)
+        if not local:
+            unstage(table)
         for node in trees.name_ancestors(fitted.tree).preorder():
             if node.parent is not None:
                 seen.setdefault(node.name, []).append(node.length)

@@ -174,10 +174,12 @@ def category_map_text(cm: CategoryMap) -> str:
 
 
 def categories_from_features(feats: DataFrame, order: str, most: int = 10_000) -> CategoryMap:
-    """One category for each type, numbered from 1 in the order of first sight."""
+    """One category for each type, numbered from 1 in the order of first sight; more than `most` are refused."""
     from tessera.operators.intervals import partition_by_type
 
-    kinds = [r["feature"] for r in partition_by_type(feats, order).limit(most).collect()]
+    kinds = [r["feature"] for r in partition_by_type(feats, order).limit(most + 1).collect()]
+    if len(kinds) > most:
+        raise ValueError(f"more than {most} types")
     return CategoryMap({k: (i + 1, i + 1) for i, k in enumerate(kinds)}, list(range(1, len(kinds) + 1)))
 
 

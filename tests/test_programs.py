@@ -72,6 +72,22 @@ def test_bootstrap_and_doctor(spark):
     assert programs.entropies(hmm.two_state(0.3, 45), lk.conserved_model(model()), model(), 2000)["entropy"] > 0
 
 
+def test_bootstrap_draws_from_all_tuples(spark, monkeypatch):
+    d = programs.simulate(spark, model(), 3000, 2).cache()
+    distinct, seen = d.select("col").distinct().count(), []
+    monkeypatch.setattr(lk, "MOST_TUPLES", 10)
+    monkeypatch.setattr(lk, "fit", lambda table, *_: seen.append(table.agg(F.count("tuple"), F.sum("cnt")).first()) or (model(), 0.0))
+    programs.bootstrap(d, NAMES, trees.parse(TREE), rounds=3)
+    assert all(r[0] > distinct / 3 and abs(r[1] - 3000) < 300 for r in seen) and len({r[1] for r in seen}) > 1
+
+
+def test_too_many_types_are_refused(spark):
+    feats = spark.createDataFrame([(i, f"t{i}") for i in range(4)], "at long, feature string")
+    assert len(files.categories_from_features(feats, "at", most=4).ranges) == 4
+    with pytest.raises(ValueError, match="more than 3"):
+        files.categories_from_features(feats, "at", most=3)
+
+
 def test_genes(spark):
     good = ["ATGAAACCCTAA", "ATGAAACCATAA"]
     assert genes.check_gene(good) == "ok"
