@@ -5,18 +5,22 @@ candidates: phone numbers without a plus, card-like numbers, obfuscated addresse
 numbers, bank accounts, hardware addresses and names. Labelers vote on each candidate (+1, -1 or none): the strict
 form (regex), a gazetteer, the words before it (context), a checksum, the shape of its neighbours, and its variety of
 characters. Expectation-maximisation estimates each labeler's reliability and each kind's prior from the counts of
-vote patterns over all documents; a logistic classifier is then fitted to the resulting soft labels, over the votes and
-the kind, and decides on the spans to add. Vote patterns are few by construction (kinds times 3 to the labelers), so their counts
-are all that reaches the driver. Added spans never overlap base spans or each other.
-
-Defined results: a null text is empty and has no spans; texts are read whole; repeated rows get equal results; an
-empty table gives an empty result; other columns are not read. Positions are code points, ends exclusive.
+vote patterns over all documents, which gives every pattern a soft label. A logistic span classifier is then fitted to
+these labels on at most `most_spans` candidates (those with the least hashes) and decides on the spans to add. It sees
+the votes and the kind, and what no labeler looks at: the span's length, its share of digits, the shape of its
+characters and the words around it. Vote patterns are few by construction (kinds times 3 to the labelers), so their counts and
+the bounded sample are all that reaches the driver. Added spans never overlap base spans or each other.
+
+Defined results: a null text is empty and has no spans; texts are read whole, in linear time for any input; repeated
+rows get equal results; an empty table, or one without candidates, adds nothing; candidates with equal features are
+decided alike; other columns are not read. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,6 +36,8 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The same matches in linear time: one can only start where a run of digits does, and takes whole runs.
+IP_RUNS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
@@ -70,6 +76,10 @@ IBAN_LIKE = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(
 MAC_LIKE = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])")
 NAME_LIKE = re.compile(r"(?:[Mm]y name is|[Ss]igned by|[Cc]ontact|[Rr]egards,|[Ii]ch heiße|m'appelle|[Mm]e llamo|\bMr\.|\bMrs\.|\bMs\.|\bDr\.|\bHerr|\bFrau|\bSeñora?) ((?:[A-ZÀ-Þ][a-zß-ÿ]{1,20})(?: [A-ZÀ-Þ][a-zß-ÿ]{1,20}){0,2})")
 NAME_SIGNS = ("name is", "igned by", "ontact ", "egards, ", "heiße ", "appelle ", "llamo ", "Mr. ", "Mrs. ", "Ms. ", "Dr. ", "Herr ", "Frau ", "Señor")
+#: Buckets of the classifier's features, and most candidates that it is fitted on.
+BUCKETS = 1 << 12
+MOST_SPANS = 20_000
+LETTERS = re.compile(r"[^\W\d_]+")
 LABELERS = ("regex", "gazetteer", "context", "checksum", "neighbours", "variety")
 KINDS = ("email", "card", "phone", "secret", "ssn", "iban", "mac", "name")
 
@@ -96,7 +106,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """start, end and kind of the strict matches, by start and then kind."""
     out = [(s, 0, e) for s, e in _emails(text)] if "@" in text else []
     if DIGIT.search(text):
-        for m in IP.finditer(text):
+        for m in IP_RUNS.finditer(text):
             if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text):
@@ -136,7 +146,7 @@ def _candidates(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "secret", *m.span()
     if "@" in text or "dot" in text and re.search(r"[\[(] ?at ?[\])]| at [A-Za-z0-9-]+ dot ", text):
         for m in re.finditer(r"@| at |[\[(] ?at ?[\])]", text):
-            start = text.rfind(" ", 0, max(0, m.start() - 1)) + 1
+            start = text.rfind(" ", max(0, m.start() - 67), max(0, m.start() - 1)) + 1
             if found := MAIL_LIKE.match(text, max(start, m.start() - 66)):
                 if found.end() > m.end():
                     yield "email", *found.span()
@@ -182,8 +192,18 @@ def votes(text: str, kind: str, start: int, end: int) -> str:
     return regex + gazetteer + _vote(context, other) + checksum + _vote(isolated, not isolated) + _vote(variety > 0.35, variety < 0.2)
 
 
-def candidate_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[str, int, int, str]]:
-    """kind, start, end and votes of what lies apart from the base spans and earlier candidates; the longest of those that start together."""
+def span_features(text: str, kind: str, start: int, end: int, vote: str) -> list[int]:
+    """The buckets (0 stands for all spans) of a candidate: kind, votes, length, digits, shape, and the words around it."""
+    span = text[start:end]
+    shape = re.sub("[a-z]+", "a", re.sub("[A-Z]+", "A", re.sub("[0-9]+", "9", span)))[:16]
+    names = [kind, *[f"{name}{v}" for name, v in zip(LABELERS, vote) if v != "0"], f"{kind} length {len(span).bit_length()}", f"{kind} digits {4 * len(NOT_DIGIT.sub('', span)) // max(1, len(span))}", f"{kind} shape {shape}"]
+    names += [f"{kind} before {w}" for w in LETTERS.findall(text[max(0, start - 40) : start].lower())[-2:]]
+    names += [f"{kind} after {w}" for w in LETTERS.findall(text[end : end + 24].lower())[:1]]
+    return sorted({0, *[1 + zlib.crc32(n.encode()) % (BUCKETS - 1) for n in names]})
+
+
+def candidate_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[str, int, int, str, list[int]]]:
+    """kind, start, end, votes and features of what lies apart from the base spans and earlier candidates; the longest of those that start together."""
     found = sorted(set(_candidates(text)), key=lambda x: (x[1], -x[2], x[0]))
     out, taken = [], sorted((s, e) for s, e, _ in base)
     free, at, reach = 0, 0, 0
@@ -192,7 +212,8 @@ def candidate_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[s
             reach = max(reach, taken[at][1])
             at += 1
         if start >= free and start >= reach:
-            out.append((kind, start, end, votes(text, kind, start, end)))
+            vote = votes(text, kind, start, end)
+            out.append((kind, start, end, vote, span_features(text, kind, start, end, vote)))
             free = end
     return out
 
@@ -229,55 +250,63 @@ def fit_reliabilities(counts: dict[tuple[str, str], int], rounds: int = 100) ->
     return dict(zip(kinds, prior.tolist())), chance
 
 
-def _features(kind: str, vote: str) -> np.ndarray:
-    ones = np.zeros(1 + len(KINDS) + 2 * len(LABELERS))
-    ones[0] = 1
-    ones[1 + KINDS.index(kind)] = 1
-    for j, v in enumerate(vote):
-        if v != "0":
-            ones[1 + len(KINDS) + 2 * j + (v == "+")] = 1
-    return ones
-
-
-def fit_classifier(counts: dict[tuple[str, str], int], decay: float = 1.0, steps: int = 25) -> dict[tuple[str, str], float]:
-    """The final classifier's chance for every pattern: a ridge-bound logistic regression on the soft labels, by Newton steps."""
+def soft_labels(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
+    """The chance that spans with a pattern are personal data, by the estimated priors and reliabilities."""
     if not counts:
         return {}
     prior, chance = fit_reliabilities(counts)
-    keys = sorted(counts)
-    n = np.array([counts[k] for k in keys], float)
-    x = np.array([_features(*k) for k in keys])
-    y = []
-    for kind, vote in keys:
+    out = {}
+    for kind, vote in counts:
         a = np.log([1 - prior[kind], prior[kind]])
         for j, v in enumerate(vote):
             a = a + np.log(chance[j][:, "-0+".index(v)])
-        y.append(1 / (1 + np.exp(a[0] - a[1])))
-    y = np.array(y)
-    w = np.zeros(x.shape[1])
+        out[kind, vote] = float(1 / (1 + np.exp(a[0] - a[1])))
+    return out
+
+
+def fit_classifier(features: list[list[int]], labels: list[float], decay: float = 1.0, steps: int = 2000) -> np.ndarray:
+    """Weights of a logistic regression with a ridge penalty on soft labels, by accelerated gradient steps with restarts."""
+    w = np.zeros(BUCKETS)
+    if not features:
+        return w
+    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    col = np.concatenate([np.asarray(f, np.int64) for f in features])
+    y = np.asarray(labels)
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return np.bincount(row, v[col], len(y))
+
+    v, norm = np.ones(BUCKETS), 1.0
+    for _ in range(30):
+        v = np.bincount(col, times(v)[row], BUCKETS)
+        norm = float(np.linalg.norm(v)) or 1.0
+        v /= norm
+    step = 1 / (0.25 * 1.05 * norm + decay)
+    at, momentum = w.copy(), 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (n * (y - p)) - decay * w
-        bend = (x * (n * p * (1 - p))[:, None]).T @ x + decay * np.eye(len(w))
-        step = np.linalg.solve(bend, slope)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    return dict(zip(keys, p.tolist()))
+        p = 1 / (1 + np.exp(-np.clip(times(at), -50, 50)))
+        slope = np.bincount(col, (p - y)[row], BUCKETS) + decay * at
+        new = at - step * slope
+        if np.abs(slope).max() < 1e-6:
+            return new
+        if float(slope @ (new - w)) > 0:  # uphill: start anew from here
+            momentum = 1.0
+        faster = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        at, w, momentum = new + (momentum - 1) / faster * (new - w), new, faster
+    return w
 
 
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: dict | None = None, text_as: str | None = None) -> DataFrame:
-    """base (array of start, end, kind) and more (array of kind, start, end, votes) of every row; `keep` adds columns of docs, text_as the text."""
+    """base (array of start, end, kind) and more (array of kind, start, end, votes, features) of every row; `keep` adds columns of docs, text_as the text."""
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
-    wide = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("votes", pa.string())])
+    wide = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))])
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         base, more = [], []
         for text in texts_of(part, "text"):
             spans = base_spans(text)
             base.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
-            more.append([{"start": s, "end": e, "kind": k, "votes": v} for k, s, e, v in candidate_spans(text, spans)])
+            more.append([{"start": s, "end": e, "kind": k, "votes": v, "features": f} for k, s, e, v, f in candidate_spans(text, spans)])
         names = [x for x in part.schema.names if x != "text"]
         whole = [part.column("text")] if text_as else []
         return pa.RecordBatch.from_arrays([*[part.column(x) for x in names], *whole, pa.array(base, pa.list_(span)), pa.array(more, pa.list_(wide))], [*names, *[text_as] * len(whole), "base", "more"])
@@ -285,17 +314,28 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = pick(docs, doc_id=id_col, text=F.col(text_col).cast("string"), **(keep or {}))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "text")
     fields += f", `{text_as}` string" if text_as else ""
-    return map_slices(slim, "text", run, f"{fields}, base array<struct<start:long,end:long,kind:string>>, more array<struct<start:long,end:long,kind:string,votes:string>>")
+    return map_slices(slim, "text", run, f"{fields}, base array<struct<start:long,end:long,kind:string>>, more array<struct<start:long,end:long,kind:string,votes:string,features:array<int>>>")
+
+
+def train(found: DataFrame, most_spans: int = MOST_SPANS) -> np.ndarray:
+    """The span classifier's weights from staged rows of find_candidates: votes of all, features of at most `most_spans` candidates."""
+    each = found.select("doc_id", F.explode("more").alias("c"))
+    patterns = each.groupBy(F.col("c.kind").alias("kind"), F.col("c.votes").alias("votes")).agg(F.count(F.lit(1)).alias("n"))
+    labels = soft_labels({(r["kind"], r["votes"]): r["n"] for r in patterns.collect()})  # at most kinds x 3 ** labelers rows
+    if not labels:
+        return fit_classifier([], [])
+    place = F.xxhash64("doc_id", "c.start", "c.kind")
+    some = each.orderBy(place, "doc_id", "c.start", "c.kind", "c.votes", "c.features").limit(most_spans).select("c.kind", "c.votes", "c.features").collect()
+    return fit_classifier([r["features"] for r in some], [labels[r["kind"], r["votes"]] for r in some])
 
 
-def find_personal_data(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", keep: dict | None = None, text_as: str | None = None) -> DataFrame:
+def find_personal_data(docs: DataFrame, threshold: float = 0.5, most_spans: int = MOST_SPANS, id_col: str = "doc_id", text_col: str = "text", keep: dict | None = None, text_as: str | None = None) -> DataFrame:
     """Every row's base spans and spans (base and added, by start), as arrays of (start, end, kind)."""
     kept = [*(keep or {}), *([text_as] if text_as else [])]
     found = stage(find_candidates(docs, id_col, text_col, keep, text_as), "pii-candidates")
-    patterns = found.select(F.explode("more").alias("c")).groupBy(F.col("c.kind").alias("kind"), F.col("c.votes").alias("votes")).agg(F.count(F.lit(1)).alias("n"))
-    counts = {(r["kind"], r["votes"]): r["n"] for r in patterns.collect()}  # at most kinds x 3 ** labelers rows
-    good = [f"{kind}{vote}" for (kind, vote), p in fit_classifier(counts).items() if p >= threshold]
-    chosen = F.filter("more", lambda c: F.concat(c["kind"], c["votes"]).isin(good) if good else F.lit(False))
+    weights = F.lit(train(found, most_spans))
+    least = float(np.log(threshold / (1 - threshold)))
+    chosen = F.filter("more", lambda c: F.aggregate(c["features"], F.lit(0.0), lambda sum_, x: sum_ + F.get(weights, x)) >= least)
     added = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
     return found.select("doc_id", *kept, "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
