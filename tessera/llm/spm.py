@@ -31,8 +31,9 @@ from tessera.llm.common import KEPT, map_slices, pick, texts_of
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Most new (and most older) chunks that a worker remembers.
+#: Most new (and most older) chunks that a worker remembers, and the longest of them: texts without spaces are one chunk.
 REMEMBERED = 150_000
+LONGEST = 64
 #: For character classes: Latin letters, and ASCII signs, digits and controls; many vocabularies hold no piece in which
 #: one of the second follows one of the first.
 LETTERS = r"A-Za-zÀ-ÖØ-öø-ɏ"
@@ -47,13 +48,16 @@ def public_path(name: str = MODEL) -> str:
 
 class Memo(dict):
     """A dict that computes what it lacks. It holds at most `most` new entries and as many older ones; when the new are
-    full they become the older, so what is used often stays and memory stays bounded."""
+    full they become the older, so what is used often stays and memory stays bounded. Texts of more than `longest`
+    characters are computed each time."""
 
-    def __init__(self, function, most: int):
+    def __init__(self, function, most: int, longest: int | None = None):
         super().__init__()
-        self.function, self.most, self.older = function, most, {}
+        self.function, self.most, self.longest, self.older = function, most, longest, {}
 
     def __missing__(self, key):
+        if self.longest is not None and len(key) > self.longest:
+            return self.function(key)
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
@@ -103,7 +107,7 @@ class Codec:
         self.many, self.lengths = len(self.pieces), [len(p) for p in self.pieces]
         self.fits = Memo(lambda pair: self._fit(*divmod(pair, self.many)), REMEMBERED)
         self.halves = Memo(self._halves, REMEMBERED)
-        self.chunk_ids = Memo(self._chunk_bytes, REMEMBERED)
+        self.chunk_ids = Memo(self._chunk_bytes, REMEMBERED, LONGEST)
         self.piece_bytes = [b""] * len(self.pieces)
         for i, p in enumerate(self.pieces):
             if self.kinds[i] == kinds.BYTE:
