@@ -18,6 +18,7 @@ severity 0; repeated rows are scored alike; an empty table gives an empty result
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -26,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_slices, pick, texts_of
-from tessera.llm.spm import REMEMBERED, Memo
+from tessera.llm.common import KEPT, map_slices, pick, texts_of
+from tessera.llm.spm import LONGEST, REMEMBERED, Memo
 
 WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 20
@@ -196,12 +197,25 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, least: in
     return learn(list(rows), list(repeats), [r["length"] for r in found], toxic, least, widest)
 
 
+_MEMORY: dict[str, Memo] = {}
+KEPT["severity"] = _MEMORY.clear
+
+
+def word_memory(name: str, weights: dict[int, float]) -> Memo:
+    """The weighed buckets of the words that this worker has met for a model; only the last model's are kept."""
+    if name not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[name] = Memo(lambda w: tuple(b for b in features_of(w) if b in weights), REMEMBERED, LONGEST)
+    return _MEMORY[name]
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, grade, expected_severity and toxic of every row."""
     weights = model.weights
+    name = uuid.uuid4().hex  # of this model's memory in a worker, which serves one task after the other
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        memo = Memo(lambda w: tuple(b for b in features_of(w) if b in weights), REMEMBERED)
+        memo = word_memory(name, weights)
         sums, evidence = [], []
         for text in texts_of(part, "text"):
             seen = {b for w in set(words_of(text)) for b in memo[w]}
@@ -216,7 +230,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     slim = pick(docs, doc_id=id_col, text=F.col(text_col).cast("string"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return map_slices(slim, "text", run, f"doc_id {kind}, grade int, expected_severity double, toxic boolean")
+    return map_slices(slim, "text", run, f"doc_id {kind}, grade int, expected_severity double, toxic boolean", uses="severity")
 
 
 def op9_ordinal_severity(spark, sf_dir: str) -> DataFrame:
