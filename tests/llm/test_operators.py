@@ -1,6 +1,7 @@
 """The corpus operators against plain versions, with the hard cases: nulls, empties, ties, repeats, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -211,30 +212,50 @@ def test_shards_of_nothing(empty):
 
 
 def plain_topk(rows, k, every):
-    sound = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    sound = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for a, (i, v) in enumerate(sound):
-        if i % every == 0:
-            scored = sorted((-sum(x * y for x, y in zip(v, w)), j) for b, (j, w) in enumerate(sound) if b != a and len(w) == len(v))
-            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
-    return sorted(out)
+        if i is not None and i % every == 0:
+            scored = sorted((-sum(x * y for x, y in zip(v, w)), j is None, j or 0) for b, (j, w) in enumerate(sound) if b != a and len(w) == len(v))
+            out += [(i, r + 1, None if n else j, -s) for r, (s, n, j) in enumerate(scored[:k])]
+    return sorted(out, key=str)
+
+
+def as_stored(rows):
+    return [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
 
 
 @pytest.mark.parametrize("shard_rows", [16, 1 << 15])
 def test_topk(spark, shard_rows):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=6).round(1).tolist()) for i in range(150)]
-    rows += [(20, rows[20][1]), (7, rows[7][1]), (200, None), (201, []), (202, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (203, [float("nan")] * 6), (204, [float("inf")] * 6), (None, [1.0] * 6), (205, [1.0, 2.0]), (220, [2.0, 2.0])]
-    df = spark.createDataFrame([(i, v, 5) for i, v in rows], "vec_id long, embedding array<float>, score int").repartition(4)
-    as_floats = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
-    assert sorted(map(tuple, topk.top_k(df, k=9, every=20, shard_rows=shard_rows).collect())) == plain_topk(as_floats, 9, 20)
+    rows += [(20, rows[20][1]), (7, rows[7][1]), (200, None), (201, []), (202, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (203, [float("nan")] * 6), (204, [float("inf")] * 6), (None, [1.0] * 6), (None, rows[20][1]), (205, [1.0, 2.0]), (220, [2.0, 2.0]), (240, []), (242, [])]
+    df = spark.createDataFrame([(i, v, 5, "x", 9) for i, v in rows], "vec_id long, embedding array<float>, score int, block string, uid int").repartition(4)
+    want = plain_topk(as_stored(rows), 9, 20)
+    assert sorted(map(tuple, topk.top_k(df, k=9, every=20, shard_rows=shard_rows).collect()), key=str) == want
     assert topk.top_k(df.limit(0)).collect() == []
 
 
+def test_waves_of_shards(spark, monkeypatch):
+    """Many shards in clusters, small blocks and slices: later waves are pruned, and nothing is lost."""
+    monkeypatch.setattr(topk, "BLOCK", 3)
+    monkeypatch.setattr(topk, "SLICE", 2)
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=4) * 0.3 + (i // 40) * (1 if i % 80 < 40 else -1)).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = topk.top_k(df, k=5, every=10, shard_rows=40)
+    assert sorted(map(tuple, got.collect()), key=str) == plain_topk(as_stored(rows), 5, 10)
+
+
 def test_too_large_components(spark):
-    df = spark.createDataFrame([(i, [1e15, 1.0]) for i in range(4)], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="too large"):
-        topk.top_k(df).collect()
+    rng = random.Random(5)
+    values = [1e15, -1e15, 2.0**53 + 2, 3e8, -7e8, 1.0, -0.01, 0.3, 12345678901.25]
+    rows = [(i, [rng.choice(values) for _ in range(3)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    within = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    for shard_rows in (7, 1 << 15):
+        got = {(r["query_id"], r["rank"]): r["score"] for r in topk.top_k(df, k=39, every=4, shard_rows=shard_rows).collect()}
+        assert got == {(q, r): within(s) for q, r, _, s in plain_topk(rows, 39, 4)}
 
 
 # -- sentencepiece -----------------------------------------------------------------------------------------------------
