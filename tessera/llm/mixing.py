@@ -71,19 +71,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mix itself: the rows of docs, once for every whole epoch, and the first words of those that the cut parts.
 
-    Documents without words have nothing to be taken and are not in the mix.
+    Documents without words have nothing to be taken and are not in the mix; all other columns of docs come along
+    unchanged, whatever their names, but n_chars, which follows the text.
     """
-    rows = stage(docs.withColumn("_uid", F.monotonically_increasing_id()), "mix-documents")
-    taken = stage(mix(rows, weights, most, seed, keep={"_uid": rows["_uid"]}).filter("taken > 0").select(F.col("_uid").alias("_taken_uid"), F.col("size").alias("_size"), F.col("taken").alias("_taken")), "mix-taken")
+    kept = [docs[c].alias(f"_keep_{c}") for c in docs.columns]
+    rows = stage(docs.select(*kept, F.monotonically_increasing_id().alias("_uid")), "mix-documents")
+    found = mix(rows, weights, most, seed, id_col="_keep_doc_id", text_col="_keep_text", source_col="_keep_source", keep={"_uid": rows["_uid"]})
+    taken = stage(found.filter("taken > 0").select(F.col("_uid").alias("_taken_uid"), F.col("size").alias("_size"), F.col("taken").alias("_taken")), "mix-taken")
     # texts move by one shuffle at any size, not by a broadcast while the taken rows are few
     met = rows.join(taken.hint("merge"), F.col("_uid") == F.col("_taken_uid"))
     met = met.withColumn("_whole", F.expr("_taken div _size")).withColumn("_part", F.expr("_taken % _size").cast("int"))
     each = met.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_whole") + F.when(F.col("_part") > 0, 1).otherwise(0)).cast("int"))))
-    pieces = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    cut = F.when(F.col("_copy") <= F.col("_whole"), F.col("text")).otherwise(F.array_join(F.slice(pieces, 1, F.greatest(F.col("_part"), F.lit(1))), ""))
-    out = each.withColumn("text", cut)
-    out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-    return out.select(*docs.columns)
+    pieces = F.regexp_extract_all("_keep_text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    cut = F.when(F.col("_copy") <= F.col("_whole"), F.col("_keep_text")).otherwise(F.array_join(F.slice(pieces, 1, F.greatest(F.col("_part"), F.lit(1))), ""))
+    out = each.withColumn("_keep_text", cut)
+    out = out.withColumn("_keep_n_chars", F.length("_keep_text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return out.select(*[F.col(f"_keep_{c}").alias(c) for c in docs.columns])
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
