@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import html_text, mixing, pii, quality, sharding, simhash, spm, suffix_dedup, topk, toxicity
 
@@ -518,6 +519,17 @@ def test_mixed_documents(docs, rows):
     assert all(r["text"] in texts or any((t or "").startswith(r["text"]) for t in texts) for r in out)
 
 
+def test_mix_keeps_clashing_columns(spark, docs):
+    names = ["_uid", "_taken_uid", "_taken", "_size", "_whole", "_part", "_copy", "_key", "_row", "_before_all", "_first", "taken", "budget", "target", "source_size", "_keep_text"]
+    plain = docs.select("doc_id", "text", "source", "n_chars").filter("doc_id is not null").dropDuplicates(["doc_id"])
+    wide = plain.select("*", *[(F.col("doc_id") * 100 + i).alias(c) for i, c in enumerate(names)])
+    out = collected(mixing.mixed_documents(wide))
+    assert out and mixing.mixed_documents(wide).columns == wide.columns
+    assert all(r[c] == r["doc_id"] * 100 + i for r in out for i, c in enumerate(names))
+    key = lambda r: (r["doc_id"], r["text"], r["n_chars"])
+    assert sorted(map(key, out)) == sorted(map(key, collected(mixing.mixed_documents(plain))))
+
+
 # -- toxicity ----------------------------------------------------------------------------------------------------------
 
 
