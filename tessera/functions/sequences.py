@@ -69,6 +69,15 @@ def kmer_code(s: Column, k: int, alphabet: str = "ACGT") -> Column:
     return F.when(bad | (F.length(s) != k), F.lit(-1)).otherwise(value)
 
 
+def kmer_codes(s: Column, k: int, alphabet: str = "ACGT") -> Column:
+    """The codes of the k-mers at all positions of a string, as an array; linear in its length: k shifted digit arrays are zipped."""
+    digits = F.transform(F.split(s, ""), lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("long"))
+    out = digits
+    for shift in range(1, k):
+        out = F.zip_with(out, F.slice(digits, shift + 1, F.length(s)), lambda v, d: F.when((v < 0) | (d < 0), F.lit(-1).cast("long")).otherwise(v * len(alphabet) + d))
+    return F.slice(out, 1, F.greatest(F.length(s) - k + 1, F.lit(0)))
+
+
 def kmer_of(code: Column, k: int, alphabet: str = "ACGT") -> Column:
     n = len(alphabet)
     return F.concat(*[F.substr(F.lit(alphabet), (F.floor(code / n**i) % n + 1).cast("int"), F.lit(1)) for i in range(k - 1, -1, -1)])

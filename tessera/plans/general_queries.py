@@ -16,11 +16,10 @@ def join_equi(spark, d):
     return met.groupBy("o_orderpriority", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("join_outer", "SELECT c_custkey, s_suppkey, c_nationkey AS nation FROM (SELECT * FROM customer WHERE c_custkey <= 40) c FULL JOIN (SELECT * FROM supplier WHERE s_suppkey > 20 AND s_suppkey <= 60) s ON c_custkey = s_suppkey")
+@query("join_outer", "SELECT c_custkey, s_suppkey, c_nationkey AS nation FROM customer FULL JOIN supplier ON c_custkey = 20 * s_suppkey")
 def join_outer(spark, d):
-    c = table(spark, d, "customer").filter("c_custkey <= 40")
-    s = table(spark, d, "supplier").filter("s_suppkey > 20 and s_suppkey <= 60")
-    return c.join(s, F.col("c_custkey") == F.col("s_suppkey"), "full").select("c_custkey", "s_suppkey", F.col("c_nationkey").alias("nation"))
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    return c.join(s, F.col("c_custkey") == 20 * F.col("s_suppkey"), "full").select("c_custkey", "s_suppkey", F.col("c_nationkey").alias("nation"))
 
 
 @query("join_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
@@ -121,11 +120,13 @@ def string_scalars(spark, d):
     return table(spark, d, "pages").select("page_id", sq.root(u).alias("root"), sq.shortest_root(u).alias("short_root"), sq.basename(u).alias("base"), sq.remove_whitespace(u).alias("tight"), sq.index_of(u, "/").cast("long").alias("slash"), sq.starts_with(u, "https").alias("secure"), sq.ends_with(u, "/").alias("folder"), F.upper(u).alias("big"))
 
 
-@query("kmer_codes", """WITH k AS (SELECT doc_id, translate(substr(lower(text), 1, 4), 'aeion', 'ACGTT') AS w FROM documents)
-SELECT doc_id, CASE WHEN length(w) = 4 AND regexp_full_match(w, '[ACGT]{4}') THEN (strpos('ACGT', substr(w, 1, 1)) - 1) * 64 + (strpos('ACGT', substr(w, 2, 1)) - 1) * 16 + (strpos('ACGT', substr(w, 3, 1)) - 1) * 4 + strpos('ACGT', substr(w, 4, 1)) - 1 ELSE -1 END AS code FROM k""")
+@query("kmer_codes", """WITH c AS (SELECT doc_id, string_split(translate(lower(text), 'aeion', 'ACGTT'), '') AS l FROM documents),
+d AS (SELECT doc_id, strpos('ACGT', unnest(l)) - 1 AS x, generate_subscripts(l, 1) AS i FROM c),
+k AS (SELECT x AS a, lead(x, 1) OVER w AS b, lead(x, 2) OVER w AS c, lead(x, 3) OVER w AS d FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT CASE WHEN least(a, b, c, d) < 0 THEN -1 ELSE 64 * a + 16 * b + 4 * c + d END AS code, count(*) AS n FROM k WHERE d IS NOT NULL GROUP BY 1""")
 def kmer_codes(spark, d):
-    w = F.translate(F.substring(F.lower("text"), 1, 4), "aeion", "ACGTT")
-    return table(spark, d, "documents").select("doc_id", sq.kmer_code(w, 4).cast("long").alias("code"))
+    codes = sq.kmer_codes(F.translate(F.lower("text"), "aeion", "ACGTT"), 4)
+    return table(spark, d, "documents").select(F.explode(codes).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("conversation_turns", """SELECT conv_id, count(*) AS turns, max(turn) AS last, string_agg(role, '>' ORDER BY turn) AS path FROM conversations GROUP BY conv_id""")

@@ -111,11 +111,13 @@ def dedupe_apply(spark, d):
     return tuples.apply_once(views.columns(spark, d).select("aln", "pos", "col"), "col", compute).select("aln", "pos", "bases", "name")
 
 
-@query("alignment_diff", f"""WITH {TUPLES}, a AS (SELECT aln, pos, col FROM cols WHERE pos <= 3), b AS (SELECT aln, pos, translate(col, 'L', 'H') AS col FROM cols WHERE pos >= 2 AND pos <= 4)
-SELECT aln, pos, a.col AS first, b.col AS second FROM a FULL JOIN b USING (aln, pos) WHERE a.col IS DISTINCT FROM b.col""")
+@query("alignment_diff", f"""WITH {TUPLES}, b AS (SELECT aln, pos, translate(col, 'L', 'H') AS col FROM cols WHERE left(col, 1) <> 'R' UNION ALL SELECT aln, max(pos) + 1, 'NNN' FROM cols GROUP BY aln)
+SELECT aln, pos, a.col AS first, b.col AS second FROM cols a FULL JOIN b USING (aln, pos) WHERE a.col IS DISTINCT FROM b.col""")
 def alignment_diff(spark, d):
+    """Against an edited version: one letter replaced, the columns of returned lines gone, a column added at each end."""
     c = views.columns(spark, d).select("aln", "pos", "col")
-    return tuples.difference(c.filter("pos <= 3"), c.filter("pos >= 2 and pos <= 4").withColumn("col", F.translate("col", "L", "H")))
+    ends = c.groupBy("aln").agg((F.max("pos") + 1).cast("int").alias("pos")).withColumn("col", F.lit("NNN"))
+    return tuples.difference(c, c.filter("left(col, 1) <> 'R'").withColumn("col", F.translate("col", "L", "H")).unionByName(ends))
 
 
 @query("concat_alignments", f"WITH {TUPLES}, e AS (SELECT aln, max(pos) AS m FROM cols GROUP BY aln) SELECT aln, pos, col FROM cols UNION ALL SELECT aln, pos + m, col FROM cols JOIN e USING (aln)")
@@ -124,7 +126,7 @@ def concat_alignments(spark, d):
     return tuples.concatenate(c, c)
 
 
-@query("permute_columns")
+@query("permute_columns", f"WITH {TUPLES} SELECT aln, col, cat, row_number() OVER (PARTITION BY aln ORDER BY md5('7:' || aln || ':' || pos), pos) AS pos FROM cols")
 def permute_columns(spark, d):
     return tuples.permute_columns(views.columns(spark, d), 7)
 
@@ -252,12 +254,32 @@ def hmm_viterbi_score(spark, d):
     return hmm.best_path(emissions(spark, d), CHAIN, size=64).groupBy("seq").agg(F.round(F.max("score"), 5).alias("score"))
 
 
-@query("hmm_viterbi")
+@query("hmm_viterbi", f"""WITH RECURSIVE {SYMBOLS}, e AS (SELECT seq, pos, {EMISSION_SQL} AS e FROM symbols),
+f AS (SELECT seq, pos, log2(0.6) + e[1] AS a, log2(0.4) + e[2] AS b, 0 AS from_a, 0 AS from_b FROM e WHERE pos = 1
+UNION ALL SELECT e.seq, e.pos, greatest(f.a + log2(0.9), f.b + log2(0.2)) + e.e[1], greatest(f.a + log2(0.1), f.b + log2(0.8)) + e.e[2],
+CASE WHEN f.a + log2(0.9) >= f.b + log2(0.2) THEN 0 ELSE 1 END, CASE WHEN f.a + log2(0.1) >= f.b + log2(0.8) THEN 0 ELSE 1 END
+FROM f JOIN e ON e.seq = f.seq AND e.pos = f.pos + 1),
+t AS (SELECT seq, pos, CASE WHEN a >= b THEN 0 ELSE 1 END AS state, round(greatest(a, b), 5) AS score, from_a, from_b FROM f JOIN (SELECT seq, max(pos) AS pos FROM symbols GROUP BY seq) USING (seq, pos)
+UNION ALL SELECT f.seq, f.pos, CASE WHEN t.state = 0 THEN t.from_a ELSE t.from_b END, t.score, f.from_a, f.from_b FROM t JOIN f ON f.seq = t.seq AND f.pos = t.pos - 1)
+SELECT seq, pos, state, score FROM t""")
 def hmm_viterbi(spark, d):
-    return hmm.best_path(emissions(spark, d), CHAIN, size=64)
+    return hmm.best_path(emissions(spark, d), CHAIN, size=64).withColumn("score", F.round("score", 5))
 
 
-@query("hmm_posterior")
+def both_ways(last: str) -> str:
+    """Scores f from the left (sums of a and b) and g from the right of every row, for the model above."""
+    log_sum = lambda x, y: f"greatest({x}, {y}) + log2(1 + pow(2, -abs(({x}) - ({y}))))"
+    return f"""f AS (SELECT seq, pos, log2(0.6) + e[1] AS a, log2(0.4) + e[2] AS b FROM e WHERE pos = 1
+UNION ALL SELECT e.seq, e.pos, {log_sum("f.a + log2(0.9)", "f.b + log2(0.2)")} + e.e[1], {log_sum("f.a + log2(0.1)", "f.b + log2(0.8)")} + e.e[2]
+FROM f JOIN e ON e.seq = f.seq AND e.pos = f.pos + 1),
+g AS (SELECT seq, pos, e, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM e JOIN (SELECT seq, max(pos) AS pos FROM e GROUP BY seq) USING (seq, pos)
+UNION ALL SELECT e.seq, e.pos, e.e, {log_sum("log2(0.9) + g.e[1] + g.a", "log2(0.1) + g.e[2] + g.b")}, {log_sum("log2(0.2) + g.e[1] + g.a", "log2(0.8) + g.e[2] + g.b")}
+FROM g JOIN e ON e.seq = g.seq AND e.pos = g.pos - 1)
+{last}"""
+
+
+@query("hmm_posterior", f"""WITH RECURSIVE {SYMBOLS}, e AS (SELECT seq, pos, {EMISSION_SQL} AS e FROM symbols),
+{both_ways("SELECT seq, pos, round(1 / (1 + pow(2, f.b + g.b - f.a - g.a)), 6) AS p0 FROM f JOIN g USING (seq, pos)")}""")
 def hmm_posterior(spark, d):
     return hmm.posterior(emissions(spark, d), CHAIN, size=64).select("seq", "pos", F.round(F.col("posterior")[0], 6).alias("p0"))
 
@@ -276,9 +298,9 @@ def sequence_lengths(spark, d):
     return tuples.sequence_lengths(views.columns(spark, d), 3)
 
 
-@query("strip_missing", f"WITH {TUPLES} SELECT aln, pos, col FROM cols WHERE length(translate(substr(col, 2, 2), 'N*', '')) > 0 AND aln % 7 = 1")
+@query("strip_missing", f"WITH {TUPLES} SELECT aln, pos, col FROM cols WHERE length(translate(substr(col, 2, 2), 'N*', '')) > 0")
 def strip_missing(spark, d):
-    return tuples.strip_missing(views.columns(spark, d), 0).filter("aln % 7 = 1").select("aln", "pos", "col")
+    return tuples.strip_missing(views.columns(spark, d), 0).select("aln", "pos", "col")
 
 
 @query("shorten_context", f"WITH {PAIRS} SELECT right(tuple, 3) AS tuple, count(*) AS cnt FROM k GROUP BY 1")
