@@ -199,8 +199,9 @@ def expand(counts: DataFrame) -> DataFrame:
 
 
 def permute_columns(columns: DataFrame, seed: int, by: Sequence[str] = ("aln",)) -> DataFrame:
-    """Columns in a seeded random order inside each alignment."""
-    w = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), "pos"), "pos")
+    """Columns in a seeded random order inside each alignment: that of the MD5 of seed, alignment and position."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*by, "pos")]).cast("binary"))
+    w = Window.partitionBy(*by).orderBy(key, "pos")
     return columns.withColumn("pos", F.row_number().over(w))
 
 

@@ -105,20 +105,27 @@ def nearest_code(spark, d):
     return e.select("vec_id", nearest("embedding").alias("code"))
 
 
-@query("sample_k")
+@query("sample_k", "SELECT * FROM orders ORDER BY md5('11:' || o_orderkey), o_orderkey LIMIT 100")
 def sample_k(spark, d):
-    """A seeded uniform sample of 100 orders: the least 100 hashes."""
-    return table(spark, d, "orders").orderBy(F.xxhash64(F.lit(11), "o_orderkey"), "o_orderkey").limit(100)
+    """A seeded uniform sample of 100 orders: those with the least MD5 of seed and key."""
+    key = F.md5(F.concat(F.lit("11:"), F.col("o_orderkey").cast("string")).cast("binary"))
+    return table(spark, d, "orders").orderBy(key, "o_orderkey").limit(100)
 
 
-@query("bootstrap")
+CUTS = [float(c) for c in np.cumsum(ds.poisson(1.0)) if c < 1 - 1e-12]
+
+
+@query("bootstrap", f"""WITH u AS (SELECT rep, o_totalprice AS x, ('0x' || substr(md5(o_orderkey || ':' || rep), 1, 7))::BIGINT / 268435456.0::DOUBLE AS u FROM orders, range(200) r(rep)),
+w AS (SELECT rep, x, {" + ".join(f"CASE WHEN u > {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in CUTS)} AS w FROM u), m AS (SELECT rep, sum(w * x) / sum(w) AS m FROM w GROUP BY rep),
+s AS (SELECT avg(m) AS mean, stddev_samp(m) AS stdev, median(m) AS median, min(m) AS "min", max(m) AS "max", quantile_cont(m, 0.025) AS low95, quantile_cont(m, 0.975) AS high95, quantile_cont(m, 0.05) AS low90, quantile_cont(m, 0.95) AS high90 FROM m)
+SELECT stat, round(value, 4) AS value FROM (UNPIVOT s ON COLUMNS(*) INTO NAME stat VALUE value)""")
 def bootstrap(spark, d):
     """200 resamples of the mean order price by Poisson weights drawn from hashes, and their summary."""
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     spread = o.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(199))))
-    u = F.pmod(F.xxhash64("o_orderkey", "rep"), F.lit(1 << 30)) / float(1 << 30)
-    cuts = np.cumsum(ds.poisson(1.0))
-    weight = sum((u > float(c)).cast("int") for c in cuts[:8])
-    means = spread.withColumn("w", weight).groupBy("rep").agg((F.sum(F.col("w") * F.col("o_totalprice")) / F.sum("w")).alias("m"))
+    drawn = F.md5(F.concat_ws(":", F.col("o_orderkey").cast("string"), F.col("rep").cast("string")).cast("binary"))
+    u = F.conv(F.substring(drawn, 1, 7), 16, 10).cast("long") / float(1 << 28)
+    weight = sum((F.col("_u") > c).cast("int") for c in CUTS)
+    means = spread.withColumn("_u", u).withColumn("w", weight).groupBy("rep").agg((F.sum(F.col("w") * F.col("o_totalprice")) / F.sum("w")).alias("m"))
     s = ds.summary(np.array([r["m"] for r in means.collect()]))
     return spark.createDataFrame([(k, round(v, 4)) for k, v in s.items()], "stat string, value double")

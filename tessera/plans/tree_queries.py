@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.functions import distributions as ds
 from tessera.functions import models as md
 from tessera.operators import likelihood as lk
 from tessera.operators import trees, tuples
@@ -65,7 +66,26 @@ def model():
     return md.TreeModel.gamma(trees.parse(TREE), md.hky85(pi, 3.0), pi, 0.8, 4)
 
 
-@query("tree_loglik")
+#: The same model for the second engine, by the closed form of its transition chances: A and G, and C and T, have half of
+#: all bases each; the rates are the gamma classes' means.
+LIKELIHOOD = f"""cols AS (SELECT substr('ACGT', m + 1, 1) || substr('ACGT', CASE WHEN l_linenumber % 3 = 0 THEN (m + 1) % 4 ELSE m END + 1, 1) || substr('ACGT', CASE WHEN l_quantity > 35 THEN (m + 2) % 4 ELSE m END + 1, 1)
+|| CASE WHEN l_quantity < 3 THEN '-' ELSE substr('ACGT', CASE WHEN l_discount > 0.07 THEN (m + 1) % 4 ELSE m END + 1, 1) END AS col FROM (SELECT *, CAST(month(l_shipdate) % 4 AS INTEGER) AS m FROM lineitem)),
+tuples AS (SELECT col AS tuple, count(*) AS cnt FROM cols GROUP BY col),
+rates(rate) AS (VALUES {", ".join(f"({float(r)!r}::DOUBLE)" for r in ds.discrete_gamma(0.8, 4))}),
+bases(x, pi, kind) AS (VALUES ('A', 0.3::DOUBLE, 0), ('C', 0.2::DOUBLE, 1), ('G', 0.2::DOUBLE, 0), ('T', 0.3::DOUBLE, 1)),
+branches(branch, len) AS (VALUES ('a', 0.1::DOUBLE), ('b', 0.2::DOUBLE), ('ab', 0.05::DOUBLE), ('c', 0.3::DOUBLE), ('d', 0.1::DOUBLE), ('cd', 0.15::DOUBLE)),
+p AS (SELECT rate, branch, i.x AS i, j.x AS j, j.pi * (1 - exp(-t)) + CASE WHEN i.kind = j.kind THEN 2 * j.pi * (exp(-t) - exp(-2 * t)) ELSE 0 END + CASE WHEN i.x = j.x THEN exp(-2 * t) ELSE 0 END AS p
+FROM (SELECT rate, branch, len * rate / 1.22 AS t FROM rates, branches), bases i, bases j),
+leaf AS (SELECT rate, branch, i, j AS c, p FROM p UNION ALL SELECT DISTINCT rate, branch, i, '-', 1.0::DOUBLE FROM p),
+ab AS (SELECT tuple, a.rate, a.i, a.p * b.p AS p FROM tuples JOIN leaf a ON a.branch = 'a' AND a.c = substr(tuple, 1, 1) JOIN leaf b ON b.branch = 'b' AND b.c = substr(tuple, 2, 1) AND b.rate = a.rate AND b.i = a.i),
+cd AS (SELECT tuple, a.rate, a.i, a.p * b.p AS p FROM tuples JOIN leaf a ON a.branch = 'c' AND a.c = substr(tuple, 3, 1) JOIN leaf b ON b.branch = 'd' AND b.c = substr(tuple, 4, 1) AND b.rate = a.rate AND b.i = a.i),
+up_ab AS (SELECT tuple, p.rate, p.i, sum(p.p * ab.p) AS p FROM ab JOIN p ON p.branch = 'ab' AND p.rate = ab.rate AND p.j = ab.i GROUP BY ALL),
+up_cd AS (SELECT tuple, p.rate, p.i, sum(p.p * cd.p) AS p FROM cd JOIN p ON p.branch = 'cd' AND p.rate = cd.rate AND p.j = cd.i GROUP BY ALL),
+root AS (SELECT l.tuple, l.rate, l.i, pi * l.p * r.p AS p FROM up_ab l JOIN up_cd r USING (tuple, rate, i) JOIN bases ON x = l.i),
+whole AS (SELECT tuple, sum(p) AS p FROM root GROUP BY tuple)"""
+
+
+@query("tree_loglik", f"WITH {LIKELIHOOD} SELECT tuple, cnt, round(ln(p / 4), 8) AS loglik FROM tuples JOIN whole USING (tuple)")
 def tree_loglik(spark, d):
     return lk.score_tuples(counts(spark, d), NAMES, model()).withColumn("loglik", F.round("loglik", 8))
 
@@ -101,6 +121,6 @@ def fit_tree_model(spark, d):
 def conserved_elements(spark, d):
     from pyspark.sql import Window
 
-    rows = alignment(spark, d).withColumn("aln", F.col("aln") % 16)
+    rows = alignment(spark, d).withColumn("aln", F.expr("aln div 128"))
     rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("aln").orderBy("col")).cast("long"))
     return lk.conserved_posteriors(rows, NAMES, model(), length=20.0)[1]
