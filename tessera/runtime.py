@@ -35,10 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of the driver's own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else, in a local session, one of the driver's own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not _FALLBACK:
         _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
     return _FALLBACK[0]
@@ -84,6 +87,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def own(path: str) -> str:
+    """Have a folder deleted when the driver's process ends, as stage()'s are."""
+    _STAGED.append(path)
+    return path
+
+
 def unstage(df: DataFrame) -> None:
     """Delete what stage() wrote, once nothing reads it any more."""
     path = getattr(df, "_tessera_path", None)

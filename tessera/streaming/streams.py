@@ -58,8 +58,21 @@ def forward_filter(stream: DataFrame, model: Hmm, key: str, order: str, emission
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {order} {kinds[order]}, filtered array<double>", "v array<double>", "append", "NoTimeout")
 
 
-def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over all that is there now into a memory table (for small results and tests)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_once(stream: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over all that is there now and reads its result, which is written as Parquet and never passes the driver.
+
+    append: what the stream gives; complete: what it gives after its last batch.
+    """
+    if mode not in ("append", "complete"):
+        raise ValueError(f"mode {mode} gives no one result")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", path)
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    writer.start().awaitTermination()
+    spark = stream.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):  # not one batch
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(path)
