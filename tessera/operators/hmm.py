@@ -267,19 +267,64 @@ def log_likelihood(rows: DataFrame, model: Hmm, by: Sequence[str] = ("seq",), si
     return borders.filter("chunk = 0").select(*by, F.col("total").alias("loglik"))
 
 
+def _alike(batches: Iterator[pd.DataFrame], n: int, most: int = 1 << 22) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks of one length side by side, in bounded parts: their rows, emissions (chunks x length x states), which are first ones, enter and leave."""
+    for pdf in batches:
+        lengths = pdf["places"].map(len).to_numpy()
+        for length in np.unique(lengths):
+            some = pdf[lengths == length]
+            step = max(1, most // (length * n * n))
+            for at in range(0, len(some), step):
+                part = some.iloc[at : at + step]
+                wide = [np.stack(part[c].to_numpy()) for c in ("scores", "enter", "leave")]
+                yield part, wide[0].reshape(len(part), length, n), part["chunk"].to_numpy() == 0, wide[1], wide[2]
+
+
+def _forward_many(model: Hmm, e: np.ndarray, first: np.ndarray, enter: np.ndarray) -> np.ndarray:
+    t, b, _ = model.logs()
+    out = np.empty_like(e)
+    out[:, 0] = np.where(first[:, None], b[None], logsum(enter[:, :, None] + t[None], 1)) + e[:, 0]
+    for i in range(1, e.shape[1]):
+        out[:, i] = logsum(out[:, i - 1, :, None] + t[None], 1) + e[:, i]
+    return out
+
+
+def _backward_many(model: Hmm, e: np.ndarray, leave: np.ndarray) -> np.ndarray:
+    t, _, _ = model.logs()
+    out = np.empty_like(e)
+    out[:, -1] = leave
+    for i in range(e.shape[1] - 2, -1, -1):
+        out[:, i] = logsum(t[None] + (e[:, i + 1] + out[:, i + 1])[:, None, :], 2)
+    return out
+
+
+def _viterbi_many(model: Hmm, e: np.ndarray, first: np.ndarray, enter: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The best paths (chunks x length) that end in the given states; among equals the first predecessor wins."""
+    t, b, _ = model.logs()
+    back = np.zeros(e.shape, np.int32)
+    score = np.where(first[:, None], b[None], (enter[:, :, None] + t[None]).max(1)) + e[:, 0]
+    for i in range(1, e.shape[1]):
+        x = score[:, :, None] + t[None]
+        back[:, i] = x.argmax(1)
+        score = x.max(1) + e[:, i]
+    path = np.empty(e.shape[:2], np.int32)
+    rows, state = np.arange(len(e)), last
+    for i in range(e.shape[1] - 1, -1, -1):
+        path[:, i] = state
+        state = back[rows, i, state]
+    return path
+
+
 def _finish(rows: DataFrame, model: Hmm, by: Sequence[str], size: int, best: bool, function, schema: str) -> DataFrame:
+    """Rows of all chunks; function: columns (chunks x length) from what _alike gives."""
     chunks, borders = _pass(rows, model, by, size, best)
     met = chunks.join(borders, [*by, "chunk"])
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema if f.name in by)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                e = np.asarray(row["scores"], float).reshape(-1, model.n)
-                out = pd.DataFrame(function(row, e) | {"pos": np.asarray(row["places"])})
-                for k in by:
-                    out[k] = row[k]
-                yield out
+        for part, e, first, enter, leave in _alike(batches, model.n):
+            flat = {c: list(v.reshape(-1, *v.shape[2:])) if v.ndim > 2 else v.ravel() for c, v in function(part, e, first, enter, leave).items()}
+            yield pd.DataFrame({k: np.repeat(part[k].to_numpy(), e.shape[1]) for k in by} | {"pos": np.concatenate(part["places"].to_numpy())} | flat)
 
     return met.mapInPandas(run, f"{keys}, pos long, {schema}")
 
@@ -287,23 +332,21 @@ def _finish(rows: DataFrame, model: Hmm, by: Sequence[str], size: int, best: boo
 def posterior(rows: DataFrame, model: Hmm, by: Sequence[str] = ("seq",), size: int = CHUNK) -> DataFrame:
     """by, pos and posterior (array over states) of every row."""
 
-    def one(row: dict, e: np.ndarray) -> dict:
-        enter = None if row["chunk"] == 0 else np.asarray(row["enter"])
-        p = posteriors(forward(model, e, enter), backward(model, e, np.asarray(row["leave"])))
-        return {"posterior": list(p)}
+    def many(part, e, first, enter, leave) -> dict:
+        x = _forward_many(model, e, first, enter) + _backward_many(model, e, leave)
+        return {"posterior": np.exp2(x - logsum(x, 2)[:, :, None])}
 
-    return _finish(rows, model, by, size, False, one, "posterior array<double>").select(*by, "pos", "posterior")
+    return _finish(rows, model, by, size, False, many, "posterior array<double>").select(*by, "pos", "posterior")
 
 
 def best_path(rows: DataFrame, model: Hmm, by: Sequence[str] = ("seq",), size: int = CHUNK) -> DataFrame:
     """by, pos, state of the most probable path, and its score for the sequence."""
 
-    def one(row: dict, e: np.ndarray) -> dict:
-        enter = None if row["chunk"] == 0 else np.asarray(row["enter"])
-        path, _ = viterbi(model, e, enter, int(row["leave"][0]))
-        return {"state": path, "score": row["total"]}
+    def many(part, e, first, enter, leave) -> dict:
+        path = _viterbi_many(model, e, first, enter, leave[:, 0].astype(int))
+        return {"state": path, "score": np.repeat(part["total"].to_numpy()[:, None], e.shape[1], axis=1)}
 
-    return _finish(rows, model, by, size, True, one, "state int, score double").select(*by, "pos", "state", "score")
+    return _finish(rows, model, by, size, True, many, "state int, score double").select(*by, "pos", "state", "score")
 
 
 def expected_counts(rows: DataFrame, model: Hmm, by: Sequence[str] = ("seq",), size: int = CHUNK) -> tuple[np.ndarray, np.ndarray, float]:
@@ -314,18 +357,16 @@ def expected_counts(rows: DataFrame, model: Hmm, by: Sequence[str] = ("seq",), s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t, _, _ = model.logs()
         steps, begins, total = np.zeros((n, n)), np.zeros(n), 0.0
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                e = np.asarray(row["scores"], float).reshape(-1, n)
-                enter = None if row["chunk"] == 0 else np.asarray(row["enter"])
-                f, b = forward(model, e, enter), backward(model, e, np.asarray(row["leave"]))
-                before = f[:-1] if enter is None else np.vstack([enter[None], f[:-1]])
-                after = (e + b)[1:] if enter is None else e + b
-                if len(before):
-                    steps += np.exp2(before[:, :, None] + t[None] + after[:, None, :] - row["total"]).sum(0)
-                if enter is None:
-                    begins += posteriors(f[:1], b[:1])[0]
-                    total += row["total"]
+        for part, e, first, enter, leave in _alike(batches, n):
+            f, b = _forward_many(model, e, first, enter), _backward_many(model, e, leave)
+            sums = part["total"].to_numpy()
+            before = np.concatenate([enter[:, None, :], f[:, :-1]], axis=1)
+            each = np.exp2(before[:, :, :, None] + t[None, None] + (e + b)[:, :, None, :] - sums[:, None, None, None])
+            each[first, 0] = 0.0  # no step leads to a sequence's first row
+            steps += each.sum((0, 1))
+            x = f[first, 0] + b[first, 0]
+            begins += np.exp2(x - logsum(x, 1)[:, None]).sum(0) if len(x) else 0.0
+            total += float(sums[first].sum())
         yield pd.DataFrame({"at": np.arange(n * n + n + 1), "value": np.r_[steps.ravel(), begins, total]})
 
     sums = chunks.join(borders, [*by, "chunk"]).mapInPandas(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()

@@ -4,19 +4,22 @@ A feature frame has seqname, feature, start, end (1-based, both ends included),
 most operators need only seqname, start and end and pass other columns on. Overlap tests include both ends.
 
 Joins meet in position bins: a row is sent once to every bin that it touches, and a pair is kept only in the first bin
-that both touch, so nothing is compared across far positions and no pair comes twice. Merging works in two levels:
-islands inside (seqname, bin) first, whose rows are few, then islands of those; a seqname that holds a third of all
-rows is thus spread over its bins before its islands meet.
+that both touch, so nothing is compared across far positions and no pair comes twice. Merging and runs work in two levels:
+inside (seqname, bin) first; what goes on over a bin's border is then told by one row for each bin. A seqname that
+holds a third of all rows is thus spread over its bins, even where nothing merges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.runtime import stage
+
 BIN = 1 << 17
 
 Keys = Sequence[str]
@@ -142,7 +145,7 @@ def overlap_semi(left: DataFrame, right: DataFrame, row: str, by: Keys = ("seqna
 
 def inverse(feats: DataFrame, regions: DataFrame, by: Keys = ("seqname",)) -> DataFrame:
     """The parts of regions that no feature covers. A seqname of features without a region is an error of the caller: its rows have no place and give none."""
-    covered = merge_overlapping(overlap_fragments(feats.select(*by, "start", "end"), regions.select(*by, "start", "end"), by), by, adjacent=True)
+    covered = stage(merge_overlapping(overlap_fragments(feats.select(*by, "start", "end"), regions.select(*by, "start", "end"), by), by, adjacent=True), "covered")
     w = Window.partitionBy(*[f"r_{k}" for k in by], "r_start", "r_end").orderBy("start")
     inside = overlap_pairs(covered, regions.select(*by, "start", "end"), by)
     gaps = inside.withColumn("_prev", F.lag("end").over(w)).withColumn("_next", F.lead("start").over(w))
@@ -191,11 +194,38 @@ def _islands(df: DataFrame, by: Keys, gap: int, aggs: list[Column], bounds: tupl
     return numbered.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), *aggs).drop("_island")
 
 
+def _with(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df with the further columns of a frame that has a row for each of its keys; null keys meet too."""
+    right = other.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[c for c in other.columns if c not in keys])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    return df.join(right, same, "left").drop(*[f"_key{i}" for i in range(len(keys))])
+
+
+def _begun_before(flagged: DataFrame, by: Keys, name: str) -> DataFrame:
+    """by, _b and the place where the last new one of the earlier bins began."""
+    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    last = flagged.groupBy(*by, "_b").agg(F.max(F.when(F.col("_new"), F.col("start"))).alias("_last"))
+    return last.select(*by, "_b", F.max("_last").over(earlier).alias(name))
+
+
+def _merged(rows: DataFrame, by: Keys, gap: int, first: list[Column], again: list[Column], width: int) -> DataFrame:
+    """Islands of rows, found inside (key, bin) and then joined over the bins' borders.
+
+    A bin's islands that begin within the reach of all earlier bins belong to the island that reaches so far, which is the
+    last one that began before. So only one row for each bin is sorted by key, and a key's rows never come to one task.
+    """
+    local = stage(_islands(rows.withColumn("_b", F.expr(f"floor(start / {width})")), [*by, "_b"], gap, first), "islands")
+    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    reach = local.groupBy(*by, "_b").agg(F.max("end").alias("_end")).select(*by, "_b", F.max("_end").over(earlier).alias("_reach"))
+    flagged = _with(local, reach, [*by, "_b"]).withColumn("_new", F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + gap))
+    of = F.when(F.col("_new"), F.col("start")).otherwise(F.col("_from"))
+    met = _with(flagged, _begun_before(flagged, by, "_from"), [*by, "_b"]).withColumn("_island", of)
+    return met.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *again).drop("_island")
+
+
 def merge_overlapping(feats: DataFrame, by: Keys = ("seqname",), adjacent: bool = False, width: int = BIN) -> DataFrame:
     """by, start, end of the islands; adjacent rows merge only if asked for."""
-    gap = 1 if adjacent else 0
-    local = _islands(feats.select(*by, "start", "end").withColumn("_b", F.expr(f"floor(start / {width})")), [*by, "_b"], gap, [])
-    return _islands(local.drop("_b"), by, gap, [])
+    return _merged(feats.select(*by, "start", "end"), by, 1 if adjacent else 0, [], [], width)
 
 
 def merge_features(feats: DataFrame, by: Keys = ("seqname", "feature", "strand"), adjacent: bool = True, score: str = "sum", width: int = BIN) -> DataFrame:
@@ -203,22 +233,21 @@ def merge_features(feats: DataFrame, by: Keys = ("seqname", "feature", "strand")
 
     Null scores are left out of sums and means; the score is null only where all are.
     """
-    gap = 1 if adjacent else 0
-    part = feats.select(*by, "start", "end", F.col("score").cast("double").alias("score")).withColumn("_b", F.expr(f"floor(start / {width})"))
+    part = feats.select(*by, "start", "end", F.col("score").cast("double").alias("score"))
     weight = F.when(F.col("score").isNotNull(), length())
     first = [F.count(F.lit(1)).alias("n"), F.sum("score").alias("_sum"), F.min("score").alias("_min"), F.max("score").alias("_max"), F.sum(F.col("score") * length()).alias("_ws"), F.sum(weight).alias("_w")]
     again = [F.sum("n").alias("n"), F.sum("_sum").alias("_sum"), F.min("_min").alias("_min"), F.max("_max").alias("_max"), F.sum("_ws").alias("_ws"), F.sum("_w").alias("_w")]
-    merged = _islands(_islands(part, [*by, "_b"], gap, first).drop("_b"), by, gap, again)
+    merged = _merged(part, by, 1 if adjacent else 0, first, again, width)
     value = {"sum": F.col("_sum"), "min": F.col("_min"), "max": F.col("_max"), "mean": F.col("_ws") / F.col("_w")}[score]
     return merged.select(*by, "start", "end", "n", value.alias("score"))
 
 
 def merge_all(feats: DataFrame, width: int = BIN) -> DataFrame:
     """Overlapping rows of a seqname merged whatever their strand: differing strands become '.', differing frames null."""
-    part = feats.select("seqname", "start", "end", "score", "strand", "frame").withColumn("_b", F.expr(f"floor(start / {width})"))
+    part = feats.select("seqname", "start", "end", "score", "strand", "frame")
     aggs = [F.sum("score").alias("score"), F.min("strand").alias("_s0"), F.max("strand").alias("_s1"), F.min("frame").alias("_f0"), F.max("frame").alias("_f1")]
     again = [F.sum("score").alias("score"), F.min("_s0").alias("_s0"), F.max("_s1").alias("_s1"), F.min("_f0").alias("_f0"), F.max("_f1").alias("_f1")]
-    merged = _islands(_islands(part, ["seqname", "_b"], 0, aggs).drop("_b"), ["seqname"], 0, again)
+    merged = _merged(part, ["seqname"], 0, aggs, again, width)
     return merged.select("seqname", "start", "end", "score", F.when(F.col("_s0") == F.col("_s1"), F.col("_s0")).otherwise(".").alias("strand"), F.when(F.col("_f0") == F.col("_f1"), F.col("_f0")).alias("frame"))
 
 
@@ -318,23 +347,40 @@ def signals(cds: DataFrame, by: Keys) -> DataFrame:
 def threshold_runs(rows: DataFrame, by: Keys, at: str, value: str, limit: float, step: int | None = 1, width: int = BIN) -> DataFrame:
     """Runs of consecutive rows with value > limit: start, end, n and the SUM of values as the score.
 
-    step: positions count as consecutive if they differ by it; None: any next row of the key does. Runs are found inside
-    (key, bin) first and then joined over the bins' borders, where there are few.
+    step: positions count as consecutive if they differ by it; None: any next row of the key does.
     """
-    above = F.coalesce(F.col(value) > limit, F.lit(False))
-    tagged = rows.select(*by, F.col(at).alias("start"), F.col(at).alias("end"), F.lit(1).cast("long").alias("n"), F.col(value).alias("score"), above.alias("_above"), F.expr(f"floor({at} / {width})").alias("_bin"))
-    local = _join_runs(tagged, [*by, "_bin"], step)
-    return _join_runs(local.drop("_bin"), by, step).filter("_above").drop("_above")
+    return runs_where(rows, by, at, F.col(value) > limit, F.col(value), step, width)
 
 
-def _join_runs(runs: DataFrame, by: Keys, step: int | None) -> DataFrame:
-    """Neighbouring runs of the same side of the limit made one, where their positions are consecutive."""
-    w = Window.partitionBy(*by).orderBy("start")
-    apart = F.lag("_above").over(w).isNull() | (F.lag("_above").over(w) != F.col("_above"))
-    if step is not None:
-        apart = apart | (F.col("start") - F.lag("end").over(w) > step)
-    numbered = runs.withColumn("_new", apart.cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*by, "_above", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.sum("score").alias("score")).drop("_run")
+def runs_where(rows: DataFrame, by: Keys, at: str, test: Column, value: Column, step: int | None = 1, width: int = BIN) -> DataFrame:
+    """Runs of consecutive rows that pass a test (null fails): start, end, n and the sum of their values as the score."""
+    tagged = rows.select(*by, F.col(at).alias("start"), F.col(at).alias("end"), F.lit(1).cast("long").alias("n"), value.alias("score"), F.coalesce(test, F.lit(False)).alias("_label"))
+    return _runs(tagged, by, step, ["n", "score"], width).filter("_label").drop("_label")
+
+
+def _runs(tagged: DataFrame, by: Keys, step: int | None, sums: list[str], width: int) -> DataFrame:
+    """Neighbouring rows (start, end) of one _label made one, where their positions are consecutive, with sums of columns.
+
+    Runs are found inside (key, bin) first. The first one of a bin may go on from the last one of the bin before; it then belongs to
+    the last run that began in an earlier bin, so again only a row for each bin is sorted by key.
+    """
+    added = [F.sum(c).alias(c) for c in sums]
+    w = Window.partitionBy(*by, "_b").orderBy("start")
+
+    def apart(label: Column, end: Column) -> Column:
+        other = ~label.eqNullSafe(F.col("_label"))
+        return other if step is None else other | (F.col("start") - end > step)
+
+    first = F.row_number().over(w) == 1
+    binned = tagged.withColumn("_b", F.expr(f"floor(start / {width})"))
+    numbered = binned.withColumn("_n", (first | apart(F.lag("_label").over(w), F.lag("end").over(w))).cast("int")).withColumn("_run", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    local = stage(numbered.groupBy(*by, "_b", "_label", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), *added).drop("_run"), "runs")
+    ends = local.groupBy(*by, "_b").agg(F.min("start").alias("_first"), F.max_by(F.struct("_label", "end"), "start").alias("_last"))
+    before = ends.select(*by, "_b", "_first", F.lag("_last").over(Window.partitionBy(*by).orderBy("_b")).alias("_before"))
+    new = (F.col("start") != F.col("_first")) | F.col("_before").isNull() | apart(F.col("_before._label"), F.col("_before.end"))
+    flagged = _with(local, before, [*by, "_b"]).withColumn("_new", new)
+    met = _with(flagged, _begun_before(flagged, by, "_from"), [*by, "_b"]).withColumn("_run", F.when(F.col("_new"), F.col("start")).otherwise(F.col("_from")))
+    return met.groupBy(*by, "_label", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), *added).drop("_run")
 
 
 def label_positions(positions: DataFrame, feats: DataFrame, categories: DataFrame, by: Keys, at: str, width: int = BIN) -> DataFrame:
@@ -351,17 +397,9 @@ def label_positions(positions: DataFrame, feats: DataFrame, categories: DataFram
 
 
 def run_lengths(rows: DataFrame, by: Keys, at: str, label: str, width: int = BIN) -> DataFrame:
-    """Run-length encoding of labels along a key: label, start, end, n; inside (key, bin) first, then over the bins' borders."""
-
-    def joined(runs: DataFrame, keys: Keys) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy("start")
-        new = F.row_number().over(w) == 1
-        new = new | ~F.lag(label).over(w).eqNullSafe(F.col(label))
-        numbered = runs.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        return numbered.groupBy(*keys, label, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_run")
-
-    tagged = rows.select(*by, label, F.col(at).alias("start"), F.col(at).alias("end"), F.lit(1).cast("long").alias("n"), F.expr(f"floor({at} / {width})").alias("_bin"))
-    return joined(joined(tagged, [*by, "_bin"]).drop("_bin"), by)
+    """Run-length encoding of labels along a key: label, start, end, n."""
+    tagged = rows.select(*by, F.col(label).alias("_label"), F.col(at).alias("start"), F.col(at).alias("end"), F.lit(1).cast("long").alias("n"))
+    return _runs(tagged, by, None, ["n"], width).select(*by, F.col("_label").alias(label), "start", "end", "n")
 
 
 def fix_start_stop(feats: DataFrame, by: Keys) -> DataFrame:

@@ -19,6 +19,7 @@ from tessera.functions import models as md
 from tessera.functions.distributions import LEAST_P, chisq_cdf, half_chisq_cdf
 from tessera.functions.models import TreeModel
 from tessera.operators.trees import Node, copy, number
+from tessera.runtime import stage
 
 OPEN = "-*N"
 
@@ -442,8 +443,8 @@ def conserved_posteriors(columns: DataFrame, names: Sequence[str], model: TreeMo
     distinct = columns.select(F.col("col").alias("tuple")).distinct()
     scored = score_tuples(score_tuples(distinct, names, fast).withColumnRenamed("loglik", "_c"), names, model)
     scored = scored.select(F.col("tuple").alias("col"), F.array(F.col("_c") / np.log(2.0), F.col("loglik") / np.log(2.0)).alias("emission"))
-    rows = columns.join(scored, "col").select(*by, "pos", "emission")
+    rows = stage(columns.join(scored, "col").select(*by, "pos", "emission"), "emissions")
     post = hmm.posterior(rows, chain, by, size).select(*by, "pos", F.col("posterior")[0].alias("posterior"))
-    path = hmm.best_path(rows, chain, by, size).join(rows, [*by, "pos"]).filter("state = 0").withColumn("value", F.col("emission")[0] - F.col("emission")[1] + 1e6)
-    elements = intervals.threshold_runs(path, by, "pos", "value", 0.0).withColumn("score", F.col("score") - F.col("n") * 1e6)
+    path = hmm.best_path(rows, chain, by, size).join(rows, [*by, "pos"])
+    elements = intervals.runs_where(path, by, "pos", F.col("state") == 0, F.col("emission")[0] - F.col("emission")[1])
     return post, elements
