@@ -90,7 +90,13 @@ def tree_loglik(spark, d):
     return lk.score_tuples(counts(spark, d), NAMES, model()).withColumn("loglik", F.round("loglik", 8))
 
 
-@query("ancestral_posteriors")
+def _inner(node: str, here: str, branch: str, other: str) -> str:
+    return f"""SELECT {here}.tuple, '{node}' AS node, {here}.i AS base, sum(pi * p.p * {here}.p * o.p) AS p FROM {here} JOIN p ON p.branch = '{branch}' AND p.rate = {here}.rate AND p.j = {here}.i
+JOIN {other} o ON o.tuple = {here}.tuple AND o.rate = {here}.rate AND o.i = p.i JOIN bases ON x = p.i GROUP BY {here}.tuple, {here}.i"""
+
+
+@query("ancestral_posteriors", f"""WITH {LIKELIHOOD}, nodes AS (SELECT tuple, '0' AS node, i AS base, sum(p) AS p FROM root GROUP BY tuple, i UNION ALL {_inner("1", "ab", "ab", "up_cd")} UNION ALL {_inner("4", "cd", "cd", "up_ab")})
+SELECT tuple, node, base, round(nodes.p / whole.p, 8) AS p FROM nodes JOIN whole USING (tuple)""")
 def ancestral_posteriors(spark, d):
     return lk.ancestors(counts(spark, d), NAMES, model()).withColumn("p", F.round("p", 8))
 
