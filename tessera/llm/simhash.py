@@ -39,11 +39,11 @@ WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 BITS = np.arange(64, dtype=np.uint64)
 
 
-def fingerprint(text: bytes, size: int = SHINGLE) -> int:
-    """A bit is set if it is set in over half the XXH64 values of the lower-cased (A-Z) text's word shingles."""
+def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """The XXH64 values of the lower-cased (A-Z) text's word shingles, repeats included; fewer words are one shingle."""
     words = WORDS.findall(text.lower())
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     if len(words) < size:
         shingles = iter([b" ".join(words)])
         n = 1
@@ -51,7 +51,16 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
         shingles = map(b" ".join, zip(*[words[i:] for i in range(size)]))
         n = len(words) - size + 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(x, SEED) for x in shingles), "<u8", n)
+    return np.fromiter((digest(x, SEED) for x in shingles), "<u8", n)
+
+
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+    """A bit is set if it is set in over half the shingles' hashes."""
+    return fingerprint_of(shingle_hashes(text, size))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    n = len(hashes)
     votes = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 14):
         part = hashes[at : at + (1 << 14)]
@@ -168,30 +177,48 @@ def compare(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, sub: int
     return [(int(both[i]), int(both[j])) for i, j in _forest(links(), len(both))]
 
 
+def _tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
+    """a, b: the pairs of tiles (a <= b) whose boxes of counts come within the radius, each once.
+
+    A band join over the first two counts: one side goes to all values of its ranges widened by the radius, the other to those of its own,
+    and a pair counts at the first values that it has in common.
+    """
+
+    def side(x: str, wider: int) -> DataFrame:
+        df = tiles.select(F.col("tile").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}"))
+        for k in (0, 1):
+            df = df.withColumn(f"k{k}", F.explode(F.sequence(F.col(f"low_{x}")[k] - wider, F.col(f"high_{x}")[k] + wider)))
+        return df
+
+    first = [F.col(f"k{k}") == F.greatest(F.col("low_a")[k] - radius, F.col("low_b")[k]) for k in (0, 1)]
+    gaps = [F.greatest(F.lit(0), F.col("low_a")[k] - F.col("high_b")[k], F.col("low_b")[k] - F.col("high_a")[k]) for k in range(4)]
+    met = side("a", radius).join(side("b", 0), ["k0", "k1"])
+    return met.filter((F.col("a") <= F.col("b")) & first[0] & first[1] & (sum(gaps[1:], gaps[0]) <= radius)).select("a", "b")
+
+
 def _links(tiles: DataFrame, radius: int) -> DataFrame:
-    """a, b: fingerprints that are linked, enough of them to span each component."""
+    """a, b: fingerprints that are linked, enough of them to span each component.
+
+    Sorted by the pairs' first tile, which a task holds while the second ones pass by.
+    """
     spark = tiles.sparkSession
-    boxes = tiles.select("tile", "low", "high").collect()  # ranges only: a row for each tile of thousands of words
-    names = [r["tile"] for r in boxes]
-    low, high = np.array([r["low"] for r in boxes]).reshape(-1, 4), np.array([r["high"] for r in boxes]).reshape(-1, 4)
-    pairs = [(names[i], names[j]) for i in range(len(names)) for j in (i + np.nonzero(_gap(low[i], high[i], low[i:], high[i:]) <= radius)[0]).tolist()]
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-len(pairs) // 64))
-    left = tiles.select(F.col("tile").alias("a"), F.col("fps").alias("fa"))
-    right = tiles.select(F.col("tile").alias("b"), F.col("fps").alias("fb"))
-    todo = spark.createDataFrame(pairs or [(-1, -1)], "a long, b long")
-    joined = todo.join(left, "a").join(right, "b").repartition(n)
+    pairs = stage(_tile_pairs(tiles, radius), "tile-pairs")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // 64))
+    seconds = pairs.join(tiles.select(F.col("tile").alias("b"), "fps"), "b").select("a", "b", "fps").filter("a < b")
+    rows = tiles.select(F.col("tile").alias("a"), F.lit(-1).cast("long").alias("b"), "fps").unionByName(seconds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None
         for batch in batches:
-            for k in range(batch.num_rows):
-                fa = np.frombuffer(batch.column("fa")[k].as_py(), "<u8")
-                same = batch.column("a")[k].as_py() == batch.column("b")[k].as_py()
-                found = compare(fa, None if same else np.frombuffer(batch.column("fb")[k].as_py(), "<u8"), radius)
+            for b, fps in zip(batch.column("b").to_pylist(), batch.column("fps")):
+                words = np.frombuffer(fps.as_py(), "<u8")
+                first = words if b < 0 else first
+                found = compare(first, None if b < 0 else words, radius)
                 if found:
                     out = np.array(found, np.uint64).view(np.int64).reshape(-1, 2)
                     yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return rows.repartition(n, "a").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -223,12 +250,18 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def links_within(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """a, b: links between distinct fingerprints (fp), enough of them to span each component; staged."""
+    tiles = stage(_tiles(fps.select("fp"), tile), "tiles")
+    links = stage(_links(tiles, radius), "tile-links")
+    unstage(tiles)
+    return links
+
+
 def groups_of(rows: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """fp, group (a fingerprint that names the component) and component_id (its least doc_id), for staged rows of (doc_id, fp)."""
     distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints-distinct")
-    tiles = stage(_tiles(distinct.select("fp"), tile), "tiles")
-    roots = stage(components(stage(_links(tiles, radius), "tile-links")), "roots")
-    unstage(tiles)
+    roots = stage(components(links_within(distinct, radius, tile)), "roots")
     linked = stage(distinct.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least"), "linked")
     named = linked.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("name"))
     of_linked = stage(linked.join(stage(named, "names"), F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "root", "name"), "linked-names")
