@@ -299,6 +299,36 @@ def has_data(codes: np.ndarray) -> np.ndarray:
     return (codes >= 0).sum(1) >= 2
 
 
+def _golden(at: Callable[[np.ndarray], np.ndarray], low: np.ndarray, high: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """Where functions of one number are greatest, and their values: golden sections of all of them side by side."""
+    ratio = (5**0.5 - 1) / 2
+    a, b = low.astype(float), high.astype(float)
+    x1, x2 = b - ratio * (b - a), a + ratio * (b - a)
+    f1, f2 = at(x1), at(x2)
+    for _ in range(rounds):
+        left = f1 > f2
+        a, b = np.where(left, a, x1), np.where(left, x2, b)
+        n1, n2 = b - ratio * (b - a), a + ratio * (b - a)
+        fresh = at(np.where(left, n1, n2))
+        f1, f2 = np.where(left, fresh, f2), np.where(left, f1, fresh)
+        x1, x2 = n1, n2
+    s = (a + b) / 2
+    s = np.where(s < low + 1e-6, low, s)
+    return s, at(s)
+
+
+def _bounds(mode: str, n: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+    low, high = {"CON": (0.0, 1.0), "ACC": (1.0, most)}.get(mode, (0.0, most))
+    return np.full(n, low), np.full(n, high)
+
+
+def _tails(delta: np.ndarray, mode: str, faster: np.ndarray) -> np.ndarray:
+    """CON and ACC against half a chi-square, the others against a chi-square of one degree; CONACC is negative where faster."""
+    tail = half_chisq_cdf if mode in ("CON", "ACC") else chisq_cdf
+    p = np.array([max(tail(d, 1, lower=False), LEAST_P) if d > 0 else 1.0 for d in delta])
+    return np.where(faster, -p, p) if mode == "CONACC" else p
+
+
 def scale_tests(model: TreeModel, codes: np.ndarray, mode: str = "CONACC", most: float = 20.0) -> pd.DataFrame:
     """Per tuple: null and best log-likelihood over a scale of all branches, the scale, twice their gap, and p.
 
@@ -307,37 +337,116 @@ def scale_tests(model: TreeModel, codes: np.ndarray, mode: str = "CONACC", most:
     """
     ok = has_data(codes)
     null = column_loglik(model, codes)
-    low, high = {"CON": (0.0, 1.0), "ACC": (1.0, most)}.get(mode, (0.0, most))
     scale, best = np.ones(len(codes)), null.copy()
     if ok.any():
         c = codes[ok]
-        a, b = np.full(len(c), low), np.full(len(c), high)
-        golden = (5**0.5 - 1) / 2
-        at = lambda s: np.array(_scaled(model, c, s))
-        x1, x2 = b - golden * (b - a), a + golden * (b - a)
-        f1, f2 = at(x1), at(x2)
-        for _ in range(40):  # golden sections of all columns side by side
-            left = f1 > f2
-            a, b = np.where(left, a, x1), np.where(left, x2, b)
-            n1, n2 = b - golden * (b - a), a + golden * (b - a)
-            fresh = at(np.where(left, n1, n2))
-            f1, f2 = np.where(left, fresh, f2), np.where(left, f1, fresh)
-            x1, x2 = n1, n2
-        s = (a + b) / 2
-        s = np.where(s < low + 1e-6, low, s)
-        value = at(s)
+        s, value = _golden(lambda x: _scaled(model, c, x), *_bounds(mode, len(c), most))
         better = value > null[ok]
         scale[ok], best[ok] = np.where(better, s, 1.0), np.where(better, value, null[ok])
     delta = np.maximum(2 * (best - null), 0.0)
-    tail = half_chisq_cdf if mode in ("CON", "ACC") else chisq_cdf
-    p = np.array([max(tail(d, 1, lower=False), LEAST_P) if d > 0 else 1.0 for d in delta])
-    if mode == "CONACC":
-        p = np.where(scale > 1, -p, p)
-    return pd.DataFrame({"null_loglik": null, "alt_loglik": best, "scale": scale, "lr": delta, "p": p})
+    return pd.DataFrame({"null_loglik": null, "alt_loglik": best, "scale": scale, "lr": delta, "p": _tails(delta, mode, scale > 1)})
+
+
+def branches_below(model: TreeModel, name: str, leading: bool = False) -> frozenset[int]:
+    """The nodes whose branches lie in the subtree of a named node (a leaf, or an inner node by its name or number), with its own branch if leading."""
+    top = next((n for n in model.tree.preorder() if name in (n.name, str(n.id))), None)
+    if top is None:
+        raise ValueError(f"the tree has no node {name}")
+    found = {n.id for n in top.preorder()}
+    return frozenset(found if leading or not top.children else found - {top.id})
+
+
+def subtree_tests(model: TreeModel, codes: np.ndarray, branches: frozenset[int], mode: str = "CONACC", most: float = 20.0, rounds: int = 8) -> pd.DataFrame:
+    """Per tuple: whether a subtree is slower or faster than the rest of the tree.
+
+    The null has one scale for all branches, the alternative one for the subtree's and one for the rest, found by golden
+    sections in turn. subtree_scale is their ratio; a ratio on the side that the mode excludes is the null. Columns with
+    fewer than two bases, or none in the subtree, get scales and p of 1.
+    """
+    inside = np.array([leaf.id in branches for leaf in model.tree.leaves()])
+    ok = has_data(codes) & ((codes >= 0) & inside[None, :]).any(1)
+    base = column_loglik(model, codes)
+    out = {"null_scale": np.ones(len(codes)), "null_loglik": base, "scale": np.ones(len(codes)), "subtree_scale": np.ones(len(codes)), "alt_loglik": base.copy()}
+    if ok.any():
+        c = codes[ok]
+        for k, v in _two_scales(lambda x, y: _scaled(model, c, x, branches, y), len(c), mode, most, rounds).items():
+            out[k] = np.where(ok, 0.0, out[k])
+            out[k][ok] = v
+    delta = np.maximum(2 * (out["alt_loglik"] - out["null_loglik"]), 0.0)
+    return pd.DataFrame(out | {"lr": delta, "p": _tails(delta, mode, out["subtree_scale"] > 1)})
+
+
+def _two_scales(at: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int, mode: str, most: float, rounds: int) -> dict[str, np.ndarray]:
+    """The best common scale of n functions of two scales, and the best two: of the rest and of the subtree."""
+    low, high = _bounds("NNEUT", n, most)
+    s, null = _golden(lambda x: at(x, x), low, high)
+    rest, sub, value = s, s, null
+    for _ in range(rounds):
+        u, _ = _golden(lambda x: at(rest, x), low, high, 25)  # noqa: B023
+        r, new = _golden(lambda x: at(x, u), low, high, 25)  # noqa: B023
+        better = new > value
+        rest, sub, value = np.where(better, r, rest), np.where(better, u, sub), np.where(better, new, value)
+    good = {"CON": sub <= rest, "ACC": sub >= rest}.get(mode, np.ones(n, bool))
+    rest, sub, value = np.where(good, rest, s), np.where(good, sub, s), np.where(good, value, null)
+    return {"null_scale": s, "null_loglik": null, "scale": rest, "subtree_scale": np.where(sub == rest, 1.0, sub / np.maximum(rest, 1e-6)), "alt_loglik": value}
+
+
+def feature_tests(codes: np.ndarray, counts: np.ndarray, model: TreeModel, method: str = "LRT", mode: str = "CONACC", most: float = 20.0, branches: frozenset[int] | None = None) -> dict[str, float]:
+    """The statistics of the columns of one feature together, from its distinct tuples and their counts.
+
+    LRT: one scale for all columns (of the subtree against the rest, with branches); SCORE: summed derivatives against
+    summed information; GERP: the columns' neutral lengths, and what the feature's scale leaves of them.
+    """
+    if method == "SCORE":
+        each, info = _scores(model, codes)
+        ok = has_data(codes)
+        first, total = float((each * counts)[ok].sum()), float((info * counts)[ok].sum())
+        stat = first**2 / total if total > 0 else 0.0
+        stat = 0.0 if mode == "CON" and first > 0 or mode == "ACC" and first < 0 else stat
+        return {"deriv": first, "stat": stat, "p": float(_tails(np.array([stat]), mode, np.array([first > 0]))[0])}
+    total = lambda values: np.array([float(values @ counts)])
+    wide = lambda x: np.full(len(codes), float(x[0]))
+    one_bound = lambda m: _bounds(m, 1, most)
+    if branches is None:
+        null = total(column_loglik(model, codes))
+        s, value = _golden(lambda x: total(_scaled(model, codes, wide(x))), *one_bound("NNEUT" if method == "GERP" else mode))
+        if method == "GERP":
+            neutral = float((rejected_substitutions(model, codes)["neutral"].to_numpy() * counts).sum())
+            return {"neutral": neutral, "observed": neutral * float(s[0]), "rejected": neutral * (1 - float(s[0]))}
+        s, value = (s, value) if value[0] > null[0] else (np.ones(1), null)
+        delta = np.maximum(2 * (value - null), 0.0)
+        return {"null_loglik": float(null[0]), "alt_loglik": float(value[0]), "scale": float(s[0]), "lr": float(delta[0]), "p": float(_tails(delta, mode, s > 1)[0])}
+    found = {k: float(v[0]) for k, v in _two_scales(lambda x, y: total(_scaled(model, codes, wide(x), branches, wide(y))), 1, mode, most, 8).items()}
+    delta = max(2 * (found["alt_loglik"] - found["null_loglik"]), 0.0)
+    return found | {"lr": delta, "p": float(_tails(np.array([delta]), mode, np.array([found["subtree_scale"] > 1]))[0])}
+
+
+FEATURE_COLUMNS = {"LRT": ("null_loglik", "alt_loglik", "scale", "lr", "p"), "SCORE": ("deriv", "stat", "p"), "GERP": ("neutral", "observed", "rejected"), "SUBTREE": ("null_scale", "null_loglik", "scale", "subtree_scale", "alt_loglik", "lr", "p")}
+
+
+def test_features(rows: DataFrame, names: Sequence[str], model: TreeModel, by: Sequence[str], method: str = "LRT", mode: str = "CONACC", subtree: str | None = None) -> DataFrame:
+    """by, columns (their number) and the method's statistics of every feature; rows: by and col, one for each column of a feature.
+
+    Columns are counted by feature first, so a task holds a feature's distinct tuples and never its columns.
+    """
+    leaves = model.tree.leaf_names()
+    branches = None if subtree is None else branches_below(model, subtree)
+    if subtree is not None and method != "LRT":
+        raise ValueError("subtrees are tested by LRT")
+    wanted = FEATURE_COLUMNS[method if subtree is None else "SUBTREE"]
+    counted = rows.groupBy(*by, F.col("col").alias("tuple")).agg(F.count(F.lit(1)).alias("_cnt"))
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.schema if f.name in by)
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = pdf["_cnt"].to_numpy(float)
+        found = feature_tests(encode(pdf["tuple"].tolist(), names, leaves, model.alphabet), n, model, method, mode, branches=branches)
+        return pd.DataFrame([[*pdf[list(by)].iloc[0], int(n.sum()), *[found[c] for c in wanted]]], columns=[*by, "columns", *wanted])
 
-def _scaled(model: TreeModel, codes: np.ndarray, scales: np.ndarray) -> np.ndarray:
-    """Log-likelihood of each column at a scale of its own: eigenvalues once, probabilities for each column."""
+    return counted.groupBy(*by).applyInPandas(run, f"{keys}, columns long, " + ", ".join(f"{c} double" for c in wanted))
+
+
+def _scaled(model: TreeModel, codes: np.ndarray, scales: np.ndarray, branches: frozenset[int] = frozenset(), others: np.ndarray | None = None) -> np.ndarray:
+    """Log-likelihood of each column at a scale of its own, and another one for some branches: eigenvalues once, probabilities for each column."""
     values, vectors = np.linalg.eig(model.q)
     inverse = np.linalg.inv(vectors)
     n, r = len(model.pi), len(model.rates)
@@ -351,17 +460,16 @@ def _scaled(model: TreeModel, codes: np.ndarray, scales: np.ndarray) -> np.ndarr
             if node.parent is None:
                 total[k] = np.log(np.maximum(x @ model.pi, 1e-300)) + np.log(model.weights[k])
             else:
-                t = node.length * model.scale * model.rates[k] * scales
+                t = node.length * model.scale * model.rates[k] * (others if node.id in branches else scales)
                 y = (x @ inverse.T) * np.exp(t[:, None] * values[None, :])
                 done[node.id] = np.clip((y @ vectors.T).real, 0, None)
     top = total.max(0)
     return top + np.log(np.exp(total - top).sum(0))
 
 
-def score_tests(model: TreeModel, codes: np.ndarray, mode: str = "CONACC", step: float = 1e-4) -> pd.DataFrame:
-    """Per tuple: the derivative of the log-likelihood by the scale at 1, the score statistic and p."""
-    ok = has_data(codes)
-    up, mid, down = (_scaled(model, codes, np.full(len(codes), s)) for s in (1 + step, 1.0, 1 - step))
+def _scores(model: TreeModel, codes: np.ndarray, step: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Per tuple: the derivative of the log-likelihood by the scale at 1, and its information."""
+    up, down = (_scaled(model, codes, np.full(len(codes), s)) for s in (1 + step, 1 - step))
     first = (up - down) / (2 * step)
     # the expected information of a column with these open rows, from the mean square of scores over all such columns
     info = np.empty(len(codes))
@@ -372,15 +480,18 @@ def score_tests(model: TreeModel, codes: np.ndarray, mode: str = "CONACC", step:
         drawn[:, pattern] = -1
         u = (_scaled(model, drawn, np.full(len(drawn), 1 + step)) - _scaled(model, drawn, np.full(len(drawn), 1 - step))) / (2 * step)
         info[inverse.ravel() == i] = max((u**2).mean(), 1e-12)
-    del mid
-    stat = np.where(ok, first**2 / info, 0.0)
+    return first, info
+
+
+def score_tests(model: TreeModel, codes: np.ndarray, mode: str = "CONACC") -> pd.DataFrame:
+    """Per tuple: the derivative of the log-likelihood by the scale at 1, the score statistic and p."""
+    first, info = _scores(model, codes)
+    stat = np.where(has_data(codes), first**2 / info, 0.0)
     if mode == "CON":
         stat = np.where(first < 0, stat, 0.0)
     elif mode == "ACC":
         stat = np.where(first > 0, stat, 0.0)
-    tail = half_chisq_cdf if mode in ("CON", "ACC") else chisq_cdf
-    p = np.array([max(tail(d, 1, lower=False), LEAST_P) if d > 0 else 1.0 for d in stat])
-    return pd.DataFrame({"deriv": first, "stat": stat, "p": np.where(first > 0, -p, p) if mode == "CONACC" else p})
+    return pd.DataFrame({"deriv": first, "stat": stat, "p": _tails(stat, mode, first > 0)})
 
 
 def rejected_substitutions(model: TreeModel, codes: np.ndarray) -> pd.DataFrame:
@@ -399,15 +510,22 @@ def rejected_substitutions(model: TreeModel, codes: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"neutral": neutral, "observed": observed, "rejected": neutral - observed})
 
 
-def test_tuples(tuples: DataFrame, names: Sequence[str], model: TreeModel, method: str = "LRT", mode: str = "CONACC") -> DataFrame:
-    """One row for each distinct tuple with the columns of the method: LRT, SCORE or GERP."""
+def test_tuples(tuples: DataFrame, names: Sequence[str], model: TreeModel, method: str = "LRT", mode: str = "CONACC", subtree: str | None = None) -> DataFrame:
+    """One row for each distinct tuple with the columns of the method: LRT (also of a subtree), SCORE or GERP."""
     leaves = model.tree.leaf_names()
+    if subtree is not None and method != "LRT":
+        raise ValueError("subtrees are tested by LRT")
     run_one = {"LRT": lambda c: scale_tests(model, c, mode), "SCORE": lambda c: score_tests(model, c, mode), "GERP": lambda c: rejected_substitutions(model, c)}[method]
     columns = {"LRT": "null_loglik double, alt_loglik double, scale double, lr double, p double", "SCORE": "deriv double, stat double, p double", "GERP": "neutral double, observed double, rejected double"}[method]
+    if subtree is not None:
+        branches = branches_below(model, subtree)
+        run_one = lambda c: subtree_tests(model, c, branches, mode)
+        columns = ", ".join(f"{c} double" for c in FEATURE_COLUMNS["SUBTREE"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = run_one(encode(pdf["tuple"].tolist(), names, leaves, model.alphabet))
+            out = out[[c.split()[0] for c in columns.split(", ")]]
             out.insert(0, "tuple", pdf["tuple"].to_numpy())
             yield out
 

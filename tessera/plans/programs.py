@@ -77,20 +77,22 @@ def rate_classes(columns: DataFrame, names: Sequence[str], model: TreeModel, kee
     return hmm.posterior(rows, hmm.autocorrelated(len(one), keep), ("aln",), size)
 
 
-def site_tests(columns: DataFrame, names: Sequence[str], model: TreeModel, method: str = "LRT", mode: str = "CONACC") -> DataFrame:
-    """Every position with the statistics of its column: LRT, SCORE, GERP or SPH; each distinct column is tested once."""
+def site_tests(columns: DataFrame, names: Sequence[str], model: TreeModel, method: str = "LRT", mode: str = "CONACC", subtree: str | None = None) -> DataFrame:
+    """Every position with the statistics of its column: LRT (also of a subtree), SCORE, GERP or SPH; each distinct column is tested once."""
     distinct = columns.select(F.col("col").alias("tuple"))
-    found = substitutions.test_sites(distinct, names, model) if method == "SPH" else lk.test_tuples(distinct, names, model, method, mode)
+    if method == "SPH" and subtree is not None:
+        raise ValueError("subtrees are tested by LRT")
+    found = substitutions.test_sites(distinct, names, model) if method == "SPH" else lk.test_tuples(distinct, names, model, method, mode, subtree)
     return columns.join(found.withColumnRenamed("tuple", "col"), "col")
 
 
-def feature_tests(columns: DataFrame, feats: DataFrame, names: Sequence[str], model: TreeModel, by: Sequence[str]) -> DataFrame:
-    """Features with the p-values of their columns' substitution counts; feats: aln, start, end and by."""
+def feature_tests(columns: DataFrame, feats: DataFrame, names: Sequence[str], model: TreeModel, by: Sequence[str], method: str = "SPH", mode: str = "CONACC", subtree: str | None = None) -> DataFrame:
+    """Features with the statistics of their columns: SPH (substitution counts), LRT (also of a subtree), SCORE or GERP; feats: aln, start, end and by."""
     from tessera.operators.intervals import overlap_pairs
 
     points = columns.withColumn("start", F.col("pos")).withColumn("end", F.col("pos"))
     met = overlap_pairs(points, feats, ("aln",)).select(*[F.col(f"r_{k}").alias(k) for k in by], "col")
-    return substitutions.test_features(met, names, model, by)
+    return substitutions.test_features(met, names, model, by) if method == "SPH" else lk.test_features(met, names, model, by, method, mode, subtree)
 
 
 def ancestral_bases(columns: DataFrame, names: Sequence[str], model: TreeModel) -> DataFrame:

@@ -324,6 +324,48 @@ def test_site_tests():
     assert s["deriv"][0] < 0 < s["deriv"][1]
 
 
+def test_subtree_tests():
+    m = gamma_model()
+    below = lk.branches_below(m, str(m.tree.children[0].id))
+    assert below == {n.id for n in m.tree.children[0].children} and lk.branches_below(m, "a") == {next(n.id for n in m.tree.leaves() if n.name == "a")}
+    with pytest.raises(ValueError):
+        lk.branches_below(m, "nobody")
+    codes = lk.encode(["AAAA", "ACGG", "AAGC", "--GC", "A-A-"], list("abcd"), m.tree.leaf_names())
+    t = lk.subtree_tests(m, codes, below)
+    grid = np.exp(np.linspace(-7, np.log(20), 81))
+    for i, c in enumerate(codes[:3]):
+        at = lambda s, u: float(lk._scaled(m, c[None], np.array([s]), below, np.array([u]))[0])  # noqa: B023, E731
+        assert t["null_loglik"][i] >= max(at(s, s) for s in grid) - 1e-6
+        assert t["alt_loglik"][i] >= max(at(s, u) for s in grid for u in grid) - 2e-3
+        assert t["alt_loglik"][i] == pytest.approx(at(t["scale"][i], t["scale"][i] * t["subtree_scale"][i]), abs=1e-4)
+    assert t["subtree_scale"][1] > 1 > t["subtree_scale"][2] and t["p"][1] < 0 < t["p"][2]
+    assert t["p"][3] == 1 and t["subtree_scale"][3] == 1
+    assert (lk.subtree_tests(m, codes, below, "CON")["subtree_scale"] <= 1).all()
+
+
+@pytest.mark.parametrize("method", ["LRT", "SCORE", "GERP"])
+def test_feature_tests(method):
+    m = gamma_model()
+    codes = lk.encode(["AAAA", "ACGT", "AAGG", "A---"], list("abcd"), m.tree.leaf_names())
+    one = lk.feature_tests(codes[1:2], np.ones(1), m, method)
+    alone = {"LRT": lk.scale_tests, "SCORE": lk.score_tests}.get(method)
+    want = alone(m, codes[1:2]) if alone else lk.rejected_substitutions(m, codes[1:2])
+    assert all(one[c] == pytest.approx(want[c][0], abs=1e-5) for c in one)
+    n = np.array([30.0, 2.0, 5.0, 9.0])
+    both = lk.feature_tests(codes, n, m, method)
+    if method == "LRT":
+        value = lambda s: float(lk._scaled(m, codes, np.full(4, s)) @ n)
+        assert both["alt_loglik"] == pytest.approx(max(value(s) for s in np.linspace(0.01, 3, 600)), abs=1e-3)
+        assert both["scale"] < 1 and both["p"] > 0
+        sub = lk.feature_tests(codes, n, m, branches=lk.branches_below(m, "a"))
+        assert sub["alt_loglik"] >= sub["null_loglik"] == pytest.approx(both["alt_loglik"])
+    elif method == "SCORE":
+        each, info = lk._scores(m, codes)
+        assert both["stat"] == pytest.approx((each[:3] @ n[:3]) ** 2 / (info[:3] @ n[:3]))
+    else:
+        assert both["neutral"] == pytest.approx((lk.rejected_substitutions(m, codes)["neutral"] * n).sum())
+
+
 def test_optimisers():
     x, v = lk.bfgs(lambda p: (p[0] - 1) ** 2 + 10 * (p[1] + 2) ** 2 + p[0] * p[1], np.zeros(2))
     a = np.linalg.solve(np.array([[2.0, 1.0], [1.0, 20.0]]), np.array([2.0, -40.0]))

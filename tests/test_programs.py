@@ -49,6 +49,11 @@ def test_simulation_and_tests(spark):
     feats = spark.createDataFrame([("sim", 1, 500, "f1"), ("sim", 501, 3000, "f2")], "aln string, start long, end long, name string")
     out = {r["name"]: r["n"] for r in programs.feature_tests(d, feats, NAMES, m, ("name",)).collect()}
     assert out == {"f1": 500, "f2": 2500}
+    for method, subtree in (("LRT", None), ("LRT", "1"), ("SCORE", None), ("GERP", None)):
+        found = {r["name"]: r for r in programs.feature_tests(d.filter("pos <= 900"), feats, NAMES, m, ("name",), method, subtree=subtree).collect()}
+        assert (found["f1"]["columns"], found["f2"]["columns"]) == (500, 400)
+    below = programs.site_tests(d.filter("pos <= 300"), NAMES, m, subtree="1")
+    assert below.count() == 300 and below.filter("alt_loglik < null_loglik - 1e-9").count() == 0
     w = programs.fit_windows(d, NAMES, m.tree, 1000, 1000).collect()
     assert len(w) == 3 and all(r["tree_length"] > 0 for r in w)
     rates = programs.rate_classes(d.filter("pos <= 200"), NAMES, md.TreeModel.gamma(m.tree, m.q, m.pi, 0.5, 3), size=64)
