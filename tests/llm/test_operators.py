@@ -394,6 +394,36 @@ def test_a_small_group_is_judged_by_its_own_kind(spark):
     assert [i for i, r in out.items() if not r["kept"]] == [3000]
 
 
+def test_measures_equal_plain_ones(spark):
+    """Both vocabularies by their libraries' plain calls; long texts, repeated rows, wide white space."""
+    import base64
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=spm.public_path())
+    with open(public_tokenizers.path(quality.PAIRS), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    pairs = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [None, "", "x", "some plain words here", "日本語 😀 été", "word " * 60_000, "a" + " " * 1_500_000 + "b", "ab" * 100_000, "some plain words here"]
+    out = collected(quality.measure(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])))
+    assert len(out) == len(texts)
+    token = {i: b for b, i in ranks.items()}
+    broken = lambda b: b != b.decode(errors="ignore").encode()
+    for r in out:
+        text = texts[r["doc_id"]] or ""
+        narrow = re.sub(r"(\s{4096})\s+", r"\1", text)
+        for name, ids, part in (("", pieces.encode(text), pieces.is_byte), ("_pairs", pairs.encode_ordinary(narrow), lambda i: broken(token[i]))):
+            n = len(ids)
+            assert r[f"n_tokens{name}"] == n
+            if n:
+                shares = [ids.count(i) / n for i in set(ids)]
+                assert r[f"chars_per_token{name}"] == pytest.approx(len(text) / n)
+                assert r[f"byte_share{name}"] == pytest.approx(sum(map(part, ids)) / n)
+                assert r[f"entropy{name}"] == pytest.approx(-sum(p * math.log2(p) for p in shares) / math.log2(min(n, 4096)) if n > 1 else 1.0)
+
+
 def test_quality_of_nothing(empty):
     assert quality.quality(empty).collect() == []
     assert quality.keep_sound(empty).columns == empty.columns
@@ -557,6 +587,53 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["expected_severity"] <= 3 for r in out.values())
 
 
+def plain_loss(rows, grades, w, thresholds, penalty):
+    """The mean negative log-likelihood of the cumulative-link model and the penalty, row by row."""
+    total = 0.0
+    for cols, grade in zip(rows, grades):
+        score = sum(w[c] for c in cols)
+        below = lambda j: 0.0 if j < 0 else 1.0 if j >= len(thresholds) else 1 / (1 + math.exp(score - thresholds[j]))  # noqa: B023, E731
+        total -= math.log(max(below(grade) - below(grade - 1), 1e-12))
+    return total / len(rows) + penalty * sum(map(abs, w))
+
+
+def test_ordinal_fit_is_as_good_as_a_plain_one():
+    rng = random.Random(16)
+    rows = [[c for c in range(4) if rng.random() < 0.4] for _ in range(250)]
+    grades = [max(0, min(3, round(2.0 * (0 in r) + 1.2 * (1 in r) - 1.0 * (2 in r) + rng.gauss(0, 0.8)))) for r in rows]
+    penalty = 0.01
+    row = np.repeat(np.arange(250), [len(r) for r in rows])
+    w, t = toxicity.fit_ordinal(row, np.array([c for r in rows for c in r]), 4, np.array(grades), penalty=penalty, steps=2000)
+    # plain: each number in turn moves while that lowers the loss
+    x, step = [0.0] * 4 + [-1.0, 0.0, 1.0], [0.5] * 7
+    value = lambda v: plain_loss(rows, grades, v[:4], v[4:], penalty) if v[4] <= v[5] <= v[6] else math.inf
+    best = value(x)
+    while max(step) > 1e-3:
+        for i in range(7):
+            tries = [(value([*x[:i], x[i] + d, *x[i + 1 :]]), x[i] + d) for d in (-step[i], step[i])]
+            if min(tries)[0] < best:
+                best, x[i] = min(tries)
+            else:
+                step[i] /= 2
+    assert plain_loss(rows, grades, w.tolist(), t.tolist(), penalty) <= best + 2e-3
+    assert w[0] > w[1] > 0 > w[2] and abs(w[3]) < 0.3
+
+
+def test_scores_equal_plain_ones(spark):
+    model = toxicity.Model({toxicity.bucket("vile"): 2.0, toxicity.bucket("nasty"): 1.5, toxicity.bucket("kind"): -1.0, toxicity.bucket("harsh*"): 0.7}, (1.0, 2.0, 3.5), 0.5)
+    texts = [None, "", "vile", "VILE nasty vile", "kind words", "harshest words", "harsh", "nasty " * 40_000, "x" * 200_000, "vile"]
+    out = collected(toxicity.score(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), model))
+    assert len(out) == len(texts)
+    for r in out:
+        words = set(re.findall(r"[^\W\d_]+", (texts[r["doc_id"]] or "").lower()))
+        score = 2.0 * ("vile" in words) + 1.5 * ("nasty" in words) - 1.0 * ("kind" in words) + 0.7 * any(w.startswith("harsh") and len(w) > 5 for w in words)
+        chances = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert r["expected_severity"] == pytest.approx(sum(chances), abs=1e-6)
+        speaks = "vile" in words or "nasty" in words or "harshest" in words
+        assert r["toxic"] == (speaks and chances[0] >= 0.5)
+        assert r["grade"] == (max(1, sum(c >= 0.5 for c in chances)) if r["toxic"] else 0)
+
+
 def test_nothing_to_learn(spark, empty, docs):
     labels = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
     out = toxicity.score(docs, toxicity.train(docs, labels)).collect()
