@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,13 +41,43 @@ def path_loglik(rows: DataFrame, matrix: DataFrame, by: Sequence[str] = ("seq",)
 def _grams(texts: DataFrame, k: int, text: str, alphabet: str) -> DataFrame:
     """gram and cnt of all windows of k letters.
 
-    A text is split into its characters once and zipped with itself at each shift, which is linear in its length;
-    substrings by position would not be, as characters differ in bytes.
+    Whole texts are counted in numpy, some millions of characters at a time, so that only each part's distinct grams are
+    left to be added up; letters become numbers once, which is linear in the length.
     """
-    chars = F.split(F.lower(F.col(text)), "")
-    shifted = F.arrays_zip(*[F.slice(chars, i + 1, 2**31 - 2 - i).alias(f"c{i}") for i in range(k)])
-    windows = texts.select(F.inline(shifted)).toDF(*[f"c{i}" for i in range(k)]).select(F.concat(*[F.col(f"c{i}") for i in range(k)]).alias("gram"))
-    return windows.filter(F.col("gram").isNotNull()).groupBy("gram").agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("gram").rlike(f"^{alphabet}{{{k}}}$"))
+    letter = re.compile(alphabet)
+
+    def counted(parts: list[str]) -> pa.RecordBatch:
+        points = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
+        kinds, codes = np.unique(points, return_inverse=True)
+        good = np.array([letter.fullmatch(chr(c)) is not None for c in kinds.tolist()], bool)[codes]
+        of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        n = max(0, len(points) - k + 1)
+        fine = of[:n] == of[len(points) - n :] if n else np.zeros(0, bool)
+        names = np.zeros(n, np.int64)
+        for i in range(k):
+            fine &= good[i : i + n]
+            names = names * len(kinds) + codes[i : i + n]
+            if i + 1 < k and len(kinds) ** (i + 2) >= 2**62:  # short numbers again, in the same order
+                names = np.unique(names, return_inverse=True)[1]
+        at = np.nonzero(fine)[0]
+        _, first, counts = np.unique(names[at], return_index=True, return_counts=True)
+        grams = ["".join(map(chr, points[s : s + k].tolist())) for s in at[first].tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(counts, pa.int64())], ["gram", "cnt"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for t in batch.column("t").to_pylist():
+                if held and size + len(t) > 1 << 22:
+                    yield counted(held)
+                    held, size = [], 0
+                held.append(t)
+                size += len(t)
+            if held:
+                yield counted(held)
+
+    lower = texts.select(F.lower(F.col(text)).alias("t")).filter(F.length("t") >= k)
+    return lower.mapInArrow(run, "gram string, cnt long").groupBy("gram").agg(F.sum("cnt").alias("cnt"))
 
 
 def kgram_model(texts: DataFrame, k: int, text: str = "text", alphabet: str = "[a-z]") -> DataFrame:
