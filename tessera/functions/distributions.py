@@ -281,7 +281,7 @@ def vectorised(function: Callable[..., float], *parameters: float) -> Callable[[
 def pmf_table(rows: DataFrame, value: str) -> DataFrame:
     """x and p of an integer column."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("long").alias("x")).agg(F.count(F.lit(1)).alias("cnt"))
-    total = counts.agg(F.sum("cnt").alias("_t")).withColumn("_k", F.lit(1))
+    total = F.broadcast(counts.agg(F.sum("cnt").alias("_t")).withColumn("_k", F.lit(1)))  # one row
     return counts.withColumn("_k", F.lit(1)).join(total, "_k").select("x", "cnt", (F.col("cnt") / F.col("_t")).alias("p"))
 
 

@@ -29,9 +29,15 @@ def common_ntuples(seqs: DataFrame, k: int, n: int, text: str = "text") -> list[
 
 
 def sample_ntuples(seqs: DataFrame, k: int, n: int, seed: int, text: str = "text") -> list[str]:
-    """n words drawn by the least hashes of their places."""
-    one = seqs.filter(F.length(text) >= k).select(F.col(text).alias("t"), F.explode(F.sequence(F.lit(1), F.length(text) - (k - 1))).alias("i"))
-    return [r["w"] for r in one.orderBy(F.xxhash64(F.lit(seed), "t", "i"), "t", "i").limit(n).select(F.substr("t", "i", F.lit(k)).alias("w")).collect()]
+    """n words drawn by the least hashes of their places; a place carries its sequence's hash, and only drawn sequences are read again."""
+    each = seqs.filter(F.length(text) >= k).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    places = each.select("h", F.explode(F.sequence(F.lit(1), F.length("t") - (k - 1))).alias("i"))
+    drawn = places.orderBy(F.xxhash64(F.lit(seed), "h", "i"), "h", "i").limit(n).collect()
+    some = seqs.sparkSession.createDataFrame(sorted({(r["h"],) for r in drawn}), "h long")
+    found = each.join(F.broadcast(some), "h", "left_semi").dropDuplicates(["h"])  # n sequences at most
+    at = seqs.sparkSession.createDataFrame([(j, r["h"], r["i"]) for j, r in enumerate(drawn)], "j long, h long, i int")
+    words = found.join(F.broadcast(at), "h").select("j", F.substr("t", "i", F.lit(k)).alias("w")).collect()
+    return [r["w"] for r in sorted(words, key=lambda r: r["j"])]
 
 
 def from_consensus(word: str, weight: float = 0.7, alphabet: str = DNA) -> np.ndarray:

@@ -237,3 +237,14 @@ def test_block_operators(spark):
     assert [r["seq"] for r in alignments.reorder_species(maf, ["m", "h"]).orderBy("k").collect()] == ["m", "h"]
     feats = spark.createDataFrame([("h.c1", 12, 20)], "seqname string, start long, end long")
     assert {r["seq"]: r["text"] for r in alignments.mask_regions(maf, feats, ["h"]).collect()} == {"h": "A-NN", "m": "A-CT", "r": "ATCG"}
+
+
+def test_drawn_words(spark):
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("ACGT"), n)) for n in (30, 40, 3, 50)] + ["ACGTACGTAC"] * 2
+    seqs = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    words = motifs.sample_ntuples(seqs, 5, 20, 1)
+    assert len(words) == 20 and all(any(w in t for t in texts) and len(w) == 5 for w in words)
+    assert words == motifs.sample_ntuples(seqs.repartition(3), 5, 20, 1) != motifs.sample_ntuples(seqs, 5, 20, 2)
+    assert sorted(motifs.sample_ntuples(seqs, 5, 999, 1)) == sorted(t[i : i + 5] for t in texts for i in range(len(t) - 4))
+    assert motifs.sample_ntuples(seqs.limit(0), 5, 9, 1) == []
