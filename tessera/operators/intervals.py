@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import stage
+from tessera.runtime import numbered, stage
 
 BIN = 1 << 17
 
@@ -88,8 +88,7 @@ def partition_by_type(feats: DataFrame, order: str) -> DataFrame:
 
 def rank_seqnames(feats: DataFrame) -> DataFrame:
     """Dictionary of seqnames, numbered from 0."""
-    names = feats.select("seqname").distinct()
-    return names.withColumn("seq_id", F.row_number().over(Window.orderBy("seqname")) - 1)
+    return numbered(feats.select("seqname").distinct(), [F.col("seqname")], "seq_id")
 
 
 # -- joins -------------------------------------------------------------------------------------------------------------

@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.runtime import numbered
+
 GAP = "-"
 MISSING = "*N"
 
@@ -43,8 +45,8 @@ def tuple_counts_by_category(tuples: DataFrame, category: str = "cat") -> DataFr
 
 
 def index_tuples(counts: DataFrame) -> DataFrame:
-    """Numbers the distinct tuples from 0 by frequency and name; there are few."""
-    return counts.withColumn("tuple_id", F.row_number().over(Window.orderBy(F.col("cnt").desc(), "tuple")) - 1)
+    """Numbers the distinct tuples from 0 by frequency and name."""
+    return numbered(counts, [F.col("cnt").desc(), F.col("tuple")], "tuple_id")
 
 
 def apply_once(rows: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.sequences import complement
+from tessera.runtime import numbered
 
 LONG = "aln string, seq string, pos long, ch string"
 
@@ -113,8 +114,8 @@ def read_counts(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, st
 
 def counts_lines(counts: DataFrame, names: Sequence[str], length: int, alphabet: str = "ACGT") -> DataFrame:
     """The file's header as the first row and a line for each tuple, most frequent first."""
-    head = counts.agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit(f"NSEQS = {len(names)}\nLENGTH = {length}\nTUPLE_SIZE = 1\nNTUPLES = "), "n", F.lit(f"\nNAMES = {','.join(names)}\nALPHABET = {alphabet}\nNCATS = -1\n")).alias("value"), F.lit(-1).alias("i"))
-    body = counts.withColumn("i", F.row_number().over(Window.orderBy(F.col("cnt").desc(), "tuple")) - 1).select(F.concat_ws("\t", F.col("i").cast("string"), "tuple", F.col("cnt").cast("long").cast("string")).alias("value"), "i")
+    head = counts.agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit(f"NSEQS = {len(names)}\nLENGTH = {length}\nTUPLE_SIZE = 1\nNTUPLES = "), "n", F.lit(f"\nNAMES = {','.join(names)}\nALPHABET = {alphabet}\nNCATS = -1\n")).alias("value"), F.lit(-1).cast("long").alias("i"))
+    body = numbered(counts, [F.col("cnt").desc(), F.col("tuple")], "i").select(F.concat_ws("\t", F.col("i").cast("string"), "tuple", F.col("cnt").cast("long").cast("string")).alias("value"), "i")
     return head.unionByName(body).orderBy("i").select("value")
 
 
