@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import stage
+from tessera.runtime import numbered as numbered
 
 #: A word of the contracts: what stands between ASCII white space (space, \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,36 +68,6 @@ def pick(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*[(df[c] if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
 
 
-def numbered(df: DataFrame, order: list[Column], name: str, sums: dict[str, str] | None = None, partitions: int | None = None) -> DataFrame:
-    """Global row numbers (from 0) and running sums before each row, in the given order, without one task that sees all rows.
-
-    Rows are range-partitioned by `order`, sorted in their partitions and staged once with their partition and place;
-    each partition's count and sums are then added up over the few partitions and added to the places inside them.
-    sums: new column -> column whose sum over all earlier rows it gets. Rows that are equal in `order` are numbered in
-    any order; a last salt parts a hot order key. The returned frame has one row for each of df's.
-    """
-    from pyspark.sql import Window
-
-    sums = sums or {}
-    n = partitions or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    salted = df.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
-    ranged = salted.repartitionByRange(n, *order, F.col("_salt")).sortWithinPartitions(*order, F.col("_salt"))
-    placed = ranged.withColumn("_mid", F.monotonically_increasing_id())
-    placed = placed.withColumn("_pid", F.shiftright("_mid", 33).cast("int")).withColumn("_at", F.col("_mid").bitwiseAND((1 << 33) - 1)).drop("_mid", "_salt")
-    kept = stage(placed, name)
-    totals = kept.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_sum_{k}") for k, c in sums.items()])
-    # one row for each partition: their number is the session's setting and does not follow the data
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"), *[F.coalesce(F.sum(f"_sum_{k}").over(w), F.lit(0)).alias(f"_start_{k}") for k in sums])
-    out = kept.join(F.broadcast(starts), "_pid")
-    inside = Window.partitionBy("_pid").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    return out.select(
-        *df.columns,
-        (F.col("_start") + F.col("_at")).alias(name),
-        *[(F.col(f"_start_{k}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(k) for k, c in sums.items()],
-    )
-
-
 def broadcast_if_small(staged: DataFrame, most: int = 20_000) -> DataFrame:
     """Marks a staged frame for broadcast if its counted rows allow it; else it joins by a shuffle."""
     return F.broadcast(staged) if staged.limit(most + 1).count() <= most else staged

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import pii, shingles, spm
@@ -80,6 +81,20 @@ def test_personal_data_is_gone(spark):
     assert not pii.base_spans(out[1]["text"])
 
 
+def test_clashing_columns_come_along(spark):
+    """Columns with the names that the stages use inside keep their values and change no decision."""
+    names = ["_uid", "_set", "_n", "_prefix", "_fp", "_sketch", "_keep_text", "fp", "uid", "size", "spans", "base", "more", "kept", "reason", "group_name", "n_words", "entropy", "bands", "_taken", "_copy", "_size", "a", "b", "h"]
+    rows = [r for r in corpus(60) if r[0] is not None]
+    plain = frame(spark, list({r[0]: r for r in rows}.values()), more=False)
+    wide = plain.select("*", *[(F.col("doc_id") * 100 + i).alias(c) for i, c in enumerate(names)])
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        plain, wide = stage(function(spark, plain, ""), name), stage(function(spark, wide, ""), name)
+        assert wide.columns == [*plain.columns, *names]
+        got = wide.collect()
+        assert sorted((r["doc_id"], r["text"] or "") for r in plain.collect()) == sorted((r["doc_id"], r["text"] or "") for r in got)
+        assert got and all(r[c] == r["doc_id"] * 100 + i for r in got for i, c in enumerate(names))
+
+
 def test_ids(stages):
     codec = spm.codec(spm.public_path())
     want = sorted(codec.encode(r["text"] or "") for r in stages[4].collect())
