@@ -2,7 +2,14 @@
 
 Each stage takes what its predecessor kept, and its decisions take effect: rejected documents and all but one of each
 near-duplicate group go, personal data is replaced in the texts, the mix repeats or leaves out documents by its
-budgets (the one at a cut is shortened), and the last stage turns the texts into ids.
+budgets (the one at a cut is shortened), and the last stage turns the texts into ids. Near-duplicates are texts whose
+sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what such links connect.
+
+Defined results: a null or empty text fails the quality rules; a null doc_id takes part in all stages and is kept of its
+group only where there is no other; a null language is judged by its script, a null source is a source of its own;
+texts of any length are read whole; of equal texts and repeated rows the one with the least doc_id stays, and of rows
+with the same least doc_id one; further columns come along unchanged, whatever their names, up to the last stage, which gives doc_id and
+the ids; an empty table gives an empty result.
 """
 
 from __future__ import annotations
