@@ -54,3 +54,117 @@ def test_entry(spark):
 def test_a_name_is_registered_once():
     with pytest.raises(ValueError):
         registry.query("interval_inverse")(lambda spark, d: None)
+
+
+# -- queries without SQL, against plain versions -----------------------------------------------------------------------
+
+
+def rows_of(spark, name):
+    return [r.asDict() for r in registry.QUERIES[name](spark, DATA).collect()]
+
+
+def test_unique_groups_equal_plain_ones(spark, second):
+    from tessera.plans.views import FEATS
+
+    feats = second.execute(f"WITH {FEATS} SELECT event_id, seqname, event_id // 3 AS grp, start, \"end\", score FROM feats").fetchall()
+    spans = {}
+    for _, seq, grp, start, end, score in feats:
+        a, b, s = spans.get((seq, grp), (start, end, 0.0))
+        spans[seq, grp] = min(a, start), max(b, end), s + score
+    kept = {}
+    for (seq, grp), (start, end, score) in sorted(spans.items(), key=lambda x: (x[0][0], x[1][0], x[1][1], x[0][1])):
+        held = kept.setdefault(seq, {})
+        hit = [g for g, (a, b, _) in held.items() if a <= end and start <= b]
+        if not hit or score > sum(held[g][2] for g in hit):
+            for g in hit:
+                del held[g]
+            held[grp] = start, end, score
+    want = sorted((i, seq, grp) for i, seq, grp, *_ in feats if grp in kept[seq])
+    assert sorted((r["event_id"], r["seqname"], r["grp"]) for r in rows_of(spark, "unique_groups")) == want
+
+
+def test_likelihood_ratios_equal_plain_ones(spark, second):
+    per = second.execute("SELECT user_id, count(*), count(*) FILTER (WHERE event_type = 'purchase') FROM events GROUP BY 1").fetchall()
+    p0 = sum(k for *_, k in per) / sum(n for _, n, _ in per)
+    xlog = lambda x, p: x * math.log(p) if x else 0.0
+    want = {}
+    for user, n, k in per:
+        lr = max(2 * (xlog(k, k / n) + xlog(n - k, 1 - k / n) - xlog(k, p0) - xlog(n - k, 1 - p0)), 0.0)
+        want[user] = lr, math.erfc(math.sqrt(lr / 2))
+    got = {r["user_id"]: (r["lr"], r["p"]) for r in rows_of(spark, "lrt_pvalue")}
+    assert got.keys() == want.keys()
+    assert all(got[u] == pytest.approx(want[u], abs=2e-6) for u in want)
+
+
+def test_trained_chain_equals_a_plain_one(spark):
+    """Three rounds of expectation-maximisation with scaled chances, sequence by sequence."""
+    from tessera.plans import sequence_queries
+
+    found = {}
+    for r in sequence_queries.emissions(spark, DATA).collect():
+        found.setdefault(r["seq"], {})[r["pos"]] = [2.0**x for x in r["emission"]]
+    seqs = [[e for _, e in sorted(x.items())] for x in found.values()]
+    t, begin = sequence_queries.CHAIN.transition.tolist(), sequence_queries.CHAIN.begin.tolist()
+    for _ in range(3):
+        steps, begins, total = [[0.0, 0.0], [0.0, 0.0]], [0.0, 0.0], 0.0
+        for e in seqs:
+            f, scale = [], []
+            for i, x in enumerate(e):
+                v = [begin[s] * x[s] if i == 0 else sum(f[-1][q] * t[q][s] for q in (0, 1)) * x[s] for s in (0, 1)]
+                scale.append(sum(v))
+                f.append([y / scale[-1] for y in v])
+            b = [[1.0, 1.0]]
+            for i in range(len(e) - 1, 0, -1):
+                b.insert(0, [sum(t[s][q] * e[i][q] * b[0][q] for q in (0, 1)) / scale[i] for s in (0, 1)])
+            total += sum(map(math.log2, scale))
+            for s in (0, 1):
+                begins[s] += f[0][s] * b[0][s]
+                for q in (0, 1):
+                    steps[s][q] += sum(f[i][s] * t[s][q] * e[i + 1][q] * b[i + 1][q] / scale[i + 1] for i in range(len(e) - 1))
+        t, begin = [[x / sum(r) for x in r] for r in steps], [x / sum(begins) for x in begins]
+    got = rows_of(spark, "baum_welch")
+    assert all(r["p"] == pytest.approx(t[r["from"]][r["to"]], abs=1e-5) and r["loglik"] == pytest.approx(total, abs=0.01) for r in got)
+
+
+def plain_tree_loglik(column, scale, rates):
+    """The column's log-likelihood on the queries' tree, branches times a scale, by sums over all inner states."""
+    pi = dict(zip("ACGT", (0.3, 0.2, 0.2, 0.3)))
+
+    def chance(i, j, length, rate):
+        if j == "-":
+            return 1.0
+        x = math.exp(-length * scale * rate / 1.22)
+        alike = {i, j} in ({"A", "G"}, {"C", "T"}, {i})
+        return pi[j] * (1 - x) + (2 * pi[j] * (x - x * x) if alike else 0.0) + (x * x if i == j else 0.0)
+
+    a, b, c, d = column
+    total = 0.0
+    for rate in rates:
+        for root in "ACGT":
+            left = sum(chance(root, i, 0.05, rate) * chance(i, a, 0.1, rate) * chance(i, b, 0.2, rate) for i in "ACGT")
+            right = sum(chance(root, i, 0.15, rate) * chance(i, c, 0.3, rate) * chance(i, d, 0.1, rate) for i in "ACGT")
+            total += pi[root] * left * right / len(rates)
+    return math.log(total) if total > 0 else -math.inf
+
+
+def test_site_tests_equal_plain_ones(spark):
+    from tessera.plans import tree_queries
+
+    rates = tree_queries.model().rates.tolist()
+    lrt = {r["tuple"]: r for r in rows_of(spark, "site_tests_lrt")}
+    score = {r["tuple"]: r for r in rows_of(spark, "site_tests_score")}
+    gerp = {r["tuple"]: r for r in rows_of(spark, "site_tests_gerp")}
+    assert lrt.keys() == score.keys() == gerp.keys()
+    grid = [20 * (i / 400) ** 3 for i in range(401)]
+    for column in sorted(lrt):
+        null = plain_tree_loglik(column, 1.0, rates)
+        best = max(null, max(plain_tree_loglik(column, s, rates) for s in grid))
+        r = lrt[column]
+        assert r["null_loglik"] == pytest.approx(null, abs=2e-5) and best - 2e-5 <= r["alt_loglik"] <= best + 2e-3
+        assert r["lr"] == pytest.approx(2 * (r["alt_loglik"] - r["null_loglik"]), abs=5e-5)
+        assert plain_tree_loglik(column, r["scale"], rates) == pytest.approx(r["alt_loglik"], abs=2e-4)
+        slope = (plain_tree_loglik(column, 1.001, rates) - plain_tree_loglik(column, 0.999, rates)) / 0.002
+        assert score[column]["deriv"] == pytest.approx(slope, abs=1e-4)
+        neutral = 0.9 - (0.1 if column[3] == "-" else 0.0)
+        assert gerp[column]["neutral"] == pytest.approx(neutral)
+        assert gerp[column]["observed"] == pytest.approx(neutral * r["scale"], abs=1e-3)
