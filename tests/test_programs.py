@@ -248,3 +248,24 @@ def test_drawn_words(spark):
     assert words == motifs.sample_ntuples(seqs.repartition(3), 5, 20, 1) != motifs.sample_ntuples(seqs, 5, 20, 2)
     assert sorted(motifs.sample_ntuples(seqs, 5, 999, 1)) == sorted(t[i : i + 5] for t in texts for i in range(len(t) - 4))
     assert motifs.sample_ntuples(seqs.limit(0), 5, 9, 1) == []
+
+
+def test_late_rows_and_chunks_of_a_stream(spark, tmp_path):
+    """Four batches: rows behind the watermark of earlier batches go, others are counted once in their windows."""
+    from tessera.streaming import streams
+
+    schema = "ts timestamp, kind string"
+    folder = str(tmp_path / "in")
+    for batch in (["10:00:10", "10:00:50", "10:02:00"], ["10:09:30", "10:01:10"], ["10:09:40"], ["10:00:20", "10:20:00", "10:01:30"]):
+        rows = spark.createDataFrame([(f"2024-01-01 {t}", "x") for t in batch], "ts string, kind string").select(F.col("ts").cast("timestamp"), "kind")
+        rows.coalesce(1).write.mode("append").parquet(folder)
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = streams.run_once(streams.windowed_counts(stream(), "ts", "1 minute", late="5 minutes"), str(tmp_path / "out"), "append", str(tmp_path / "state"))
+    got = {r["start"].strftime("%H:%M"): r["n"] for r in out.collect()}
+    assert got == {"10:00": 2, "10:01": 1, "10:02": 1, "10:09": 2}
+    all_ = streams.run_once(streams.tuple_counts(stream(), "kind"), str(tmp_path / "all"), "complete", str(tmp_path / "state2"))
+    assert [tuple(r) for r in all_.collect()] == [("x", 9)]
+    none = streams.run_once(streams.tuple_counts(spark.readStream.schema(schema).parquet(str(tmp_path)), "kind"), str(tmp_path / "none"), "complete", str(tmp_path / "state3"))
+    assert none.columns == ["tuple", "cnt"]
+    with pytest.raises(ValueError):
+        streams.run_once(stream(), str(tmp_path / "x"), "update", str(tmp_path / "y"))
