@@ -57,7 +57,8 @@ class Katz:
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """For all texts one after another: the words' places among the distinct ones, where each text ends, and the distinct words."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    whole = pa.concat_arrays([texts, texts.slice(0, 0)])  # a copy from offset 0: lower-casing misreads cast parts of a longer array
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(whole, "").cast(pa.large_string())))
     bounds = lists.offsets.to_numpy()
     coded = lists.values.slice(int(bounds[0]), int(bounds[-1] - bounds[0])).dictionary_encode()
     places, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()

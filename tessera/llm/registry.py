@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import html_text, katz, mixing, pii, quality, sharding, simhash, spm, suffix_dedup, topk, toxicity
+from tessera.llm import alignment, html_text, katz, mixing, pii, quality, sharding, simhash, spm, suffix_dedup, topk, toxicity
 
 _WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
 
@@ -69,6 +69,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_ordinal_severity": toxicity.op9_ordinal_severity,
     "op10_prefix_doubling": suffix_dedup.op10_prefix_doubling,
+    "op11_aligned_vocabularies": alignment.op11_aligned_vocabularies,
     "op13_katz_backoff": katz.op13_katz_backoff,
 }
 

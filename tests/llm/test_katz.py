@@ -128,11 +128,15 @@ def test_long_texts_and_blocks(spark):
 
 def test_words_of_white_space():
     import pyarrow as pa
+    import pyarrow.parquet as pq
 
     texts = ["", " ", "a", " a b c \x0b\x0cd\x1cE\r\n", None, "\tx"]
     places, ends, distinct = katz.words_of(pa.array(texts))
     words = [distinct[i] for i in places]
     assert words == [w for t in texts for w in tokens(t)[:-1]]
     assert ends.tolist() == [sum(len(tokens(t)) - 1 for t in texts[: i + 1]) for i in range(len(texts))]
+    given = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks().slice(300, 400)
+    at, stop, found = katz.words_of(given)
+    assert [found[i] for i in at] == [w for t in given.to_pylist() for w in tokens(t)[:-1]] and len(stop) == 400
     sliced, stops, names = katz.words_of(pa.array(texts).slice(2, 3))
     assert [names[i] for i in sliced] == [w for t in texts[2:5] for w in tokens(t)[:-1]] and stops.tolist() == [1, len(sliced), len(sliced)]
