@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import alignment, html_text, katz, mixing, pii, quality, sharding, simhash, spm, suffix_dedup, topk, toxicity
+from tessera.llm import alignment, html_text, katz, mixing, pii, quality, sharding, simhash, spm, suffix_dedup, topk, toxicity, whitening
 
 _WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
 
@@ -70,6 +70,7 @@ QUERIES = {
     "op9_ordinal_severity": toxicity.op9_ordinal_severity,
     "op10_prefix_doubling": suffix_dedup.op10_prefix_doubling,
     "op11_aligned_vocabularies": alignment.op11_aligned_vocabularies,
+    "op12_whitened_embeddings": whitening.op12_whitened_embeddings,
     "op13_katz_backoff": katz.op13_katz_backoff,
 }
 
