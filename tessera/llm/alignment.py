@@ -36,7 +36,7 @@ from tessera.runtime import stage
 
 #: The byte-pair vocabulary as ranks; its ids are those of byte_bpe_50k.json (the tests compare the two).
 A_NAME, B_NAME = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 PARTS_DDL = "block long, n_bytes long, keys array<binary>, copies array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, pairs binary, ends binary, links binary"
 
 

@@ -12,6 +12,7 @@ import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,9 +93,11 @@ def parts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
 
 
 def meet(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of several sorted lists; for each entry of the joined lists its key's place; each key's first entry; where the lists end."""
+    """Distinct keys of several lists; for each entry of the joined lists its key's place; each key's first entry; where the lists end."""
     ends = np.cumsum([0, *map(len, keys)])
-    distinct, first, place = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_index=True, return_inverse=True)
+    place, distinct = pd.factorize(np.concatenate(keys) if keys else np.zeros(0, np.uint64))
+    first = np.empty(len(distinct), np.int64)
+    first[place[::-1]] = np.arange(len(place))[::-1]
     return distinct, place, first, ends
 
 

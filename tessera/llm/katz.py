@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -40,6 +41,8 @@ from tessera.runtime import stage
 END = xxhash.xxh64_intdigest(b"")
 BEGIN = xxhash.xxh64_intdigest(b" ")
 ADDED = 0.1
+#: Bytes of text in a block: a worker holds some twenty numbers for each of its tokens.
+SLICE_BYTES = 1 << 20
 BLOCK_DDL = "doc_id array<{kind}>, held array<boolean>, ends binary, words binary, tokens binary"
 
 
@@ -99,7 +102,7 @@ def blocks_of(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: str
         drop_kept(None)
         count = itertools.count(TaskContext.get().partitionId() << 32)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 ids, out, ends, words, tokens, n = packed(part)
                 size = part.column("text").nbytes
                 arrays = [pa.array([next(count)]), pa.array([size]), pa.array([n]), pa.array([ids], pa.list_(part.column("doc_id").type)), pa.array([out], pa.list_(pa.bool_())), *[pa.array([x], pa.binary()) for x in (ends, words, tokens)]]
@@ -137,7 +140,7 @@ class Block:
         for n in range(max(self.gram) + 1, order + 1):
             at = np.flatnonzero(self.depth >= n - 1)
             width = len(self.keys[1])
-            both, place = np.unique(self.gram[n - 1][at - 1] * width + self.gram[1][at], return_inverse=True)
+            place, both = pd.factorize(self.gram[n - 1][at - 1] * width + self.gram[1][at])
             self.gram[n] = np.full(len(self.depth), -1, np.int64)
             self.gram[n][at] = place
             self.history[n], last = np.divmod(both, width)
