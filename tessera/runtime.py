@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Used only where the session names no shared folder, as in tests.
 _FALLBACK: list[str] = []
 _STAGED: list[str] = []
+#: The catalog's names of those staged by a key.
+_TABLES: dict[str, str] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -50,6 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def _drop(spark: SparkSession, path: str) -> None:
     try:
+        if path in _TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(path)}")
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
     except Exception:  # the session has ended: the folder's owner clears it
@@ -88,6 +92,31 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stage_by(df: DataFrame, name: str, key: str, together: bool = False) -> DataFrame:
+    """As stage(), with the rows of a key's hash together in files that joins and grouping on it read without a shuffle.
+
+    It has as many buckets as the session has shuffle partitions, so that the other side of a join meets it as it comes.
+    together: whether a key's rows already are in one partition, as after grouping by it.
+    """
+    spark = df.sparkSession
+    table = f"tessera_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table.replace('tessera_', 'tessera-', 1)}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    before = spark.conf.get(_CLEANUP, None)
+    if before is not None:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        (df if together else df.repartition(n, key)).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
+    _STAGED.append(path)
+    _TABLES[path] = table
+    out = spark.table(table)
+    out._tessera_path = path
+    return out
+
+
 def own(path: str) -> str:
     """Have a folder deleted when the driver's process ends, as stage()'s are."""
     _STAGED.append(path)
