@@ -106,7 +106,7 @@ def sums(place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(place, values.astype(np.float64), n).astype(np.uint64)
 
 
-def in_batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def in_batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches of about `most` bytes of their binary fields."""
     held: list[tuple] = []
     size = 0

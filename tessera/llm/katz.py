@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm import exchange
 from tessera.llm.common import drop_kept, pick, slices
-from tessera.runtime import stage
+from tessera.runtime import stage, stage_by, unstage
 
 #: Names that no word has: a text's end, which is predicted, and its begin, which is only a history.
 END = xxhash.xxh64_intdigest(b"")
 BEGIN = xxhash.xxh64_intdigest(b" ")
 ADDED = 0.1
 #: Bytes of text in a block: a worker holds some twenty numbers for each of its tokens.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 BLOCK_DDL = "doc_id array<{kind}>, held array<boolean>, ends binary, words binary, tokens binary"
 
 
@@ -118,17 +118,17 @@ class Block:
         self.ends = exchange.unpack_keys(row["ends"]).astype(np.int64)
         words = exchange.unpack_keys(row["words"])
         raw = row["tokens"]
-        tokens = exchange.unpack(_inflated(raw)).astype(np.int64)
+        tokens = exchange.unpack(_inflated(raw)).astype(np.int32)
         texts = len(self.ends)
-        starts = np.concatenate([[0], self.ends[:-1]]) + np.arange(texts)
+        starts = (np.concatenate([[0], self.ends[:-1]]) + np.arange(texts)).astype(np.int64)
         self.starts = starts  # the places of the begins
         begins = np.zeros(len(tokens) + texts, bool)
         begins[starts] = True
         self.predicted = ~begins
-        line = np.full(len(begins), len(words), np.int64)
+        line = np.full(len(begins), len(words), np.int32)
         line[self.predicted] = tokens
         sizes = np.diff(np.concatenate([starts, [len(begins)]]))
-        self.depth = np.arange(len(begins)) - np.repeat(starts, sizes)
+        self.depth = (np.arange(len(begins)) - np.repeat(starts, sizes)).astype(np.int32)
         self.trained = np.repeat(~np.array(row["held"], bool), sizes)
         self.gram = {1: line}
         self.keys = {1: np.concatenate([words, [np.uint64(BEGIN)]])}
@@ -140,13 +140,14 @@ class Block:
         for n in range(max(self.gram) + 1, order + 1):
             at = np.flatnonzero(self.depth >= n - 1)
             width = len(self.keys[1])
-            place, both = pd.factorize(self.gram[n - 1][at - 1] * width + self.gram[1][at])
-            self.gram[n] = np.full(len(self.depth), -1, np.int64)
+            place, both = pd.factorize(self.gram[n - 1][at - 1].astype(np.int64) * width + self.gram[1][at])
+            self.gram[n] = np.full(len(self.depth), -1, np.int32)
             self.gram[n][at] = place
-            self.history[n], last = np.divmod(both, width)
-            self.shorter[n] = np.zeros(len(both), np.int64)
+            history, last = np.divmod(both, width)
+            self.history[n] = history.astype(np.int32)
+            self.shorter[n] = np.zeros(len(both), np.int32)
             self.shorter[n][place] = self.gram[n - 1][at]
-            self.keys[n] = exchange.mix(self.keys[n - 1][self.history[n]], self.keys[1][last])
+            self.keys[n] = exchange.mix(self.keys[n - 1][history], self.keys[1][last])
         return self
 
     def counts(self, n: int) -> np.ndarray:
@@ -168,14 +169,11 @@ class Evaluation:
         self.block = Block(row)
         self.count: dict[int, np.ndarray] = {}
         self.own: dict[int, np.ndarray] = {}
-        self.total: dict[int, np.ndarray] = {}  # of each history of an order: what its n-grams' counts are parts of
-        self.weight: dict[int, np.ndarray] = {}  # of each history of an order
         self.p: dict[int, np.ndarray] = {}
         for n in sorted(stats):
-            if f"a{n}" in row:
-                self._counted(n, row[f"a{n}"] or [])
-            if f"b{n}" in row:
-                self._weighed(n, row[f"b{n}"] or [])
+            self._counted(n, row[f"a{n}"] or [])
+            if n > 1 and f"a{n + 1}" in row:
+                self._weighed(n, row[f"a{n + 1}"] or [])
 
     def asked(self, n: int) -> np.ndarray:
         """The n-grams that may be in the table, in the order of their keys."""
@@ -205,26 +203,23 @@ class Evaluation:
 
     def _weighed(self, n: int, answers: list) -> None:
         histories = self.histories(n)
-        kept, lower = (np.concatenate([exchange.doubles(x[k]) for x in answers]) if answers else np.zeros(0) for k in ("kept", "lower"))
+        found = np.concatenate([exchange.doubles(x["weights"]) for x in answers]) if answers else np.zeros(0)
         total = self.count[n - 1].astype(np.float64)
+        total[histories] += found < 0
         weight = np.ones(len(total))
-        whole = total[histories]
-        whole = np.where((kept >= whole) & (whole > 0), whole + 1, whole)
-        total[histories] = whole
-        weight[histories] = (1 - kept / np.maximum(whole, 1)) / np.maximum(1 - lower, np.finfo(float).tiny)
-        self.total[n], self.weight[n] = total, weight
+        weight[histories] = np.abs(found)
         d = self.stats[n].discounted(self.count[n])
         h = self.block.history[n]
         self.p[n] = np.where(d > 0, d / np.maximum(total[h], 1), weight[h] * self.p[n - 1][self.block.shorter[n]])
 
-    def sums(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of histories, and over the n-grams that this block owns the sums of discounted counts and lower probabilities."""
+    def sums(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys and counts of histories, and over the n-grams that this block owns the sums of discounted counts and lower probabilities."""
         d = self.stats[n].discounted(self.count[n])
         mine = np.flatnonzero(self.own[n] & (d > 0))
         h, size = self.block.history[n][mine], len(self.block.keys[n - 1])
         kept, lower = np.bincount(h, d[mine], size), np.bincount(h, self.p[n - 1][self.block.shorter[n][mine]], size)
         histories = self.histories(n)
-        return self.block.keys[n - 1][histories], kept[histories], lower[histories]
+        return self.block.keys[n - 1][histories], self.count[n - 1][histories], kept[histories], lower[histories]
 
 
 @dataclass(frozen=True)
@@ -262,10 +257,10 @@ class Stats:
         return (lost + self.whole() - self.total) / self.whole()
 
 
-ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("histories", pa.binary()), ("kept", pa.binary()), ("lower", pa.binary())])
-ANSWER = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("counts", pa.binary()), ("kept", pa.binary()), ("lower", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64()), ("seen", pa.list_(pa.int64()))])
-ASKED_DDL = "bucket int, block long, keys binary, counts binary, histories binary, kept binary, lower binary"
-ANSWER_DDL = "bucket int, block long, counts binary, kept binary, lower binary, distinct long, total long, seen array<long>"
+ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("histories", pa.binary()), ("totals", pa.binary()), ("kept", pa.binary()), ("lower", pa.binary())])
+ANSWER = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("counts", pa.binary()), ("weights", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64()), ("seen", pa.list_(pa.int64()))])
+ASKED_DDL = "bucket int, block long, keys binary, counts binary, histories binary, totals binary, kept binary, lower binary"
+ANSWER_DDL = "bucket int, block long, counts binary, weights binary, distinct long, total long, seen array<long>"
 
 
 def _ask(known: DataFrame, n: int, model: Katz, stats: dict[int, Stats], bits: int) -> DataFrame:
@@ -279,11 +274,11 @@ def _ask(known: DataFrame, n: int, model: Katz, stats: dict[int, Stats], bits: i
                 asked = e.asked(n)
                 keys, counts = e.block.keys[n][asked], e.block.counts(n)[asked]
                 for bucket, at in exchange.parts(keys, bits):
-                    out.setdefault(bucket, [None] * 5)[:2] = exchange.pack_keys(keys[at]), exchange.pack(counts[at])
+                    out.setdefault(bucket, [None] * 6)[:2] = exchange.pack_keys(keys[at]), exchange.pack(counts[at])
             if n > 2:
-                keys, kept, lower = e.sums(n - 1)
+                keys, totals, kept, lower = e.sums(n - 1)
                 for bucket, at in exchange.parts(keys, bits):
-                    out.setdefault(bucket, [None] * 5)[2:] = exchange.pack_keys(keys[at]), kept[at].tobytes(), lower[at].tobytes()
+                    out.setdefault(bucket, [None] * 6)[2:] = exchange.pack_keys(keys[at]), exchange.pack(totals[at]), kept[at].tobytes(), lower[at].tobytes()
             for bucket, fields in out.items():
                 yield bucket, row["block"], *fields
 
@@ -298,7 +293,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _answer(n: int, most: int):
-    """Adds up the counts of a bucket's n-grams and, of its histories, what their blocks found."""
+    """Adds up the counts of a bucket's n-grams and what the blocks found of its histories, whose weights are negative where 1 was added to the total."""
 
     def run(rows: list[dict]) -> Iterator[tuple]:
         distinct, place, first, ends = exchange.meet([exchange.unpack_keys(r["keys"]) for r in rows])
@@ -308,11 +303,16 @@ def _answer(n: int, most: int):
         coded = counts[place] << np.uint64(1)
         coded[first] |= np.uint64(1)
         names, at, _, stops = exchange.meet([exchange.unpack_keys(r["histories"]) for r in rows])
-        kept, lower = (np.bincount(at, np.concatenate([exchange.doubles(r[k]) for r in rows]), len(names))[at] if len(at) else np.zeros(0) for k in ("kept", "lower"))
-        yield rows[0]["bucket"], None, None, None, None, len(real), int(real.sum()), seen
+        weights = np.zeros(0)
+        if len(at):
+            kept, lower = (np.bincount(at, np.concatenate([exchange.doubles(r[k]) for r in rows]), len(names)) for k in ("kept", "lower"))
+            total = np.zeros(len(names))
+            total[at] = np.concatenate([exchange.unpack(r["totals"]) for r in rows])
+            whole = kept >= total
+            weights = ((1 - kept / (total + whole)) / np.maximum(1 - lower, np.finfo(float).tiny) * np.where(whole, -1.0, 1.0))[at]
+        yield rows[0]["bucket"], None, None, None, len(real), int(real.sum()), seen
         for i, r in enumerate(rows):
-            a, b = slice(ends[i], ends[i + 1]), slice(stops[i], stops[i + 1])
-            yield r["bucket"], r["block"], exchange.pack(coded[a]), kept[b].tobytes(), lower[b].tobytes(), None, None, None
+            yield r["bucket"], r["block"], exchange.pack(coded[ends[i] : ends[i + 1]]), weights[stops[i] : stops[i + 1]].tobytes(), None, None, None
 
     return run
 
@@ -323,24 +323,24 @@ def evaluated(docs: DataFrame, held: str = "false", model: Katz = Katz(), id_col
     held: SQL over doc_id; texts for which it is true or null are scored, not learned from. base_score adds 0.1 to
     every word's count; score is the model's log10 probability of the text and its end.
     """
-    blocks = stage(blocks_of(docs, held, id_col, text_col), "katz-blocks")
+    blocks = stage_by(blocks_of(docs, held, id_col, text_col), "katz-blocks", "block")
     text_bytes = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     bits = exchange.bucket_bits(text_bytes)
     stats: dict[int, Stats] = {}
-    known, tables, orders = blocks, [], len(model.least)
+    known, orders = blocks, len(model.least)
     for n in range(1, orders + 2):
         if n == orders + 1 and orders == 1:
             break
         asked = _ask(known, n, model, dict(stats), bits)
         table = stage(exchange.answered(asked, _answer(n, model.most), ANSWER, ANSWER_DDL), f"katz-{n}-grams")
-        tables.append(table)
         if n <= orders:
             of_buckets = table.filter(F.col("block").isNull())
             found = of_buckets.agg(F.sum("distinct"), F.sum("total"), *[F.sum(F.col("seen")[r]) for r in range(model.most + 1)]).first()
             stats[n] = Stats(model.least[n - 1], model.most, found[0] or 0, found[1] or 0, tuple(x or 0 for x in found[2:]))
-            known = known.join(exchange.by_block(table, "counts", name=f"a{n}"), "block", "left")
-        if n > 2:
-            known = known.join(exchange.by_block(table, "kept", "lower", name=f"b{n - 1}"), "block", "left")
+        # the answers lie as the blocks do: no later round shuffles either
+        answers = stage_by(exchange.by_block(table, "counts", "weights", name=f"a{n}"), f"katz-answers-{n}", "block", together=True)
+        unstage(table)
+        known = known.join(answers, "block", "left")
     return _scores(known, model, stats, docs, id_col)
 
 
