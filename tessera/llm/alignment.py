@@ -123,7 +123,7 @@ def _aligned(distinct: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 pairs, places = np.unique(np.concatenate(links), return_inverse=True)
                 one = [pa.array([next(count)]), pa.array([part.nbytes])]
                 lists = [pa.array([out["keys"]], pa.list_(pa.binary())), pa.array([part.column("copies").to_pylist()], pa.list_(pa.int64())), *[pa.array([out[k]], pa.list_(pa.int64())) for k in ("n_a", "n_b", "n_groups")], pa.array([out["groups_sha256"]], pa.list_(pa.string()))]
-                raw = [exchange.pack_keys(pairs), exchange.pack_keys(np.cumsum(ends).astype(np.uint64)), pa.compress(exchange.pack(places.astype(np.uint64)), "zstd", asbytes=True)]
+                raw = [exchange.pack_keys(pairs), exchange.pack_keys(np.cumsum(ends).astype(np.uint64)), exchange.squeezed(exchange.pack(places.astype(np.uint64)))]
                 names = ["block", "n_bytes", "keys", "copies", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "ends", "links"]
                 yield pa.RecordBatch.from_arrays([*one, *lists, *[pa.array([x], pa.binary()) for x in raw]], names)
 
@@ -136,9 +136,7 @@ ANSWER = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("counts", pa
 
 def _links(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A block's links as places of pairs, where each text's end, and the pair keys."""
-    import zstandard
-
-    places = exchange.unpack(zstandard.decompress(row["links"])) if row["links"] else np.zeros(0, np.uint64)
+    places = exchange.unpack(exchange.expanded(row["links"]))
     return places.astype(np.int64), exchange.unpack_keys(row["ends"]).astype(np.int64), exchange.unpack_keys(row["pairs"])
 
 

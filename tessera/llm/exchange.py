@@ -14,11 +14,12 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text whose keys meet in one bucket, and the fewest leading bits that part keys.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 LEAST_BITS = 6
 
 
@@ -80,8 +81,21 @@ def unpack_keys(raw: bytes | None) -> np.ndarray:
     return np.cumsum(unpack(raw), dtype=np.uint64)
 
 
+def squeezed(raw: bytes) -> bytes:
+    return pa.compress(raw, "zstd", asbytes=True) if raw else b""
+
+
+def expanded(raw: bytes | None) -> bytes:
+    return zstandard.decompress(raw) if raw else b""
+
+
+def pack_doubles(values: np.ndarray) -> bytes:
+    """Doubles as compressed planes of bytes: many are zero or one."""
+    return squeezed(np.ascontiguousarray(values, "<f8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
 def doubles(raw: bytes | None) -> np.ndarray:
-    return np.frombuffer(raw or b"", "<f8")
+    return np.ascontiguousarray(np.frombuffer(expanded(raw), np.uint8).reshape(8, -1).T).view("<f8").ravel()
 
 
 def parts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:

@@ -42,7 +42,7 @@ END = xxhash.xxh64_intdigest(b"")
 BEGIN = xxhash.xxh64_intdigest(b" ")
 ADDED = 0.1
 #: Bytes of text in a block: a worker holds some twenty numbers for each of its tokens.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 BLOCK_DDL = "doc_id array<{kind}>, held array<boolean>, ends binary, words binary, tokens binary"
 
 
@@ -88,7 +88,7 @@ def packed(part: pa.RecordBatch) -> tuple:
     ends = ends + np.arange(texts) + 1
     inside[ends - 1] = False
     tokens[inside] = back[places]
-    return part.column("doc_id").to_pylist(), part.column("held").to_pylist(), exchange.pack_keys(ends.astype(np.uint64)), exchange.pack_keys(words), pa.compress(exchange.pack(tokens), "zstd", asbytes=True), n + texts
+    return part.column("doc_id").to_pylist(), part.column("held").to_pylist(), exchange.pack_keys(ends.astype(np.uint64)), exchange.pack_keys(words), exchange.squeezed(exchange.pack(tokens)), n + texts
 
 
 def blocks_of(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,8 +117,7 @@ class Block:
     def __init__(self, row: dict):
         self.ends = exchange.unpack_keys(row["ends"]).astype(np.int64)
         words = exchange.unpack_keys(row["words"])
-        raw = row["tokens"]
-        tokens = exchange.unpack(_inflated(raw)).astype(np.int32)
+        tokens = exchange.unpack(exchange.expanded(row["tokens"])).astype(np.int32)
         texts = len(self.ends)
         starts = (np.concatenate([[0], self.ends[:-1]]) + np.arange(texts)).astype(np.int64)
         self.starts = starts  # the places of the begins
@@ -155,12 +154,6 @@ class Block:
         return np.bincount(self.gram[n][there], minlength=len(self.keys[n])).astype(np.uint64)
 
 
-def _inflated(raw: bytes) -> bytes:
-    import zstandard
-
-    return zstandard.decompress(raw) if raw else b""
-
-
 class Evaluation:
     """What a block knows after the answers of some orders: counts, owned n-grams and backoff weights."""
 
@@ -219,7 +212,8 @@ class Evaluation:
         h, size = self.block.history[n][mine], len(self.block.keys[n - 1])
         kept, lower = np.bincount(h, d[mine], size), np.bincount(h, self.p[n - 1][self.block.shorter[n][mine]], size)
         histories = self.histories(n)
-        return self.block.keys[n - 1][histories], self.count[n - 1][histories], kept[histories], lower[histories]
+        totals = np.where(kept > 0, self.count[n - 1], 0)  # with the sums: where there are none the weight is 1
+        return self.block.keys[n - 1][histories], totals[histories], kept[histories], lower[histories]
 
 
 @dataclass(frozen=True)
@@ -278,7 +272,7 @@ def _ask(known: DataFrame, n: int, model: Katz, stats: dict[int, Stats], bits: i
             if n > 2:
                 keys, totals, kept, lower = e.sums(n - 1)
                 for bucket, at in exchange.parts(keys, bits):
-                    out.setdefault(bucket, [None] * 6)[2:] = exchange.pack_keys(keys[at]), exchange.pack(totals[at]), kept[at].tobytes(), lower[at].tobytes()
+                    out.setdefault(bucket, [None] * 6)[2:] = exchange.pack_keys(keys[at]), exchange.squeezed(exchange.pack(totals[at])), exchange.pack_doubles(kept[at]), exchange.pack_doubles(lower[at])
             for bucket, fields in out.items():
                 yield bucket, row["block"], *fields
 
@@ -307,12 +301,13 @@ def _answer(n: int, most: int):
         if len(at):
             kept, lower = (np.bincount(at, np.concatenate([exchange.doubles(r[k]) for r in rows]), len(names)) for k in ("kept", "lower"))
             total = np.zeros(len(names))
-            total[at] = np.concatenate([exchange.unpack(r["totals"]) for r in rows])
-            whole = kept >= total
+            np.maximum.at(total, at, np.concatenate([exchange.unpack(exchange.expanded(r["totals"])) for r in rows]).astype(np.float64))
+            whole = (kept >= total) & (total > 0)
+            total[total == 0] = 1
             weights = ((1 - kept / (total + whole)) / np.maximum(1 - lower, np.finfo(float).tiny) * np.where(whole, -1.0, 1.0))[at]
         yield rows[0]["bucket"], None, None, None, len(real), int(real.sum()), seen
         for i, r in enumerate(rows):
-            yield r["bucket"], r["block"], exchange.pack(coded[ends[i] : ends[i + 1]]), weights[stops[i] : stops[i + 1]].tobytes(), None, None, None
+            yield r["bucket"], r["block"], exchange.pack(coded[ends[i] : ends[i + 1]]), exchange.pack_doubles(weights[stops[i] : stops[i + 1]]), None, None, None
 
     return run
 
