@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from itertools import product
 
@@ -147,22 +148,45 @@ def amino_rates(q: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, list[str]]:
     return out, names
 
 
-def biased(q: np.ndarray, selection: float = 0.0, conversion: float = 0.0) -> np.ndarray:
-    """Rates of a 4-state model under selection and GC-biased conversion: each times x / (1 - exp(-x)) of its strength."""
-    def factor(x: float) -> float:
-        return 1.0 if abs(x) < 1e-9 else x / (1 - np.exp(-x))
+def fixation(x: float) -> float:
+    """How much likelier than a neutral change one of this strength is to spread: x / (1 - exp(-x))."""
+    return 1.0 if abs(x) < 1e-9 else float(x / -np.expm1(min(-x, 700.0)))
+
+
+def gain(a: str, b: str) -> int:
+    """1 from A or T to G or C, -1 the other way."""
+    return (b in "GC") - (a in "GC")
+
 
+def _weighed(q: np.ndarray, factor: Callable[[int, int], float]) -> np.ndarray:
     out = q.copy()
-    for i, a in enumerate(DNA):
-        for j, b in enumerate(DNA):
-            if i != j:
-                gain = (b in "GC") - (a in "GC")
-                out[i, j] *= factor(selection + conversion * gain)
+    for i, j in zip(*np.nonzero(q)):
+        if i != j:
+            out[i, j] *= factor(int(i), int(j))
     np.fill_diagonal(out, 0)
     np.fill_diagonal(out, -out.sum(1))
     return out
 
 
+def biased(q: np.ndarray, selection: float = 0.0, conversion: float = 0.0) -> np.ndarray:
+    """Rates of a 4-state model under selection and GC-biased conversion, each times the fixation factor of its strength."""
+    return _weighed(q, lambda i, j: fixation(selection + conversion * gain(DNA[i], DNA[j])))
+
+
+def biased_codon(q: np.ndarray, selection: float = 0.0, conversion: float = 0.0) -> np.ndarray:
+    """The same for 64 codons: selection acts on changes of the amino acid, conversion on the base that changes; stop codons keep their rates."""
+    states = context_states(3)
+
+    def factor(i: int, j: int) -> float:
+        a, b = states[i], states[j]
+        if "*" in (CODONS[a], CODONS[b]):
+            return 1.0
+        x, y = next((x, y) for x, y in zip(a, b) if x != y)
+        return fixation(selection * (CODONS[a] != CODONS[b]) + conversion * gain(x, y))
+
+    return _weighed(q, factor)
+
+
 def is_reversible(q: np.ndarray, pi: np.ndarray, tolerance: float = 1e-6) -> bool:
     flow = pi[:, None] * q
     return bool(np.allclose(flow, flow.T, atol=tolerance))
@@ -211,6 +235,10 @@ class TreeModel:
     kind: str = "REV"
     alpha: float | None = None
     scale: float = 1.0
+    #: The free rates behind q, where a fit found it.
+    free: np.ndarray | None = None
+    #: Rate matrices of single branches, by the number of the node below.
+    altered: Mapping[int, np.ndarray] = field(default_factory=dict)
 
     def with_(self, **changes) -> TreeModel:
         return replace(self, **changes)
@@ -221,4 +249,4 @@ class TreeModel:
 
     def probabilities(self, node: Node) -> np.ndarray:
         """P for each rate class on the branch above a node."""
-        return expm(self.q, node.length * self.scale * self.rates)
+        return expm(self.altered.get(node.id, self.q), node.length * self.scale * self.rates)

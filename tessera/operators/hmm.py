@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.runtime import stage
+
 CHUNK = 4096
 LN2 = np.log(2.0)
 
@@ -177,11 +179,11 @@ def stationary(t: np.ndarray) -> np.ndarray:
 # -- distributed -------------------------------------------------------------------------------------------------------
 
 
-def _chunked(rows: DataFrame, by: Sequence[str], size: int) -> DataFrame:
-    """by, chunk, first, places and scores of each chunk; pos counts from 1 without holes."""
+def _chunked(rows: DataFrame, by: Sequence[str], size: int, carry: Sequence[str] = ()) -> DataFrame:
+    """by, chunk, places and scores of each chunk, and the carried columns as arrays; pos counts from 1 without holes."""
     at = F.expr(f"(pos - 1) div {size}")
-    packed = rows.groupBy(*by, at.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("pos", "emission"))).alias("_x"))
-    return packed.select(*by, "chunk", F.col("_x.pos").alias("places"), F.flatten(F.col("_x.emission")).alias("scores"))
+    packed = rows.groupBy(*by, at.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("pos", "emission", *carry))).alias("_x"))
+    return packed.select(*by, "chunk", F.col("_x.pos").alias("places"), F.flatten(F.col("_x.emission")).alias("scores"), *[F.col(f"_x.{c}").alias(c) for c in carry])
 
 
 def _products(model: Hmm, size: int, best: bool, batches: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator[pd.DataFrame]:
@@ -254,10 +256,10 @@ def _borders(model: Hmm, products: DataFrame, by: Sequence[str], best: bool) ->
     return each.select(*by, "chunk", F.slice("enters", (F.col("chunk") * n + 1).cast("int"), n).alias("enter"), F.slice("leaves", (F.col("chunk") * wide + 1).cast("int"), wide).alias("leave"), "total")
 
 
-def _pass(rows: DataFrame, model: Hmm, by: Sequence[str], size: int, best: bool) -> tuple[DataFrame, DataFrame]:
-    chunks = _chunked(rows, by, size)
+def _pass(rows: DataFrame, model: Hmm, by: Sequence[str], size: int, best: bool, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    chunks = _chunked(rows, by, size, carry)
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema if f.name in by)
-    products = chunks.mapInPandas(lambda it: _products(model, size, best, it, by), f"{keys}, chunk long, matrix array<double>")
+    products = chunks.drop(*carry).mapInPandas(lambda it: _products(model, size, best, it, by), f"{keys}, chunk long, matrix array<double>")
     return chunks, _borders(model, products, by, best)
 
 
@@ -349,31 +351,65 @@ def best_path(rows: DataFrame, model: Hmm, by: Sequence[str] = ("seq",), size: i
     return _finish(rows, model, by, size, True, many, "state int, score double").select(*by, "pos", "state", "score")
 
 
+def _expected(model: Hmm, part: pd.DataFrame, e: np.ndarray, first: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Of chunks side by side: expected steps and begins, the log-likelihood of those that are first, and each row's posterior."""
+    t, _, _ = model.logs()
+    f, b = _forward_many(model, e, first, enter), _backward_many(model, e, leave)
+    sums = part["total"].to_numpy()
+    before = np.concatenate([enter[:, None, :], f[:, :-1]], axis=1)
+    each = np.exp2(before[:, :, :, None] + t[None, None] + (e + b)[:, :, None, :] - sums[:, None, None, None])
+    each[first, 0] = 0.0  # no step leads to a sequence's first row
+    x = np.exp2(f + b - logsum(f + b, 2)[:, :, None])
+    return each.sum((0, 1)), x[first, 0].sum(0), float(sums[first].sum()), x
+
+
+def _counts_of(table: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, float]:
+    x = np.zeros(n * n + n + 1)
+    for r in table.groupBy("at").agg(F.sum("value").alias("value")).collect():  # states x states + states + 1 rows
+        x[r["at"]] = r["value"]
+    return x[: n * n].reshape(n, n), x[n * n : -1], float(x[-1])
+
+
 def expected_counts(rows: DataFrame, model: Hmm, by: Sequence[str] = ("seq",), size: int = CHUNK) -> tuple[np.ndarray, np.ndarray, float]:
     """Expected steps (states x states), expected begins and the total log-likelihood, summed in the cluster."""
     chunks, borders = _pass(rows, model, by, size, best=False)
     n = model.n
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t, _, _ = model.logs()
-        steps, begins, total = np.zeros((n, n)), np.zeros(n), 0.0
-        for part, e, first, enter, leave in _alike(batches, n):
-            f, b = _forward_many(model, e, first, enter), _backward_many(model, e, leave)
-            sums = part["total"].to_numpy()
-            before = np.concatenate([enter[:, None, :], f[:, :-1]], axis=1)
-            each = np.exp2(before[:, :, :, None] + t[None, None] + (e + b)[:, :, None, :] - sums[:, None, None, None])
-            each[first, 0] = 0.0  # no step leads to a sequence's first row
-            steps += each.sum((0, 1))
-            x = f[first, 0] + b[first, 0]
-            begins += np.exp2(x - logsum(x, 1)[:, None]).sum(0) if len(x) else 0.0
-            total += float(sums[first].sum())
-        yield pd.DataFrame({"at": np.arange(n * n + n + 1), "value": np.r_[steps.ravel(), begins, total]})
-
-    sums = chunks.join(borders, [*by, "chunk"]).mapInPandas(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
-    x = np.zeros(n * n + n + 1)
-    for r in sums:
-        x[r["at"]] = r["value"]
-    return x[: n * n].reshape(n, n), x[n * n : -1], float(x[-1])
+        sums = np.zeros(n * n + n + 1)
+        for more in _alike(batches, n):
+            steps, begins, total, _ = _expected(model, *more)
+            sums += np.r_[steps.ravel(), begins, total]
+        yield pd.DataFrame({"at": np.arange(len(sums)), "value": sums})
+
+    return _counts_of(chunks.join(borders, [*by, "chunk"]).mapInPandas(run, "at long, value double"), n)
+
+
+def expected_tables(rows: DataFrame, model: Hmm, key: str, by: Sequence[str] = ("seq",), size: int = CHUNK) -> tuple[np.ndarray, np.ndarray, float, DataFrame]:
+    """expected_counts, and a staged table of key, state and weight: how much of each key's rows the posterior gives to each state.
+
+    One pass: tasks add up posteriors by key before anything is shuffled.
+    """
+    chunks, borders = _pass(rows, model, by, size, False, [key])
+    n, kind = model.n, rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, *more in _alike(batches, n):
+            steps, begins, total, x = _expected(model, part, *more)
+            yield pd.DataFrame({"key": None, "at": np.arange(n * n + n + 1), "value": np.r_[steps.ravel(), begins, total]})
+            place, keys = pd.factorize(np.concatenate(part[key].to_numpy()))
+            weights = np.stack([np.bincount(place, x[:, :, i].ravel(), len(keys)) for i in range(n)])
+            yield pd.DataFrame({"key": np.tile(keys, n), "at": np.repeat(np.arange(n), len(keys)), "value": weights.ravel()})
+
+    both = stage(chunks.join(borders, [*by, "chunk"]).mapInPandas(run, f"key {kind}, at long, value double"), "expected")
+    table = both.filter(F.col("key").isNotNull()).groupBy(F.col("key").alias(key), F.col("at").cast("int").alias("state")).agg(F.sum("value").alias("weight"))
+    return *_counts_of(both.filter(F.col("key").isNull()), n), table
+
+
+def reestimated(model: Hmm, steps: np.ndarray, begins: np.ndarray) -> Hmm:
+    """The chain that makes expected steps and begins most likely; a state without steps keeps its own."""
+    sums = steps.sum(1, keepdims=True)
+    return Hmm(np.where(sums > 0, steps / np.where(sums > 0, sums, 1), model.transition), begins / begins.sum(), model.end)
 
 
 def train(rows: DataFrame, model: Hmm, by: Sequence[str] = ("seq",), rounds: int = 20, tolerance: float = 1e-3, size: int = CHUNK) -> tuple[Hmm, list[float]]:
@@ -384,8 +420,7 @@ def train(rows: DataFrame, model: Hmm, by: Sequence[str] = ("seq",), rounds: int
         history.append(total)
         if len(history) > 1 and abs(history[-1] - history[-2]) <= tolerance:
             break
-        sums = steps.sum(1, keepdims=True)
-        model = Hmm(np.where(sums > 0, steps / np.where(sums > 0, sums, 1), model.transition), begins / begins.sum(), model.end)
+        model = reestimated(model, steps, begins)
     return model, history
 
 

@@ -129,28 +129,26 @@ def ancestors(tuples: DataFrame, names: Sequence[str], model: TreeModel) -> Data
 # -- optimisers --------------------------------------------------------------------------------------------------------
 
 
-def gradient(f: Callable[[np.ndarray], float], x: np.ndarray, at: float | None = None, step: float = 1e-5) -> np.ndarray:
-    out = np.empty_like(x)
-    for i in range(len(x)):
-        h = step * max(1.0, abs(x[i]))
-        up, down = x.copy(), x.copy()
-        up[i] += h
-        down[i] -= h
-        out[i] = (f(up) - f(down)) / (2 * h)
-    return out
+def gradient(f: Callable[[np.ndarray], float], x: np.ndarray, step: float = 1e-5, many: Callable[[list[np.ndarray]], np.ndarray] | None = None) -> np.ndarray:
+    """Central differences; many: values of f at several points at once."""
+    h = step * np.maximum(1.0, np.abs(x))
+    points = [x + sign * h[i] * (np.arange(len(x)) == i) for i in range(len(x)) for sign in (1, -1)]
+    values = np.array(many(points) if many and points else [f(p) for p in points], float).reshape(-1, 2)
+    return (values[:, 0] - values[:, 1]) / (2 * h)
 
 
-def bfgs(f: Callable[[np.ndarray], float], x: np.ndarray, low: np.ndarray | float = -np.inf, high: np.ndarray | float = np.inf, rounds: int = 200, tolerance: float = 1e-7) -> tuple[np.ndarray, float]:
-    """Least value of f inside bounds: quasi-Newton steps, cut at the bounds, with a backtracking search."""
+def bfgs(f: Callable[[np.ndarray], float], x: np.ndarray, low: np.ndarray | float = -np.inf, high: np.ndarray | float = np.inf, rounds: int = 200, tolerance: float = 1e-7, many: Callable[[list[np.ndarray]], np.ndarray] | None = None, longest: float = 1.0) -> tuple[np.ndarray, float]:
+    """Least value of f inside bounds: quasi-Newton steps, cut at the bounds and at `longest` in any number, with a backtracking search."""
     x = np.clip(np.asarray(x, float), low, high)
     low, high = np.broadcast_to(low, x.shape), np.broadcast_to(high, x.shape)
-    value, g, h = f(x), gradient(f, x), np.eye(len(x))
+    value, g, h = f(x), gradient(f, x, many=many), np.eye(len(x))
     for _ in range(rounds):
         fixed = ((x <= low) & (g > 0)) | ((x >= high) & (g < 0))
         step = -(h @ np.where(fixed, 0.0, g))
         step[fixed] = 0.0
         if step @ g >= 0:
             h, step = np.eye(len(x)), np.where(fixed, 0.0, -g)
+        step = step / max(1.0, np.abs(step).max() / longest)
         length = 1.0
         while length > 1e-12:
             new = np.clip(x + length * step, low, high)
@@ -160,7 +158,7 @@ def bfgs(f: Callable[[np.ndarray], float], x: np.ndarray, low: np.ndarray | floa
             length /= 2
         else:
             break
-        new_g = gradient(f, new)
+        new_g = gradient(f, new, many=many)
         s, y = new - x, new_g - g
         done = abs(value - new_value) <= tolerance * (1 + abs(value)) and np.abs(s).max() < 1e-6 * (1 + np.abs(x).max())
         x, value, g = new, new_value, new_g
@@ -173,37 +171,30 @@ def bfgs(f: Callable[[np.ndarray], float], x: np.ndarray, low: np.ndarray | floa
 
 
 def brent(f: Callable[[float], float], low: float, high: float, tolerance: float = 1e-8, rounds: int = 200) -> tuple[float, float]:
-    """Least value of a function of one variable by golden sections and parabolas."""
-    golden = (3 - 5**0.5) / 2
-    x = w = v = low + golden * (high - low)
-    fx = fw = fv = f(x)
-    d = e = 0.0
+    """Least value of a function of one variable: the vertex of the parabola through a bracket's three points, or a golden section where that gains too little."""
+    section = (3 - 5**0.5) / 2
+    left, middle, right = low, low + section * (high - low), high
+    at = {p: f(p) for p in (left, middle, right)}
     for _ in range(rounds):
-        middle, tol = (low + high) / 2, tolerance * (1 + abs(x))
-        if abs(x - middle) <= 2 * tol - (high - low) / 2:
+        if right - left <= tolerance * (2 + abs(middle)):
             break
-        use_golden = True
-        if abs(e) > tol:
-            r, q = (x - w) * (fx - fv), (x - v) * (fx - fw)
-            p, q = (x - v) * q - (x - w) * r, 2 * (q - r)
-            p, q = (-p, q) if q > 0 else (p, -q)
-            if abs(p) < abs(q * e / 2) and q * (low - x) < p < q * (high - x):
-                e, d, use_golden = d, p / q, False
-        if use_golden:
-            e = (low if x >= middle else high) - x
-            d = golden * e
-        u = x + (d if abs(d) >= tol else np.copysign(tol, d))
-        fu = f(u)
-        if fu <= fx:
-            low, high = (x, high) if u >= x else (low, x)
-            v, w, x, fv, fw, fx = w, x, u, fw, fx, fu
+        slope_l, slope_r = (at[middle] - at[left]) / (middle - left), (at[right] - at[middle]) / (right - middle)
+        bend = slope_r - slope_l
+        vertex = (left + middle) / 2 - slope_l * (right - left) / (2 * bend) if bend > 0 else left
+        wide_left = middle - left > right - middle
+        golden = middle - section * (middle - left) if wide_left else middle + section * (right - middle)
+        least = tolerance * (1 + abs(middle)) / 2
+        inside = left + least < vertex < right - least
+        new = vertex if inside and abs(vertex - middle) < (right - left) / 4 else golden
+        if abs(new - middle) < least:  # look just beside the middle, on its longer side
+            new = middle - least if wide_left else middle + least
+        at[new] = f(new)
+        inner, outer = sorted((new, middle))
+        if at[inner] <= at[outer]:
+            middle, right = inner, outer
         else:
-            low, high = (u, high) if u < x else (low, u)
-            if fu <= fw or w == x:
-                v, w, fv, fw = w, u, fw, fu
-            elif fu <= fv or v in (x, w):
-                v, fv = u, fu
-    return x, fx
+            left, middle = inner, outer
+    return middle, at[middle]
 
 
 # -- fitting -----------------------------------------------------------------------------------------------------------
@@ -238,58 +229,16 @@ def base_frequencies(tuples: Sequence[str], counts: np.ndarray, alphabet: str =
     return n / n.sum()
 
 
+#: Distinct tuples that the driver holds for fitting; of more, every step of the search is a job over the table.
 MOST_TUPLES = 200_000
 
 
-def fit(counts: DataFrame, names: Sequence[str], tree: Node, kind: str = "REV", classes: int = 1, alpha: float = 1.0, only_scale: bool = False) -> tuple[TreeModel, float]:
-    """Maximum-likelihood branch lengths, rates and (with several classes) gamma shape; the model and its log-likelihood.
+def fit(counts: DataFrame, names: Sequence[str], tree: Node, kind: str = "REV", classes: int = 1, alpha: float = 1.0) -> tuple[TreeModel, float]:
+    """Maximum-likelihood branch lengths, rates and (with several classes) gamma shape; the model and its log-likelihood."""
+    from tessera.operators.estimation import fit_parts
 
-    Up to MOST_TUPLES distinct tuples are evaluated on the driver; beyond that every evaluation is a job over the table.
-    """
-    tree = number(copy(tree))
-    leaves = tree.leaf_names()
-    here = counts.select("tuple", "cnt").limit(MOST_TUPLES + 1).collect()
-    local = len(here) <= MOST_TUPLES
-    if local:
-        tuples, n = [r["tuple"] for r in here], np.array([r["cnt"] for r in here], float)
-        codes = encode(tuples, names, leaves)
-        pi = base_frequencies(tuples, n)
-    else:
-        from tessera.operators.tuples import base_counts
-
-        found = {r["base"]: r["cnt"] for r in base_counts(counts.select(F.col("tuple").alias("col"))).collect()}
-        pi = np.array([found.get(a, 0) for a in md.DNA], float)
-        pi /= pi.sum()
-    if kind in ("JC69", "K80"):
-        pi = np.full(4, 0.25)
-    branches = [x for x in tree.preorder() if x.parent is not None]
-    # in reversible models the root's place on its branch is free: its two sides share their length
-    shared = kind != "UNREST" and len(tree.children) == 2
-    if shared:
-        branches.remove(tree.children[1])
-        whole = tree.children[0].length + tree.children[1].length
-    free = first_values(kind)
-
-    def model_at(x: np.ndarray) -> TreeModel:
-        lengths = np.exp(x[: len(branches)])
-        for b, v in zip(branches, lengths):
-            b.length = float(v)
-        if shared:
-            tree.children[0].length = tree.children[1].length = float(lengths[branches.index(tree.children[0])]) / 2
-        rates = np.exp(x[len(branches) : len(branches) + len(free)])
-        q = rate_matrix(kind, pi, rates)
-        if classes > 1:
-            return TreeModel.gamma(tree, q, pi, float(np.exp(x[-1])), classes, kind=kind)
-        return TreeModel(tree, q, pi, kind=kind)
-
-    def loss(x: np.ndarray) -> float:
-        m = model_at(x)
-        return -float(n @ column_loglik(m, codes)) if local else -total_loglik(counts, names, m)
-
-    start = np.log(np.maximum([b.length if not (shared and b is tree.children[0]) else whole for b in branches], 1e-3))
-    x0 = np.r_[start, np.log(free), [np.log(alpha)] if classes > 1 else []]
-    x, value = bfgs(loss, x0, low=-12.0, high=6.0)
-    return model_at(x), -value
+    models, value = fit_parts(counts, names, tree, kind, classes=classes, alpha=alpha)
+    return next(iter(models.values())), value
 
 
 # -- site tests --------------------------------------------------------------------------------------------------------
@@ -447,8 +396,8 @@ def test_features(rows: DataFrame, names: Sequence[str], model: TreeModel, by: S
 
 def _scaled(model: TreeModel, codes: np.ndarray, scales: np.ndarray, branches: frozenset[int] = frozenset(), others: np.ndarray | None = None) -> np.ndarray:
     """Log-likelihood of each column at a scale of its own, and another one for some branches: eigenvalues once, probabilities for each column."""
-    values, vectors = np.linalg.eig(model.q)
-    inverse = np.linalg.inv(vectors)
+    parts = {key: (*np.linalg.eig(q),) for key, q in [(None, model.q), *model.altered.items()]}
+    parts = {key: (values, vectors, np.linalg.inv(vectors)) for key, (values, vectors) in parts.items()}
     n, r = len(model.pi), len(model.rates)
     eye = np.vstack([np.eye(n), np.ones(n)])
     column = {leaf.id: j for j, leaf in enumerate(model.tree.leaves())}
@@ -460,6 +409,7 @@ def _scaled(model: TreeModel, codes: np.ndarray, scales: np.ndarray, branches: f
             if node.parent is None:
                 total[k] = np.log(np.maximum(x @ model.pi, 1e-300)) + np.log(model.weights[k])
             else:
+                values, vectors, inverse = parts[node.id if node.id in model.altered else None]
                 t = node.length * model.scale * model.rates[k] * (others if node.id in branches else scales)
                 y = (x @ inverse.T) * np.exp(t[:, None] * values[None, :])
                 done[node.id] = np.clip((y @ vectors.T).real, 0, None)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import distributions as ds
 from tessera.functions import models as md
 from tessera.functions.models import TreeModel
-from tessera.operators import hmm, indels, substitutions, trees, tuples, windows
+from tessera.operators import estimation, hmm, indels, substitutions, trees, tuples, windows
 from tessera.operators import likelihood as lk
 from tessera.operators.hmm import Hmm
 from tessera.operators.trees import Node
@@ -57,13 +57,9 @@ def conserved(columns: DataFrame, names: Sequence[str], model: TreeModel, **opti
 
 
 def fit_conserved(columns: DataFrame, names: Sequence[str], model: TreeModel, rho: float = 0.3, coverage: float = 0.3, length: float = 45.0, rounds: int = 10, size: int = 4096) -> tuple[Hmm, float]:
-    """The two-state chain's transitions by expectation-maximisation, with its log2 likelihood."""
-    fast = lk.conserved_model(model, rho)
-    distinct = columns.select(F.col("col").alias("tuple")).distinct()
-    scored = lk.score_tuples(lk.score_tuples(distinct, names, fast).withColumnRenamed("loglik", "_c"), names, model)
-    rows = columns.join(scored.select(F.col("tuple").alias("col"), F.array(F.col("_c") / np.log(2.0), F.col("loglik") / np.log(2.0)).alias("emission")), "col")
-    chain, history = hmm.train(rows.select("aln", "pos", "emission"), hmm.two_state(coverage, length), ("aln",), rounds, size=size)
-    return chain, history[-1]
+    """The two-state chain's transitions by expectation-maximisation, with its log2 likelihood; estimation.fit_conserved also finds rho and the trees."""
+    fitted = estimation.fit_chain(columns, names, [lk.conserved_model(model, rho), model], hmm.two_state(coverage, length), ("transitions",), rounds=rounds, size=size)
+    return fitted.chain, fitted.history[-1]
 
 
 def rate_classes(columns: DataFrame, names: Sequence[str], model: TreeModel, keep: float = 0.9, size: int = 4096) -> DataFrame:
@@ -78,21 +74,22 @@ def rate_classes(columns: DataFrame, names: Sequence[str], model: TreeModel, kee
 
 
 def site_tests(columns: DataFrame, names: Sequence[str], model: TreeModel, method: str = "LRT", mode: str = "CONACC", subtree: str | None = None) -> DataFrame:
-    """Every position with the statistics of its column: LRT (also of a subtree), SCORE, GERP or SPH; each distinct column is tested once."""
+    """Every position with the statistics of its column: LRT, SCORE or SPH (also of a subtree) or GERP; each distinct column is tested once."""
     distinct = columns.select(F.col("col").alias("tuple"))
-    if method == "SPH" and subtree is not None:
-        raise ValueError("subtrees are tested by LRT")
-    found = substitutions.test_sites(distinct, names, model) if method == "SPH" else lk.test_tuples(distinct, names, model, method, mode, subtree)
+    if method == "SPH":
+        found = substitutions.test_sites(distinct, names, model) if subtree is None else substitutions.test_subtrees(distinct, names, model, subtree)
+    else:
+        found = lk.test_tuples(distinct, names, model, method, mode, subtree)
     return columns.join(found.withColumnRenamed("tuple", "col"), "col")
 
 
 def feature_tests(columns: DataFrame, feats: DataFrame, names: Sequence[str], model: TreeModel, by: Sequence[str], method: str = "SPH", mode: str = "CONACC", subtree: str | None = None) -> DataFrame:
-    """Features with the statistics of their columns: SPH (substitution counts), LRT (also of a subtree), SCORE or GERP; feats: aln, start, end and by."""
+    """Features with the statistics of their columns: SPH (substitution counts), LRT or SCORE (also of a subtree) or GERP; feats: aln, start, end and by."""
     from tessera.operators.intervals import overlap_pairs
 
     points = columns.withColumn("start", F.col("pos")).withColumn("end", F.col("pos"))
     met = overlap_pairs(points, feats, ("aln",)).select(*[F.col(f"r_{k}").alias(k) for k in by], "col")
-    return substitutions.test_features(met, names, model, by) if method == "SPH" else lk.test_features(met, names, model, by, method, mode, subtree)
+    return substitutions.test_features(met, names, model, by, subtree) if method == "SPH" else lk.test_features(met, names, model, by, method, mode, subtree)
 
 
 def ancestral_bases(columns: DataFrame, names: Sequence[str], model: TreeModel) -> DataFrame:
@@ -146,17 +143,12 @@ def simulate(spark: SparkSession, model: TreeModel, length: int, seed: int, chai
 def bootstrap(columns: DataFrame, names: Sequence[str], tree: Node, kind: str = "HKY85", rounds: int = 20, seed: int = 1) -> dict[str, dict[str, float]]:
     """Summary of each branch length over resampled tuple counts.
 
-    Up to MOST_TUPLES distinct tuples are drawn on the driver by a multinomial; beyond that each tuple's count is drawn in
-    the cluster by a Poisson law of its own, which takes all tuples.
+    In every round a tuple's count is drawn by a Poisson law of its own, by a seed from the round and the tuple: the same draws at
+    any size and in any partitioning. Given their sum such counts are a multinomial sample.
     """
     counted = stage(tuples.tuple_counts(columns.withColumn("tuple", F.col("col"))).select("tuple", "cnt"), "bootstrap")
-    rows = sorted(counted.limit(lk.MOST_TUPLES + 1).collect())
-    local = len(rows) <= lk.MOST_TUPLES
-    rng = np.random.default_rng(seed)
-    n = np.array([r["cnt"] for r in rows], float)
-    spark = columns.sparkSession
 
-    def drawn_in_cluster(k: int) -> DataFrame:
+    def drawn(k: int) -> DataFrame:
         def draw(batches):
             for pdf in batches:
                 c = [np.random.default_rng([seed, k, *t.encode()]).poisson(x) for t, x in zip(pdf["tuple"], pdf["cnt"])]
@@ -166,14 +158,9 @@ def bootstrap(columns: DataFrame, names: Sequence[str], tree: Node, kind: str =
 
     seen: dict[str, list[float]] = {}
     for k in range(rounds):
-        if local:
-            drawn = rng.multinomial(int(n.sum()), n / n.sum())
-            table = spark.createDataFrame([(r["tuple"], int(c)) for r, c in zip(rows, drawn) if c], "tuple string, cnt long")
-        else:
-            table = drawn_in_cluster(k)
+        table = drawn(k)
         fitted, _ = lk.fit(table, names, tree, kind)
-        if not local:
-            unstage(table)
+        unstage(table)
         for node in trees.name_ancestors(fitted.tree).preorder():
             if node.parent is not None:
                 seen.setdefault(node.name, []).append(node.length)
