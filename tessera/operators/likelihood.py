@@ -274,7 +274,8 @@ def _bounds(mode: str, n: int, most: float) -> tuple[np.ndarray, np.ndarray]:
 def _tails(delta: np.ndarray, mode: str, faster: np.ndarray) -> np.ndarray:
     """CON and ACC against half a chi-square, the others against a chi-square of one degree; CONACC is negative where faster."""
     tail = half_chisq_cdf if mode in ("CON", "ACC") else chisq_cdf
-    p = np.array([max(tail(d, 1, lower=False), LEAST_P) if d > 0 else 1.0 for d in delta])
+    values, place = np.unique(np.maximum(delta, 0.0), return_inverse=True)  # most columns share a few statistics
+    p = np.array([max(tail(d, 1, lower=False), LEAST_P) if d > 0 else 1.0 for d in values.tolist()])[place.ravel()]
     return np.where(faster, -p, p) if mode == "CONACC" else p
 
 
@@ -325,6 +326,67 @@ def subtree_tests(model: TreeModel, codes: np.ndarray, branches: frozenset[int],
     return pd.DataFrame(out | {"lr": delta, "p": _tails(delta, mode, out["subtree_scale"] > 1)})
 
 
+#: Common scales at which the information of a column is known; between them it is interpolated.
+SCALES = np.geomspace(0.02, 20.0, 25)
+
+
+def subtree_information(model: TreeModel, branches: frozenset[int], pattern: np.ndarray, scales: np.ndarray = SCALES, draws: int = 2000) -> np.ndarray:
+    """(scales x 3): at each common scale the expected squares and product of a column's derivatives by the logarithms of
+    the common scale and of the subtree's own, over columns drawn from the model with the same open rows."""
+    out = np.empty((len(scales), 3))
+    for i, s in enumerate(scales):
+        drawn = simulate(model.with_(scale=model.scale * s), draws, np.random.default_rng(1))
+        drawn[:, pattern] = -1
+        whole, own = _two_derivatives(model, drawn, np.full(draws, s), branches)
+        out[i] = (whole**2).mean(), (whole * own).mean(), (own**2).mean()
+    return out
+
+
+def _two_derivatives(model: TreeModel, codes: np.ndarray, scales: np.ndarray, branches: frozenset[int], step: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of each column's log-likelihood by the logarithms of the common scale and of the subtree's own."""
+    up, down = scales * (1 + step), scales * (1 - step)
+    whole = _scaled(model, codes, up, branches, up) - _scaled(model, codes, down, branches, down)
+    own = _scaled(model, codes, scales, branches, up) - _scaled(model, codes, scales, branches, down)
+    return whole / (2 * step), own / (2 * step)
+
+
+def _information_at(model: TreeModel, codes: np.ndarray, scales: np.ndarray, branches: frozenset[int]) -> np.ndarray:
+    """(columns x 3): the information at each column's common scale, by its open rows."""
+    out = np.empty((len(codes), 3))
+    patterns, inverse = np.unique(codes < 0, axis=0, return_inverse=True)
+    inverse = inverse.ravel()
+    for i, pattern in enumerate(patterns):
+        grid, at = subtree_information(model, branches, pattern), inverse == i
+        for j in range(3):
+            out[at, j] = np.interp(np.log(np.maximum(scales[at], SCALES[0])), np.log(SCALES), grid[:, j])
+    return out
+
+
+def _efficient(whole: np.ndarray, own: np.ndarray, information: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The subtree's score and its variance, freed of what the common scale explains."""
+    share = information[..., 1] / np.maximum(information[..., 0], 1e-12)
+    return own - share * whole, np.maximum(information[..., 2] - share * information[..., 1], 1e-12)
+
+
+def subtree_scores(model: TreeModel, codes: np.ndarray, branches: frozenset[int], mode: str = "CONACC", most: float = 20.0) -> pd.DataFrame:
+    """Per tuple: the score test of a subtree's own scale, with the common scale at its best under the null.
+
+    deriv is the derivative by the logarithm of the subtree's scale, less the part that the common scale explains; stat its
+    square over its variance. Columns with fewer than two bases, or none in the subtree, get 0 and p 1.
+    """
+    inside = np.array([leaf.id in branches for leaf in model.tree.leaves()])
+    ok = has_data(codes) & ((codes >= 0) & inside[None, :]).any(1)
+    scale, first, stat = np.ones(len(codes)), np.zeros(len(codes)), np.zeros(len(codes))
+    if ok.any():
+        c = codes[ok]
+        s, _ = _golden(lambda x: _scaled(model, c, x, branches, x), *_bounds("NNEUT", len(c), most))
+        s = np.maximum(s, SCALES[0])
+        u, variance = _efficient(*_two_derivatives(model, c, s, branches), _information_at(model, c, s, branches))
+        scale[ok], first[ok], stat[ok] = s, u, u**2 / variance
+    stat = np.where((first > 0 if mode == "CON" else first < 0) if mode in ("CON", "ACC") else False, 0.0, stat)
+    return pd.DataFrame({"null_scale": scale, "deriv": first, "stat": stat, "p": _tails(stat, mode, first > 0)})
+
+
 def _two_scales(at: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int, mode: str, most: float, rounds: int) -> dict[str, np.ndarray]:
     """The best common scale of n functions of two scales, and the best two: of the rest and of the subtree."""
     low, high = _bounds("NNEUT", n, most)
@@ -344,8 +406,18 @@ def feature_tests(codes: np.ndarray, counts: np.ndarray, model: TreeModel, metho
     """The statistics of the columns of one feature together, from its distinct tuples and their counts.
 
     LRT: one scale for all columns (of the subtree against the rest, with branches); SCORE: summed derivatives against
-    summed information; GERP: the columns' neutral lengths, and what the feature's scale leaves of them.
+    summed information (with branches at the best common scale, freed of what that explains); GERP: the columns' neutral lengths, and what the feature's scale leaves of them.
     """
+    if method == "SCORE" and branches is not None:
+        low, high = _bounds("NNEUT", 1, most)
+        s, _ = _golden(lambda x: np.array([float(_scaled(model, codes, np.full(len(codes), x[0]), branches, np.full(len(codes), x[0])) @ counts)]), low, high)
+        s = np.full(len(codes), max(float(s[0]), SCALES[0]))
+        ok = has_data(codes)
+        whole, own = (float((x * counts)[ok].sum()) for x in _two_derivatives(model, codes, s, branches))
+        u, variance = _efficient(np.array(whole), np.array(own), (_information_at(model, codes, s, branches) * counts[:, None])[ok].sum(0))
+        stat = float(u**2 / variance)
+        stat = 0.0 if mode == "CON" and u > 0 or mode == "ACC" and u < 0 else stat
+        return {"null_scale": float(s[0]) if len(s) else 1.0, "deriv": float(u), "stat": stat, "p": float(_tails(np.array([stat]), mode, np.array([u > 0]))[0])}
     if method == "SCORE":
         each, info = _scores(model, codes)
         ok = has_data(codes)
@@ -370,7 +442,13 @@ def feature_tests(codes: np.ndarray, counts: np.ndarray, model: TreeModel, metho
     return found | {"lr": delta, "p": float(_tails(np.array([delta]), mode, np.array([found["subtree_scale"] > 1]))[0])}
 
 
-FEATURE_COLUMNS = {"LRT": ("null_loglik", "alt_loglik", "scale", "lr", "p"), "SCORE": ("deriv", "stat", "p"), "GERP": ("neutral", "observed", "rejected"), "SUBTREE": ("null_scale", "null_loglik", "scale", "subtree_scale", "alt_loglik", "lr", "p")}
+FEATURE_COLUMNS = {"LRT": ("null_loglik", "alt_loglik", "scale", "lr", "p"), "SCORE": ("deriv", "stat", "p"), "GERP": ("neutral", "observed", "rejected"), "SUBTREE": ("null_scale", "null_loglik", "scale", "subtree_scale", "alt_loglik", "lr", "p"), "SUBTREE SCORE": ("null_scale", "deriv", "stat", "p")}
+
+
+def _wanted(method: str, subtree: str | None) -> tuple[str, ...]:
+    if subtree is not None and method not in ("LRT", "SCORE"):
+        raise ValueError("subtrees are tested by LRT or SCORE")
+    return FEATURE_COLUMNS[method if subtree is None else "SUBTREE" if method == "LRT" else "SUBTREE SCORE"]
 
 
 def test_features(rows: DataFrame, names: Sequence[str], model: TreeModel, by: Sequence[str], method: str = "LRT", mode: str = "CONACC", subtree: str | None = None) -> DataFrame:
@@ -380,9 +458,7 @@ def test_features(rows: DataFrame, names: Sequence[str], model: TreeModel, by: S
     """
     leaves = model.tree.leaf_names()
     branches = None if subtree is None else branches_below(model, subtree)
-    if subtree is not None and method != "LRT":
-        raise ValueError("subtrees are tested by LRT")
-    wanted = FEATURE_COLUMNS[method if subtree is None else "SUBTREE"]
+    wanted = _wanted(method, subtree)
     counted = rows.groupBy(*by, F.col("col").alias("tuple")).agg(F.count(F.lit(1)).alias("_cnt"))
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.schema if f.name in by)
 
@@ -461,16 +537,15 @@ def rejected_substitutions(model: TreeModel, codes: np.ndarray) -> pd.DataFrame:
 
 
 def test_tuples(tuples: DataFrame, names: Sequence[str], model: TreeModel, method: str = "LRT", mode: str = "CONACC", subtree: str | None = None) -> DataFrame:
-    """One row for each distinct tuple with the columns of the method: LRT (also of a subtree), SCORE or GERP."""
-    leaves = model.tree.leaf_names()
-    if subtree is not None and method != "LRT":
-        raise ValueError("subtrees are tested by LRT")
-    run_one = {"LRT": lambda c: scale_tests(model, c, mode), "SCORE": lambda c: score_tests(model, c, mode), "GERP": lambda c: rejected_substitutions(model, c)}[method]
-    columns = {"LRT": "null_loglik double, alt_loglik double, scale double, lr double, p double", "SCORE": "deriv double, stat double, p double", "GERP": "neutral double, observed double, rejected double"}[method]
-    if subtree is not None:
-        branches = branches_below(model, subtree)
-        run_one = lambda c: subtree_tests(model, c, branches, mode)
-        columns = ", ".join(f"{c} double" for c in FEATURE_COLUMNS["SUBTREE"])
+    """One row for each distinct tuple with the columns of the method: LRT or SCORE (also of a subtree) or GERP."""
+    leaves, wanted = model.tree.leaf_names(), _wanted(method, subtree)
+    branches = None if subtree is None else branches_below(model, subtree)
+    run_one = {
+        "LRT": lambda c: scale_tests(model, c, mode) if branches is None else subtree_tests(model, c, branches, mode),
+        "SCORE": lambda c: score_tests(model, c, mode) if branches is None else subtree_scores(model, c, branches, mode),
+        "GERP": lambda c: rejected_substitutions(model, c),
+    }[method]
+    columns = ", ".join(f"{c} double" for c in wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

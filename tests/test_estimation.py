@@ -225,3 +225,114 @@ def test_codon_tuples():
     codes = es.codes_of(["AATTGG", "AC--GG", "CCCCCC"], ["a", "b"], m)
     assert codes.tolist() == [[0 * 16 + 3 * 4 + 2] * 2, [-1, -1], [21, 21]]
     assert np.isfinite(es.loglik(m, codes)).all()
+
+
+# -- changes and scores of subtrees ------------------------------------------------------------------------------------
+
+
+def jumps(m, inside, n, rng):
+    """Simulated changes inside and outside, jump by jump."""
+    out = np.zeros((n, 2), int)
+    for k in range(n):
+        rate = rng.choice(m.rates, p=m.weights)
+        state = {m.tree.id: rng.choice(len(m.pi), p=m.pi)}
+        for node in m.tree.preorder():
+            if node.parent is not None:
+                s, left = state[node.parent.id], node.length * m.scale * rate
+                while (wait := rng.exponential(1 / -m.q[s, s])) < left:
+                    left -= wait
+                    p = np.maximum(m.q[s], 0)
+                    s = rng.choice(len(p), p=p / p.sum())
+                    out[k, 0 if node.id in inside else 1] += 1
+                state[node.id] = s
+    return out
+
+
+def test_long_trees_keep_all_changes():
+    from tessera.operators import substitutions as sb
+
+    star = TreeModel(trees.number(trees.parse("(" + ",".join(f"l{i}:1.5" for i in range(80)) + ");")), md.hky85(PI, 3.0), PI)
+    law = sb.site_counts(star)[0]
+    assert law.sum() == pytest.approx(1, abs=1e-10) and law @ np.arange(len(law)) == pytest.approx(120, abs=1e-6)
+    one = sb.branch_counts(star.q, 900.0)
+    assert one.sum((0, 2)) == pytest.approx(np.ones(4), abs=1e-10) and (one.sum(2) * np.arange(len(one))[:, None]).sum(0) @ PI == pytest.approx(900, abs=1e-5)
+    joint = sb.joint_counts(star, frozenset(n.id for n in star.tree.leaves()[:40]))
+    assert joint.sum() == pytest.approx(1, abs=1e-9) and joint.sum(1) @ np.arange(len(joint)) == pytest.approx(60, abs=1e-5)
+
+
+def test_joint_counts_match_simulation_and_condition():
+    from tessera.functions import distributions as ds
+    from tessera.operators import substitutions as sb
+
+    m = model("((a:0.4,b:0.6)x:0.3,(c:0.5,d:0.3)y:0.2);", rates=np.array([0.5, 1.5]), weights=np.array([0.5, 0.5]))
+    inside = lk.branches_below(m, "x", leading=True)
+    prior = sb.joint_counts(m, inside)
+    drawn_ = jumps(m, inside, 6000, np.random.default_rng(1))
+    assert prior.sum() == pytest.approx(1)
+    for a in range(4):
+        for b in range(4):
+            assert prior[a, b] == pytest.approx(((drawn_[:, 0] == a) & (drawn_[:, 1] == b)).mean(), abs=0.02)
+    codes = np.array([[0, 1, 2, 2], [0, 0, 0, 0], [-1, 1, 1, -1]])
+    joint = sb.joint_counts(m, inside, codes)
+    assert np.log(joint.sum((1, 2))) == pytest.approx(lk.column_loglik(m, codes))
+    whole = sb.site_counts(m, codes)
+    for x, w in zip(joint, whole):
+        t = ds.total_of(x)
+        n = min(len(t), len(w))
+        assert t[:n] == pytest.approx(w[:n], abs=1e-12)
+    many = sb.joint_prior_alignment(m, inside, 40)
+    assert many.sum(1) @ np.arange(len(many)) == pytest.approx(40 * (prior.sum(1) @ np.arange(len(prior))))
+
+
+def test_subtree_counts_of_tuples_and_features(spark):
+    from tessera.operators import substitutions as sb
+
+    m = model("((a:0.4,b:0.6)x:0.3,(c:0.5,d:0.3)y:0.2);")
+    d = spark.createDataFrame([("AAAA",), ("ACAA",), ("AAAC",), ("----",), ("ACAA",)], "tuple string")
+    rows = {r["tuple"]: r for r in sb.test_subtrees(d, NAMES, m, "x").collect()}
+    assert len(rows) == 4 and rows["ACAA"]["mean_in"] > 1 > rows["AAAA"]["mean_in"] and rows["AAAC"]["mean_out"] > rows["ACAA"]["mean_out"]
+    assert rows["ACAA"]["p_acc_given"] < rows["AAAA"]["p_acc_given"] and all(0 <= rows["ACAA"][c] <= 1 for c in sb.SUBTREE_COLUMNS if c.startswith("p_"))
+    prior = sb.joint_counts(m, lk.branches_below(m, "x"))
+    assert rows["----"]["mean_in"] == pytest.approx(prior.sum(1) @ np.arange(len(prior)))
+    feats = spark.createDataFrame([("f", "ACAA"), ("f", "ACAA"), ("g", "AAAA")], "name string, col string")
+    out = {r["name"]: r for r in sb.test_features(feats, NAMES, m, ["name"], "x").collect()}
+    assert out["f"]["n"] == 2 and out["f"]["mean_in"] == pytest.approx(2 * rows["ACAA"]["mean_in"]) and out["g"]["p_cons_in"] == pytest.approx(rows["AAAA"]["p_cons_in"])
+
+
+def test_scores_of_subtrees(spark):
+    m = model("((a:0.4,b:0.6)x:0.3,(c:0.5,d:0.3)y:0.2);")
+    branches = lk.branches_below(m, "x")
+    codes = lk.encode(["ACGT", "AAAA", "ACAA", "AACC", "A-CC", "----", "--AA"], NAMES, m.tree.leaf_names())
+    found = lk.subtree_scores(m, codes, branches)
+    for i in range(len(codes)):
+        c, s = codes[i : i + 1], found["null_scale"][i]
+        if i >= 5:
+            assert (found["deriv"][i], found["stat"][i], found["p"][i]) == (0, 0, 1)
+            continue
+        at = lambda t, o: float(lk._scaled(m, c, np.array([t]), branches, np.array([t * o]))[0])  # noqa: B023, E731
+        own = (at(s, 1.001) - at(s, 0.999)) / 0.002
+        whole = (at(s * 1.001, 1.0) - at(s * 0.999, 1.0)) / 0.002
+        grid = lk.subtree_information(m, branches, c[0] < 0, np.array([s]), draws=4000)[0]
+        assert found["deriv"][i] == pytest.approx(own - grid[1] / grid[0] * whole, abs=0.05)
+        assert found["stat"][i] == pytest.approx(found["deriv"][i] ** 2 / (grid[2] - grid[1] ** 2 / grid[0]), rel=0.35, abs=0.05)
+    # the information agrees with the mean of second derivatives
+    sim = lk.simulate(m, 4000, np.random.default_rng(7))
+    one = np.ones(len(sim))
+    second = lambda a, b: (lk._scaled(m, sim, one * np.exp(a), branches, one * np.exp(a + b)))
+    h = 0.02
+    own2 = -(second(0, h) - 2 * second(0, 0) + second(0, -h)).mean() / h**2
+    cross = -(second(h, h) - second(h, -h) - second(-h, h) + second(-h, -h)).mean() / (4 * h * h)
+    grid = lk.subtree_information(m, branches, np.zeros(4, bool), np.array([1.0]), draws=4000)[0]
+    assert grid[2] == pytest.approx(own2, rel=0.15) and grid[1] == pytest.approx(cross, rel=0.15)
+    # under the null large statistics are rare, under a fast subtree they are not
+    null = lk.subtree_scores(m, lk.simulate(m, 600, np.random.default_rng(3)), branches)
+    assert (null["p"].abs() < 0.05).mean() < 0.12
+    n = np.full(len(sim), 1.0)
+    fast = TreeModel(m.tree, m.q, m.pi, altered={i: m.q * 3 for i in branches})
+    whole = lk.feature_tests(lk.simulate(fast, 300, np.random.default_rng(5)), n[:300], m, "SCORE", branches=branches)
+    same = lk.feature_tests(lk.simulate(m, 300, np.random.default_rng(5)), n[:300], m, "SCORE", branches=branches)
+    assert whole["stat"] > 15 and -1e-3 < whole["p"] < 0 and same["stat"] < 8
+    d = spark.createDataFrame([("f", "ACAA"), ("f", "AAAA")], "name string, col string")
+    assert lk.test_features(d, NAMES, m, ["name"], "SCORE", subtree="x").columns == ["name", "columns", "null_scale", "deriv", "stat", "p"]
+    with pytest.raises(ValueError, match="LRT or SCORE"):
+        lk.test_tuples(d.withColumnRenamed("col", "tuple"), NAMES, m, "GERP", subtree="x")
