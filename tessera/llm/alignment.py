@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import exchange
-from tessera.llm.bytepairs import byte_pairs
+from tessera.llm.bytepairs import BytePairs
 from tessera.llm.common import KEPT, drop_kept, pick, slices
 from tessera.llm.spm import public_path
 from tessera.runtime import stage
@@ -46,7 +46,7 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
-        self.a = byte_pairs(a_path)
+        self.a = BytePairs(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         model = self.b
         self.a_bytes = self.a.tokens

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
 
 import numpy as np
 
@@ -41,8 +40,3 @@ class BytePairs:
             start = end
         parts.append(self.coder.encode_to_numpy(text[start:], disallowed_special=()))
         return np.concatenate(parts) if len(parts) > 1 else parts[0]
-
-
-@lru_cache(maxsize=2)
-def byte_pairs(path: str) -> BytePairs:
-    return BytePairs(path)

@@ -69,8 +69,8 @@ IBAN_COUNTRIES = frozenset("AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".
 PHONE_LIKE = re.compile(r"(?<![0-9.+-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])")
 CARD_LIKE = re.compile(r"(?<![0-9.+-])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9.-])")
 MAIL_LIKE = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]? ?(?:at|@) ?[\])]? ?[A-Za-z0-9-]{1,63}(?: ?[\[(]? ?(?:dot|\.) ?[\])]? ?[A-Za-z0-9-]{2,63}){1,4}")
-SECRET_LIKE = re.compile(r"(?i:token|secret|api[_ -]?key|access[_ -]?key|password|passwd|pwd|bearer)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{8,512})")
-AWS_LIKE = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,80}|sk-[A-Za-z0-9]{20,80})(?![A-Za-z0-9])")
+SECRET_LIKE = re.compile(r"(?i:token|secret|api[_ -]?key|access[_ -]?key|password|passwd|pwd|bearer)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{8,}+)")
+AWS_LIKE = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}+|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])")
 SSN_LIKE = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 IBAN_LIKE = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 MAC_LIKE = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])")
@@ -107,7 +107,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = [(s, 0, e) for s, e in _emails(text)] if "@" in text else []
     if DIGIT.search(text):
         for m in IP_RUNS.finditer(text):
-            if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(q := p.lstrip("0")) < 4 and int(q or 0) <= 255 for p in m.group().split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 12:

@@ -12,13 +12,11 @@ words, too many repeated windows) reject as well. A group of any size is judged
 documents they come from.
 
 Defined results: a null text has no words and fails the base rules; a null language falls to the script's group; texts
-are measured whole (the byte pairs take a run of more than 4,096 white-space characters for one of so many); repeated
-rows are judged alike; ties in a median go to the lower bin; an empty table gives an empty result; other columns are not read.
+are measured whole, however long; repeated rows are judged alike; ties in a median go to the lower bin; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import base64
 import re
 from dataclasses import dataclass
 from functools import lru_cache
@@ -28,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.bytepairs import BytePairs
 from tessera.llm.common import KEPT, WORD, broadcast_if_small, map_slices, pick, texts_of
 from tessera.llm.spm import public_path
 from tessera.runtime import stage
 
 WORDS = re.compile(WORD)
-WIDE_SPACE = re.compile(r"\s{4097,}")
 SYMBOLS = "#*$%&|<>"
 SCRIPTS = {"latin": (0x41, 0x24F), "greek": (0x370, 0x3FF), "cyrillic": (0x400, 0x52F), "hebrew": (0x590, 0x5FF), "arabic": (0x600, 0x6FF), "indic": (0x900, 0xDFF), "thai": (0xE00, 0xE7F), "kana": (0x3040, 0x30FF), "han": (0x4E00, 0x9FFF), "hangul": (0xAC00, 0xD7AF)}
 PAIRS = "byte_bpe_multi_50k.tiktoken"
@@ -67,21 +65,17 @@ class Bands:
 @lru_cache(maxsize=1)
 def vocabularies(pieces: str, pairs: str) -> list[tuple]:
     """For both vocabularies: a function from a text to its ids, and which ids are bytes or parts of characters."""
-    import public_tokenizers
     import sentencepiece
-    import tiktoken
 
     model = sentencepiece.SentencePieceProcessor(model_file=pieces)
-    with open(pairs, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    coder = tiktoken.Encoding("pairs", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    partial = np.zeros(max(ranks.values()) + 1, bool)
-    for token, rank in ranks.items():
+    coder = BytePairs(pairs)
+    partial = np.zeros(len(coder.tokens), bool)
+    for rank, token in enumerate(coder.tokens):
         try:
             token.decode()
         except UnicodeDecodeError:
             partial[rank] = True
-    return [(model.encode, np.array([model.is_byte(i) for i in range(model.get_piece_size())])), (lambda text: coder.encode_ordinary(WIDE_SPACE.sub(lambda m: m.group()[:4096], text)), partial)]
+    return [(model.encode, np.array([model.is_byte(i) for i in range(model.get_piece_size())])), (coder.encode, partial)]
 
 
 KEPT["vocabularies"] = vocabularies.cache_clear
@@ -124,7 +118,7 @@ def measures_of(text: str, vocabulary: tuple) -> tuple[int, float, float, float]
         return 0, 0.0, 0.0, 1.0
     counts = np.unique(ids, return_counts=True)[1]
     bits = float(np.log2(n) - (counts * np.log2(counts)).sum() / n)
-    return n, len(text) / n, float(partial[ids].mean()), bits / float(np.log2(min(n, 4096))) if n > 1 else 1.0
+    return n, len(text) / n, float(partial[ids].mean()), bits / float(np.log2(n)) if n > 1 else 1.0
 
 
 def measure(docs: DataFrame, path: str | None = None, pairs_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: dict | None = None, text_as: str | None = None) -> DataFrame:

@@ -101,7 +101,7 @@ def test_odd_tables(spark, coders):
 
 
 def test_ranks_encode_as_the_json_vocabulary(coders):
-    ranks = bytepairs.byte_pairs(public_path("byte_bpe_50k.tiktoken"))
+    ranks = bytepairs.BytePairs(public_path("byte_bpe_50k.tiktoken"))
     rng = random.Random(3)
     texts = [" " + (t or "") for t in HARD] + [f" a{chr(c)}1{chr(c)} {chr(c)}b{chr(c)}{chr(c)}  {chr(c)}" for c in rng.sample([*range(0xD800), *range(0xE000, 0x110000)], 20_000)]
     texts += [" " + "".join(rng.choice("ab '\n\t 1.sé中 \r'") for _ in range(rng.randrange(60))) for _ in range(5000)]
@@ -111,5 +111,5 @@ def test_ranks_encode_as_the_json_vocabulary(coders):
 
 
 def test_runs_of_ten_million(coders):
-    ranks = bytepairs.byte_pairs(public_path("byte_bpe_multi_50k.tiktoken"))
+    ranks = bytepairs.BytePairs(public_path("byte_bpe_multi_50k.tiktoken"))
     assert b"".join(ranks.tokens[i] for i in ranks.encode("x" + " " * 10_000_000 + "y")) == b"x" + b" " * 10_000_000 + b"y"
