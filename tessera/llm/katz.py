@@ -41,6 +41,8 @@ from tessera.runtime import stage, stage_by, unstage
 END = xxhash.xxh64_intdigest(b"")
 BEGIN = xxhash.xxh64_intdigest(b" ")
 ADDED = 0.1
+#: Lower probabilities are added up in whole parts of this one: exact in any order, and short to send.
+PART = 2.0**-48
 #: Bytes of text in a block: a worker holds some twenty numbers for each of its tokens.
 SLICE_BYTES = 3 << 20
 BLOCK_DDL = "doc_id array<{kind}>, held array<boolean>, ends binary, words binary, tokens binary"
@@ -179,8 +181,15 @@ class Evaluation:
         return found[np.argsort(keys[found])]
 
     def histories(self, n: int) -> np.ndarray:
-        """The (n-1)-grams that may be histories in the table, in the order of their keys."""
-        found = np.flatnonzero(self.count[n - 1] >= self.model.least[n - 1])
+        """The (n-1)-grams whose weight, total or sums this block asks for or tells of, in the order of their keys.
+
+        These may be histories in the table, and have an n-gram here that is not in it or that this block owns, or a count that
+        may hide that all their n-grams keep their whole counts.
+        """
+        h, stored = self.block.history[n], self.count[n] >= self.model.least[n - 1]
+        wanted = self.count[n - 1] > self.model.most
+        wanted[h[~stored | self.own[n]]] = True
+        found = np.flatnonzero(wanted & (self.count[n - 1] >= self.model.least[n - 1]))
         return found[np.argsort(self.block.keys[n - 1][found])]
 
     def _counted(self, n: int, answers: list) -> None:
@@ -210,7 +219,8 @@ class Evaluation:
         d = self.stats[n].discounted(self.count[n])
         mine = np.flatnonzero(self.own[n] & (d > 0))
         h, size = self.block.history[n][mine], len(self.block.keys[n - 1])
-        kept, lower = np.bincount(h, d[mine], size), np.bincount(h, self.p[n - 1][self.block.shorter[n][mine]], size)
+        kept = np.bincount(h, d[mine], size)
+        lower = exchange.sums(h, np.round(self.p[n - 1][self.block.shorter[n][mine]] / PART), size)
         histories = self.histories(n)
         totals = np.where(kept > 0, self.count[n - 1], 0)  # with the sums: where there are none the weight is 1
         return self.block.keys[n - 1][histories], totals[histories], kept[histories], lower[histories]
@@ -272,7 +282,7 @@ def _ask(known: DataFrame, n: int, model: Katz, stats: dict[int, Stats], bits: i
             if n > 2:
                 keys, totals, kept, lower = e.sums(n - 1)
                 for bucket, at in exchange.parts(keys, bits):
-                    out.setdefault(bucket, [None] * 6)[2:] = exchange.pack_keys(keys[at]), exchange.squeezed(exchange.pack(totals[at])), exchange.pack_doubles(kept[at]), exchange.pack_doubles(lower[at])
+                    out.setdefault(bucket, [None] * 6)[2:] = exchange.pack_keys(keys[at]), exchange.squeezed(exchange.pack(totals[at])), exchange.pack_doubles(kept[at]), exchange.squeezed(exchange.pack(lower[at]))
             for bucket, fields in out.items():
                 yield bucket, row["block"], *fields
 
@@ -299,7 +309,8 @@ def _answer(n: int, most: int):
         names, at, _, stops = exchange.meet([exchange.unpack_keys(r["histories"]) for r in rows])
         weights = np.zeros(0)
         if len(at):
-            kept, lower = (np.bincount(at, np.concatenate([exchange.doubles(r[k]) for r in rows]), len(names)) for k in ("kept", "lower"))
+            kept = np.bincount(at, np.concatenate([exchange.doubles(r["kept"]) for r in rows]), len(names))
+            lower = exchange.sums(at, np.concatenate([exchange.unpack(exchange.expanded(r["lower"])) for r in rows]), len(names)) * PART
             total = np.zeros(len(names))
             np.maximum.at(total, at, np.concatenate([exchange.unpack(exchange.expanded(r["totals"])) for r in rows]).astype(np.float64))
             whole = (kept >= total) & (total > 0)
