@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tessera.plans import format_queries, general_queries, interval_queries, sequence_queries, statistic_queries, stream_queries, tree_queries  # noqa: F401
+    from tessera.plans import estimation_queries, format_queries, general_queries, interval_queries, sequence_queries, statistic_queries, stream_queries, tree_queries  # noqa: F401

@@ -336,3 +336,58 @@ def test_scores_of_subtrees(spark):
     assert lk.test_features(d, NAMES, m, ["name"], "SCORE", subtree="x").columns == ["name", "columns", "null_scale", "deriv", "stat", "p"]
     with pytest.raises(ValueError, match="LRT or SCORE"):
         lk.test_tuples(d.withColumnRenamed("col", "tuple"), NAMES, m, "GERP", subtree="x")
+
+
+# -- queries without SQL, against other ways ---------------------------------------------------------------------------
+
+DATA = "/root/testdata/sf0.001"
+
+
+def rows_of(spark, name):
+    from tessera.plans import registry
+
+    registry.load()
+    return [r.asDict() for r in registry.QUERIES[name](spark, DATA).collect()]
+
+
+def test_em_query_reaches_the_direct_fit(spark):
+    rounds = sorted(rows_of(spark, "fit_tree_em"), key=lambda r: r["round"])
+    value = rows_of(spark, "fit_tree_model")[0]["loglik"]
+    steps = np.diff([r["loglik"] for r in rounds])
+    assert steps.min() > -1e-6 and value - 1.0 < rounds[-1]["loglik"] <= value + 1e-2
+
+
+def test_parts_query_lies_between_one_fit_and_separate_ones(spark):
+    from tessera.plans import tree_queries
+
+    found = rows_of(spark, "fit_tree_parts")
+    orders = spark.read.parquet(f"{DATA}/orders.parquet").selectExpr("o_orderkey aln", "o_orderpriority part")
+    counts = tree_queries.alignment(spark, DATA).join(orders, "aln").groupBy("part", "col").count().toDF("part", "tuple", "cnt").cache()
+    tree = trees.parse(tree_queries.TREE)
+    _, together = es.fit_parts(counts, tree_queries.NAMES, tree, "HKY85", "part", shared=("branches", "rates"))
+    _, apart = es.fit_parts(counts, tree_queries.NAMES, tree, "HKY85", "part", shared=())
+    assert together - 1e-3 <= found[0]["loglik"] <= apart + 1e-2 and len(found) == orders.select("part").distinct().count()
+
+
+def test_conserved_query_never_falls(spark):
+    rounds = sorted(rows_of(spark, "fit_conserved_chain"), key=lambda r: r["round"])
+    assert len(rounds) == 3 and np.diff([r["loglik"] for r in rounds]).min() > -1e-6 and 0 < rounds[-1]["rho"] < 1
+
+
+def test_error_query_agrees_with_second_differences(spark):
+    """Along one branch with all other numbers fixed the information is at least what the whole inverse leaves."""
+    from tessera.plans import tree_queries
+
+    found = {r["name"]: r for r in rows_of(spark, "tree_standard_errors")}
+    counts = tree_queries.counts(spark, DATA)
+    m, value = lk.fit(counts, tree_queries.NAMES, trees.parse(tree_queries.TREE), "HKY85")
+    table_ = es.Table(counts, tree_queries.NAMES)
+    parameters = es.Parameters(m.tree, "HKY85", {"": m.pi}, {"": 1}, rates=m.free)
+    x = parameters.vector()
+    for i, name in enumerate(parameters.names()):
+        up, down = x.copy(), x.copy()
+        up[i] += 0.01
+        down[i] -= 0.01
+        a, b, c = table_.logliks([parameters.models(v) for v in (down, x, up)])
+        alone = np.exp(x[i]) / np.sqrt(-(a - 2 * b + c) / 1e-4)
+        assert found[name]["value"] == pytest.approx(np.exp(x[i]), rel=1e-3) and found[name]["error"] > 0.95 * alone
