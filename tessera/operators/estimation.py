@@ -525,3 +525,118 @@ def class_posteriors(tuples: DataFrame, names: Sequence[str], model: SiteClasses
             yield pd.DataFrame({"tuple": pdf["tuple"].to_numpy(), "posterior": list(np.exp(each - np.logaddexp.reduce(each, axis=0)).T)})
 
     return tuples.select("tuple").distinct().mapInPandas(run, "tuple string, posterior array<double>")
+
+
+# -- chains with tied transitions --------------------------------------------------------------------------------------
+
+
+def fit_biased_chain(
+    columns: DataFrame, names: Sequence[str], models: Sequence[TreeModel], outer: Hmm, inner: Hmm, by: Sequence[str] = ("aln",), rounds: int = 20, tolerance: float = 1e-2, size: int = 4096
+) -> tuple[Hmm, Hmm, list[float]]:
+    """Two chains that run side by side (biased conversion or not, and conserved or not), re-estimated from what their pairs of states emit.
+
+    models: one for each pair of states, the inner chain's changing fastest. The chains keep to themselves, so each has as
+    few free numbers as if it ran alone.
+    """
+    distinct = stage(columns.select(F.col("col").alias("tuple")).distinct(), "chain-tuples")
+    rows = stage(columns.select(*by, "pos", "col").join(_state_scores(distinct, names, models), "col").select(*by, "pos", "emission"), "chain-emissions")
+    history: list[float] = []
+    for k in range(rounds):
+        steps, begins, total = hmm.expected_counts(rows, hmm.cross_product(outer, inner), by, size)
+        history.append(total)
+        if k and history[-1] - history[-2] < tolerance:
+            break
+        outer, inner = hmm.reestimated_product(outer, inner, steps, begins)
+    unstage(rows)
+    return outer, inner, history
+
+
+@dataclass(frozen=True)
+class LineageFit:
+    """Ends (mu) and begins (nu) of elements, the share phi of lineage-specific ones, the states' names, and the rounds' log2 likelihoods."""
+
+    mu: float
+    nu: float
+    phi: float
+    states: tuple[str, ...]
+    history: tuple[float, ...]
+
+
+def lineage_states(model: TreeModel, rho: float) -> dict[str, tuple[TreeModel, frozenset[str] | None]]:
+    """The model of each state of a lineage chain, and for those of one lineage the leaves below its branch.
+
+    Conserved branches have their rates times rho: all of them, those from a birth's branch on, or all but those from a death's branch on.
+    """
+    slow = lambda ids: model.with_(altered=dict(model.altered) | {i: model.altered.get(i, model.q) * rho for i in ids})
+    branches = [n for n in model.tree.preorder() if n.parent is not None]
+    every = {n.id for n in branches}
+    out: dict[str, tuple[TreeModel, frozenset[str] | None]] = {"neutral": (model, None), "conserved": (slow(every), None)}
+    for kind in ("birth", "death"):
+        for b in branches:
+            below = {n.id for n in b.preorder()}
+            leaves = frozenset(n.name for n in b.leaves()) if b.children else frozenset([b.name])
+            out[f"{kind}:{b.name or b.id}"] = slow(below if kind == "birth" else every - below), leaves
+    return out
+
+
+def lineage_scores(distinct: DataFrame, names: Sequence[str], model: TreeModel, rho: float) -> DataFrame:
+    """col and emission (log2) under every state. A lineage's states are closed to columns that are open in all its leaves, or in all others: these can't tell."""
+    names, states = list(names), lineage_states(model, rho)
+    leaves = model.tree.leaf_names()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            tuples = pdf["tuple"].tolist()
+            codes = lk.encode(tuples, names, leaves, model.alphabet)
+            scores = []
+            for m, below in states.values():
+                x = lk.column_loglik(m, codes) / np.log(2.0)
+                if below is not None:
+                    inside = np.array([leaf in below for leaf in leaves])
+                    x = np.where((codes[:, inside] >= 0).any(1) & (codes[:, ~inside] >= 0).any(1), x, -1e4)
+                scores.append(x)
+            yield pd.DataFrame({"col": tuples, "emission": list(np.stack(scores, axis=1))})
+
+    return distinct.mapInPandas(run, "col string, emission array<double>")
+
+
+def lineage_chain(states: Sequence[str], mu: float, nu: float, phi: float) -> Hmm:
+    """Elements start with nu and end with mu; a share phi of them is lineage-specific, all lineages alike."""
+    k = len(states) - 2
+    start = np.r_[1 - phi, np.full(k, phi / max(k, 1))]
+    t = np.zeros((k + 2, k + 2))
+    t[0, 0], t[0, 1:] = 1 - nu, nu * start
+    t[np.arange(1, k + 2), np.arange(1, k + 2)], t[1:, 0] = 1 - mu, mu
+    return Hmm(t, np.r_[mu, nu * start] / (mu + nu))
+
+
+def fit_lineages(
+    columns: DataFrame, names: Sequence[str], model: TreeModel, rho: float = 0.3, mu: float = 0.05, nu: float = 0.01, phi: float = 0.5, by: Sequence[str] = ("aln",), rounds: int = 20, tolerance: float = 1e-2, size: int = 1024
+) -> LineageFit:
+    """mu, nu and phi of a lineage chain by expectation-maximisation: all states share them, so each is one ratio of expected steps."""
+    states = tuple(lineage_states(model, rho))
+    distinct = stage(columns.select(F.col("col").alias("tuple")).distinct(), "lineage-tuples")
+    rows = stage(columns.select(*by, "pos", "col").join(lineage_scores(distinct, names, model, rho), "col").select(*by, "pos", "emission"), "lineage-emissions")
+    history: list[float] = []
+    for k in range(rounds):
+        steps, begins, total = hmm.expected_counts(rows, lineage_chain(states, mu, nu, phi), by, size)
+        history.append(total)
+        if k and history[-1] - history[-2] < tolerance:
+            break
+        starts = steps[0, 1:].sum()
+        nu = float(np.clip(starts / max(steps[0].sum(), 1e-300), 1e-9, 1 - 1e-9))
+        mu = float(np.clip(steps[1:, 0].sum() / max(steps[1:].sum(), 1e-300), 1e-9, 1 - 1e-9))
+        phi = float(np.clip(steps[0, 2:].sum() / max(starts, 1e-300), 1e-9, 1 - 1e-9))
+    unstage(rows)
+    return LineageFit(mu, nu, phi, states, tuple(history))
+
+
+def lineage_elements(columns: DataFrame, names: Sequence[str], model: TreeModel, rho: float, fit: LineageFit, by: Sequence[str] = ("aln",), size: int = 1024) -> DataFrame:
+    """by, start, end, n, state: runs of the best path that are conserved, in all lineages or in one."""
+    from tessera.operators.intervals import run_lengths
+
+    distinct = columns.select(F.col("col").alias("tuple")).distinct()
+    rows = columns.select(*by, "pos", "col").join(lineage_scores(distinct, names, model, rho), "col").select(*by, "pos", "emission")
+    path = hmm.best_path(rows, lineage_chain(fit.states, fit.mu, fit.nu, fit.phi), by, size)
+    label = F.element_at(F.array(*map(F.lit, fit.states)), F.col("state") + 1)
+    return run_lengths(path.withColumn("label", label), by, "pos", "label").filter("label <> 'neutral'").withColumnRenamed("label", "state")

@@ -412,6 +412,12 @@ def reestimated(model: Hmm, steps: np.ndarray, begins: np.ndarray) -> Hmm:
     return Hmm(np.where(sums > 0, steps / np.where(sums > 0, sums, 1), model.transition), begins / begins.sum(), model.end)
 
 
+def reestimated_product(a: Hmm, b: Hmm, steps: np.ndarray, begins: np.ndarray) -> tuple[Hmm, Hmm]:
+    """The two chains whose cross_product makes expected steps and begins of pairs of states most likely: each one's counts are sums over the other."""
+    four, pairs = steps.reshape(a.n, b.n, a.n, b.n), begins.reshape(a.n, b.n)
+    return reestimated(a, four.sum((1, 3)), pairs.sum(1)), reestimated(b, four.sum((0, 2)), pairs.sum(0))
+
+
 def train(rows: DataFrame, model: Hmm, by: Sequence[str] = ("seq",), rounds: int = 20, tolerance: float = 1e-3, size: int = CHUNK) -> tuple[Hmm, list[float]]:
     """Transition and begin probabilities by expectation-maximisation; the log-likelihoods of the rounds."""
     history: list[float] = []

@@ -391,3 +391,63 @@ def test_error_query_agrees_with_second_differences(spark):
         a, b, c = table_.logliks([parameters.models(v) for v in (down, x, up)])
         alone = np.exp(x[i]) / np.sqrt(-(a - 2 * b + c) / 1e-4)
         assert found[name]["value"] == pytest.approx(np.exp(x[i]), rel=1e-3) and found[name]["error"] > 0.95 * alone
+
+
+# -- chains with tied transitions --------------------------------------------------------------------------------------
+
+
+def test_chains_side_by_side(spark):
+    truth = model("((a:0.4,b:0.5):0.3,(c:0.4,d:0.5):0.3);")
+    outer, inner = hmm.two_state(0.3, 80.0), hmm.two_state(0.4, 25.0)
+    strong = truth.with_(q=md.biased(truth.q, 0.0, 4.0))
+    models = [strong.with_(scale=0.3), strong, truth.with_(scale=0.3), truth]  # biased first, and conserved first inside
+    chain, rng, state, rows = hmm.cross_product(outer, inner), np.random.default_rng(6), 3, []
+    states = []
+    for _ in range(8000):
+        state = int(rng.choice(4, p=chain.transition[state]))
+        states.append(state)
+    letters = np.array(list("ACGT"))
+    cols = np.empty(8000, object)
+    for s in range(4):
+        at = np.flatnonzero(np.array(states) == s)
+        cols[at] = ["".join(r) for r in letters[lk.simulate(models[s], len(at), rng)]]
+    rows = [("x", i + 1, c) for i, c in enumerate(cols)]
+    columns = spark.createDataFrame(rows, "aln string, pos long, col string").repartition(3)
+    a, b, history = es.fit_biased_chain(columns, NAMES, models, hmm.two_state(0.5, 20.0), hmm.two_state(0.5, 60.0), rounds=15, size=1000)
+    assert np.diff(history).min() > -1e-6
+    assert 1 / a.transition[0, 1] == pytest.approx(80, rel=0.5) and 1 / b.transition[0, 1] == pytest.approx(25, rel=0.4)
+    pairs = np.random.default_rng(1).random((4, 4))
+    x, y = hmm.reestimated_product(outer, inner, pairs, np.ones(4))
+    best = (pairs * np.log(hmm.cross_product(x, y).transition)).sum()
+    for d in (0.01, -0.01):  # no near chain of this form is likelier
+        t = x.transition + np.array([[d, -d], [0, 0]])
+        assert (pairs * np.log(np.kron(t, y.transition))).sum() < best
+
+
+def test_lineage_specific_elements(spark):
+    truth = model("((a:0.5,b:0.6)x:0.3,(c:0.5,d:0.6)y:0.3);")
+    states = es.lineage_states(truth, 0.1)
+    assert list(states)[:2] == ["neutral", "conserved"] and len(states) == 2 + 2 * 6
+    assert states["birth:x"][1] == {"a", "b"} and set(states["birth:x"][0].altered) | set(states["death:x"][0].altered) == {n.id for n in truth.tree.preorder() if n.parent}
+    rng, rows, at = np.random.default_rng(8), [], 0
+    letters = np.array(list("ACGT"))
+    want = []
+    for k in range(60):
+        for name, n in (("neutral", 60), (("birth:x", "conserved", "birth:x")[k % 3], 30)):
+            cols = letters[lk.simulate(states[name][0], n, rng)]
+            rows += [("s", at + i + 1, "".join(r)) for i, r in enumerate(cols)]
+            if name != "neutral":
+                want.append((at + 1, at + n, name))
+            at += n
+    columns = spark.createDataFrame(rows, "aln string, pos long, col string").repartition(3)
+    fit = es.fit_lineages(columns, NAMES, truth, rho=0.1, mu=0.2, nu=0.05, phi=0.2, rounds=8, size=500)
+    assert np.diff(fit.history).min() > -1e-6 and fit.phi > 0.4
+    assert 1 / fit.mu == pytest.approx(30, rel=0.4) and 1 / fit.nu == pytest.approx(60, rel=0.4)
+    found = es.lineage_elements(columns, NAMES, truth, 0.1, fit, size=500).collect()
+    hits = sum(any(r["state"] == name and r["start"] <= b and r["end"] >= a for r in found) for a, b, name in want)
+    assert hits > 0.75 * len(want)
+    # columns that are open in a lineage, or in all others, close its states
+    d = spark.createDataFrame([("AA--",), ("--AA",), ("AAAA",), ("A---",)], "tuple string")
+    place = list(states).index("birth:x")
+    scores = {r["col"]: r["emission"][place] for r in es.lineage_scores(d, NAMES, truth, 0.1).collect()}
+    assert scores["AAAA"] > -100 and {scores["AA--"], scores["--AA"], scores["A---"]} == {-1e4}
