@@ -335,14 +335,15 @@ def evaluated(docs: DataFrame, held: str = "false", model: Katz = Katz(), id_col
     stats: dict[int, Stats] = {}
     known, orders = blocks, len(model.least)
     for n in range(1, orders + 2):
-        if n == orders + 1 and orders == 1:
-            break
         asked = _ask(known, n, model, dict(stats), bits)
         table = stage(exchange.answered(asked, _answer(n, model.most), ANSWER, ANSWER_DDL), f"katz-{n}-grams")
         if n <= orders:
             of_buckets = table.filter(F.col("block").isNull())
             found = of_buckets.agg(F.sum("distinct"), F.sum("total"), *[F.sum(F.col("seen")[r]) for r in range(model.most + 1)]).first()
             stats[n] = Stats(model.least[n - 1], model.most, found[0] or 0, found[1] or 0, tuple(x or 0 for x in found[2:]))
+        if n == orders + 1 or orders == 1:
+            known = known.join(exchange.by_block(table, "counts", "weights", name=f"a{n}"), "block", "left")
+            break
         # the answers lie as the blocks do: no later round shuffles either
         answers = stage_by(exchange.by_block(table, "counts", "weights", name=f"a{n}"), f"katz-answers-{n}", "block", together=True)
         unstage(table)
