@@ -137,11 +137,15 @@ def gradient(f: Callable[[np.ndarray], float], x: np.ndarray, step: float = 1e-5
     return (values[:, 0] - values[:, 1]) / (2 * h)
 
 
-def bfgs(f: Callable[[np.ndarray], float], x: np.ndarray, low: np.ndarray | float = -np.inf, high: np.ndarray | float = np.inf, rounds: int = 200, tolerance: float = 1e-7, many: Callable[[list[np.ndarray]], np.ndarray] | None = None, longest: float = 1.0) -> tuple[np.ndarray, float]:
-    """Least value of f inside bounds: quasi-Newton steps, cut at the bounds and at `longest` in any number, with a backtracking search."""
+def bfgs(f: Callable[[np.ndarray], float], x: np.ndarray, low: np.ndarray | float = -np.inf, high: np.ndarray | float = np.inf, rounds: int = 200, tolerance: float = 1e-7, many: Callable[[list[np.ndarray]], np.ndarray] | None = None, longest: float = 1.0, slope: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, float]:
+    """Least value of f inside bounds: quasi-Newton steps, cut at the bounds and at `longest` in any number, with a backtracking search.
+
+    slope: the gradient where it is known, else it is taken from differences.
+    """
+    slope = slope or (lambda x: gradient(f, x, many=many))
     x = np.clip(np.asarray(x, float), low, high)
     low, high = np.broadcast_to(low, x.shape), np.broadcast_to(high, x.shape)
-    value, g, h = f(x), gradient(f, x, many=many), np.eye(len(x))
+    value, g, h = f(x), slope(x), np.eye(len(x))
     for _ in range(rounds):
         fixed = ((x <= low) & (g > 0)) | ((x >= high) & (g < 0))
         step = -(h @ np.where(fixed, 0.0, g))
@@ -158,7 +162,7 @@ def bfgs(f: Callable[[np.ndarray], float], x: np.ndarray, low: np.ndarray | floa
             length /= 2
         else:
             break
-        new_g = gradient(f, new, many=many)
+        new_g = slope(new)
         s, y = new - x, new_g - g
         done = abs(value - new_value) <= tolerance * (1 + abs(value)) and np.abs(s).max() < 1e-6 * (1 + np.abs(x).max())
         x, value, g = new, new_value, new_g

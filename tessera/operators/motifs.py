@@ -192,3 +192,76 @@ def code_scores(codes: np.ndarray, q: np.ndarray, pi: np.ndarray, t: float) -> n
 
 def simplex_cells(dim: int, parts: int) -> np.ndarray:
     return ds.simplex_grid(dim, parts)
+
+
+# -- motifs that tell two sets of sequences apart ----------------------------------------------------------------------
+
+_PLACES = np.full(256, -1, np.int64)
+for _i, _a in enumerate(DNA):
+    _PLACES[[ord(_a), ord(_a.lower())]] = _i
+
+
+def _odds(theta: np.ndarray, bg: np.ndarray, codes: np.ndarray) -> tuple[float, np.ndarray]:
+    """The log of the mean odds of the motif over all starts of a sequence, and its slope by theta (the letters' scores, of which the matrix is the softmax)."""
+    w, n = len(theta), len(codes) - len(theta) + 1
+    if n < 1:
+        return 0.0, np.zeros_like(theta)
+    log_p = theta - np.logaddexp.reduce(theta, axis=1)[:, None]
+    table = np.hstack([log_p - np.log(bg), np.full((w, 1), -np.inf)])  # the last column: a letter that the alphabet lacks
+    scores = np.zeros(n)
+    for k in range(w):
+        scores += table[k, codes[k : k + n]]
+    top = scores.max()
+    if top == -np.inf:
+        return 0.0, np.zeros_like(theta)
+    share = np.exp(scores - top)
+    total = share.sum()
+    seen = np.stack([np.bincount(codes[k : k + n] % (len(bg) + 1), share, len(bg) + 1)[: len(bg)] for k in range(w)]) / total
+    return float(top + np.log(total / n)), seen - np.exp(log_p)
+
+
+def conditional(seqs: DataFrame, theta: np.ndarray, bias: float, bg: np.ndarray, text: str = "text", label: str = "label") -> tuple[float, np.ndarray]:
+    """The log-probability of the labels (true: has the motif) given the sequences, and its gradient by theta and the bias, summed in the cluster.
+
+    A sequence has the motif with the odds exp(bias) times its mean odds over all starts; one without a start of known
+    letters says nothing but the bias. Null labels and null texts have no part.
+    """
+    rows = seqs.select(F.col(text).alias("text"), F.col(label).cast("boolean").alias("label")).filter("text is not null and label is not null")
+    size = theta.size + 2
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(size)
+        for pdf in batches:
+            for t, y in zip(pdf["text"], pdf["label"]):
+                value, slope = _odds(theta, bg, _PLACES[np.frombuffer(t.encode("latin-1", "replace"), np.uint8)])
+                x = value + bias
+                sums[0] -= np.logaddexp(0.0, -x if y else x)
+                miss = float(y) - 1 / (1 + np.exp(-np.clip(x, -700, 700)))
+                sums[1:-1] += miss * slope.ravel()
+                sums[-1] += miss
+        yield pd.DataFrame({"at": np.arange(size), "value": sums})
+
+    out = np.zeros(size)
+    for r in rows.mapInPandas(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():  # as many rows as numbers
+        out[r["at"]] = r["value"]
+    return float(out[0]), out[1:]
+
+
+def fit_conditional(seqs: DataFrame, start: np.ndarray, text: str = "text", label: str = "label", rounds: int = 60) -> tuple[np.ndarray, float, float]:
+    """The matrix (width, letters) and bias that tell labelled sequences apart best, and the labels' log-probability: a quasi-Newton search with the exact gradient."""
+    from tessera.operators.likelihood import bfgs
+
+    bg = np.maximum(background(seqs.select(F.upper(F.col(text)).alias("text"))), 1e-6)
+    shape, known = start.shape, {}
+
+    def both(x: np.ndarray) -> tuple[float, np.ndarray]:
+        key = x.tobytes()
+        if key not in known:
+            known.clear()
+            known[key] = conditional(seqs, x[:-1].reshape(shape), float(x[-1]), bg, text, label)
+        return known[key]
+
+    x0 = np.r_[np.log(np.maximum(start, 1e-3)).ravel(), 0.0]
+    x, value = bfgs(lambda x: -both(x)[0], x0, -12.0, 12.0, rounds, slope=lambda x: -both(x)[1])
+    theta = x[:-1].reshape(shape)
+    return np.exp(theta - np.logaddexp.reduce(theta, axis=1)[:, None]), float(x[-1]), -value

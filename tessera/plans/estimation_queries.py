@@ -167,3 +167,25 @@ def cut_blocks(spark, d):
     """The second row of each block inside ten-base features of the reference."""
     feats = table(spark, d, "supplier").select(F.lit("r.1").alias("seqname"), (F.col("s_suppkey") * 40).alias("start"), (F.col("s_suppkey") * 40 + 9).alias("end"), F.col("s_suppkey").alias("id"))
     return transfer.cut_blocks(blocks(spark, d), "r", feats, "id").filter("seq = 's'").select("id", "block", "start", "size", "text")
+
+
+# -- motifs ------------------------------------------------------------------------------------------------------------
+
+
+@query("motif_conditional", """WITH t AS (SELECT doc_id, translate(lower(text), 'bdefhijklmnopqrsuvwxyz', 'cgtacgtacgtacgtacgtacg') AS s, quality = 1 AS y FROM documents JOIN labels USING (doc_id)),
+w(k, a, p) AS (VALUES (1, 'a', 0.7::DOUBLE), (1, 'c', 0.1::DOUBLE), (1, 'g', 0.1::DOUBLE), (1, 't', 0.1::DOUBLE), (2, 'a', 0.1::DOUBLE), (2, 'c', 0.6::DOUBLE), (2, 'g', 0.2::DOUBLE), (2, 't', 0.1::DOUBLE)),
+o AS (SELECT doc_id, sum(coalesce(x.p * z.p * 16, 0)) / max(length(s) - 1) AS odds FROM (SELECT doc_id, s, unnest(range(1, length(s))) AS i FROM t) u LEFT JOIN w x ON x.k = 1 AND x.a = substr(s, i, 1) LEFT JOIN w z ON z.k = 2 AND z.a = substr(s, i + 1, 1) GROUP BY doc_id),
+e AS (SELECT y, CASE WHEN coalesce(odds, 0) > 0 THEN odds ELSE 1.0 END AS odds FROM t LEFT JOIN o USING (doc_id))
+SELECT round(sum(ln(CASE WHEN y THEN odds / (1 + odds) ELSE 1 / (1 + odds) END)), 5) AS value FROM e""")
+def motif_conditional(spark, d):
+    """The log-probability of documents' quality labels by a two-letter matrix over their texts, spelled in four letters."""
+    import numpy as np
+
+    from tessera.operators import motifs
+
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    spelled = F.translate(F.lower("text"), "bdefhijklmnopqrsuvwxyz", "cgtacgtacgtacgtacgtacg")
+    rows = docs.join(labels, "doc_id").select(spelled.alias("text"), (F.col("quality") == 1).alias("label"))
+    theta = np.log(np.array([[0.7, 0.1, 0.1, 0.1], [0.1, 0.6, 0.2, 0.1]]))
+    value, _ = motifs.conditional(rows, theta, 0.0, np.full(4, 0.25))
+    return spark.createDataFrame([(round(value, 5),)], "value double")
