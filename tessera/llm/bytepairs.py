@@ -31,6 +31,8 @@ class BytePairs:
         The pattern takes a run of white space up to its last character for one piece, and what follows begins with
         that character; at the text's end the whole run is one piece.
         """
+        if len(text) < 4097:
+            return self.coder.encode_to_numpy(text, disallowed_special=())
         parts, start = [], 0
         for run in WIDE_SPACE.finditer(text):
             end = run.end() - (run.end() < len(text))
