@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.binned import looking_back, own_rows
+
 
 def transitions(rows: DataFrame, by: Sequence[str] = ("seq",), order: int = 1) -> DataFrame:
     """from (the `order` symbols before, joined by |), to and cnt."""
-    w = Window.partitionBy(*by).orderBy("pos")
+    both, w = looking_back(rows.select(*by, "pos", "sym"), by, "pos", order)
     before = [F.lag("sym", i).over(w) for i in range(order, 0, -1)]
-    pairs = rows.select(F.concat(*[p for b in before for p in (F.lit("|"), b)][1:]).alias("from"), F.col("sym").alias("to"))
-    return pairs.filter(F.col("from").isNotNull()).groupBy("from", "to").agg(F.count(F.lit(1)).alias("cnt"))
+    pairs = both.select("_guest", F.concat(*[p for b in before for p in (F.lit("|"), b)][1:]).alias("from"), F.col("sym").alias("to"))
+    return pairs.filter(~F.col("_guest") & F.col("from").isNotNull()).groupBy("from", "to").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def transition_matrix(counts: DataFrame, pseudo: float = 0.0, states: Sequence[str] | None = None) -> DataFrame:
@@ -30,8 +32,8 @@ def transition_matrix(counts: DataFrame, pseudo: float = 0.0, states: Sequence[s
 
 def path_loglik(rows: DataFrame, matrix: DataFrame, by: Sequence[str] = ("seq",)) -> DataFrame:
     """by and loglik: the sum of log2 p over the steps of each sequence; a step without a probability gives minus infinity."""
-    w = Window.partitionBy(*by).orderBy("pos")
-    steps = rows.withColumn("from", F.lag("sym").over(w)).withColumn("to", F.col("sym"))
+    both, w = looking_back(rows.select(*by, "pos", "sym"), by, "pos", 1)
+    steps = own_rows(both.withColumn("from", F.lag("sym").over(w)).withColumn("to", F.col("sym")))
     logs = matrix.select("from", "to", F.log2("p").alias("_l"))
     met = steps.join(logs, ["from", "to"], "left")
     step = F.when(F.col("from").isNull(), 0.0).otherwise(F.coalesce("_l", F.lit(float("-inf"))))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.runtime import numbered
@@ -28,11 +28,13 @@ def contexts(columns: DataFrame, k: int, by: Sequence[str] = ("aln",), sep: str
     """Tuples of k neighbouring columns, named by their last one; the first k - 1 of a sequence are padded with missing columns."""
     if k == 1:
         return columns.withColumn("tuple", F.col("col"))
-    w = Window.partitionBy(*by).orderBy("pos")
+    from tessera.operators.binned import bin_of, looking_back, own_rows, running
+
+    both, w = looking_back(columns, by, "pos", k - 1)
     pad = F.repeat(F.lit("*"), F.length("col"))
     parts = [F.coalesce(F.lag("col", i).over(w), pad) for i in range(k - 1, 0, -1)] + [F.col("col")]
-    out = columns.withColumn("tuple", F.concat_ws(sep, *parts))
-    return out if overlapping else out.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") % k == 0).drop("_r")
+    out = own_rows(both.withColumn("tuple", F.concat_ws(sep, *parts)))
+    return out if overlapping else running(out, by, ["pos"], {"_r": F.lit(1)}, bin_of(out, "pos")).filter(F.col("_r") % k == 0).drop("_r")
 
 
 def tuple_counts(tuples: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -114,15 +116,20 @@ def strip_gaps(columns: DataFrame, mode: str = "any") -> DataFrame:
 
 def project(columns: DataFrame, row: int, by: Sequence[str] = ("aln",)) -> DataFrame:
     """Columns where a row has no gap, renumbered in its frame."""
+    from tessera.operators.binned import bin_of, running
+
     kept = columns.filter(F.substring("col", row + 1, 1) != GAP)
-    return kept.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("pos")))
+    return running(kept, by, ["pos"], {"_n": F.lit(1)}, bin_of(kept, "pos")).withColumn("pos", F.col("_n").cast("int")).select(*columns.columns)
 
 
 def coordinate_map(columns: DataFrame, row: int, by: Sequence[str] = ("aln",)) -> DataFrame:
     """by, pos and seq_pos: each alignment position with its place in a row (null in a gap)."""
+    from tessera.operators.binned import bin_of, running
+
     there = F.substring("col", row + 1, 1) != GAP
-    w = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return columns.select(*by, "pos", F.when(there, F.sum(there.cast("long")).over(w)).alias("seq_pos"))
+    flagged = columns.select(*by, "pos", there.alias("_there"))
+    counted = running(flagged, by, ["pos"], {"seq_pos": F.col("_there").cast("long")}, bin_of(flagged, "pos"))
+    return counted.select(*by, "pos", F.when(F.col("_there"), F.col("seq_pos")).alias("seq_pos"))
 
 
 def base_counts(columns: DataFrame, alphabet: str = "ACGT") -> DataFrame:
@@ -181,17 +188,20 @@ def fourfold_degenerate(tuple_: Column, rows: int) -> Column:
 def missing_blocks(columns: DataFrame, reference: int, least: int, by: Sequence[str] = ("aln",)) -> DataFrame:
     """by, start, end of runs of at least `least` columns where every other row is missing; a trailing run counts whatever its length."""
     others = F.concat(F.substring(F.col("col"), 1, reference), F.expr(f"substring(col, {reference + 2})"))
-    flagged = columns.withColumn("_missing", n_informative(others) + F.length(others) - F.length(F.translate(others, GAP, "")) == 0)
-    runs = flagged.withColumn("_r", F.col("pos") - F.row_number().over(Window.partitionBy(*by, "_missing").orderBy("pos"))).withColumn("_last", F.max("pos").over(Window.partitionBy(*by)))
-    out = runs.filter("_missing").groupBy(*by, "_r").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.first("_last").alias("_last"))
-    return out.filter((F.col("end") - F.col("start") + 1 >= least) | (F.col("end") == F.col("_last"))).drop("_r", "_last")
+    from tessera.operators.intervals import runs_where
+
+    missing = n_informative(others) + F.length(others) - F.length(F.translate(others, GAP, "")) == 0
+    runs = runs_where(columns, by, "pos", missing, F.lit(0)).select(*by, "start", "end")
+    last = columns.groupBy(*by).agg(F.max("pos").alias("_last"))
+    out = runs.join(last, list(by))
+    return out.filter((F.col("end") - F.col("start") + 1 >= least) | (F.col("end") == F.col("_last"))).drop("_last")
 
 
 def informative_runs(columns: DataFrame, by: Sequence[str] = ("aln",), least_symbols: int = 2) -> DataFrame:
     """Runs of informative columns as features."""
-    kept = columns.filter(n_informative(F.col("col")) >= least_symbols)
-    runs = kept.withColumn("_r", F.col("pos") - F.row_number().over(Window.partitionBy(*by).orderBy("pos")))
-    return runs.groupBy(*by, "_r").agg(F.min("pos").alias("start"), F.max("pos").alias("end")).drop("_r")
+    from tessera.operators.intervals import runs_where
+
+    return runs_where(columns, by, "pos", n_informative(F.col("col")) >= least_symbols, F.lit(0)).select(*by, "start", "end")
 
 
 def expand(counts: DataFrame) -> DataFrame:
@@ -203,8 +213,11 @@ def expand(counts: DataFrame) -> DataFrame:
 def permute_columns(columns: DataFrame, seed: int, by: Sequence[str] = ("aln",)) -> DataFrame:
     """Columns in a seeded random order inside each alignment: that of the MD5 of seed, alignment and position."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*by, "pos")]).cast("binary"))
-    w = Window.partitionBy(*by).orderBy(key, "pos")
-    return columns.withColumn("pos", F.row_number().over(w))
+    from tessera.operators.binned import running
+
+    drawn = columns.withColumn("_key", key)
+    place = running(drawn, by, ["_key", "pos"], {"_n": F.lit(1)}, F.substring("_key", 1, 3))
+    return place.withColumn("pos", F.col("_n").cast("int")).select(*columns.columns)
 
 
 def concatenate(first: DataFrame, second: DataFrame, by: Sequence[str] = ("aln",)) -> DataFrame:
@@ -237,14 +250,15 @@ def shorten_context(counts: DataFrame, rows: int, k: int) -> DataFrame:
 
 def mask_long_gaps(columns: DataFrame, rows: int, most: int, reference: int | None = None, by: Sequence[str] = ("aln",)) -> DataFrame:
     """In each row (but the reference), runs of more than `most` gaps become missing."""
+    from tessera.operators.intervals import overlap_pairs, runs_where
+
     long = columns.select(*by, "pos", F.posexplode(F.split("col", "")).alias("row", "ch")).filter(F.col("row") < rows)
-    gap = F.col("ch") == GAP
-    island = F.col("pos") - F.row_number().over(Window.partitionBy(*by, "row", gap).orderBy("pos"))
-    runs = long.withColumn("_gap", gap).withColumn("_run", island)
-    size = F.count(F.lit(1)).over(Window.partitionBy(*by, "row", "_gap", "_run"))
-    masked = runs.withColumn("ch", F.when(F.col("_gap") & (size > most) & (F.col("row") != F.lit(-1 if reference is None else reference)), "*").otherwise(F.col("ch")))
-    back = masked.groupBy(*by, "pos").agg(F.sort_array(F.collect_list(F.struct("row", "ch"))).alias("_x"))
-    return back.select(*by, "pos", F.array_join(F.transform("_x", lambda x: x["ch"]), "").alias("col"))
+    runs = runs_where(long, [*by, "row"], "pos", F.col("ch") == GAP, F.lit(0)).filter((F.col("n") > most) & (F.col("row") != F.lit(-1 if reference is None else reference)))
+    points = columns.select(*by, "pos", F.col("pos").alias("start"), F.col("pos").alias("end"))
+    hit = overlap_pairs(points, runs.select(*by, "start", "end", "row"), by).groupBy(*by, "pos").agg(F.collect_set("r_row").alias("_rows"))  # at most all rows
+    met = columns.select(*by, "pos", "col").join(hit, [*by, "pos"], "left")
+    masked = F.array_join(F.transform(F.split("col", ""), lambda ch, i: F.when(F.array_contains("_rows", i), "*").otherwise(ch)), "")
+    return met.select(*by, "pos", F.when(F.col("_rows").isNull(), F.col("col")).otherwise(masked).alias("col"))
 
 
 def missing_to_gaps(columns: DataFrame) -> DataFrame:
@@ -258,7 +272,9 @@ def uppercase(columns: DataFrame) -> DataFrame:
 def split_by_category(columns: DataFrame, labels: DataFrame, by: Sequence[str] = ("aln",)) -> DataFrame:
     """Columns with the category of their position (0 where there is none), numbered anew inside each."""
     met = columns.join(labels.select(*by, "pos", "cat"), [*by, "pos"], "left").withColumn("cat", F.coalesce("cat", F.lit(0)))
-    return met.withColumn("pos", F.row_number().over(Window.partitionBy(*by, "cat").orderBy("pos")))
+    from tessera.operators.binned import bin_of, running
+
+    return running(met, [*by, "cat"], ["pos"], {"_n": F.lit(1)}, bin_of(met, "pos")).withColumn("pos", F.col("_n").cast("int")).select(*met.columns)
 
 
 def extract_features(columns: DataFrame, feats: DataFrame, by: Sequence[str] = ("aln",)) -> DataFrame:

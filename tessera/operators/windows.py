@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.binned import bin_of, looking_back, own_rows, running
+
 
 def tumbling(rows: DataFrame, at: str, size: int, by: Sequence[str], aggs: Sequence[Column], origin: int = 1) -> DataFrame:
     """by, start, end and aggs of windows [start, start + size - 1] from `origin` on."""
@@ -24,16 +26,18 @@ def hopping(rows: DataFrame, at: str, size: int, shift: int, by: Sequence[str],
 
 def sliding(rows: DataFrame, at: str, size: int, by: Sequence[str], value: str, function=F.sum, name: str = "value") -> DataFrame:
     """`function` over the `size` rows that end at each row; null before a window is full."""
-    w = Window.partitionBy(*by).orderBy(at).rowsBetween(-(size - 1), 0)
+    both, w = looking_back(rows, by, at, size - 1) if size > 1 else (rows.withColumn("_guest", F.lit(False)).withColumn("_b", F.lit(0)), Window.partitionBy(*by).orderBy(at))
+    w = w.rowsBetween(-(size - 1), 0)
     full = F.count(F.lit(1)).over(w) == size
-    return rows.withColumn(name, F.when(full, function(F.col(value)).over(w)))
+    return own_rows(both.withColumn(name, F.when(full, function(F.col(value)).over(w))))
 
 
 def sessions(rows: DataFrame, at: str, gap: int, by: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
     """Runs of rows no further apart than `gap`: start, end and aggs."""
-    w = Window.partitionBy(*by).orderBy(at)
+    both, w = looking_back(rows, by, at, 1)
     new = F.lag(at).over(w).isNull() | (F.col(at) - F.lag(at).over(w) > gap)
-    numbered = rows.withColumn("_s", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    flagged = own_rows(both.withColumn("_new", new.cast("int")))
+    numbered = running(flagged, by, [at], {"_s": F.col("_new")}, bin_of(flagged, at))
     return numbered.groupBy(*by, "_s").agg(F.min(at).alias("start"), F.max(at).alias("end"), *aggs).drop("_s")
 
 
