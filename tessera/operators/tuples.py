@@ -141,8 +141,8 @@ def base_counts(columns: DataFrame, alphabet: str = "ACGT") -> DataFrame:
 def normalised(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """freq: the share of cnt in its group's total, by a join with the few totals."""
     if not by:
-        total = counts.agg(F.sum("cnt").alias("_t")).withColumn("_k", F.lit(1))
-        return counts.withColumn("_k", F.lit(1)).join(total, "_k").withColumn("freq", F.col("cnt") / F.col("_t")).drop("_t", "_k")
+        total = counts.agg(F.sum("cnt").alias("_t")).withColumn("_k", F.lit(1))  # one row
+        return counts.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").withColumn("freq", F.col("cnt") / F.col("_t")).drop("_t", "_k")
     total = counts.groupBy(*by).agg(F.sum("cnt").alias("_t"))
     return counts.join(total, list(by)).withColumn("freq", F.col("cnt") / F.col("_t")).drop("_t")
 

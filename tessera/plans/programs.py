@@ -115,10 +115,12 @@ def ancestral_bases(columns: DataFrame, names: Sequence[str], model: TreeModel)
 def simulate(spark: SparkSession, model: TreeModel, length: int, seed: int, chain: Hmm | None = None, scales: Sequence[float] = (1.0,), block: int = 65_536) -> DataFrame:
     """aln, pos, col and state of a simulated alignment; blocks are drawn in parallel, each with a seed of its own.
 
-    With a chain, each position's scale follows its states (started anew in each block from the stationary law).
+    With a chain, each position's scale follows its states. The states at the blocks' first positions are drawn in their order, and each block's
+    others given both its borders, so that runs go on from block to block.
     """
-    blocks = spark.range(0, -(-length // block), 1).withColumnRenamed("id", "b")
-    pi = None if chain is None else np.clip(hmm.stationary(chain.transition), 0, None)
+    n_blocks = -(-length // block)
+    blocks = spark.range(0, n_blocks, 1).withColumnRenamed("id", "b")
+    borders = [] if chain is None else _border_states(chain.transition, n_blocks, block, np.random.default_rng([seed, 1 << 32]))
 
     def run(batches):
         for pdf in batches:
@@ -127,10 +129,7 @@ def simulate(spark: SparkSession, model: TreeModel, length: int, seed: int, chai
                 rng = np.random.default_rng([seed, int(b)])
                 state = np.zeros(n, int)
                 if chain is not None:
-                    state[0] = rng.choice(len(pi), p=pi / pi.sum())
-                    cum, u = np.cumsum(chain.transition, axis=1), rng.random(n)
-                    for i in range(1, n):
-                        state[i] = min(int((u[i] > cum[state[i - 1]]).sum()), len(pi) - 1)
+                    state = _between(chain.transition, borders[b], borders[b + 1] if b + 1 < n_blocks else None, n, rng)
                 codes = np.zeros((n, len(model.tree.leaves())), int)
                 for s in np.unique(state):
                     codes[state == s] = lk.simulate(model.with_(scale=model.scale * scales[s]), int((state == s).sum()), rng)
@@ -140,6 +139,30 @@ def simulate(spark: SparkSession, model: TreeModel, length: int, seed: int, chai
     return blocks.mapInPandas(run, "aln string, pos long, col string, state int")
 
 
+def _border_states(t: np.ndarray, blocks: int, size: int, rng: np.random.Generator) -> list[int]:
+    """The states of a stationary chain at the first position of every block; one number for each block."""
+    pi, step = np.clip(hmm.stationary(t), 0, None), np.linalg.matrix_power(t, size)
+    out = [int(rng.choice(len(t), p=pi / pi.sum()))]
+    while len(out) < blocks:
+        p = np.clip(step[out[-1]], 0, None)
+        out.append(int(rng.choice(len(t), p=p / p.sum())))
+    return out
+
+
+def _between(t: np.ndarray, first: int, after: int | None, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n states of a chain from `first` on, given the one after the last if there is one: drawn backwards over forward chances."""
+    forward = np.zeros((n, len(t)))
+    forward[0, first] = 1.0
+    for i in range(1, n):
+        forward[i] = forward[i - 1] @ t
+    state, u, last = np.zeros(n, int), rng.random(n), after
+    for i in range(n - 1, -1, -1):
+        p = forward[i] if last is None else forward[i] * t[:, last]
+        cum = np.cumsum(p)
+        last = state[i] = min(int((u[i] * cum[-1] > cum).sum()), len(t) - 1)
+    return state
+
+
 def bootstrap(columns: DataFrame, names: Sequence[str], tree: Node, kind: str = "HKY85", rounds: int = 20, seed: int = 1) -> dict[str, dict[str, float]]:
     """Summary of each branch length over resampled tuple counts.
 

@@ -41,13 +41,16 @@ def format_for_suffix(path: str) -> str:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """seq and text of every record; line breaks and spaces go, records keep the order of their lines."""
-    t = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("n"), F.input_file_name().alias("path"))
-    w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    named = t.withColumn("rec", F.last(F.when(F.col("line").startswith(">"), F.struct("n", F.regexp_extract("line", r"^>\s*(\S+)", 1).alias("name"))), ignorenulls=True).over(w))
-    body = named.filter(~F.col("line").startswith(">") & F.col("rec").isNotNull())
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("n", F.regexp_replace("line", r"\s", "").alias("s")))), lambda x: x["s"])
-    return body.groupBy("path", "rec").agg(F.array_join(parts, "").alias("text")).select(F.col("rec.name").alias("seq"), "text", F.col("rec.n").alias("ord"))
+    """seq, text and ord of every record; line breaks and spaces go, ord rises along a file. Lines before the first record have no part.
+
+    Files are split where a line starts with the sign of a record, so records are read in parallel and no file's lines are sorted.
+    """
+    t = spark.read.option("lineSep", "\n>").text(path).select(F.col("value").alias("v"), F.monotonically_increasing_id().alias("ord"), F.input_file_name().alias("path"))
+    firsts = t.groupBy("path").agg(F.min("ord").alias("_first"))  # one row for each file
+    met = t.join(firsts, "path").withColumn("_first", F.col("ord") == F.col("_first")).filter(~F.col("_first") | F.col("v").startswith(">"))
+    whole = met.withColumn("v", F.when(F.col("_first"), F.expr("substring(v, 2)")).otherwise(F.col("v"))).withColumn("_head", F.substring_index("v", "\n", 1))
+    texts = whole.select(F.regexp_extract("_head", r"^\s*(\S+)", 1).alias("seq"), F.regexp_replace(F.expr("substring(v, length(_head) + 2)"), r"\s", "").alias("text"), "ord")
+    return texts.filter("text <> ''")
 
 
 def to_long(records: DataFrame, aln: str = "a") -> DataFrame:

@@ -60,3 +60,34 @@ def test_blocks_cut_to_features(spark):
     feats = spark.createDataFrame([("f", "r.c", 12, 14), ("g", "r.c", 1, 11), ("h", "r.c", 40, 50), ("i", "r.c", 16, 16)], "name string, seqname string, start long, end long")
     got = {(r["name"], r["seq"]): (r["start"], r["size"], r["text"]) for r in transfer.cut_blocks(maf, "r", feats, "name", width=8).collect()}
     assert got == {("f", "r"): (11, 3, "C--GT"), ("f", "s"): (6, 4, "CGTA-"), ("g", "r"): (10, 1, "A"), ("g", "s"): (5, 1, "A"), ("i", "r"): (15, 1, "C"), ("i", "s"): (11, 1, "T")}
+
+
+def test_records_of_odd_files(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("; a remark\nACGT\n>one first\nAC GT\nac\n\n> two\r\nGG\r\nTT\r\n>empty\n>three\nA>C\n")
+    (tmp_path / "b.fa").write_text(">four\n" + "ACGT" * 30_000 + "\nN\n")
+    got = sorted((r["seq"], r["text"]) for r in alignments.read_fasta(spark, str(tmp_path)).collect())
+    assert got == [("four", "ACGT" * 30_000 + "N"), ("one", "ACGTac"), ("three", "A>C"), ("two", "GGTT")]
+    order = [r["seq"] for r in alignments.read_fasta(spark, str(tmp_path / "a.fa")).orderBy("ord").collect()]
+    assert order == ["one", "two", "three"]
+
+
+def test_runs_of_a_simulated_chain_cross_blocks(spark):
+    import numpy as np
+
+    from tessera.functions import models as md
+    from tessera.functions.models import TreeModel
+    from tessera.operators import hmm, trees
+    from tessera.plans import programs
+
+    pi = np.full(4, 0.25)
+    m = TreeModel(trees.number(trees.parse("(a:0.1,b:0.1);")), md.jc69()[0], pi)
+    chain = hmm.two_state(0.4, 50.0)
+    states = [r["state"] for r in programs.simulate(spark, m, 40_000, 3, chain, (0.3, 1.0), block=16).orderBy("pos").collect()]
+    steps = np.zeros((2, 2))
+    borders = np.zeros((2, 2))
+    for i, (a, b) in enumerate(zip(states, states[1:])):
+        steps[a, b] += 1
+        borders[a, b] += (i + 1) % 16 == 0
+    for x in (steps, borders):
+        assert np.allclose(x / x.sum(1, keepdims=True), chain.transition, atol=0.02)
+    assert abs(np.mean(np.array(states) == 0) - 0.4) < 0.08
