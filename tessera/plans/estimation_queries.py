@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import models as md
 from tessera.operators import estimation as es
-from tessera.operators import hmm, transfer, trees
+from tessera.operators import categories, hmm, transfer, trees
 from tessera.operators import likelihood as lk
-from tessera.plans import sequence_queries, tree_queries, views
+from tessera.plans import registry, sequence_queries, tree_queries, views
 from tessera.plans.registry import query
 from tessera.plans.tree_queries import LIKELIHOOD, NAMES
 from tessera.plans.views import FEATS, SYMBOLS
@@ -90,6 +90,14 @@ def chain_state_weights(spark, d):
     return hmm.expected_tables(rows, sequence_queries.CHAIN, "sym", size=64)[3].select("sym", "state", F.round("weight", 4).alias("weight"))
 
 
+@query("predicted_features", registry.ORACLES["hmm_viterbi"].removesuffix("SELECT seq, pos, state, score FROM t") + """, i AS (SELECT seq, pos, state, pos - row_number() OVER (PARTITION BY seq, state ORDER BY pos) AS run FROM t)
+SELECT seq, min(pos) AS start, max(pos) AS "end", count(*) AS n, 'busy' AS feature, '+' AS strand FROM i WHERE state = 1 GROUP BY seq, run""")
+def predicted_features(spark, d):
+    """Runs of the second state on the best path of every user, as features."""
+    path = hmm.best_path(sequence_queries.emissions(spark, d), sequence_queries.CHAIN, size=64)
+    return categories.features_of_path(path, [(None, "+"), ("busy", "+")], ["seq"])
+
+
 @query("fit_conserved_chain")
 def fit_conserved_chain(spark, d):
     """Transitions and the conserved tree's scale by expectation-maximisation over runs of orders."""
