@@ -47,8 +47,15 @@ def target_positions(points: DataFrame, segments: DataFrame, at: str, by: Sequen
 
 
 def unsorted_columns(maf: DataFrame, reference: str, names: Sequence[str]) -> DataFrame:
-    """pos and col of blocks in any order that may overlap in the reference: each position is the first block's that has it."""
-    each = maf_columns(maf, reference, names)
+    """pos and col of blocks in any order that may overlap in the reference: each position is the first block's that has it.
+
+    Places of the reference are told by starts and numbers of bases, so the first blocks are known before any text moves, and
+    only blocks that are first somewhere are spelled.
+    """
+    bases = F.length(F.translate("text", "-", ""))
+    places = maf.filter(F.col("seq") == reference).filter(bases > 0).select("block", F.explode(F.sequence(F.col("start") + 1, F.col("start") + bases)).alias("pos"))
+    first = places.groupBy("pos").agg(F.min("block").alias("block")).select("block").distinct()
+    each = maf_columns(maf.join(first.hint("merge"), "block", "left_semi"), reference, names)  # estimates don't see exploded rows: no broadcast
     return each.groupBy("pos").agg(F.min_by("col", F.struct("block", "at")).alias("col"))
 
 

@@ -146,15 +146,21 @@ def read_maf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def maf_columns(maf: DataFrame, reference: str, names: Sequence[str], drop_reference_gaps: bool = True) -> DataFrame:
-    """(pos in the reference, col) of all blocks, rows in the order of names, absent ones missing."""
-    ref = maf.filter(F.col("seq") == reference).select("block", F.col("start").alias("_s"), F.posexplode(F.split("text", "")).alias("at", "_r")).filter("_r <> ''")
-    w = Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    ref = ref.withColumn("pos", F.col("_s") + F.sum((F.col("_r") != "-").cast("long")).over(w))
+    """(pos in the reference, col) of all blocks, rows in the order of names, absent ones missing.
+
+    A block's texts come to one row and are zipped, so blocks meet by one shuffle and characters by none.
+    """
+    seqs = list(dict.fromkeys([reference, *names]))
+    wide = maf.filter(F.col("seq").isin(seqs)).groupBy("block").agg(F.map_from_entries(F.collect_set(F.struct("seq", "text"))).alias("m"), F.min(F.when(F.col("seq") == reference, F.col("start"))).alias("_s"))
+    letters = F.arrays_zip(*[F.coalesce(F.split(F.col("m")[n], ""), F.array()).alias(f"_{i}") for i, n in enumerate(seqs)])
+    cells = F.filter(F.transform(letters, lambda x, at: F.struct(at.alias("at"), *[x[f"_{i}"].alias(f"_{i}") for i in range(len(seqs))])), lambda x: x["_0"] != "")
+    col = F.concat(*[F.upper(F.coalesce(F.nullif(F.col(f"x._{seqs.index(n)}"), F.lit("")), F.lit("*"))) for n in names]).alias("col")
     if drop_reference_gaps:
-        ref = ref.filter("_r <> '-'")
-    chars = maf.select("block", "seq", F.posexplode(F.split("text", "")).alias("at", "ch")).filter("ch <> ''")
-    packed = chars.groupBy("block", "at").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("seq", "ch")))).alias("m"))
-    return ref.join(packed, ["block", "at"]).select("block", "at", "pos", F.concat(*[F.upper(F.coalesce(F.col("m")[n], F.lit("*"))) for n in names]).alias("col"))
+        bases = wide.select("block", "_s", F.posexplode(F.filter(cells, lambda x: x["_0"] != "-")).alias("_i", "x"))
+        return bases.select("block", "x.at", (F.col("_s") + F.col("_i") + 1).alias("pos"), col)
+    w = Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    each = wide.select("block", "_s", F.explode(cells).alias("x")).select("block", "_s", "x.at", "x")
+    return each.select("block", "at", (F.col("_s") + F.sum((F.col("x._0") != "-").cast("long")).over(w)).alias("pos"), col)
 
 
 def maf_lines(maf: DataFrame) -> DataFrame:

@@ -91,3 +91,19 @@ def test_runs_of_a_simulated_chain_cross_blocks(spark):
     for x in (steps, borders):
         assert np.allclose(x / x.sum(1, keepdims=True), chain.transition, atol=0.02)
     assert abs(np.mean(np.array(states) == 0) - 0.4) < 0.08
+
+
+def test_unsorted_blocks_are_neither_broadcast_nor_met_by_character(spark):
+    from tessera.plans import registry
+
+    plan = registry.QUERIES["unsorted_blocks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+
+
+def test_columns_of_blocks_with_gaps_and_absent_rows(spark):
+    rows = [(1, 1, "r.c", "r", 0, 3, "+", 99, "a-CG"), (1, 2, "s.c", "s", 0, 3, "+", 99, "AC-"), (2, 1, "s.c", "s", 0, 2, "+", 99, "AC"), (3, 1, "r.c", "r", 7, 2, "+", 99, "-TT"), (3, 2, "t.c", "t", 0, 2, "+", 99, "GGG")]
+    maf = spark.createDataFrame(rows, "block long, k int, src string, seq string, start long, size long, strand string, src_size long, text string")
+    of = lambda **more: sorted(tuple(r) for r in alignments.maf_columns(maf, "r", ["s", "r"], **more).select("block", "at", "pos", "col").collect())
+    bases = [(1, 0, 1, "AA"), (1, 2, 2, "-C"), (1, 3, 3, "*G"), (3, 1, 8, "*T"), (3, 2, 9, "*T")]
+    assert of() == bases
+    assert of(drop_reference_gaps=False) == sorted([*bases, (1, 1, 1, "C-"), (3, 0, 7, "*-")])
