@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import distributions as ds
+from tessera.functions.digests import md5_leading
 from tessera.operators import markov
 from tessera.plans.registry import query
 from tessera.runtime import table
@@ -115,17 +119,36 @@ def sample_k(spark, d):
 CUTS = [float(c) for c in np.cumsum(ds.poisson(1.0)) if c < 1 - 1e-12]
 
 
+
+def _resampled(batches: Iterator[pa.RecordBatch], rounds: int) -> Iterator[pa.RecordBatch]:
+    """For each round the sums of weights and of weighted values; a weight is drawn from the first 28 bits of the MD5 of key and round."""
+    limits = [np.uint32(int(c * (1 << 28))) for c in CUTS]
+    tails = [f":{rep}".encode() for rep in range(rounds)]
+    wx, ws = np.zeros(rounds), np.zeros(rounds, np.int64)
+    for batch in batches:
+        keys, x = batch.column(0).to_numpy(zero_copy_only=False).astype(bytes), batch.column(1).to_numpy()
+        lengths = np.char.str_len(keys)
+        for length in np.unique(lengths):
+            some = lengths == length
+            drawn = md5_leading(keys[some].astype(f"S{length}").view(np.uint8).reshape(-1, length), tails)
+            drawn >>= np.uint32(4)
+            for rep, u in enumerate(drawn):
+                w = np.zeros(len(u), np.uint8)
+                for limit in limits:
+                    w += u > limit
+                wx[rep] += w @ x[some]
+                ws[rep] += int(w.sum(dtype=np.int64))
+    yield pa.RecordBatch.from_pydict({"rep": pa.array(np.arange(rounds, dtype=np.int32)), "wx": pa.array(wx), "w": pa.array(ws)})
+
 @query("bootstrap", f"""WITH u AS (SELECT rep, o_totalprice AS x, ('0x' || substr(md5(o_orderkey || ':' || rep), 1, 7))::BIGINT / 268435456.0::DOUBLE AS u FROM orders, range(200) r(rep)),
 w AS (SELECT rep, x, {" + ".join(f"CASE WHEN u > {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in CUTS)} AS w FROM u), m AS (SELECT rep, sum(w * x) / sum(w) AS m FROM w GROUP BY rep),
 s AS (SELECT avg(m) AS mean, stddev_samp(m) AS stdev, median(m) AS median, min(m) AS "min", max(m) AS "max", quantile_cont(m, 0.025) AS low95, quantile_cont(m, 0.975) AS high95, quantile_cont(m, 0.05) AS low90, quantile_cont(m, 0.95) AS high90 FROM m)
 SELECT stat, round(value, 4) AS value FROM (UNPIVOT s ON COLUMNS(*) INTO NAME stat VALUE value)""")
 def bootstrap(spark, d):
     """200 resamples of the mean order price by Poisson weights drawn from hashes, and their summary."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    spread = o.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(199))))
-    drawn = F.md5(F.concat_ws(":", F.col("o_orderkey").cast("string"), F.col("rep").cast("string")).cast("binary"))
-    u = F.conv(F.substring(drawn, 1, 7), 16, 10).cast("long") / float(1 << 28)
-    weight = sum((F.col("_u") > c).cast("int") for c in CUTS)
-    means = spread.withColumn("_u", u).withColumn("w", weight).groupBy("rep").agg((F.sum(F.col("w") * F.col("o_totalprice")) / F.sum("w")).alias("m"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"), F.coalesce("o_totalprice", F.lit(0.0)).alias("x")).filter("key is not null")
+    spread = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")  # a row is 200 draws: files are too few tasks
+    sums = spread.mapInArrow(lambda batches: _resampled(batches, 200), "rep int, wx double, w long").groupBy("rep").agg(F.sum("wx").alias("wx"), F.sum("w").alias("w"))
+    means = sums.select((F.col("wx") / F.col("w")).alias("m"))
     s = ds.summary(np.array([r["m"] for r in means.collect()]))
     return spark.createDataFrame([(k, round(v, 4)) for k, v in s.items()], "stat string, value double")

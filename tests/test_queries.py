@@ -168,3 +168,27 @@ def test_site_tests_equal_plain_ones(spark):
         neutral = 0.9 - (0.1 if column[3] == "-" else 0.0)
         assert gerp[column]["neutral"] == pytest.approx(neutral)
         assert gerp[column]["observed"] == pytest.approx(neutral * r["scale"], abs=1e-3)
+
+
+def test_leading_bits_of_many_digests():
+    import hashlib
+
+    import numpy as np
+
+    from tessera.functions.digests import md5_leading
+
+    tails = [b"", b":0", b":17", b":199"]
+    for length in (1, 3, 4, 7, 19, 51):
+        heads = [f"{i:0{length}d}"[-length:].encode() for i in range(0, 900, 7)]
+        got = md5_leading(np.frombuffer(b"".join(heads), np.uint8).reshape(-1, length), tails)
+        assert got.tolist() == [[int(hashlib.md5(h + t).hexdigest()[:8], 16) for h in heads] for t in tails]
+    with pytest.raises(ValueError):
+        md5_leading(np.zeros((1, 53), np.uint8), [b":10"])
+
+
+def test_bootstrap_makes_no_row_for_each_draw(spark, monkeypatch):
+    seen, kind = [], type(spark.range(1))
+    real = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: seen.append(self._jdf.queryExecution().executedPlan().toString()) or real(self))
+    registry.QUERIES["bootstrap"](spark, DATA)
+    assert seen and all("Generate" not in p for p in seen)
