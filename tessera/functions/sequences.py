@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The standard genetic code, codons in TCAG order.
@@ -78,6 +82,55 @@ def kmer_codes(s: Column, k: int, alphabet: str = "ACGT") -> Column:
     return F.slice(out, 1, F.greatest(F.length(s) - k + 1, F.lit(0)))
 
 
+def kmer_counts(rows: DataFrame, text: Column, k: int, alphabet: str = "ACGT", most: int = 1 << 20) -> DataFrame:
+    """code and n: how often each of kmer_codes is found in all texts.
+
+    Texts are read side by side, some megabyte at a time, and each task adds up its counts before anything is shuffled.
+    """
+    if not alphabet.isascii():
+        raise ValueError("letters of the alphabet have to be ASCII")
+    digit = np.full(256, -1, np.int64)
+    digit[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
+    size = len(alphabet) ** k + 1
+
+    def codes(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        lead = (raw & 0xC0) != 0x80  # one byte for each character
+        at = np.concatenate([[0], np.cumsum(lead)])[ends]
+        x = digit[raw[lead]]
+        n = max(len(x) - k + 1, 0)
+        out, bad, inside = np.zeros(n, np.int64), np.zeros(n, bool), np.ones(len(x), bool)
+        for i in range(k):
+            out = out * len(alphabet) + x[i : i + n]
+            bad |= x[i : i + n] < 0
+        for i in range(1, k):  # a text's last characters begin none
+            last = at[1:] - i
+            inside[last[last >= at[:-1]]] = False
+        out[bad] = -1
+        return out[inside[:n]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size if size <= most else 0, np.int64)
+        for batch in batches:
+            held = batch.column(0).cast(pa.large_binary())
+            ends = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+            raw = np.frombuffer(held.buffers()[2] or b"", np.uint8)
+            a = 0
+            while a < len(held):
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + (1 << 20), "right")) - 1)
+                found = codes(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+                if len(total):
+                    total += np.bincount(found + 1, minlength=size)
+                else:
+                    value, n = np.unique(found, return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"code": pa.array(value), "n": pa.array(n.astype(np.int64))})
+                a = b
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"code": pa.array(there - 1), "n": pa.array(total[there])})
+
+    texts = rows.select(text.alias("_t")).filter(F.col("_t").isNotNull())
+    return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
 def kmer_of(code: Column, k: int, alphabet: str = "ACGT") -> Column:
     n = len(alphabet)
     return F.concat(*[F.substr(F.lit(alphabet), (F.floor(code / n**i) % n + 1).cast("int"), F.lit(1)) for i in range(k - 1, -1, -1)])

@@ -125,8 +125,7 @@ d AS (SELECT doc_id, strpos('ACGT', unnest(l)) - 1 AS x, generate_subscripts(l,
 k AS (SELECT x AS a, lead(x, 1) OVER w AS b, lead(x, 2) OVER w AS c, lead(x, 3) OVER w AS d FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY i))
 SELECT CASE WHEN least(a, b, c, d) < 0 THEN -1 ELSE 64 * a + 16 * b + 4 * c + d END AS code, count(*) AS n FROM k WHERE d IS NOT NULL GROUP BY 1""")
 def kmer_codes(spark, d):
-    codes = sq.kmer_codes(F.translate(F.lower("text"), "aeion", "ACGTT"), 4)
-    return table(spark, d, "documents").select(F.explode(codes).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    return sq.kmer_counts(table(spark, d, "documents"), F.translate(F.lower("text"), "aeion", "ACGTT"), 4)
 
 
 @query("conversation_turns", """SELECT conv_id, count(*) AS turns, max(turn) AS last, string_agg(role, '>' ORDER BY turn) AS path FROM conversations GROUP BY conv_id""")

@@ -192,3 +192,17 @@ def test_bootstrap_makes_no_row_for_each_draw(spark, monkeypatch):
     monkeypatch.setattr(kind, "collect", lambda self: seen.append(self._jdf.queryExecution().executedPlan().toString()) or real(self))
     registry.QUERIES["bootstrap"](spark, DATA)
     assert seen and all("Generate" not in p for p in seen)
+
+
+def test_kmer_counts_equal_codes_of_each_text(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import sequences as sq
+
+    texts = ["ACGTACGTNNACGT", "", None, "AC", "ACG", "é\U0001f600ACGTTé", "ACGT" * 500_000, "TTTT", "A\U0001f600CGTA"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    for k in (1, 3, 4):
+        plain = {r["code"]: r["count"] for r in d.select(F.explode(sq.kmer_codes(F.col("t"), k)).alias("code")).groupBy("code").count().collect()}
+        for most in (1 << 20, 2):
+            assert {r["code"]: r["n"] for r in sq.kmer_counts(d, F.col("t"), k, most=most).collect()} == plain
+    assert "Generate" not in registry.QUERIES["kmer_codes"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
