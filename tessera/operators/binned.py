@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
-from tessera.operators.intervals import BIN, _with
+from tessera.operators.intervals import BIN
 
 
 def bin_of(rows: DataFrame, at: str, width: int = BIN) -> Column:
@@ -33,12 +33,12 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], v
         held = held.withColumn(f"_v_{name}", F.coalesce(value, F.lit(0)))
     totals = held.groupBy(*by, "_b").agg(*[F.sum(f"_v_{n}").alias(n) for n in values])
     earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*by, "_b", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in values])
-    inside = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = held.select(*rows.columns, "_b", *[F.sum(f"_v_{n}").over(inside).alias(f"_here_{n}") for n in values])
-    met = _with(summed, before, [*by, "_b"])
+    before = totals.select(*by, "_b", F.lag("_b").over(Window.partitionBy(*by).orderBy("_b")).isNotNull().alias("_later"), *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_v_{n}") for n in values])
+    # a later bin's first row is a guest with the sums before it: no join brings all rows together again
+    both = held.withColumn("_guest", F.lit(False)).unionByName(before.filter("_later").drop("_later").withColumn("_guest", F.lit(True)), allowMissingColumns=True)
+    inside = Window.partitionBy(*by, "_b").orderBy(F.desc("_guest"), *order).rowsBetween(Window.unboundedPreceding, 0)
     kept = [c for c in rows.columns if c not in values]
-    return met.select(*kept, *[(F.col(f"_here_{n}") + F.col(f"_before_{n}")).alias(n) for n in values])
+    return both.select(*kept, "_guest", *[F.sum(f"_v_{n}").over(inside).alias(n) for n in values]).filter(~F.col("_guest")).drop("_guest")
 
 
 def looking_back(rows: DataFrame, by: Sequence[str], at: str, k: int, width: int = BIN) -> tuple[DataFrame, Window]:

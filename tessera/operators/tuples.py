@@ -269,11 +269,18 @@ def uppercase(columns: DataFrame) -> DataFrame:
     return columns.withColumn("col", F.upper("col"))
 
 
-def split_by_category(columns: DataFrame, labels: DataFrame, by: Sequence[str] = ("aln",)) -> DataFrame:
-    """Columns with the category of their position (0 where there is none), numbered anew inside each."""
-    met = columns.join(labels.select(*by, "pos", "cat"), [*by, "pos"], "left").withColumn("cat", F.coalesce("cat", F.lit(0)))
+def split_by_category(columns: DataFrame, labels: DataFrame | str, by: Sequence[str] = ("aln",)) -> DataFrame:
+    """Columns with the category of their position (0 where there is none), numbered anew inside each.
+
+    labels: by, pos and cat, or the name of the columns' own column that holds the category.
+    """
     from tessera.operators.binned import bin_of, running
 
+    if isinstance(labels, str):
+        met = columns.withColumnRenamed(labels, "cat")
+    else:
+        met = columns.join(labels.select(*by, "pos", "cat"), [*by, "pos"], "left")
+    met = met.withColumn("cat", F.coalesce("cat", F.lit(0)))
     return running(met, [*by, "cat"], ["pos"], {"_n": F.lit(1)}, bin_of(met, "pos")).withColumn("pos", F.col("_n").cast("int")).select(*met.columns)
 
 

@@ -125,3 +125,12 @@ def test_no_window_over_a_whole_key(columns):
         for line in plan.split("\n"):
             if line.strip(" :+-").startswith("Window ["):
                 assert "_b#" in line.split("windowspecdefinition(")[1].split("ASC")[0], line
+
+
+def test_running_sums_meet_without_a_join(spark):
+    rows = [(k, p, None if p % 5 == 0 else p) for k in ("x", None) for p in range(1, 40)]
+    d = spark.createDataFrame(rows, "k string, pos long, v long")
+    out = binned.running(d, ["k"], ["pos"], {"s": F.col("v"), "n": F.lit(1)}, binned.bin_of(d, "pos", 7))
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["k"] or "", r["pos"], r["v"], r["s"], r["n"]) for r in out.collect())
+    assert got == sorted((k or "", p, v, sum(q for q in range(1, p + 1) if q % 5), p) for k, p, v in rows)
