@@ -249,14 +249,17 @@ def shorten_context(counts: DataFrame, rows: int, k: int) -> DataFrame:
 
 
 def mask_long_gaps(columns: DataFrame, rows: int, most: int, reference: int | None = None, by: Sequence[str] = ("aln",)) -> DataFrame:
-    """In each row (but the reference), runs of more than `most` gaps become missing."""
-    from tessera.operators.intervals import overlap_pairs, runs_where
-
-    long = columns.select(*by, "pos", F.posexplode(F.split("col", "")).alias("row", "ch")).filter(F.col("row") < rows)
-    runs = runs_where(long, [*by, "row"], "pos", F.col("ch") == GAP, F.lit(0)).filter((F.col("n") > most) & (F.col("row") != F.lit(-1 if reference is None else reference)))
-    points = columns.select(*by, "pos", F.col("pos").alias("start"), F.col("pos").alias("end"))
-    hit = overlap_pairs(points, runs.select(*by, "start", "end", "row"), by).groupBy(*by, "pos").agg(F.collect_set("r_row").alias("_rows"))  # at most all rows
-    met = columns.select(*by, "pos", "col").join(hit, [*by, "pos"], "left")
+    """In each row (but the reference), runs of more than `most` gaps become missing.
+
+    Only gaps that may be masked are looked at, and a run says its positions itself: other characters are neither sorted nor joined.
+    """
+    from tessera.operators.intervals import runs_where
+
+    cells = columns.filter(F.col("col").contains(GAP)).select(*by, "pos", F.posexplode(F.split("col", "")).alias("row", "ch"))
+    gaps = cells.filter((F.col("ch") == GAP) & (F.col("row") < rows) & (F.col("row") != F.lit(-1 if reference is None else reference)))
+    runs = runs_where(gaps, [*by, "row"], "pos", F.lit(True), F.lit(0)).filter(F.col("n") > most)
+    hit = runs.select(*by, "row", F.explode(F.sequence("start", "end")).alias("pos")).groupBy(*by, "pos").agg(F.collect_set("row").alias("_rows"))  # at most all rows
+    met = columns.select(*by, "pos", "col").join(hit.hint("merge"), [*by, "pos"], "left")  # estimates don't see exploded rows: no broadcast
     masked = F.array_join(F.transform(F.split("col", ""), lambda ch, i: F.when(F.array_contains("_rows", i), "*").otherwise(ch)), "")
     return met.select(*by, "pos", F.when(F.col("_rows").isNull(), F.col("col")).otherwise(masked).alias("col"))
 

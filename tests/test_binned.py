@@ -134,3 +134,18 @@ def test_running_sums_meet_without_a_join(spark):
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     got = sorted((r["k"] or "", r["pos"], r["v"], r["s"], r["n"]) for r in out.collect())
     assert got == sorted((k or "", p, v, sum(q for q in range(1, p + 1) if q % 5), p) for k, p, v in rows)
+
+
+def test_masking_looks_at_gaps_only(spark, monkeypatch):
+    seen, real = [], intervals.runs_where
+
+    def counted(rows, *more, **named):
+        seen.append(rows.count())
+        return real(rows, *more, **named)
+
+    monkeypatch.setattr(intervals, "runs_where", counted)
+    texts = ["AC-", "A--", "---", "A-C", "-GT", "-A-", "-A-", "TA-"]
+    d = spark.createDataFrame([("x", i + 1, t) for i, t in enumerate(texts)], "aln string, pos long, col string")
+    got = [r["col"] for r in tuples.mask_long_gaps(d, 3, 2, reference=0).orderBy("pos").collect()]
+    assert got == ["AC*", "A**", "-**", "A*C", "-GT", "-A*", "-A*", "TA*"]
+    assert seen == [sum(t[1:].count("-") for t in texts)]
