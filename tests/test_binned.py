@@ -149,3 +149,18 @@ def test_masking_looks_at_gaps_only(spark, monkeypatch):
     got = [r["col"] for r in tuples.mask_long_gaps(d, 3, 2, reference=0).orderBy("pos").collect()]
     assert got == ["AC*", "A**", "-**", "A*C", "-GT", "-A*", "-A*", "TA*"]
     assert seen == [sum(t[1:].count("-") for t in texts)]
+
+
+def test_scores_of_few_columns_are_sent_to_all_tasks(spark):
+    from tessera.operators import likelihood as lk
+
+    d = spark.createDataFrame([("x", i, "AC"[i % 2]) for i in range(8)], "aln string, pos long, col string")
+    scored = spark.createDataFrame([("A", 1.0), ("C", 2.0)], "col string, emission double")
+    for most, way in ((2, "BroadcastHashJoin"), (1, "SortMergeJoin")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            met = lk.with_scores(d, scored, scored, most)
+            assert way in met._jdf.queryExecution().executedPlan().toString()
+            assert sorted((r["pos"], r["emission"]) for r in met.collect()) == [(i, 1.0 + i % 2) for i in range(8)]
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
