@@ -285,15 +285,22 @@ def remove_overlaps(feats: DataFrame, group: str = "grp", by: Keys = ("seqname",
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     clustered = spans.withColumn("_new", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)).withColumn("_cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for row in pdf.sort_values(["start", "end", group]).itertuples(index=False):
-            hit = [k for k in kept if k.start <= row.end and row.start <= k.end]
-            if not hit or row.score > sum(k.score for k in hit):
-                kept = [k for k in kept if k not in hit] + [row]
-        return pd.DataFrame(kept, columns=pdf.columns)
-
-    chosen = clustered.groupBy(*by, "_cluster").applyInPandas(resolve, clustered.schema)
+    @F.pandas_udf("array<int>")
+    def resolve(starts: pd.Series, ends: pd.Series, scores: pd.Series) -> pd.Series:
+        """The places of the kept groups of each cluster; a batch holds many clusters."""
+        out = []
+        for cluster in zip(starts, ends, scores):
+            kept: list = []
+            for i, (start, end, score) in enumerate(zip(*cluster)):
+                hit = [k for k in kept if k[1] <= end and start <= k[2]]
+                if not hit or score > sum(k[3] for k in hit):
+                    kept = [k for k in kept if k not in hit] + [(i, start, end, score)]
+            out.append([k[0] for k in kept])
+        return pd.Series(out)
+
+    packed = clustered.groupBy(*by, "_cluster").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col(group).alias("grp"), "score"))).alias("_x"))
+    places = packed.select(*by, "_x", F.explode(resolve("_x.start", "_x.end", "_x.score")).alias("_i"))
+    chosen = places.select(*by, F.get("_x.grp", F.col("_i")).alias(group))
     return feats.join(chosen.select(*by, group), [*by, group], "left_semi")
 
 

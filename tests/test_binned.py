@@ -164,3 +164,11 @@ def test_scores_of_few_columns_are_sent_to_all_tasks(spark):
             assert sorted((r["pos"], r["emission"]) for r in met.collect()) == [(i, 1.0 + i % 2) for i in range(8)]
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_clusters_are_resolved_many_in_a_batch(spark):
+    rows = [("x", g, 10 * g, 10 * g + w, s) for g, w, s in ((1, 12, 5.0), (2, 3, 4.0), (3, 11, 1.0), (4, 2, 3.0), (6, 2, None))]
+    d = spark.createDataFrame(rows, "seqname string, grp long, start long, end long, score double")
+    out = intervals.remove_overlaps(d)
+    assert sorted(r["grp"] for r in out.collect()) == [1, 4, 6]
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
