@@ -13,7 +13,7 @@ from tessera.functions import models as md
 from tessera.plans import views
 from tessera.plans.registry import query
 from tessera.plans.views import FEATS, TUPLES
-from tessera.runtime import own, shared_dir
+from tessera.runtime import own, shared_dir, stage, unstage
 from tessera.sources import alignments, features
 
 
@@ -71,8 +71,7 @@ def genepred_round_trip(spark, d):
 
 def _records(spark, d):
     """Every order's columns as one sequence."""
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "col"))), lambda x: x["col"])
-    return views.columns(spark, d).groupBy("aln").agg(F.array_join(parts, "").alias("text")).select(F.concat(F.lit("o"), F.col("aln").cast("string")).alias("seq"), "text")
+    return views.alignments(spark, d).select(F.concat(F.lit("o"), F.col("aln").cast("string")).alias("seq"), F.array_join("cols", "").alias("text"))
 
 
 @query("fasta_round_trip", f"WITH {TUPLES} SELECT 'o' || aln AS seq, string_agg(col, '' ORDER BY pos) AS text FROM cols GROUP BY aln")
@@ -92,11 +91,14 @@ def counts_round_trip(spark, d):
 @query("maf_round_trip", f"""WITH {TUPLES}, r AS (SELECT aln, k, string_agg(substr(col, CAST(k AS BIGINT) + 1, 1), '' ORDER BY pos) AS text FROM cols, range(3) r(k) GROUP BY aln, k)
 SELECT 's' || k || '.c1' AS src, 's' || k AS seq, 10 * aln AS start, length(replace(text, '-', '')) AS size, '+' AS strand, 1000000000 AS src_size, text FROM r""")
 def maf_round_trip(spark, d):
-    text = lambda k: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.substring("col", k + 1, 1).alias("ch")))), lambda x: x["ch"]), "")
-    wide = views.columns(spark, d).groupBy("aln").agg(*[text(k).alias(f"t{k}") for k in range(3)])
-    rows = wide.select("aln", F.posexplode(F.array("t0", "t1", "t2")).alias("k", "text"))
-    blocks = rows.select(F.col("aln").alias("block"), "k", F.concat(F.lit("s"), F.col("k").cast("string"), F.lit(".c1")).alias("src"), (10 * F.col("aln")).alias("start"), F.length(F.replace("text", F.lit("-"))).alias("size"), F.lit("+").alias("strand"), F.lit(1_000_000_000).alias("src_size"), "text")
-    return alignments.read_maf(spark, _written(spark, alignments.maf_lines(blocks))).select("src", "seq", "start", "size", "strand", "src_size", "text")
+    """Orders are staged as three texts and dealt by ranges once: sorting the blocks then moves nothing and runs nothing twice."""
+    text = lambda k: F.array_join(F.transform("cols", lambda x: F.substring(x, k + 1, 1)), "")
+    wide = stage(views.alignments(spark, d).select("aln", *[text(k).alias(f"t{k}") for k in range(3)]), "maf")
+    dealt = wide.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "aln")
+    line = lambda k: alignments.maf_line(F.lit(f"s{k}.c1"), 10 * F.col("aln"), F.length(F.replace(f"t{k}", F.lit("-"))), F.lit("+"), F.lit(1_000_000_000), F.col(f"t{k}"))
+    path = _written(spark, alignments.maf_blocks(dealt.select(F.col("aln").alias("block"), F.array(*[line(k) for k in range(3)]).alias("lines"))))
+    unstage(wide)
+    return alignments.read_maf(spark, path).select("src", "seq", "start", "size", "strand", "src_size", "text")
 
 
 # -- models and densities ----------------------------------------------------------------------------------------------

@@ -42,14 +42,29 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("seq"), F.col("event_type").alias("sym"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("pos"))
 
 
+#: The order of an order's columns.
+PLACE = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_discount", "l_tax")
+
+
+def _column():
+    q = F.when(F.col("l_quantity") > 40, "-").when(F.col("l_quantity") > 20, "H").otherwise("L")
+    return F.concat("l_returnflag", "l_linestatus", q)
+
+
 def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-row columns of orders: return flag, line status and a quantity class ('-' is a gap)."""
     from pyspark.sql import Window
 
     li = table(spark, sf_dir, "lineitem")
-    q = F.when(F.col("l_quantity") > 40, "-").when(F.col("l_quantity") > 20, "H").otherwise("L")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_discount", "l_tax")
-    return li.select(F.col("l_orderkey").alias("aln"), F.concat("l_returnflag", "l_linestatus", q).alias("col"), (F.col("l_quantity").cast("int") % 3).alias("cat"), F.row_number().over(w).alias("pos"))
+    w = Window.partitionBy("l_orderkey").orderBy(*PLACE)
+    return li.select(F.col("l_orderkey").alias("aln"), _column().alias("col"), (F.col("l_quantity").cast("int") % 3).alias("cat"), F.row_number().over(w).alias("pos"))
+
+
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """aln and all its columns in order, as an array: lines are sorted inside their order, by no window over all of them."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("aln"), F.struct(*PLACE, _column().alias("col")).alias("x"))
+    kept = lines.repartition("aln").groupBy("aln").agg(F.sort_array(F.collect_list("x")).alias("x"))  # dealt first: partial lists would only be moved whole
+    return kept.select("aln", F.col("x.col").alias("cols"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

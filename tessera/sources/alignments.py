@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.sequences import complement
@@ -163,10 +163,20 @@ def maf_columns(maf: DataFrame, reference: str, names: Sequence[str], drop_refer
     return each.select("block", "at", (F.col("_s") + F.sum((F.col("x._0") != "-").cast("long")).over(w)).alias("pos"), col)
 
 
+def maf_line(src: Column, start: Column, size: Column, strand: Column, src_size: Column, text: Column) -> Column:
+    return F.concat(F.lit("s "), F.rpad(src, 20, " "), F.lpad(start.cast("string"), 10, " "), F.lit(" "), F.lpad(size.cast("string"), 8, " "), F.lit(" "), strand, F.lit(" "), F.lpad(src_size.cast("string"), 10, " "), F.lit(" "), text)
+
+
+def maf_blocks(blocks: DataFrame) -> DataFrame:
+    """A row of text for each (block, lines), blocks in order; blocks that come dealt by ranges of block are not moved again."""
+    return blocks.select("block", F.concat(F.lit("a score=0\n"), F.array_join("lines", "\n"), F.lit("\n")).alias("value")).orderBy("block").select("value")
+
+
 def maf_lines(maf: DataFrame) -> DataFrame:
-    line = F.concat(F.lit("s "), F.rpad("src", 20, " "), F.lpad(F.col("start").cast("string"), 10, " "), F.lit(" "), F.lpad(F.col("size").cast("string"), 8, " "), F.lit(" "), "strand", F.lit(" "), F.lpad(F.col("src_size").cast("string"), 10, " "), F.lit(" "), "text")
-    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", line.alias("l")))), lambda x: x["l"]), "\n")
-    return maf.groupBy("block").agg(F.concat(F.lit("a score=0\n"), rows, F.lit("\n")).alias("value")).orderBy("block").select("value")
+    """The same from rows, which are gathered to blocks."""
+    line = maf_line(*[F.col(c) for c in ("src", "start", "size", "strand", "src_size", "text")])
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("k", line.alias("l")))), lambda x: x["l"])
+    return maf_blocks(maf.groupBy("block").agg(lines.alias("lines")))
 
 
 def trim_maf(maf: DataFrame, reference: str, start: int, end: int) -> DataFrame:
