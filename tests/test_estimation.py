@@ -13,6 +13,7 @@ from tessera.operators import estimation as es
 from tessera.operators import hmm, trees
 from tessera.operators import likelihood as lk
 from tessera.plans import programs
+from tessera.runtime import staged_paths
 
 NAMES = ["a", "b", "c", "d"]
 PI = np.array([0.3, 0.2, 0.2, 0.3])
@@ -153,6 +154,36 @@ def test_conserved_chain_returns_rho_and_trees(spark):
     assert whole.models[1].free[0] == pytest.approx(3, rel=0.25)
 
 
+def test_packed_chunks_give_the_expected_tables(spark):
+    """Sequences of one row, of part of a chunk and of several; a step that can't be taken; one chunk each without borders."""
+    rng = np.random.default_rng(8)
+    scores = np.log2(rng.random((6, 3)))
+    chain = hmm.Hmm(np.array([[0.9, 0.1, 0.0], [0.2, 0.7, 0.1], [0.3, 0.0, 0.7]]), np.array([0.5, 0.5, 0.0]), np.array([0.1, 0.2, 0.3]))
+    rows = [(f"s{n}", i + 1, int(k)) for n in (1, 2, 19, 20, 21, 40, 41, 67) for i, k in enumerate(rng.integers(0, 6, n))]
+    rows = spark.createDataFrame(rows, "seq string, pos long, sym long")
+    scored = rows.join(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(scores)], "sym long, emission array<double>"), "sym")
+    for size, several in ((20, True), (100, False), (100, True)):
+        steps, begins, total, table_ = hmm.expected_tables(scored, chain, "sym", size=size)
+        sums = hmm.expected_packed(hmm.packed(rows, "sym", size=size).cache(), chain, "sym", scores, ("seq",), several)
+        for found, known in zip(hmm.counts_of(sums, "sym", 3), (steps, begins, total)):
+            assert found == pytest.approx(known, rel=1e-9, abs=1e-12)
+        weights = {(r["sym"], r["state"]): r["weight"] for r in hmm.weights_of(sums, "sym").collect()}
+        assert weights == pytest.approx({(r["sym"], r["state"]): r["weight"] for r in table_.collect()}, rel=1e-9)
+
+
+def test_chains_of_many_distinct_columns_end_alike(spark, monkeypatch):
+    """Without a number of rounds, with columns numbered in chunks or joined to their scores; nothing staged is left."""
+    truth = model("((a:0.3,b:0.4):0.2,(c:0.25,d:0.5):0.2);")
+    sim = programs.simulate(spark, truth, 600, 5, hmm.two_state(0.4, 60.0), (0.25, 1.0), block=300).cache()
+    before = staged_paths()
+    few = es.fit_conserved(sim, NAMES, truth, rho=0.6, coverage=0.2, length=20.0, size=128, tolerance=0.5)
+    monkeypatch.setattr(lk, "MOST_TUPLES", 10)
+    many = es.fit_conserved(sim, NAMES, truth, rho=0.6, coverage=0.2, length=20.0, size=128, tolerance=0.5)
+    assert many.history == pytest.approx(few.history, rel=1e-6) and len(many.history) > 2
+    assert many.chain.transition == pytest.approx(few.chain.transition, rel=1e-3) and many.models[0].scale == pytest.approx(few.models[0].scale, rel=1e-3)
+    assert staged_paths() == before
+
+
 def test_states_with_models_of_their_own(spark):
     slow, fast = model(scale=0.2), model("((a:0.5,b:0.1):0.1,(c:0.5,d:0.1):0.1);", kappa=8.0)
     rng = np.random.default_rng(4)
@@ -374,6 +405,12 @@ def test_conserved_query_never_falls(spark):
     assert len(rounds) == 3 and np.diff([r["loglik"] for r in rounds]).min() > -1e-6 and 0 < rounds[-1]["rho"] < 1
 
 
+def test_conserved_query_goes_on_until_a_round_gains_no_more(spark):
+    """No number of rounds ends the fit: every round but the last gains at least the tolerance."""
+    gains = np.diff([r["loglik"] for r in sorted(rows_of(spark, "fit_conserved_chain"), key=lambda r: r["round"])])
+    assert -1e-6 < gains[-1] < 1e-2 and gains[:-1].min() >= 1e-2
+
+
 def test_error_query_agrees_with_second_differences(spark):
     """Along one branch with all other numbers fixed the information is at least what the whole inverse leaves."""
     from tessera.plans import tree_queries
